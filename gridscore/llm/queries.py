@@ -5,11 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridscore.llm import media, sharding, simhash
+from gridscore.llm import media, quality, sharding, simhash
 from gridscore.session import table
 
 
+def held_out(doc_id: str = "doc_id") -> F.Column:
+    """Rows whose labels no model learns from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    known = labels.where(~held_out()).select("doc_id", "quality").distinct()
+    return quality.fit(docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.selectExpr("doc_id", "lpad(lower(hex(fp)), 16, '0') AS fingerprint", "component_id")
@@ -25,7 +43,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op9_sharding, op10_media_columns)}
+    return {f.__name__: f for f in (op2_quality, op5_simhash, op9_sharding, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
