@@ -11,6 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts are packed in pieces of so many bytes, each from a fresh start, so that a dictionary counts for all of a text.
 PIECE = 2048
@@ -108,13 +109,14 @@ def score(df: DataFrame, model: Model, text: str = "text", column: str = "score"
     Rows are scored where they are, without a shuffle; the model (two dictionaries of DICTIONARY bytes) goes with the
     tasks. Repeated rows get equal scores; an empty table stays empty.
     """
-    schema = df.schema
+    schema = T.StructType([f for f in df.schema.fields if f.name != column] + [T.StructField(column, T.DoubleType())])
     at = df.columns.index(text)
+    kept = [k for k, name in enumerate(df.columns) if name != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _Packer(model)
         for batch in batches:
             found = [packer.score(t.as_py(), model.weights) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(found, pa.float64())], names=schema.names)
 
-    return df.mapInArrow(run, schema.add(column, "double") if column not in df.columns else schema)
+    return df.mapInArrow(run, schema)
