@@ -79,19 +79,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return np.concatenate([[w[0] - weights @ mean], weights])
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", rows: int = ROWS) -> Model:
-    """Fit on labelled texts (label 1: good, 0: bad; others and nulls are ignored).
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = ROWS) -> Model:
+    """Fit on docs whose key has a label (1: good, 0: bad; other labels, nulls and repeats are ignored).
 
-    At most `rows` rows of each label, first by a hash of the text, are brought to the driver, each cut to BYTES from
-    its middle. Even ones fill the dictionaries that odd ones are scored with for the curve, and the other way round;
-    the final dictionaries hold all. Without rows of both labels every score is 0.5.
+    The sample is drawn from `labels`, so no text moves for it: at most `rows` keys of each label, the first by hash,
+    are looked for in docs, and their texts, each cut to BYTES from its middle, come to the driver. Even ones fill the
+    dictionaries that odd ones are scored with for the curve, and the other way round; the final dictionaries hold
+    all. Without rows of both labels every score is 0.5.
     """
-    known = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    cut = known.select("y", F.xxhash64("t").alias("h"), F.expr(f"substring(t, greatest(1, length(t) div 2 - {BYTES // 2}), {BYTES})").alias("t"))
-    sample = [r for y in (0, 1) for r in cut.where(F.col("y") == y).orderBy("h", "t").limit(rows).collect()]
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(F.col(label).cast("int")).alias("y"))
+    counts = dict(known.groupBy("y").count().collect())
+    draw = F.pmod(F.xxhash64("k"), F.lit(1 << 32))
+    # a share of the keys that is expected to hold twice the rows asked for, so that the sort sees few
+    drawn = [known.where((F.col("y") == y) & (draw < int(min(1, 2 * rows / n) * (1 << 32)))).orderBy(draw, "k").limit(rows) for y, n in sorted(counts.items())]
+    if len(drawn) < 2:
+        return Model(b" " * 8, b" " * 8, (0.0,) * 5)
+    keys = drawn[0].unionByName(drawn[1])  # 2 x rows keys at most
+    cut = F.expr(f"substring(t, greatest(1, length(t) div 2 - {BYTES // 2}), {BYTES})")
+    found = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(keys), "k").select("k", "y", cut.alias("t"))
+    sample = found.groupBy("k", "y").agg(F.min("t").alias("t")).orderBy(F.xxhash64("t"), "k").collect()
     texts = [[r.t.encode("utf-8", "surrogatepass") for r in sample if r.y == y] for y in (0, 1)]
     if not all(len(t) > 1 for t in texts):
-        return Model(b" " * 8, b" " * 8, (0.0, 0.0, 0.0, 0.0, 0.0))
+        return Model(b" " * 8, b" " * 8, (0.0,) * 5)
     x, y = [], []
     for fold in (0, 1):
         packer = _Packer(Model(_dictionary(texts[1][fold::2]), _dictionary(texts[0][fold::2]), ()))

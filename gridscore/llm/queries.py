@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscore.llm import media, mixing, quality, sharding, simhash
+from gridscore.llm import media, mixing, pieces, quality, sharding, simhash
 from gridscore.session import table
 
 
@@ -17,8 +17,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
-    known = labels.where(~held_out()).select("doc_id", "quality").distinct()
-    return quality.fit(docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality"))
+    return quality.fit(docs, labels.where(~held_out()))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +37,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "lpad(lower(hex(fp)), 16, '0') AS fingerprint", "component_id")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 40)
     return placed.selectExpr("doc_id", "size", "text_crc32", "'bytes' AS law", "shard", "slot", "CAST(NULL AS int) AS grown_shard")
@@ -48,7 +51,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_mixing, op5_simhash, op9_sharding, op10_media_columns)}
+    return {f.__name__: f for f in (op2_quality, op3_mixing, op5_simhash, op8_pieces, op9_sharding, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
