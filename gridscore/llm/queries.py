@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscore.llm import media, mixing, pieces, quality, sharding, simhash, tokens
+from gridscore.llm import langid, media, mixing, pieces, quality, sharding, simhash, tokens
 from gridscore.session import table
 
 
@@ -41,6 +41,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "lpad(lower(hex(fp)), 16, '0') AS fingerprint", "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (host: their source) and pages together; doc_id is null for a page, page_id for a document."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "CAST(NULL AS long) AS page_id", "text", "lang AS declared", "source AS host")
+    pages = langid.page_evidence(table(spark, sf_dir, "pages")).selectExpr("CAST(NULL AS long) AS doc_id", "page_id", "text", "declared", "host")
+    return langid.identify(docs.unionByName(pages), langid.fit_text(docs, declared="declared"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
@@ -55,7 +62,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_mixing, op4_token_counts, op5_simhash, op8_pieces, op9_sharding, op10_media_columns)}
+    return {f.__name__: f for f in (op2_quality, op3_mixing, op4_token_counts, op5_simhash, op6_language_id, op8_pieces, op9_sharding, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
