@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscore.llm import langid, media, mixing, pieces, quality, sharding, simhash, tokens
+from gridscore.llm import htmltext, langid, media, mixing, pieces, quality, sharding, simhash, tokens
 from gridscore.session import table
 
 
@@ -48,6 +48,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.unionByName(pages), langid.fit_text(docs, declared="declared"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_mixing, op4_token_counts, op5_simhash, op6_language_id, op8_pieces, op9_sharding, op10_media_columns)}
+    return {f.__name__: f for f in (op2_quality, op3_mixing, op4_token_counts, op5_simhash, op6_language_id, op7_html_extraction, op8_pieces, op9_sharding, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
