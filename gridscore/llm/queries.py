@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscore.llm import htmltext, langid, media, mixing, pieces, quality, sharding, simhash, tokens
+from gridscore.llm import embeddings, htmltext, langid, media, mixing, pieces, quality, sharding, simhash, tokens
 from gridscore.session import table
 
 
@@ -20,6 +20,10 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     return quality.fit(docs, labels.where(~held_out()))
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_model(docs, table(spark, sf_dir, "labels"))
@@ -66,7 +70,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_mixing, op4_token_counts, op5_simhash, op6_language_id, op7_html_extraction, op8_pieces, op9_sharding, op10_media_columns)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_quality, op3_mixing, op4_token_counts, op5_simhash, op6_language_id, op7_html_extraction, op8_pieces, op9_sharding, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
