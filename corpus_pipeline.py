@@ -1,4 +1,9 @@
-"""A corpus pipeline: each stage applies one operator of gridscore.llm to all that the stage before it kept."""
+"""A corpus pipeline: each stage applies one operator of gridscore.llm to all that the stage before it kept.
+
+A stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Nulls, empty texts, repeated
+rows and empty tables are treated as the operators' docstrings say: documents without letters are rejected by the
+first stage, so later ones rarely see them.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridscore.llm import langid, mixing, pieces, quality, simhash
+from gridscore.llm.queries import quality_model
 from gridscore.session import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; a document's source stands for its host, its lang for the declared one."""
+    return langid.accepted_only(docs, langid.fit_text(docs))
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likelier good than bad."""
+    scored = quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")), column="__score")
+    return scored.where("__score >= 0.5").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: up to twice, or not at all."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, with whether they decode to its text."""
+    return pieces.encode(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("language_id", language_id), ("quality", quality_filter), ("simhash", near_dedup), ("mixing", mix), ("pieces", encode)]
 #: The stages hash, compress and train, which SQL can't express; tests/llm holds each against a brute-force version.
 ORACLE_SQL: str | None = None
 
