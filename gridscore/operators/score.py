@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -75,15 +74,25 @@ def dice_scores(signatures: DataFrame, snapshots: DataFrame, keys: list[str], ra
     return pair_up(left, right, by).select(*keys, (2 * dot(F.col("w"), F.col("v")) / (F.col("_w2") + F.col("_v2") + 1e-12)).alias("dice"))
 
 
-def information(counts: dict[tuple[int, int], Column], n: int, alpha: float, eps: float) -> Column:
-    """Mutual information in nats from the n x n joint counts, each raised by alpha; never negative."""
-    raised = {k: c + F.lit(float(alpha)) for k, c in counts.items()}
-    total = reduce(Column.__add__, raised.values())
-    p = {k: c / total for k, c in raised.items()}
-    px = [reduce(Column.__add__, [p[a, b] for b in range(n)]) for a in range(n)]
-    py = [reduce(Column.__add__, [p[a, b] for a in range(n)]) for b in range(n)]
-    terms = [F.when(p[a, b] > 0, p[a, b] * F.log(p[a, b] / (px[a] * py[b] + eps))).otherwise(0.0) for a in range(n) for b in range(n)]
-    return F.greatest(reduce(Column.__add__, terms), F.lit(0.0))
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+
+
+def information(counts: Column, n: int, alpha: float, eps: float) -> Column:
+    """Mutual information in nats from an array of n x n joint counts, row by row, each raised by alpha; never negative."""
+    raised = F.transform(counts, lambda c: c + F.lit(float(alpha)))
+    side = F.sequence(F.lit(0), F.lit(n - 1))
+    total = _sum(counts) + n * n * float(alpha)
+    rows = F.transform(side, lambda a: _sum(F.slice(raised, a * n + 1, n)))
+    columns = F.transform(side, lambda b: _sum(F.transform(side, lambda a: F.get(raised, a * n + b))))
+    both = F.struct(raised.alias("c"), rows.alias("x"), columns.alias("y"), total.alias("t"))
+
+    def terms(m: Column) -> Column:
+        share = lambda v: v / m["t"]
+        of = lambda v, k: F.when(v > 0, share(v) * F.log(share(v) / (share(F.get(m["x"], F.floor(k / n).cast("int"))) * share(F.get(m["y"], k % n)) + eps))).otherwise(0.0)
+        return F.greatest(_sum(F.transform(m["c"], of)), F.lit(0.0))
+
+    return F.transform(F.array(both), terms)[0]
 
 
 def mutual_information(signatures: DataFrame, snapshots: DataFrame, keys: list[str], signature_keys: list[str], snapshot_keys: list[str], n: int = 4, alpha: float = 0.5, eps: float = 1e-10, method: str = "explode") -> DataFrame:
@@ -101,7 +110,7 @@ def mutual_information(signatures: DataFrame, snapshots: DataFrame, keys: list[s
     joint = a.join(F.broadcast(b), "pos").groupBy(*keys)
     cells = [(i, j) for i in range(n) for j in range(n)]
     counted = joint.agg(*[F.sum(F.when((F.col("a") == i) & (F.col("b") == j), 1.0).otherwise(0.0)).alias(f"c{i}_{j}") for i, j in cells])
-    return counted.select(*keys, information({(i, j): F.col(f"c{i}_{j}") for i, j in cells}, n, alpha, eps).alias("mi"))
+    return counted.select(*keys, information(F.array(*[F.col(f"c{i}_{j}") for i, j in cells]), n, alpha, eps).alias("mi"))
 
 
 def _information_by_batch(left: DataFrame, right: DataFrame, own: list[str], other: list[str], keys: list[str], n: int, alpha: float, eps: float) -> DataFrame:

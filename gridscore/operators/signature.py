@@ -122,12 +122,11 @@ def project_surface(vertices: DataFrame, channels: DataFrame, envelopes: DataFra
 
 def fill_ribbon(ribbons: DataFrame, values: DataFrame, origin: tuple[float, float, float], step: tuple[float, float, float], shape: tuple[int, int, int], points: int = 10, decay: float = 1.5) -> DataFrame:
     """i, j, k, epoch and value: each vertex's value carried to the cells around `points` places from its outer to its
-    inner point, less with distance; the largest value of a cell stays.
+    inner point, less with distance; the largest value of a cell stays. Values aren't negative.
 
     ribbons: vertex_id, outer and inner (x, y, z structs); values: vertex_id, epoch, value.
     """
-    at = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    rows = ribbons.withColumn("_t", at / F.lit(float(max(1, points - 1))))
+    rows = ribbons.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("_t", F.col("_n") / float(max(1, points - 1)))
     cells = [F.rint((F.col(f"outer.{c}") * (1 - F.col("_t")) + F.col(f"inner.{c}") * F.col("_t") - o) / s).cast("int").alias(f"_{n}") for c, n, o, s in zip("xyz", "ijk", origin, step, strict=True)]
     inside = " and ".join(f"_{n} between 0 and {size - 1}" for n, size in zip("ijk", shape, strict=True))
     spread = rows.select("vertex_id", *cells).where(inside).distinct().withColumn("o", F.explode(offsets_within(1.75)))

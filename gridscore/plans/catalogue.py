@@ -1,29 +1,6 @@
-"""The registered queries of the library's own operators, each with the SQL that it is held against."""
+"""All registered queries of the library's own operators, and the SQL that each is held against."""
 
-from __future__ import annotations
+from gridscore.plans import queries_connect, queries_metrics, queries_score, queries_search, queries_signal, queries_space, queries_time  # noqa: F401
+from gridscore.plans.registry import oracle_sql, queries
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+__all__ = ["oracle_sql", "queries"]
