@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import types as T
-
-SAMPLE = T.StructType.fromDDL("recording_id string, channel_id string, sample_idx long, value double")
-CHANNEL = T.StructType.fromDDL("channel_id int, name string, x double, y double, z double, side string")
-VOXEL = T.StructType.fromDDL("voxel_id long, i int, j int, k int, x double, y double, z double, roi_id int, is_gm boolean")
-SCORE = T.StructType.fromDDL("recording_id string, band string, voxel_id long, epoch int, mi double, dice double")
-VOLUME = T.StructType.fromDDL("recording_id string, band string, voxel_id long, epoch int, value double")
-METRIC = T.StructType.fromDDL("recording_id string, band string, metric string, value double")
-PARAMS = T.StructType.fromDDL("band string, mi_weight double, contrast double, boost double, penalty double, softening double, keep_top_pct double, smoothing_fwhm double")
-FOLD = T.StructType.fromDDL("band string, fold int, test_id string, params map<string,double>, best_metric double, test_metrics map<string,double>")
+SAMPLE = "recording_id string, channel_id string, sample_idx long, value double"
+CHANNEL = "channel_id int, name string, x double, y double, z double, side string"
+VOXEL = "voxel_id long, i int, j int, k int, x double, y double, z double, roi_id int, is_gm boolean"
+SCORE = "recording_id string, band string, voxel_id long, epoch int, mi double, dice double"
+VOLUME = "recording_id string, band string, voxel_id long, epoch int, value double"
+METRIC = "recording_id string, band string, metric string, value double"
+PARAMS = "band string, mi_weight double, contrast double, boost double, penalty double, softening double, keep_top_pct double, smoothing_fwhm double"
+FOLD = "band string, fold int, test_id string, params map<string,double>, best_metric double, test_metrics map<string,double>"
 
 # Frequency bands in Hz, and how much wider or narrower a band's spatial weights are.
 BANDS = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 80)}

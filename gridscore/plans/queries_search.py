@@ -1 +1,130 @@
-"""Queries."""
+"""Queries of parameter search: lineitem's return flags are searched as bands."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridscore.operators import search as S
+from gridscore.plans.registry import query
+from gridscore.plans.stand_ins import SC, VAL, VOX, means, rounded, rounded_all, scores, voxels
+from gridscore.session import table
+
+#: Candidates that both sides spell out: mi_weight, contrast, boost, penalty, softening.
+CANDIDATES = [(0, 0.3, 0.5, 1.3, 0.0, 0.7), (1, 0.6, 0.8, 1.6, 0.2, 0.6), (2, 0.9, 1.0, 1.1, 0.5, 0.9)]
+NAMES = ["mi_weight", "contrast", "boost", "penalty", "softening"]
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    """Time means of flag A over nations: supplier's nation is the recording, so that each covers most voxels."""
+    rows = table(spark, d, "lineitem").where("l_returnflag = 'A'").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    means_ = rows.groupBy(F.col("s_nationkey").alias("recording_id"), F.col("l_partkey").alias("voxel_id")).agg(F.avg(F.col("l_discount") * 10).alias("mi"), F.avg(F.col("l_tax") * 12.5).alias("dice"))
+    return means_.join(voxels(spark, d).select("voxel_id", "x", "y", "z"), "voxel_id")
+
+
+def _candidates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CANDIDATES, "cand int, " + ", ".join(f"{n} double" for n in NAMES))
+
+
+LOSO = f"""{VOX}, s AS (SELECT s_nationkey AS recording_id, l_partkey AS voxel_id, avg(l_discount * 10) AS mi, avg(l_tax * 12.5) AS dice FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'A' GROUP BY 1, 2),
+  sv AS (SELECT s.*, y, exp(-((y + 40) ** 2) / 12800) AS raw FROM s JOIN vox USING (voxel_id)), c(cand, w, c, b, p, o) AS (VALUES {", ".join(f"({a}, {', '.join(f'{v!r}::DOUBLE' for v in rest)})" for a, *rest in CANDIDATES)}),
+  h AS (SELECT cand, recording_id, y, pow(greatest((w * mi + (1 - w) * dice) * ((1 - o) * (0.6 + (b - 0.6) * raw / max(raw) OVER ()) + o), 1e-12), c) AS h0, (w * mi + (1 - w) * dice) * ((1 - o) * (0.6 + (b - 0.6) * raw / max(raw) OVER ()) + o) AS h1, c FROM sv, c),
+  k AS (SELECT cand, recording_id, y, CASE WHEN c = 1 THEN h1 ELSE h0 END AS h FROM h), f AS (SELECT DISTINCT recording_id AS test_id FROM k), t AS (SELECT f.test_id, k.* FROM f JOIN k ON k.recording_id <> f.test_id),
+  e AS (SELECT cand, test_id, min(h) AS lo, max(h) AS hi FROM t GROUP BY 1, 2), n AS (SELECT cand, test_id, recording_id, y, (h - lo) / (hi - lo) AS v FROM t JOIN e USING (cand, test_id)),
+  r AS (SELECT cand, test_id, sum(CASE WHEN y <= -40 THEN v ELSE 0 END) / (sum(CASE WHEN y >= 0 THEN v ELSE 0 END) + 1e-12) AS raw FROM n GROUP BY 1, 2),
+  m AS (SELECT cand, test_id, CASE WHEN raw BETWEEN 0.4 AND 1.5 THEN least(1, 1.15 / (1 + pow((raw - 0.9) / 0.275, 2))) ELSE 1 / (1 + pow((raw - 0.9) / 0.275, 2)) END AS main FROM r)"""
+
+
+@query(f"WITH {LOSO} SELECT cand, test_id, round(main::DOUBLE, 6) + 0.0 AS main FROM m")
+def q_loso_metric(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate's metric with every recording left out, from sums; the SQL scales and sums each fold anew."""
+    stats = S.statistics(_scores(spark, d), _candidates(spark), "alpha")
+    return S.left_out(stats).select("cand", "test_id", rounded(S._metric("alpha")).alias("main"))
+
+
+@query(f"WITH {LOSO}, b AS (SELECT test_id, cand, row_number() OVER (PARTITION BY test_id ORDER BY round(main::DOUBLE, 9) DESC, cand) AS r FROM m) SELECT test_id, cand FROM b WHERE r = 1")
+def q_loso_pick(spark: SparkSession, d: str) -> DataFrame:
+    found = S.left_out(S.statistics(_scores(spark, d), _candidates(spark), "alpha")).withColumn("main", S._metric("alpha"))
+    return found.groupBy("test_id").agg(F.max_by("cand", F.struct(F.round("main", 9), -F.col("cand"))).alias("cand"))
+
+
+@query()
+def q_loso_search(spark: SparkSession, d: str) -> DataFrame:
+    """The whole leave-one-out search of one band: shared candidates, then refinement around each fold's best."""
+    found = S.optimise_band(_scores(spark, d), "alpha", n=6, rounds=2)
+    return rounded_all(found, "objective", *NAMES)
+
+
+@query("""WITH p AS (SELECT l_returnflag AS band, l_suppkey AS fold, avg(l_discount) AS mi_weight, avg(l_tax) AS contrast FROM lineitem GROUP BY 1, 2), u AS (SELECT band, 'mi_weight' AS param, mi_weight AS v FROM p UNION ALL SELECT band, 'contrast', contrast FROM p),
+  a AS (SELECT band, param, avg(v) AS mean, stddev_pop(v) AS std, max(v) - min(v) AS range FROM u GROUP BY 1, 2)
+  SELECT band, param, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(range, 6) + 0.0 AS range, round(100 * std / (abs(mean) + 1e-12), 6) + 0.0 AS cv, CASE WHEN 100 * std / (abs(mean) + 1e-12) < 30 THEN 'stable' ELSE 'unstable' END AS verdict FROM a""")
+def q_param_stability(spark: SparkSession, d: str) -> DataFrame:
+    return rounded_all(S.parameter_stability(_fold_params(spark, d), ["mi_weight", "contrast"]), "mean", "std", "range", "cv")
+
+
+def _fold_params(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("band"), F.col("l_suppkey").alias("fold"))
+    return rows.agg(F.avg("l_discount").alias("mi_weight"), F.avg("l_tax").alias("contrast"), F.avg("l_quantity").alias("objective"))
+
+
+@query("""WITH p AS (SELECT l_returnflag AS band, l_suppkey AS fold, avg(l_discount) AS mi_weight, avg(l_tax) AS contrast, avg(l_quantity) AS objective FROM lineitem GROUP BY 1, 2)
+  SELECT band, round(median(mi_weight), 6) + 0.0 AS mi_weight, round(median(contrast), 6) + 0.0 AS contrast, round(avg(objective), 6) + 0.0 AS objective_mean, round(stddev_pop(objective), 6) + 0.0 AS objective_std FROM p GROUP BY 1""")
+def q_param_median(spark: SparkSession, d: str) -> DataFrame:
+    return rounded_all(S.consensus(_fold_params(spark, d), ["mi_weight", "contrast"]), "mi_weight", "contrast", "objective_mean", "objective_std")
+
+
+GRID_SQL = f"""{VOX}, {SC}, a AS (SELECT voxel_id, x, y, epoch, avg(mi) AS mi, avg(dice) AS dice FROM sc JOIN vox USING (voxel_id) GROUP BY 1, 2, 3, 4),
+  g AS (SELECT w FROM (VALUES {", ".join(f"({w!r}::DOUBLE)" for w in S.GRID)}) v(w)), t AS (SELECT voxel_id, x, y, avg(mi) AS mi, avg(dice) AS dice FROM a GROUP BY 1, 2, 3), h AS (SELECT w, x, y, w * mi + (1 - w) * dice AS h FROM t, g)"""
+
+
+@query(f"""WITH {GRID_SQL}, p AS (SELECT w, sum(CASE WHEN y < -40 THEN h ELSE 0 END) AS a, sum(CASE WHEN y >= -40 AND y < 0 THEN h ELSE 0 END) AS b, sum(CASE WHEN y >= 0 THEN h ELSE 0 END) AS c, kurtosis_pop(h) AS kurt,
+    sum(CASE WHEN y < -40 THEN h ELSE 0 END) / (sum(CASE WHEN y > 0 THEN h ELSE 0 END) + 1e-12) AS ratio, sum(CASE WHEN y BETWEEN -40 AND 0 THEN h ELSE 0 END) / (sum(h) + 1e-12) AS beta, sum(CASE WHEN y BETWEEN -10 AND 60 AND abs(x) <= 40 THEN h ELSE 0 END) / (sum(h) + 1e-12) AS theta FROM h GROUP BY 1),
+  e AS (SELECT *, -(a / (a + b + c + 1e-12) * ln(a / (a + b + c + 1e-12)) + b / (a + b + c + 1e-12) * ln(b / (a + b + c + 1e-12)) + c / (a + b + c + 1e-12) * ln(c / (a + b + c + 1e-12))) AS ent FROM p)
+  SELECT 'alpha' AS band, w AS mi_weight, round(ratio, 6) + 0.0 AS value FROM e UNION ALL SELECT 'beta', w, round(beta, 6) + 0.0 FROM e UNION ALL SELECT 'theta', w, round(theta, 6) + 0.0 FROM e UNION ALL SELECT 'delta', w, round(ent, 6) + 0.0 FROM e UNION ALL SELECT 'gamma', w, round(kurt, 6) + 0.0 FROM e""")
+def q_kfold_grid(spark: SparkSession, d: str) -> DataFrame:
+    rows = scores(spark, d).join(voxels(spark, d), "voxel_id")
+    parts = [S.grid_search(rows, b).select(F.lit(b).alias("band"), "mi_weight", rounded("value").alias("value")) for b in S.GRID_RULES]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found
+
+
+@query()
+def q_kfold_pick(spark: SparkSession, d: str) -> DataFrame:
+    rows = scores(spark, d).join(voxels(spark, d), "voxel_id")
+    found = [S.grid_pick(S.grid_search(rows, b), b) for b in S.GRID_RULES]
+    out = found[0]
+    for p in found[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query()
+def q_lhs(spark: SparkSession, d: str) -> DataFrame:
+    """A Latin hypercube's candidates scored on all folds: objective and its parts."""
+    rows = _scores(spark, d)
+    points = S.latin_hypercube(spark, {n: S.BOUNDS[n] for n in NAMES}, 5, 42)
+    found = S.evaluate(S.statistics(rows, points, "alpha"), S.folds(rows, "recording_id", 3, 42), "alpha")
+    return rounded_all(found, "main", "stability", "objective")
+
+
+@query(f"""WITH {VAL}, m AS (SELECT recording_id, band, voxel_id, y, avg(value) AS value FROM val GROUP BY 1, 2, 3, 4), t AS (SELECT recording_id, band, sum(CASE WHEN y < -40 THEN value ELSE 0 END) / (sum(CASE WHEN y > 0 THEN value ELSE 0 END) + 1e-12) AS p, 100 * sum(CASE WHEN y < -70 THEN value ELSE 0 END) / (sum(value) + 1e-12) AS o FROM m GROUP BY 1, 2)
+  SELECT recording_id, band, concat_ws(', ', CASE WHEN NOT p BETWEEN 0.6 AND 1.4 THEN 'pa_ratio' END, CASE WHEN o < 30 THEN 'occipital_pct' END) AS reasons FROM t WHERE NOT p BETWEEN 0.6 AND 1.4 OR o < 30""")
+def q_outliers(spark: SparkSession, d: str) -> DataFrame:
+    from gridscore.operators.metrics import posterior_anterior
+
+    tests = posterior_anterior(means(spark, d), ["recording_id", "band"])
+    return S.outliers(tests, (0.6, 1.4), 30.0).select("recording_id", "band", "reasons")
+
+
+@query("""WITH b AS (SELECT l_returnflag AS band, avg(l_discount) AS m, stddev_pop(l_discount) AS s, avg(l_tax) AS c, stddev_pop(l_tax) AS t FROM lineitem GROUP BY 1), k(param, sign) AS (VALUES ('', 0), ('mi_weight', -1), ('mi_weight', 1), ('contrast', -1), ('contrast', 1))
+  SELECT band, param, sign, round(m + CASE WHEN param = 'mi_weight' THEN sign * s ELSE 0 END, 6) + 0.0 AS mi_weight, round(c + CASE WHEN param = 'contrast' THEN sign * t ELSE 0 END, 6) + 0.0 AS contrast FROM b, k""")
+def q_perturb(spark: SparkSession, d: str) -> DataFrame:
+    from gridscore.operators.resample import perturbations
+
+    by = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("band"))
+    base = by.agg(F.avg("l_discount").alias("mi_weight"), F.avg("l_tax").alias("contrast"))
+    spread = by.agg(F.stddev_pop("l_discount").alias("mi_weight"), F.stddev_pop("l_tax").alias("contrast"))
+    found = perturbations(base, spread, ["mi_weight", "contrast"]).select("band", "param", "sign", "mi_weight", "contrast")
+    return rounded_all(found, "mi_weight", "contrast")

@@ -1 +1,65 @@
-"""Queries."""
+"""Queries of signal kernels: an embedding is read as a series of 64 samples at 64 Hz."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridscore.operators import signal as S
+from gridscore.plans.registry import query
+from gridscore.plans.stand_ins import rounded, rounded_all, samples, signatures
+
+
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    return signatures(spark, d).select("voxel_id", F.col("roi_id").alias("recording_id"), F.col("w").alias("values"))
+
+
+@query("""WITH lng AS (SELECT vec_id AS voxel_id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), k AS (SELECT range AS k FROM range(8, 14)),
+  s AS (SELECT voxel_id, k, sum(v * cos(2 * pi() * k * pos / 64)) AS c, sum(v * sin(2 * pi() * k * pos / 64)) AS s FROM lng, k GROUP BY 1, 2) SELECT voxel_id, round(sum(c * c + s * s) / 4096, 6) + 0.0 AS power FROM s GROUP BY 1""")
+def q_band_power_dft(spark: SparkSession, d: str) -> DataFrame:
+    return rounded_all(S.dft_power(_series(spark, d), ["voxel_id"], 64.0, 64, 8, 13), "power")
+
+
+@query()
+def q_envelope(spark: SparkSession, d: str) -> DataFrame:
+    """Relative band envelopes of every series."""
+    found = S.envelopes(_series(spark, d), 64.0, bands={"theta": (4, 8), "alpha": (8, 13), "beta": (13, 30)})
+    return found.select("voxel_id", F.explode("power").alias("band", "power")).withColumn("power", rounded("power"))
+
+
+@query()
+def q_welch(spark: SparkSession, d: str) -> DataFrame:
+    return rounded_all(S.welch_power(_series(spark, d), 64.0, 8, 13, 32).select("voxel_id", "power"), "power", digits=9)
+
+
+@query()
+def q_bandpass(spark: SparkSession, d: str) -> DataFrame:
+    """Energy of every series before and after a notch and a band-pass, and after halving the rate."""
+    energy = F.aggregate("values", F.lit(0.0), lambda s, v: s + v * v)
+    rows = _series(spark, d).withColumn("before", energy)
+    found = S.resample(S.bandpass(S.notch(rows, 64.0, 20.0), 64.0, 4, 12), 2)
+    return rounded_all(found.select("voxel_id", "before", energy.alias("after")), "before", "after")
+
+
+@query()
+def q_ica_score(spark: SparkSession, d: str) -> DataFrame:
+    """Artifact scores of components: series as components of their label, event users' mean values as mixing weights."""
+    parts = _series(spark, d).select("recording_id", F.col("voxel_id").alias("component"), "values")
+    names = F.array(*[F.lit(n) for n in ("O1", "Oz", "Fp1", "C3", "Fz")])
+    channel = samples(spark, d).groupBy("channel").agg(F.avg(F.abs("value")).alias("m"))
+    from pyspark.sql import Window
+
+    numbered = channel.withColumn("name", F.element_at(names, F.row_number().over(Window.orderBy("channel")))).where("name is not null")
+    mixing = parts.crossJoin(F.broadcast(numbered)).select("recording_id", "component", "name", (F.col("m") * F.element_at("values", (F.length("name") * 3 + F.ascii("name") % 20).cast("int"))).alias("weight"))
+    found = S.artifact_scores(S.component_features(parts, 64.0), mixing, ["recording_id"])
+    return found.select("recording_id", "component", rounded("score").alias("score"), "reasons", "flagged")
+
+
+@query("""WITH lng AS (SELECT label AS recording_id, vec_id AS component, generate_subscripts(embedding, 1) - 1 AS sample_idx, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings),
+  m AS (SELECT label AS recording_id, vec_id AS component, c.range AS channel, CAST(embedding[c.range + 1] AS DOUBLE) AS weight FROM embeddings, range(4) c), r AS (SELECT recording_id, component FROM m WHERE channel = 0 AND weight > 0.1)
+  SELECT recording_id, channel, sample_idx, round(sum(weight * value), 6) + 0.0 AS value FROM lng JOIN m USING (recording_id, component) ANTI JOIN r USING (recording_id, component) GROUP BY 1, 2, 3""")
+def q_remix(spark: SparkSession, d: str) -> DataFrame:
+    parts = _series(spark, d).withColumnRenamed("voxel_id", "component")
+    sources = parts.select("recording_id", "component", F.posexplode("values").alias("sample_idx", "value"))
+    mixing = parts.select("recording_id", "component", F.posexplode(F.slice("values", 1, 4)).alias("channel", "weight"))
+    return rounded_all(S.remix(sources, mixing, mixing.where("channel = 0 and weight > 0.1"), ["recording_id"]), "value")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridscore.model import METRIC, PARAMS, SCORE
+from gridscore.model import METRIC, PARAMS, SCORE, Params
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -112,7 +113,7 @@ def read_params(spark: SparkSession, path: str, defaults: DataFrame) -> DataFram
 
 def convert_legacy(old: DataFrame, defaults: DataFrame) -> DataFrame:
     """Full parameter rows from band and body: a bare number is the weight, an object holds any of the parameters."""
-    names = [f.name for f in PARAMS if f.name != "band"]
+    names = [f.name for f in fields(Params)]
     m = F.from_json("body", "map<string,double>")
     given = old.select("band", F.when(F.expr("try_cast(body as double)").isNull(), m).alias("m"), F.expr("try_cast(body as double)").alias("w"))
     values = {n: F.coalesce(F.col("m")[n], F.col("w")) if n == "mi_weight" else F.col("m")[n] for n in names}
