@@ -11,7 +11,7 @@ from gridscore.plans.registry import query
 from gridscore.plans.stand_ins import EV, MEAN, SIG, VAL, VOX, means, rounded, rounded_all, samples, signatures, values, voxels
 
 RB = ["recording_id", "band"]
-RAW = "sum(CASE WHEN y <= -40 THEN value ELSE 0 END) / (sum(CASE WHEN y >= 0 THEN value ELSE 0 END) + 1e-12)"
+RAW = "CASE WHEN count(*) FILTER (WHERE y <= -40) > 0 AND count(*) FILTER (WHERE y >= 0) > 0 THEN sum(CASE WHEN y <= -40 THEN value ELSE 0 END) / (sum(CASE WHEN y >= 0 THEN value ELSE 0 END) + 1e-12) ELSE 0 END"
 
 
 @query(f"WITH {MEAN} SELECT recording_id, band, round({RAW}, 6) + 0.0 AS raw FROM m GROUP BY 1, 2")
