@@ -95,24 +95,27 @@ def _link(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Recor
 
 def _link_block(table: pa.Table, cosine: float) -> Iterator[pa.RecordBatch]:
     dims, k, pairwise = table["dims"][0].as_py(), table["block"][0].as_py(), table["_i"][0] != table["_j"][0]
+    homes = table["home"].to_numpy()
+    table = table.take(pa.array(np.argsort(~homes, kind="stable")))  # rows at home first: each meets the rows after it
     uid, weight, chunk = (table[c].to_numpy() for c in ("uid", "copies", "_chunk"))
-    home = table["home"].to_numpy()
     unit = _matrix(table["vector"], dims)
     space = _Space(dims, cosine)
     rotated = space.rotated(unit)
-    block = np.ascontiguousarray(rotated[:, space.parts[k]])
-    norms = (block * block).sum(1)
+    block = rotated[:, space.parts[k]]
+    norms, ones = (block * block).sum(1), np.ones(len(block))
+    # one product gives |x|^2 - 2 <x, y> + |y|^2; single precision sieves, and pairs that pass are looked at again
+    left_side = np.column_stack([-2 * block, norms, ones]).astype(np.float32)
+    right_side = np.column_stack([block, ones, norms]).astype(np.float32)
     links = np.zeros(len(uid), dtype=np.int64)
-    at, left, right = np.flatnonzero(home), [], []
+    left, right = [], []
     step = max(1, (1 << 22) // len(uid))
-    for start in range(0, len(at), step):
-        rows = at[start : start + step]
-        close = norms[rows, None] + norms - 2 * (block[rows] @ block.T) <= space.budgets[k] + 1e-9
+    for start in range(0, int(homes.sum()), step):
+        stop = min(start + step, int(homes.sum()))
+        a, b = np.nonzero(left_side[start:stop] @ right_side[start:].T <= np.float32(space.budgets[k] + 1e-5))
+        a, b = a + start, b + start
+        once = a < b
         if pairwise:
-            close &= chunk[rows, None] != chunk
-        a, b = np.nonzero(close)
-        a = rows[a]
-        once = (a < b) | ~home[b]
+            once &= chunk[a] != chunk[b]
         a, b = a[once], b[once]
         for begin in range(0, len(a), AT_ONCE):
             i, j = a[begin : begin + AT_ONCE], b[begin : begin + AT_ONCE]
