@@ -73,5 +73,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_embedding_dedup, op2_quality, op3_mixing, op4_token_counts, op5_simhash, op6_language_id, op7_html_extraction, op8_pieces, op9_sharding, op10_media_columns)}
 
 
+#: All pairs of vectors by cosine, and components by following links from every vector.
+OP1_SQL = """WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+  l AS (SELECT a.vec_id AS s, b.vec_id AS t FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+  n AS (SELECT s AS vec_id, count(*) AS n FROM l GROUP BY 1), r AS (SELECT vec_id AS s, vec_id AS t FROM embeddings UNION SELECT r.s, l.t FROM r JOIN l ON r.t = l.s), c AS (SELECT s AS vec_id, min(t) AS c FROM r GROUP BY 1)
+  SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings LEFT JOIN n USING (vec_id) JOIN c USING (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Hashes, checksums, compression, training and tokenizers have no SQL here; tests/llm holds those queries against plain versions."""
+    return {"op1_embedding_dedup": OP1_SQL}
