@@ -80,6 +80,19 @@ OP1_SQL = """WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM e
   SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings LEFT JOIN n USING (vec_id) JOIN c USING (vec_id)"""
 
 
+#: Running sums in doc_id order; the checksum is CRC-32 over UTF-8 bytes by its table, made from the polynomial.
+OP9_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 16 AS size FROM documents),
+  step AS (SELECT b.range AS b, list_reduce(list_prepend(b.range, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) b),
+  t AS (SELECT list(v ORDER BY b) AS t FROM step),
+  u AS (SELECT doc_id, size, list_transform(string_split(text, ''), lambda c: unicode(c)) AS u FROM d),
+  y AS (SELECT doc_id, size, CASE WHEN size = 16 THEN [] ELSE flatten(list_transform(u, lambda c: CASE WHEN c < 128 THEN [c] WHEN c < 2048 THEN [192 + (c >> 6), 128 + (c & 63)]
+    WHEN c < 65536 THEN [224 + (c >> 12), 128 + ((c >> 6) & 63), 128 + (c & 63)] ELSE [240 + (c >> 18), 128 + ((c >> 12) & 63), 128 + ((c >> 6) & 63), 128 + (c & 63)] END)) END AS y FROM u),
+  k AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, y), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) AS crc FROM y, t),
+  p AS (SELECT *, sum(size) OVER w - size AS before, sum(size) OVER () AS total, row_number() OVER w AS n FROM k WINDOW w AS (ORDER BY doc_id NULLS FIRST, crc, size ROWS UNBOUNDED PRECEDING)),
+  s AS (SELECT *, CAST(least(39, (2 * before + size) * 40 // (2 * total)) AS INT) AS shard FROM p)
+  SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INT) AS grown_shard FROM s"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Hashes, checksums, compression, training and tokenizers have no SQL here; tests/llm holds those queries against plain versions."""
-    return {"op1_embedding_dedup": OP1_SQL}
+    """Hashes, compression, training and tokenizers have no SQL here; tests/llm holds those queries against plain versions."""
+    return {"op1_embedding_dedup": OP1_SQL, "op9_sharding": OP9_SQL}
