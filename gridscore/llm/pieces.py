@@ -19,8 +19,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 42
 #: Documents are dealt by hash over so many dropout keys; a run of characters is segmented once per key.
 VARIANTS = 4
-#: Words of up to CACHED characters keep their segmentation, KEPT of them for each key.
-CACHED, KEPT = 40, 200_000
+#: Words of up to CACHED characters keep their segmentation: for each key the last KEPT or so, and as many before them.
+CACHED, KEPT = 40, 30_000
 _MASK = (1 << 64) - 1
 
 
@@ -48,7 +48,7 @@ class Pieces:
                 self.rank[plain] = -processor.get_score(k)
                 self.bytes_.append(plain.encode())
                 self.adjacent.update(plain[i : i + 2] for i in range(len(plain) - 1))
-        self.known: dict[int, dict[str, tuple[int, ...]]] = {}
+        self.known: dict[int, tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]]] = {}
         # no merge crosses a character without a piece of its own, nor the end of a word: spaces only lead in pieces
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in self.ids)
         self.split = re.compile(f" *[^ {alone}]+| +|[{alone}]").findall
@@ -182,16 +182,19 @@ class Pieces:
         for key in set(keys):
             own = [words for words, k in zip(split, keys, strict=True) if k == key]
             sought = {word for word in set().union(*own) if len(word) <= CACHED}
-            known = self.known.setdefault(key, {})
-            new = sought - known.keys()
-            if len(known) + len(new) > KEPT:
-                known.clear()
-                new = sought
-            listed = list(new)
-            known.update(zip(listed, self._words(listed, key, dropout), strict=True))
+            known, older = self.known.setdefault(key, ({}, {}))
+            if len(known) > KEPT:
+                known, older = self.known[key] = ({}, known)
+            new = []
+            for word in sought - known.keys():
+                if (ids := older.get(word)) is None:
+                    new.append(word)
+                else:
+                    known[word] = ids
+            known.update(zip(new, self._words(new, key, dropout), strict=True))
         out = []
         for words, key in zip(split, keys, strict=True):
-            get = self.known[key].get
+            get = self.known[key][0].get
             out.append(list(chain.from_iterable([get(word) or self._word(word, key, dropout) for word in words])))
         return out
 
@@ -214,7 +217,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", dropout: floa
     The dropout key is a hash of the seed and the row's key, taken modulo `variants`, so a word is segmented in up to
     `variants` ways over the documents, again in others under another seed, and always alike on a rerun. Null texts
     count as empty and have no pieces; a null key has a dropout key too; repeated rows get equal answers. The words
-    are segmented where the rows are, without a shuffle, and a task holds KEPT short words at most.
+    are segmented where the rows are, without a shuffle, and a task holds about 2 x KEPT short words a key.
     """
     slim = df.select(df[key].alias("_id"), df[text].cast("string").alias("_text"), F.pmod(F.xxhash64(F.lit(seed), df[key]), F.lit(variants)).alias("_variant"))
 
