@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridscore.session import stored
@@ -63,8 +63,11 @@ def fit_text(df: DataFrame, text: str = "text", declared: str = "lang", rows: in
     table = np.full((BUCKETS, len(languages) + 1), ALPHA)
     draw = F.pmod(F.xxhash64("t"), F.lit(1 << 32))
     cut = F.expr(f"substring(t, greatest(1, length(t) div 2 - {BYTES // 2}), {BYTES})")
-    parts = [known.where((F.col("l") == k) & (draw < int(min(1, 2 * rows / counts[k]) * (1 << 32)))).select("l", draw.alias("d"), cut.alias("t")).orderBy("d", "t").limit(rows) for k in languages]
-    for r in reduce(DataFrame.unionByName, parts).collect() if parts else []:
+    # a share of each language's rows that is expected to hold twice the rows asked for, found in one scan
+    limits = [(F.col("l") == k) & (draw < int(min(1, 2 * rows / counts[k]) * (1 << 32))) for k in languages]
+    drawn = known.where(reduce(Column.__or__, limits, F.lit(False))).select("l", draw.alias("d"), cut.alias("t"))
+    sample = drawn.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("d", "t"))).where(F.col("n") <= rows)
+    for r in sample.select("l", "t").collect():
         table[:, languages.index(r.l)] += np.bincount(_trigrams(r.t), minlength=BUCKETS)
     table[:, -1] = 1.0
     return TextModel([*languages, UNKNOWN], np.log(table / table.sum(0)).astype(np.float32))
@@ -116,7 +119,7 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: str
     rest = [c for c in df.columns if c not in (text, declared, host, "language", "probability", "accepted")]
     address = F.lower(F.col(host))
     slim = df.select(
-        F.struct(*[df[c] for c in rest]).alias("row"), df[text].alias("text"), code(df[declared]).alias("declared"), address.alias("host"),
+        F.struct(F.lit(0).alias("_"), *[df[c] for c in rest]).alias("row"), df[text].alias("text"), code(df[declared]).alias("declared"), address.alias("host"),
         F.when(address.contains("."), F.substring_index(address, ".", -2)).alias("domain"), F.when(address.contains("."), F.substring_index(address, ".", -1)).alias("suffix"),
         (F.coalesce(df[text], F.lit("")).rlike(r"\p{L}")).alias("letters"),
     )
@@ -152,7 +155,7 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: str
     language = F.when(F.col("letters"), F.element_at(names, F.array_position("posterior", F.col("probability")).cast("int"))).otherwise(UNKNOWN)
     fused = fused.withColumn("language", language)
     accepted = F.col("letters") & (F.col("language") != UNKNOWN) & (F.col("probability") >= LEAST)
-    return fused.select("row.*", "language", "probability", accepted.alias("accepted"))
+    return fused.select(*[F.col("row")[c].alias(c) for c in rest], "language", "probability", accepted.alias("accepted"))
 
 
 def page_evidence(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
