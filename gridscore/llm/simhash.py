@@ -96,7 +96,8 @@ def hamming_links(fps: DataFrame, most: int = 3) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
-    """key, fp and component_id of each row of df, with _text_hash (xxhash64 of the text) to tell rows of one key apart.
+    """key, fp and component_id of each row of df, with _text_hash (xxhash64 of the text) to tell rows of one key apart
+    and _group, which names the row's group also where keys are null or repeated.
 
     Fingerprints link at up to `most` differing bits; component_id is the smallest key reachable by links. Copies
     share a fingerprint and count once from there on. A null text counts as empty; texts without words have the
@@ -108,13 +109,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", most
     groups = connected_components(hamming_links(distinct, most))
     labelled = stored(distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "_least", F.coalesce("component", "fp").alias("_group")), "labelled")
     names = stored(labelled.groupBy("_group").agg(F.min("_least").alias("component_id")), "names")
-    named = stored(labelled.join(names, "_group").select("fp", "component_id"), "named")
-    return rows.withColumnRenamed("_fp", "fp").join(named, "fp").select(key, "fp", "component_id", "_text_hash")
+    named = stored(labelled.join(names, "_group").select("fp", "component_id", "_group"), "named")
+    return rows.withColumnRenamed("_fp", "fp").join(named, "fp").select(key, "fp", "component_id", "_text_hash", "_group")
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
-    """The rows of df that are first of their group: the smallest key, once if the row is repeated; columns unchanged."""
-    found = near_duplicates(df, key, text, most).where(F.col(key).eqNullSafe(F.col("component_id")))
-    first = stored(found.select(F.coalesce(F.col(key), F.lit(-(1 << 63))).alias("__key"), F.col("_text_hash").alias("__hash"), "fp").groupBy("__key", "fp").agg(F.min("__hash").alias("__hash")).select("__key", "__hash"), "first")
-    keyed = df.withColumns({"__key": F.coalesce(df[key], F.lit(-(1 << 63))), "__hash": F.xxhash64(F.coalesce(df[text].cast("string"), F.lit("")))})
+    """One row of each group of df: the smallest key's, known before null ones, then the smallest text hash; once if the
+    row is repeated; columns unchanged."""
+    last = F.lit((1 << 63) - 1)
+    order = F.struct(F.coalesce(F.col(key), last).alias("__key"), F.col("_text_hash").alias("__hash"))
+    first = stored(near_duplicates(df, key, text, most).groupBy("_group").agg(F.min(order).alias("o")).select("o.*"), "first")
+    keyed = df.withColumns({"__key": F.coalesce(df[key], last), "__hash": F.xxhash64(F.coalesce(df[text].cast("string"), F.lit("")))})
     return keyed.join(first, ["__key", "__hash"], "left_semi").dropDuplicates(["__key", "__hash"]).select(*[keyed[c] for c in df.columns])

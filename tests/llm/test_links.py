@@ -80,6 +80,8 @@ def test_simhash_edge_cases(spark):
     kept = simhash.drop_near_duplicates(rows)
     assert kept.columns == rows.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, None, 9], key=str)
+    twice = spark.createDataFrame([(5, "a b c d e f"), (5, "A b c d e f"), (5, "quite another text here")], "doc_id long, text string")
+    assert simhash.drop_near_duplicates(twice).count() == 2
     assert simhash.near_duplicates(rows.limit(0)).count() == 0 and simhash.drop_near_duplicates(rows.limit(0)).count() == 0
 
 
