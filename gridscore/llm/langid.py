@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -91,10 +91,18 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, which a repeated expression inside a lambda isn't."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+
 def _softmax(x: Column) -> Column:
-    most = F.array_max(x)
-    raised = F.transform(x, lambda v: F.exp(v - most))
-    return F.transform(raised, lambda v: v / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+    raised = _let(x, lambda v: _let(F.array_max(v), lambda most: F.transform(v, lambda e: F.exp(e - most))))
+    return _let(raised, lambda r: _let(_sum(r), lambda total: F.transform(r, lambda e: e / total)))
 
 
 def _added(x: Column, y: Column) -> Column:
@@ -137,8 +145,10 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", declared: str
         return found.select(name, F.array(*each).alias(f"{name}_log"))
 
     def smoothed(counts: Column, above: Column) -> Column:
-        size = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-        return F.zip_with(counts, above, lambda c, p: (F.greatest(c, F.lit(0.0)) + STRENGTH * p) / (F.greatest(size, F.lit(0.0)) + STRENGTH))
+        def of(c: Column) -> Column:
+            return _let(F.greatest(_sum(c), F.lit(0.0)), lambda size: F.zip_with(c, above, lambda n, p: (F.greatest(n, F.lit(0.0)) + STRENGTH * p) / (size + STRENGTH)))
+
+        return _let(counts, of)
 
     prior = F.array(*[F.lit(float(x)) for x in overall])
     none = F.array(*[F.lit(0.0)] * n)
