@@ -73,9 +73,9 @@ def q_roi_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {VAL}, p AS (SELECT band, roi_id, avg(value) AS mean, stddev_pop(value) AS std, max(value) AS max, count(DISTINCT voxel_id) AS n_voxels FROM val GROUP BY 1, 2),
   e AS (SELECT band, roi_id, epoch, round(avg(value), 9) AS v FROM val GROUP BY 1, 2, 3), k AS (SELECT band, roi_id, epoch, row_number() OVER (PARTITION BY band, roi_id ORDER BY v DESC, epoch) AS r FROM e)
-  SELECT band, roi_id, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(max, 6) + 0.0 AS max, n_voxels, epoch AS peak_epoch FROM p JOIN k USING (band, roi_id) WHERE r = 1""")
+  SELECT band, roi_id, round(mean, 11) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(max, 6) + 0.0 AS max, n_voxels, epoch AS peak_epoch FROM p JOIN k USING (band, roi_id) WHERE r = 1""")
 def q_roi_peak(spark: SparkSession, d: str) -> DataFrame:
-    return rounded_all(M.region_peaks(values(spark, d), ["band"]), "mean", "std", "max")
+    return rounded_all(M.region_peaks(values(spark, d), ["band"]), "std", "max").withColumn("mean", rounded("mean", 11))
 
 
 @query(f"WITH {SIG} SELECT roi_id, pos, round(avg(a), 6) + 0.0 AS value FROM lng GROUP BY 1, 2")
@@ -100,9 +100,9 @@ def q_enrichment(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {VAL}, v AS (SELECT recording_id, band, voxel_id, avg(abs(value)) AS v, first(x) AS x, first(y) AS y FROM val GROUP BY 1, 2, 3)
   SELECT recording_id, band, count(*) AS total_active, round(100.0::DOUBLE * count(*) / 20000, 6) + 0.0 AS coverage_pct, round(avg(CAST(y < -40 AS INT)), 6) + 0.0 AS posterior_frac, round(avg(CAST(y > 0 AS INT)), 6) + 0.0 AS anterior_frac,
-    round(avg(CAST(x < 0 AS INT)), 6) + 0.0 AS left_frac, round(avg(v), 6) + 0.0 AS mean_value, round(stddev_pop(v), 6) + 0.0 AS std_value FROM v WHERE v > 0.001 GROUP BY 1, 2""")
+    round(avg(CAST(x < 0 AS INT)), 6) + 0.0 AS left_frac, round(avg(v), 11) + 0.0 AS mean_value, round(stddev_pop(v), 6) + 0.0 AS std_value FROM v WHERE v > 0.001 GROUP BY 1, 2""")
 def q_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return rounded_all(M.distribution(values(spark, d), RB, 20000), "coverage_pct", "posterior_frac", "anterior_frac", "left_frac", "mean_value", "std_value")
+    return rounded_all(M.distribution(values(spark, d), RB, 20000), "coverage_pct", "posterior_frac", "anterior_frac", "left_frac", "std_value").withColumn("mean_value", rounded("mean_value", 11))
 
 
 @query(f"""WITH {MEAN}, t AS (SELECT recording_id, band, max(value) AS top FROM m GROUP BY 1, 2),

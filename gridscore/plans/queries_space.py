@@ -215,10 +215,10 @@ def q_first_source(spark: SparkSession, d: str) -> DataFrame:
     return A.first_by_priority([a, b], ["recording_id"])
 
 
-@query(f"WITH {VAL}, a AS (SELECT recording_id, band, max(value) AS peak, avg(value) AS mean FROM val GROUP BY 1, 2) SELECT recording_id, band, 'mean' AS metric, round(mean, 6) AS value FROM a UNION ALL SELECT recording_id, band, 'peak', round(peak, 6) FROM a")
+@query(f"WITH {VAL}, a AS (SELECT recording_id, band, max(value) AS peak, avg(value) AS mean FROM val GROUP BY 1, 2) SELECT recording_id, band, 'mean' AS metric, round(mean, 11) AS value FROM a UNION ALL SELECT recording_id, band, 'peak', round(peak, 11) FROM a")
 def q_long_metrics(spark: SparkSession, d: str) -> DataFrame:
     wide = values(spark, d).groupBy("recording_id", "band").agg(F.max("value").alias("peak"), F.avg("value").alias("mean"))
-    return A.long_metrics(wide, ["recording_id", "band"], ["peak", "mean"])
+    return A.long_metrics(wide, ["recording_id", "band"], ["peak", "mean"], 11)
 
 
 @query()
