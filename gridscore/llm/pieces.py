@@ -20,7 +20,7 @@ DROPOUT, SEED = 0.1, 42
 #: Documents are dealt by hash over so many dropout keys; a run of characters is segmented once per key.
 VARIANTS = 4
 #: Words of up to CACHED characters keep their segmentation: for each key the last KEPT or so, and as many before them.
-CACHED, KEPT = 40, 30_000
+CACHED, KEPT = 40, 50_000
 _MASK = (1 << 64) - 1
 
 
@@ -49,9 +49,12 @@ class Pieces:
                 self.bytes_.append(plain.encode())
                 self.adjacent.update(plain[i : i + 2] for i in range(len(plain) - 1))
         self.known: dict[int, tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]]] = {}
-        # no merge crosses a character without a piece of its own, nor the end of a word: spaces only lead in pieces
+        # no merge crosses a character without a piece of its own, nor the end of a word (spaces only lead in pieces),
+        # nor the step from a letter to a mark, but after `joined` characters
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in self.ids)
-        self.split = re.compile(f" *[^ {alone}]+| +|[{alone}]").findall
+        self.joined = {p[0] for p in self.adjacent if p[0].isalnum() | (p[0] == "_") and not (p[1].isalnum() or p[1] in "_ ")}
+        self.words = re.compile(f" *[^ {alone}]+| +|[{alone}]").findall
+        self.parts = re.compile(f" *[^\\w {alone}]*\\w+| *[^\\w {alone}]+| +|[{alone}]").findall
         if any(" " in plain.lstrip(" ") for plain in self.ids):
             raise ValueError("the model has pieces that go on over a space")
         self.symbol = np.full(0x110000, -1, dtype=np.int32)
@@ -63,6 +66,10 @@ class Pieces:
         pairs.sort()
         self.pair, self.pair_rank, self.pair_id = (np.array(c, dtype=t) for c, t in zip(zip(*pairs, strict=True), (np.int64, np.float32, np.int32), strict=True))
 
+    def split(self, text: str) -> list[str]:
+        """Runs that no merge crosses the ends of; finer ones recur more."""
+        return self.words(text) if any(c in text for c in self.joined) else self.parts(text)
+
     def _merge(self, run: str, mark: int, shift: int, dropout: float, out: list[int]) -> None:
         """Segment one run of any length: candidate merges leave the agenda by rank, then from the left; each is skipped by its hash."""
         rank, n = self.rank, len(run)
