@@ -49,7 +49,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (host: their source) and pages together; doc_id is null for a page, page_id for a document."""
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "CAST(NULL AS long) AS page_id", "text", "lang AS declared", "source AS host")
     pages = langid.page_evidence(table(spark, sf_dir, "pages")).selectExpr("CAST(NULL AS long) AS doc_id", "page_id", "text", "declared", "host")
-    return langid.identify(docs.unionByName(pages), langid.fit_text(docs, declared="declared"))
+    rows = docs.unionByName(pages)
+    return langid.identify(rows, langid.fit_text(rows, declared="declared"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

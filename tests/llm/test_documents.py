@@ -170,6 +170,22 @@ def test_language_of_documents_and_pages(spark, sf_dir, docs):
     assert seen.count() == pages.count() and seen.where("declared = language").count() >= 0.98 * pages.count()
 
 
+RARE = ["Suomen kieli kuuluu itämerensuomalaisiin kieliin ja sitä puhutaan pääosin Suomessa", "Järven rannalla oli hiljaista ja aurinko laski hitaasti metsän taakse kun he palasivat"]
+
+
+def test_rare_languages_and_those_of_pages_only_are_learnt(spark, tmp_path):
+    own = "the house of %d stands where the river and the road of this old town have met"
+    docs = spark.createDataFrame([(k, own % k, "en", "s1") for k in range(3000)] + [(3000 + k, t, "fi", "s2") for k, t in enumerate(RARE)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    polish = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności", "Jezioro było spokojne, a słońce powoli zachodziło za lasem, kiedy wracali"]
+    rows = [(k, f"https://a{k}.example.pl/", f'<html lang="pl"><body><p>{t}</p></body></html>') for k, t in enumerate(polish)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = queries.op6_language_id(spark, str(tmp_path))
+    rare = found.where("doc_id >= 3000 or page_id is not null").orderBy("doc_id", "page_id").collect()
+    assert [(r.language, r.accepted) for r in rare] == [("pl", True)] * 2 + [("fi", True)] * 2
+    assert found.where("language = 'en' and accepted").count() == 3000
+
+
 def test_evidence_decides_where_text_is_short(spark, docs):
     model = langid.fit_text(docs)
     many = docs.where("lang = 'fr'").select("text", F.lit(None).cast("string").alias("declared"), F.lit("fr.example.net").alias("host"))
