@@ -15,7 +15,7 @@ from gridscore.session import stored
 
 #: Buckets of hashed byte trigrams, their additive count, and how many trigrams' evidence a text has at most.
 BUCKETS, ALPHA, EVIDENCE = 1 << 13, 0.5, 50
-#: Of each declared language at most ROWS texts, by hash, are fitted on, each with BYTES characters from its middle.
+#: Of each declared language at most ROWS distinct texts, by hash, are fitted on, each with BYTES characters from its middle.
 ROWS, BYTES = 400, 16384
 #: What a level of the host hierarchy weighs against the level below it, in rows; and a category's additive count.
 STRENGTH, ADD = 10.0, 1.0
@@ -54,20 +54,23 @@ def code(declared: Column) -> Column:
 
 
 def fit_text(df: DataFrame, text: str = "text", declared: str = "lang", rows: int = ROWS) -> TextModel:
-    """Fit on texts and the language that they declare: at most `rows` of each language come to the driver.
+    """Fit on texts and the language that they declare: at most `rows` texts of each language come to the driver.
 
-    Every language is learnt that a row with letters declares, however rare it is.
+    Every language is learnt that a row with letters declares, however rare it is. Copies of a text count once.
     """
     known = df.select(code(F.col(declared)).alias("l"), F.col(text).alias("t")).where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    counts = {r.l: r["count"] for r in known.groupBy("l").count().collect()}
+    known = known.withColumn("h", F.xxhash64("t"))
+    # these need not be exact: they only set how many rows beyond the first `rows` hashes are looked at
+    counts = {r.l: r.n for r in known.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
     languages = sorted(counts)
     table = np.full((BUCKETS, len(languages) + 1), ALPHA)
-    draw = F.pmod(F.xxhash64("t"), F.lit(1 << 32))
+    draw = F.pmod("h", F.lit(1 << 32))
     cut = F.expr(f"substring(t, greatest(1, length(t) div 2 - {BYTES // 2}), {BYTES})")
-    # a share of each language's rows that is expected to hold twice the rows asked for, found in one scan
-    limits = df.sparkSession.createDataFrame([(k, int(min(1, 2 * rows / n) * (1 << 32))) for k, n in counts.items()], "l string, most long")
-    drawn = known.join(F.broadcast(limits), "l").where(draw < F.col("most")).select("l", draw.alias("d"), cut.alias("t"))
-    sample = drawn.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("d", "t"))).where(F.col("n") <= rows)
+    # a share of each language's texts that is expected to hold twice those asked for, found in one scan; copies meet
+    # before they are shuffled
+    limits = df.sparkSession.createDataFrame([(k, int(min(1, 2 * rows / max(n, 1)) * (1 << 32))) for k, n in counts.items()], "l string, most long")
+    drawn = known.join(F.broadcast(limits), "l").where(draw < F.col("most")).groupBy("l", "h").agg(F.min(cut).alias("t"))
+    sample = drawn.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(draw, "h"))).where(F.col("n") <= rows)
     place = {k: i for i, k in enumerate(languages)}
     for r in sample.select("l", "t").collect():
         table[:, place[r.l]] += np.bincount(_trigrams(r.t), minlength=BUCKETS)

@@ -186,6 +186,16 @@ def test_rare_languages_and_those_of_pages_only_are_learnt(spark, tmp_path):
     assert found.where("language = 'en' and accepted").count() == 3000
 
 
+def test_copies_of_a_text_are_fitted_on_once(spark):
+    texts = [(f"the house of {k} stands where the river and road meet and {k * 7919} people live", "en") for k in range(300)] + [(f"la maison {k} est au bord de la riviere", "fr") for k in range(30)]
+    once = spark.createDataFrame(texts, "text string, lang string")
+    often = spark.createDataFrame(texts + [texts[k] for k in (5, 6, 7, 301) for _ in range(1000)], "text string, lang string")
+    for rows in (20, 400):
+        one, two = langid.fit_text(once, rows=rows), langid.fit_text(often, rows=rows)
+        assert one.languages == two.languages == ["en", "fr", "und"] and np.array_equal(one.table, two.table)
+    assert not np.array_equal(langid.fit_text(once, rows=20).table, langid.fit_text(once, rows=400).table)
+
+
 def test_evidence_decides_where_text_is_short(spark, docs):
     model = langid.fit_text(docs)
     many = docs.where("lang = 'fr'").select("text", F.lit(None).cast("string").alias("declared"), F.lit("fr.example.net").alias("host"))
