@@ -11,17 +11,106 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 42
-#: Documents are dealt by hash over so many dropout keys; a run of characters is segmented once per key.
-VARIANTS = 4
-#: Words of up to CACHED characters keep their segmentation: for each key the last KEPT or so, and as many before them.
-CACHED, KEPT = 40, 50_000
-_MASK = (1 << 64) - 1
+#: A document's dropout key is one of so many: a hash of 64 bits.
+VARIANTS = 1 << 64
+#: Of words of up to CACHED characters, what doesn't depend on the key is kept: KEPT or so paths through their agendas.
+CACHED, KEPT = 40, 450_000
+_MASK, _START, _STOP = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., n[0] of them, then those of first[1], and so on."""
+    ends = np.cumsum(n)
+    return np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+#: Skipped merges, start << 16 | stop.
+Drops = tuple[int, ...]
+
+
+class Paths:
+    """Agendas of words as trees that don't depend on a key: a node is which merges were skipped so far.
+
+    It has the merges that follow if no more are skipped, the ids that they end in, and, for each of these merges, the
+    node that skipping it leads to, once that has been met.
+    """
+
+    def __init__(self, tool: Pieces):
+        self.tool = tool
+        self.root: dict[str, int] = {}
+        self.word: list[str] = []
+        self.drops: list[Drops] = []
+        self.nodes = self.merges = self.all_ids = 0
+        self.first_merge, self.n_merges, self.first_id, self.n_ids, self.prefix = (np.zeros(1024, dtype=np.int64) for _ in range(5))
+        self.start, self.stop, self.child, self.ids = np.zeros(4096, np.int16), np.zeros(4096, np.int16), np.zeros(4096, np.int32), np.zeros(4096, np.int32)
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        array = getattr(self, name)
+        if at + len(values) > len(array):
+            array = np.concatenate([array, np.zeros(max(len(array), len(values)), dtype=array.dtype)])
+            setattr(self, name, array)
+        array[at : at + len(values)] = values
+
+    def _append(self, words: list[str], drops: list[Drops], prefix: np.ndarray, merges: tuple[np.ndarray, np.ndarray], n_merges: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> None:
+        self.word += words
+        self.drops += drops
+        self._put("prefix", self.nodes, prefix)
+        self._put("n_merges", self.nodes, n_merges)
+        self._put("first_merge", self.nodes, self.merges + np.cumsum(n_merges) - n_merges)
+        self._put("n_ids", self.nodes, n_ids)
+        self._put("first_id", self.nodes, self.all_ids + np.cumsum(n_ids) - n_ids)
+        self._put("start", self.merges, merges[0])
+        self._put("stop", self.merges, merges[1])
+        self._put("child", self.merges, np.full(len(merges[0]), -1))
+        self._put("ids", self.all_ids, ids)
+        self.nodes, self.merges, self.all_ids = self.nodes + len(words), self.merges + len(merges[0]), self.all_ids + len(ids)
+
+    def _add(self, words: list[str], drops: list[Drops], prefix: list[int]) -> np.ndarray:
+        """Nodes of words and the merges that they skip; the first `prefix` merges are those of nodes before."""
+        tool, nodes = self.tool, np.zeros(len(words), dtype=np.int64)
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        for at in range(0, len(order), 4096):
+            group = order[at : at + 4096]
+            plain, merges, n_merges, ids, n_ids = tool._agendas([words[k] for k in group], [drops[k] for k in group])
+            odd = [k for k, p in zip(group, plain.tolist(), strict=True) if not p]
+            group = [k for k, p in zip(group, plain.tolist(), strict=True) if p]
+            skip = np.array([prefix[k] for k in group], dtype=np.int64)
+            rest = _ranges(np.cumsum(n_merges) - n_merges + skip, n_merges - skip)
+            nodes[group] = np.arange(self.nodes, self.nodes + len(group))
+            self._append([words[k] for k in group], [drops[k] for k in group], skip, (merges[0][rest], merges[1][rest]), n_merges - skip, ids, n_ids)
+            for k in odd:
+                out: list[int] = []
+                taken: list[tuple[int, int]] = []
+                tool._merge(words[k], 0, 0, 0, out, drops[k], taken)
+                taken = taken[prefix[k] :]
+                nodes[k] = self.nodes
+                pair = (np.array([i for i, _ in taken], dtype=np.int16), np.array([j for _, j in taken], dtype=np.int16))
+                self._append([words[k]], [drops[k]], np.array([prefix[k]]), pair, np.array([len(taken)]), np.array(out, dtype=np.int32), np.array([len(out)]))
+        return nodes
+
+    def roots(self, words: list[str]) -> np.ndarray:
+        """The nodes of words that have skipped nothing."""
+        new = list(set(words) - self.root.keys())
+        self.root.update(zip(new, self._add(new, [()] * len(new), [0] * len(new)).tolist(), strict=True))
+        return np.fromiter(map(self.root.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def after(self, node: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """The nodes that skipping the merges in these slots leads to."""
+        missing = self.child[slot] < 0
+        slots, which = np.unique(slot[missing], return_index=True)
+        if len(slots):
+            parent = node[missing][which]
+            prefix = (self.prefix[parent] + slots - self.first_merge[parent]).tolist()
+            made = (self.start[slots].astype(np.int64) << 16 | self.stop[slots]).tolist()
+            parents = parent.tolist()
+            added = self._add([self.word[p] for p in parents], [(*self.drops[p], drop) for p, drop in zip(parents, made, strict=True)], prefix)
+            self.child[slots] = added
+        return self.child[slot]
 
 
 class Pieces:
@@ -48,7 +137,7 @@ class Pieces:
                 self.rank[plain] = -processor.get_score(k)
                 self.bytes_.append(plain.encode())
                 self.adjacent.update(plain[i : i + 2] for i in range(len(plain) - 1))
-        self.known: dict[int, tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]]] = {}
+        self.paths = Paths(self)
         # no merge crosses a character without a piece of its own, nor the end of a word (spaces only lead in pieces),
         # nor the step from a letter to a mark, but after `joined` characters
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in self.ids)
@@ -70,8 +159,11 @@ class Pieces:
         """Runs that no merge crosses the ends of; finer ones recur more."""
         return self.words(text) if any(c in text for c in self.joined) else self.parts(text)
 
-    def _merge(self, run: str, mark: int, shift: int, dropout: float, out: list[int]) -> None:
-        """Segment one run of any length: candidate merges leave the agenda by rank, then from the left; each is skipped by its hash."""
+    def _merge(self, run: str, mark: int, shift: int, limit: int, out: list[int], drops: Drops | None = None, taken: list[tuple[int, int]] | None = None) -> None:
+        """Segment one run of any length: candidate merges leave the agenda by rank, then from the left; each is skipped by its hash.
+
+        With `drops` those merges are skipped and no others; `taken` gets the merges made.
+        """
         rank, n = self.rank, len(run)
         if run in self.ids and n == 1:
             out.append(self.ids[run])
@@ -80,14 +172,17 @@ class Pieces:
         before = list(range(-1, n - 1))
         agenda = [(r, i, i + 2) for i in range(n - 1) if (r := rank.get(run[i : i + 2])) is not None]
         heapq.heapify(agenda)
-        limit = int(dropout * (1 << 64))
         while agenda:
             _, i, stop = heapq.heappop(agenda)
             middle = end[i]
             if not middle or middle >= stop or end[middle] != stop:
                 continue  # one of the two symbols has been merged otherwise
-            if limit:
-                z = (mark + (shift + i) * 0x9E3779B97F4A7C15 + (shift + stop) * 0xC2B2AE3D27D4EB4F) & _MASK
+            if drops is not None:
+                if i << 16 | stop in drops:
+                    continue
+                taken.append((i, stop))
+            elif limit:
+                z = (mark + (shift + i) * _START + (shift + stop) * _STOP) & _MASK
                 z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & _MASK
                 z = ((z ^ z >> 27) * 0x94D049BB133111EB) & _MASK
                 if z ^ z >> 31 < limit:
@@ -109,101 +204,133 @@ class Pieces:
                 out.append(found)
             i = end[i]
 
-    def _word(self, word: str, key: int, dropout: float) -> tuple[int, ...]:
+    def _word(self, word: str, key: int, dropout: float, at: int = 0) -> tuple[int, ...]:
+        """Ids of a word that starts `at` characters into the text of the document that has this key."""
         out: list[int] = []
-        start, mark = 0, xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), key) if dropout else 0
+        start, limit = 0, int(dropout * (1 << 64))
         # no piece holds these two characters side by side, so no merge crosses them
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] not in self.adjacent:
-                self._merge(word[start:i], mark, start, dropout, out)
+                self._merge(word[start:i], key, at + start, limit, out)
                 start = i
-        self._merge(word[start:], mark, start, dropout, out)
+        self._merge(word[start:], key, at + start, limit, out)
         return tuple(out)
 
-    def _ranks(self, left: np.ndarray, right: np.ndarray, start: np.ndarray, stop: np.ndarray, mark: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and id of what each pair of symbols merges to; an infinite rank where it doesn't or is skipped by its hash."""
+    def _ranks(self, left: np.ndarray, right: np.ndarray, merge: np.ndarray, drops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of what each pair of symbols merges to; an infinite rank where it doesn't or is one of `drops`."""
         sought = left.astype(np.int64) << 16 | right
         at = np.minimum(np.searchsorted(self.pair, sought), len(self.pair) - 1)
         rank = np.where(self.pair[at] == sought, self.pair_rank[at], np.float32(np.inf))
-        if limit:
-            z = mark + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + stop.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        for k in range(drops.shape[1]):
+            rank[drops[:, k] == merge] = np.inf
+        return rank, self.pair_id[at]
+
+    def _agendas(self, texts: list[str], drops: list[Drops]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Merges and ids of short words that skip `drops`, many at once: each round, every word makes the first of its best-ranked merges.
+
+        The first result tells which words all of whose characters have pieces; the others are left out.
+        """
+        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        longest = max(int(size.max()), 1)
+        points = np.zeros((len(texts), longest), dtype=np.uint32)
+        points[np.arange(longest) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        symbol = self.symbol[points]
+        plain = ((symbol >= 0) | (np.arange(longest) >= size[:, None])).all(1)
+        rows = np.flatnonzero(plain)
+        symbol, count = symbol[rows], size[rows]
+        skipped = np.full((len(rows), max(map(len, drops))), -1, dtype=np.int64)
+        for at, k in enumerate(rows.tolist()):
+            for n, merge in enumerate(drops[k]):
+                skipped[at, n] = merge
+        # symbols stay at the position of their first character; after[w, i]: where the one after i starts
+        alive = np.arange(longest) < count[:, None]
+        after = np.tile(np.arange(1, longest + 1), (len(rows), 1))
+        before = after - 2
+        rank = np.full((len(rows), longest), np.inf, dtype=np.float32)
+        into = np.zeros((len(rows), longest), dtype=np.int32)
+        w, i = np.nonzero(alive[:, 1:])
+        rank[w, i], into[w, i] = self._ranks(symbol[w, i], symbol[w, i + 1], i << 16 | i + 2, skipped[w])
+        live = np.arange(len(rows))
+        made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(live):
+            best = rank[live].argmin(1)
+            some = rank[live, best] < np.inf
+            live, best = live[some], best[some]
+            gone = after[live, best]
+            stop = after[live, gone]
+            made.append((live, best, stop))
+            symbol[live, best] = into[live, best]
+            after[live, best] = stop
+            alive[live, gone] = False
+            rank[live, gone] = rank[live, best] = np.inf
+            more = stop < count[live]
+            before[live[more], stop[more]] = best[more]
+            left = before[live, best]
+            some = left >= 0
+            w = np.concatenate([live[more], live[some]])
+            i = np.concatenate([best[more], left[some]])
+            j = after[w, i]
+            rank[w, i], into[w, i] = self._ranks(symbol[w, i], symbol[w, j], i << 16 | after[w, j], skipped[w])
+        of, start, stop = (np.concatenate([m[k] for m in made] or [live]) for k in range(3))
+        order = np.argsort(of, kind="stable")
+        return plain, (start[order], stop[order]), np.bincount(of, minlength=len(rows)), symbol[alive], alive.sum(1)
+
+    def _flat(self, words: list[str], keys: np.ndarray, starts: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of _word() of many short words, one word after another, and how many each has."""
+        paths, limit = self.paths, np.uint64(int(dropout * (1 << 64)))
+        if paths.nodes > KEPT:
+            paths = self.paths = Paths(self)
+        node = paths.roots(words)
+        live = np.arange(len(words)) if limit else np.arange(0)
+        while len(live):
+            n = paths.n_merges[node[live]]
+            slot = _ranges(paths.first_merge[node[live]], n)
+            of = np.repeat(live, n)
+            at = starts[of]
+            z = keys[of] + (at + paths.start[slot]).astype(np.uint64) * np.uint64(_START) + (at + paths.stop[slot]).astype(np.uint64) * np.uint64(_STOP)
             z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
             z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-            rank[z ^ z >> np.uint64(31) < np.uint64(limit)] = np.inf
-        return rank, self.pair_id[at]
+            skipped = np.flatnonzero((z ^ z >> np.uint64(31)) < limit)
+            of, slot = of[skipped], slot[skipped]
+            # the first that each word skips leads to the rest of its agenda
+            first = np.diff(of, prepend=-1) != 0
+            live, slot = of[first], slot[first]
+            node[live] = paths.after(node[live], slot)
+        counts = paths.n_ids[node]
+        return paths.ids[_ranges(paths.first_id[node], counts)], counts
 
     def _words(self, words: list[str], key: int, dropout: float) -> list[tuple[int, ...]]:
-        """_word() of short words, many at once: each round, every word makes the first of its best-ranked merges."""
-        found: list[tuple[int, ...]] = [()] * len(words)
-        limit = int(dropout * (1 << 64))
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for at in range(0, len(order), 4096):
-            group = order[at : at + 4096]
-            texts = [words[k] for k in group]
-            size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-            longest = int(size.max())
-            points = np.zeros((len(texts), longest), dtype=np.uint32)
-            points[np.arange(longest) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            symbol = self.symbol[points]
-            plain = ((symbol >= 0) | (np.arange(longest) >= size[:, None])).all(1)
-            for k in np.flatnonzero(~plain).tolist():
-                found[group[k]] = self._word(texts[k], key, dropout)
-            rows = np.flatnonzero(plain)
-            symbol, count = symbol[rows], size[rows]
-            mark = np.array([xxhash.xxh64_intdigest(texts[k].encode(), key) for k in rows.tolist()] if limit else [0] * len(rows), dtype=np.uint64)
-            # symbols stay at the position of their first character; after[w, i]: where the one after i starts
-            alive = np.arange(longest) < count[:, None]
-            after = np.tile(np.arange(1, longest + 1), (len(rows), 1))
-            before = after - 2
-            rank = np.full((len(rows), longest), np.inf, dtype=np.float32)
-            into = np.zeros((len(rows), longest), dtype=np.int32)
-            w, i = np.nonzero(alive[:, 1:])
-            rank[w, i], into[w, i] = self._ranks(symbol[w, i], symbol[w, i + 1], i, i + 2, mark[w], limit)
-            live = np.arange(len(rows))
-            while len(live):
-                best = rank[live].argmin(1)
-                some = rank[live, best] < np.inf
-                live, best = live[some], best[some]
-                gone = after[live, best]
-                stop = after[live, gone]
-                symbol[live, best] = into[live, best]
-                after[live, best] = stop
-                alive[live, gone] = False
-                rank[live, gone] = rank[live, best] = np.inf
-                more = stop < count[live]
-                before[live[more], stop[more]] = best[more]
-                left = before[live, best]
-                some = left >= 0
-                w = np.concatenate([live[more], live[some]])
-                i = np.concatenate([best[more], left[some]])
-                j = after[w, i]
-                rank[w, i], into[w, i] = self._ranks(symbol[w, i], symbol[w, j], i, after[w, j], mark[w], limit)
-            flat, stops = symbol[alive].tolist(), np.cumsum(alive.sum(1)).tolist()
-            for k, start, stop in zip(rows.tolist(), [0, *stops], stops, strict=False):
-                found[group[k]] = tuple(flat[start:stop])
-        return found
+        """_word() of many short words, each at the start of a text."""
+        flat, counts = self._flat(words, np.full(len(words), key, dtype=np.uint64), np.zeros(len(words), dtype=np.int64), dropout)
+        return [tuple(ids.tolist()) for ids in np.split(flat, np.cumsum(counts)[:-1])] if words else []
 
-    def encode_all(self, texts: list[str | None], keys: list[int], dropout: float) -> list[list[int]]:
-        """encode() of many texts: their new short words are segmented together."""
+    def encode_flat(self, texts: list[str | None], keys: list[int], dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of many texts, one text after another, and how many each has: their short words are segmented together."""
         split = [self.split(" " + t) if t else [] for t in texts]
-        for key in set(keys):
-            own = [words for words, k in zip(split, keys, strict=True) if k == key]
-            sought = {word for word in set().union(*own) if len(word) <= CACHED}
-            known, older = self.known.setdefault(key, ({}, {}))
-            if len(known) > KEPT:
-                known, older = self.known[key] = ({}, known)
-            new = []
-            for word in sought - known.keys():
-                if (ids := older.get(word)) is None:
-                    new.append(word)
-                else:
-                    known[word] = ids
-            known.update(zip(new, self._words(new, key, dropout), strict=True))
-        out = []
-        for words, key in zip(split, keys, strict=True):
-            get = self.known[key][0].get
-            out.append(list(chain.from_iterable([get(word) or self._word(word, key, dropout) for word in words])))
-        return out
+        words = list(chain.from_iterable(split))
+        n_words = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        word_ends = np.concatenate([[0], np.cumsum(n_words)])
+        starts = ends[:-1] - np.repeat(ends[word_ends[:-1]], n_words)
+        marks = np.repeat(np.array(keys, dtype=np.uint64), n_words)
+        long = np.flatnonzero(size > CACHED).tolist()
+        odd = [self._word(words[k], int(marks[k]), dropout, int(starts[k])) for k in long]
+        for k in long:
+            words[k] = ""
+        flat, counts = self._flat(words, marks, starts, dropout)
+        if long:
+            before = np.cumsum(counts)[long]
+            sizes = [len(ids) for ids in odd]
+            flat = np.insert(flat, np.repeat(before, sizes), np.fromiter(chain.from_iterable(odd), dtype=np.int32, count=sum(sizes)))
+            counts[long] = sizes
+        ids_to = np.concatenate([[0], np.cumsum(counts)])[word_ends]
+        return flat, np.diff(ids_to)
+
+    def encode_all(self, texts: list[str | None], keys: list[int], dropout: float) -> list[list[int]]:
+        """encode() of many texts."""
+        flat, counts = self.encode_flat(texts, keys, dropout)
+        return [ids.tolist() for ids in np.split(flat, np.cumsum(counts)[:-1])] if len(counts) else []
 
     def encode(self, text: str | None, key: int = 0, dropout: float = 0.0) -> list[int]:
         """Ids of a text; without dropout, those that the model's own library gives. An empty text has none."""
@@ -218,28 +345,27 @@ def pieces_of(model: str) -> Pieces:
     return Pieces(model)
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, model: str = MODEL) -> DataFrame:
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", dropout: float = DROPOUT, seed: int = SEED, model: str = MODEL) -> DataFrame:
     """key, pieces (ids), n_pieces and lossless (the ids decode to the text) of each row of df.
 
-    The dropout key is a hash of the seed and the row's key, taken modulo `variants`, so a word is segmented in up to
-    `variants` ways over the documents, again in others under another seed, and always alike on a rerun. Null texts
-    count as empty and have no pieces; a null key has a dropout key too; repeated rows get equal answers. The words
-    are segmented where the rows are, without a shuffle, and a task holds about 2 x KEPT short words a key.
+    A candidate merge is skipped by a hash of the seed, the row's key and the merge's place in the text, so documents,
+    and the occurrences of a word in one document, are segmented independently, in other ways under another seed, and
+    always alike on a rerun. Null texts count as empty and have no pieces; a null key has a dropout key too; repeated
+    rows get equal answers. The words are segmented where the rows are, without a shuffle, and a task holds about KEPT
+    paths through the agendas of short words, which depend on no key.
     """
-    slim = df.select(df[key].alias("_id"), df[text].cast("string").alias("_text"), F.pmod(F.xxhash64(F.lit(seed), df[key]), F.lit(variants)).alias("_variant"))
+    slim = df.select(df[key].alias("_id"), df[text].cast("string").alias("_text"), F.xxhash64(F.lit(seed), F.lit(dropout), df[key]).alias("_mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = pieces_of(model)
-        keys = [xxhash.xxh64_intdigest(f"{seed}:{dropout}:{v}") for v in range(variants)]
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 texts = part.column(1).to_pylist()
-                found = tool.encode_all(texts, [keys[v] for v in part.column(2).to_pylist()], dropout)
-                whole = [tool.decode(ids) == (t or "") for ids, t in zip(found, texts, strict=True)]
-                counts = np.array([len(ids) for ids in found], dtype=np.int64)
-                flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(counts.sum()))
+                flat, counts = tool.encode_flat(texts, [mark & _MASK for mark in part.column(2).to_pylist()], dropout)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                ids, ends = flat.tolist(), offsets.tolist()
+                whole = [tool.decode(ids[i:j]) == (t or "") for i, j, t in zip(ends, ends[1:], texts, strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(counts), pa.array(whole)], names=["_id", "pieces", "n_pieces", "lossless"])
 
     return slim.mapInArrow(run, f"_id {dict(slim.dtypes)['_id']}, pieces array<int>, n_pieces long, lossless boolean").withColumnRenamed("_id", key)

@@ -225,6 +225,31 @@ def test_pieces_agree_with_the_library_and_decode(spark, docs):
     assert tool._words(words, 9, 0.2) == [tool._word(w, 9, 0.2) for w in words]
 
 
+def test_every_document_and_place_has_its_own_dropout(spark, docs):
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("The internationalization of things").alias("text"))
+    assert len({tuple(r.pieces) for r in pieces.encode(rows).collect()}) > 20
+    tool = pieces.Pieces(pieces.MODEL)
+    seen: list[list[bytes]] = []
+    for i in tool.encode(" internationalization" * 300, 5, 0.1):
+        if tool.bytes_[i].startswith(b" "):
+            seen.append([])
+        seen[-1].append(tool.bytes_[i])
+    assert len(set(map(tuple, seen))) > 5
+    # the trees of agendas, when they are new, known, and begun anew, against one agenda a word
+    texts = [r.text for r in docs.limit(40).collect()] + ["a\tb é ½ \x00 😀 " + "ab" * 3000 + " end", "", None, "   "]
+    keys = [k * 0x9E3779B97F4A7C15 % 2**64 for k in range(len(texts))]
+    plain = []
+    for t, key in zip(texts, keys, strict=True):
+        at, out = 0, []
+        for w in tool.split(" " + t) if t else []:
+            out += tool._word(w, key, 0.2, at)
+            at += len(w)
+        plain.append(out)
+    assert tool.encode_all(texts, keys, 0.2) == plain and tool.encode_all(texts, keys, 0.2) == plain
+    tool.paths = pieces.Paths(tool)
+    assert tool.encode_all(texts[::-1], keys[::-1], 0.2)[::-1] == plain and [tool.encode(t, k, 0.2) for t, k in zip(texts, keys, strict=True)] == plain
+
+
 def test_dropout_varies_by_seed_and_document_and_repeats(spark, odd):
     rows = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("The internationalization of things").alias("text"))
     seg = lambda **k: {r.doc_id: tuple(r.pieces) for r in pieces.encode(rows, **k).collect()}
