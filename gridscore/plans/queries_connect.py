@@ -10,7 +10,7 @@ from gridscore.operators import connect as C
 from gridscore.operators import resample as R
 from gridscore.plans.registry import query
 from gridscore.plans.stand_ins import EV, MEAN, VAL, means, rounded, rounded_all, samples, values
-from gridscore.session import table
+from gridscore.session import stored, table
 
 PAIRS = "p AS (SELECT a.recording_id, a.epoch, a.channel AS roi_a, b.channel AS roi_b, a.value AS x, b.value AS y FROM ev a JOIN ev b USING (recording_id, epoch) WHERE a.channel < b.channel)"
 R_OF = "CASE WHEN sqrt(var_pop(x)) * sqrt(var_pop(y)) > 1e-15 THEN covar_pop(x, y) / (sqrt(var_pop(x)) * sqrt(var_pop(y))) END"
@@ -126,7 +126,7 @@ def q_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrapped best blend per band: which of three weights has the best mean ratio when suppliers are resampled."""
     rows = means(spark, d).groupBy("band", "recording_id").agg(F.avg("value").alias("v"), F.avg(F.when(F.col("y") < 0, F.col("value")).otherwise(0.0)).alias("p"))
     scored = rows.select("band", "recording_id", F.explode(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7))).alias("w"), "v", "p").withColumn("m", F.col("w") * F.col("v") - F.abs(F.col("p") - F.col("w") * 0.5))
-    boots = R.bootstrap_pick(scored, ["band"], "recording_id", "w", "m", 50, 42)
+    boots = R.bootstrap_pick(scored, ["band"], "recording_id", "w", "m", 100, 42)
     return rounded_all(R.spread_of(boots, ["band"], "w"), "mean", "median", "std", "low", "high")
 
 
@@ -136,7 +136,7 @@ def q_perm_null(spark: SparkSession, d: str) -> DataFrame:
     rows = means(spark, d).groupBy("band", "voxel_id", "x", "y", "z").agg(F.avg("value").alias("value"))
     from gridscore.operators.metrics import dispersion
 
-    null = R.permutation_metrics(rows, ["band"], 20, 42)
+    null = R.permutation_metrics(rows, ["band"], 500, 42)
     found = R.two_sided(dispersion(rows, ["band"]), null, ["band"], "dispersion").withColumn("stars", significance(F.col("p")))
     return rounded_all(found, "dispersion", "null_mean", "null_std", "p")
 
@@ -147,17 +147,21 @@ def q_time_null(spark: SparkSession, d: str) -> DataFrame:
     from gridscore.operators.timeops import lag1_correlation
 
     rows = samples(spark, d)
-    null = lag1_correlation(R.time_shuffled(rows, ["recording_id", "channel"], 5, 42), ["recording_id", "channel", "perm"]).groupBy("channel", "perm").agg(F.avg("r").alias("r"))
+    null = lag1_correlation(R.time_shuffled(rows, ["recording_id", "channel"], 100, 42), ["recording_id", "channel", "perm"]).groupBy("channel", "perm").agg(F.avg("r").alias("r"))
     real = lag1_correlation(rows, ["recording_id", "channel"]).groupBy("channel").agg(F.avg("r").alias("r"))
     return rounded_all(R.two_sided(real, null, ["channel"], "r"), "r", "null_mean", "null_std", "p")
 
 
 @query()
 def q_phase_null(spark: SparkSession, d: str) -> DataFrame:
-    """Mean square of series and of their phase-randomised twins: amplitudes, and so power, stay."""
+    """Mean size of series against their phase-randomised twins: amplitudes, and so power, stay; how values spread doesn't."""
     from gridscore.sources.tables import pack
 
-    packed = pack(samples(spark, d), ["recording_id", "channel"], "epoch")
+    keys = ["recording_id", "channel"]
+    packed = pack(samples(spark, d), keys, "epoch")
     power = F.aggregate("values", F.lit(0.0), lambda s, v: s + v * v) / F.size("values")
-    null = R.phase_randomised(packed, ["recording_id", "channel"], 3, 42).select("recording_id", "channel", "perm", power.alias("null_power"))
-    return rounded_all(packed.select("recording_id", "channel", power.alias("power")).join(null, ["recording_id", "channel"]), "power", "null_power")
+    size = F.aggregate("values", F.lit(0.0), lambda s, v: s + F.abs(v)) / F.size("values")
+    real = packed.select(*keys, power.alias("power"), size.alias("size"))
+    null = stored(R.phase_randomised(packed, keys, 100, 42).select(*keys, power.alias("null_power"), size.alias("size")), "phase_null")
+    found = R.two_sided(real, null, keys, "size").join(real.select(*keys, "power"), keys).join(null.groupBy(*keys).agg(F.avg("null_power").alias("null_power")), keys)
+    return rounded_all(found, "power", "null_power", "size", "null_mean", "null_std", "p")

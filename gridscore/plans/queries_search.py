@@ -51,7 +51,7 @@ def q_loso_pick(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_loso_search(spark: SparkSession, d: str) -> DataFrame:
     """The whole leave-one-out search of one band: shared candidates, then refinement around each fold's best."""
-    found = S.optimise_band(_scores(spark, d), "alpha", n=6, rounds=2)
+    found = S.optimise_band(_scores(spark, d), "alpha")
     return rounded_all(found, "objective", *NAMES)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 
 import duckdb
@@ -44,3 +45,30 @@ def test_query(spark, con, sf_dir, name):
     expected = con.sql(SQL[name]).df()
     assert sorted(found.columns) == sorted(expected.columns)
     assert _rows(found) == _rows(expected)
+
+
+def test_nulls_draw_as_often_as_the_reference(spark, sf_dir, monkeypatch):
+    from gridscore.operators import resample, search
+
+    found = {}
+
+    def watch(module, function, argument):
+        real = getattr(module, function)
+        bound = inspect.signature(real)
+
+        def run(*args, **kwargs):
+            call = bound.bind(*args, **kwargs)
+            call.apply_defaults()
+            found[function] = call.arguments[argument]
+            return real(*args, **kwargs)
+
+        monkeypatch.setattr(module, function, run)
+
+    for function, argument in (("permutation_metrics", "n_perm"), ("time_shuffled", "n_perm"), ("phase_randomised", "n_perm"), ("bootstrap_pick", "n_boot")):
+        watch(resample, function, argument)
+    watch(search, "optimise_band", "n")
+    for name in ("q_perm_null", "q_time_null", "q_bootstrap", "q_loso_search"):
+        catalogue.queries()[name](spark, sf_dir)
+    twins = catalogue.queries()["q_phase_null"](spark, sf_dir).toPandas()
+    assert found == {"permutation_metrics": 500, "time_shuffled": 100, "phase_randomised": 100, "bootstrap_pick": 100, "optimise_band": 20}
+    assert (twins.power - twins.null_power).abs().max() < 1e-5 and (twins.null_std > 0).any() and twins.p.between(0, 1).all()
