@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 42
 #: A document's dropout key is one of so many: a hash of 64 bits.
 VARIANTS = 1 << 64
-#: Of words of up to CACHED characters, what doesn't depend on the key is kept: KEPT or so paths through their agendas.
-CACHED, KEPT = 40, 450_000
+#: Words of up to CACHED characters are segmented many at once; of those met twice, KEPT or so paths through their agendas are kept.
+CACHED, KEPT = 40, 300_000
+#: Characters of text, and words of one length, that are segmented together.
+SLICE, GROUP = 1 << 21, 8192
 _MASK, _START, _STOP = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_NO_KEY = -(1 << 62)
 
 
 def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -31,18 +35,30 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 #: Skipped merges, start << 16 | stop.
 Drops = tuple[int, ...]
+#: Which candidate merges (row, start, stop) are skipped.
+Skip = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _hashed(keys: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The hash of merges at these places of texts whose keys these are."""
+    z = keys + start.astype(np.uint64) * np.uint64(_START) + stop.astype(np.uint64) * np.uint64(_STOP)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
 
 
 class Paths:
     """Agendas of words as trees that don't depend on a key: a node is which merges were skipped so far.
 
     It has the merges that follow if no more are skipped, the ids that they end in, and, for each of these merges, the
-    node that skipping it leads to, once that has been met.
+    node that skipping it leads to. Words, and skips of a node, get a node when they are met the second time: most are
+    met once, and running such a word's agenda with its own key costs less.
     """
 
     def __init__(self, tool: Pieces):
         self.tool = tool
         self.root: dict[str, int] = {}
+        self.met = np.zeros(1 << 22, dtype=bool)  # by hash: a word that shares another's place is kept a little early
         self.word: list[str] = []
         self.drops: list[Drops] = []
         self.nodes = self.merges = self.all_ids = 0
@@ -56,61 +72,54 @@ class Paths:
             setattr(self, name, array)
         array[at : at + len(values)] = values
 
-    def _append(self, words: list[str], drops: list[Drops], prefix: np.ndarray, merges: tuple[np.ndarray, np.ndarray], n_merges: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> None:
-        self.word += words
-        self.drops += drops
-        self._put("prefix", self.nodes, prefix)
-        self._put("n_merges", self.nodes, n_merges)
-        self._put("first_merge", self.nodes, self.merges + np.cumsum(n_merges) - n_merges)
-        self._put("n_ids", self.nodes, n_ids)
-        self._put("first_id", self.nodes, self.all_ids + np.cumsum(n_ids) - n_ids)
-        self._put("start", self.merges, merges[0])
-        self._put("stop", self.merges, merges[1])
-        self._put("child", self.merges, np.full(len(merges[0]), -1))
-        self._put("ids", self.all_ids, ids)
-        self.nodes, self.merges, self.all_ids = self.nodes + len(words), self.merges + len(merges[0]), self.all_ids + len(ids)
-
-    def _add(self, words: list[str], drops: list[Drops], prefix: list[int]) -> np.ndarray:
+    def _add(self, words: list[str], drops: list[Drops], prefix: np.ndarray) -> np.ndarray:
         """Nodes of words and the merges that they skip; the first `prefix` merges are those of nodes before."""
-        tool, nodes = self.tool, np.zeros(len(words), dtype=np.int64)
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for at in range(0, len(order), 4096):
-            group = order[at : at + 4096]
-            plain, merges, n_merges, ids, n_ids = tool._agendas([words[k] for k in group], [drops[k] for k in group])
-            odd = [k for k, p in zip(group, plain.tolist(), strict=True) if not p]
-            group = [k for k, p in zip(group, plain.tolist(), strict=True) if p]
-            skip = np.array([prefix[k] for k in group], dtype=np.int64)
-            rest = _ranges(np.cumsum(n_merges) - n_merges + skip, n_merges - skip)
+        nodes = np.zeros(len(words), dtype=np.int64)
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        symbol = self.tool.symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        skipped = np.full((len(words), max(map(len, drops), default=0)), -1, dtype=np.int64)
+        for k, merges in enumerate(drops):
+            skipped[k, : len(merges)] = merges
+        for group, ids, n_ids, made, n_made in self.tool._agendas(symbol, np.cumsum(size) - size, size, lambda w, i, j: (skipped[w] == (i << 16 | j)[:, None]).any(1), True):
+            skip = prefix[group]
+            rest = _ranges(np.cumsum(n_made) - n_made + skip, n_made - skip)
+            n_made = n_made - skip
             nodes[group] = np.arange(self.nodes, self.nodes + len(group))
-            self._append([words[k] for k in group], [drops[k] for k in group], skip, (merges[0][rest], merges[1][rest]), n_merges - skip, ids, n_ids)
-            for k in odd:
-                out: list[int] = []
-                taken: list[tuple[int, int]] = []
-                tool._merge(words[k], 0, 0, 0, out, drops[k], taken)
-                taken = taken[prefix[k] :]
-                nodes[k] = self.nodes
-                pair = (np.array([i for i, _ in taken], dtype=np.int16), np.array([j for _, j in taken], dtype=np.int16))
-                self._append([words[k]], [drops[k]], np.array([prefix[k]]), pair, np.array([len(taken)]), np.array(out, dtype=np.int32), np.array([len(out)]))
+            self.word += [words[k] for k in group.tolist()]
+            self.drops += [drops[k] for k in group.tolist()]
+            for name, at, values in (
+                ("prefix", self.nodes, skip), ("n_merges", self.nodes, n_made), ("first_merge", self.nodes, self.merges + np.cumsum(n_made) - n_made),
+                ("n_ids", self.nodes, n_ids), ("first_id", self.nodes, self.all_ids + np.cumsum(n_ids) - n_ids), ("ids", self.all_ids, ids),
+                ("start", self.merges, made[0][rest]), ("stop", self.merges, made[1][rest]), ("child", self.merges, np.full(len(rest), -1)),
+            ):
+                self._put(name, at, values)
+            self.nodes, self.merges, self.all_ids = self.nodes + len(group), self.merges + len(rest), self.all_ids + len(ids)
         return nodes
 
-    def roots(self, words: list[str]) -> np.ndarray:
-        """The nodes of words that have skipped nothing."""
-        new = list(set(words) - self.root.keys())
-        self.root.update(zip(new, self._add(new, [()] * len(new), [0] * len(new)).tolist(), strict=True))
-        return np.fromiter(map(self.root.__getitem__, words), dtype=np.int64, count=len(words))
+    def roots(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """The nodes of distinct words, met so many times just now, that have skipped nothing; -1: none is kept."""
+        node = np.array([self.root.get(w, -1) for w in words], dtype=np.int64)
+        new = np.flatnonzero(node < 0)
+        place = np.array([hash(words[k]) for k in new.tolist()], dtype=np.int64) & (len(self.met) - 1)
+        new, once = new[self.met[place] | (times[new] > 1)], place
+        self.met[once] = True
+        added = [words[k] for k in new.tolist()]
+        node[new] = self._add(added, [()] * len(added), np.zeros(len(added), dtype=np.int64))
+        self.root.update(zip(added, node[new].tolist(), strict=True))
+        return node
 
     def after(self, node: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """The nodes that skipping the merges in these slots leads to."""
-        missing = self.child[slot] < 0
-        slots, which = np.unique(slot[missing], return_index=True)
+        """The nodes that skipping the merges in these slots leads to; -1: none is kept."""
+        slots, which, times = np.unique(slot, return_index=True, return_counts=True)
+        child = self.child[slots]
+        make = (child < 0) & ((child == -2) | (times > 1))
+        self.child[slots[(child < 0) & ~make]] = -2
+        slots, parent = slots[make], node[which[make]]
         if len(slots):
-            parent = node[missing][which]
-            prefix = (self.prefix[parent] + slots - self.first_merge[parent]).tolist()
             made = (self.start[slots].astype(np.int64) << 16 | self.stop[slots]).tolist()
             parents = parent.tolist()
-            added = self._add([self.word[p] for p in parents], [(*self.drops[p], drop) for p, drop in zip(parents, made, strict=True)], prefix)
-            self.child[slots] = added
-        return self.child[slot]
+            self.child[slots] = self._add([self.word[p] for p in parents], [(*self.drops[p], drop) for p, drop in zip(parents, made, strict=True)], self.prefix[parent] + slots - self.first_merge[parent])
+        return np.maximum(self.child[slot], -1)
 
 
 class Pieces:
@@ -146,24 +155,38 @@ class Pieces:
         self.parts = re.compile(f" *[^\\w {alone}]*\\w+| *[^\\w {alone}]+| +|[{alone}]").findall
         if any(" " in plain.lstrip(" ") for plain in self.ids):
             raise ValueError("the model has pieces that go on over a space")
-        self.symbol = np.full(0x110000, -1, dtype=np.int32)
+        # a character without a piece of its own stands as -1 - its code point until it is spelt in bytes
+        self.symbol = -1 - np.arange(0x110000, dtype=np.int32)
         for plain, k in self.ids.items():
             if len(plain) == 1:
                 self.symbol[ord(plain)] = k
-        # every way to put two pieces together into one, for lookups of whole columns of pairs
+        lengths = np.fromiter(map(len, self.bytes_), dtype=np.int64, count=len(self.bytes_))
+        self.spelt, self.spelt_from, self.spelt_n = np.frombuffer(b"".join(self.bytes_), dtype=np.uint8), np.cumsum(lengths) - lengths, lengths
+        # every way to put two pieces together into one, for lookups of whole columns of pairs by hash and linear probing
         pairs = [(self.ids[a] << 16 | self.ids[b], self.rank[plain], k) for plain, k in self.ids.items() for i in range(1, len(plain)) if (a := plain[:i]) in self.ids and (b := plain[i:]) in self.ids]
-        pairs.sort()
-        self.pair, self.pair_rank, self.pair_id = (np.array(c, dtype=t) for c, t in zip(zip(*pairs, strict=True), (np.int64, np.float32, np.int32), strict=True))
+        keys = np.array([p[0] for p in pairs], dtype=np.int64)
+        self.pair_rank = np.array([p[1] for p in pairs] + [np.inf], dtype=np.float32)
+        self.pair_id = np.array([p[2] for p in pairs] + [0], dtype=np.int32)
+        self.slots = 1 << max(4, (8 * len(pairs)).bit_length())
+        self.slot_key, self.slot_pair = np.full(self.slots, _NO_KEY, dtype=np.int64), np.full(self.slots, len(pairs), dtype=np.int32)
+        left, place = np.arange(len(pairs)), self._slot(keys)
+        while len(left):
+            free = left[self.slot_key[place[left]] == _NO_KEY]
+            self.slot_key[place[free]] = keys[free]
+            won = free[self.slot_key[place[free]] == keys[free]]
+            self.slot_pair[place[won]] = won
+            left = np.setdiff1d(left, won)
+            place[left] = (place[left] + 1) & (self.slots - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(_START) >> np.uint64(65 - self.slots.bit_length())).astype(np.int64)
 
     def split(self, text: str) -> list[str]:
         """Runs that no merge crosses the ends of; finer ones recur more."""
         return self.words(text) if any(c in text for c in self.joined) else self.parts(text)
 
-    def _merge(self, run: str, mark: int, shift: int, limit: int, out: list[int], drops: Drops | None = None, taken: list[tuple[int, int]] | None = None) -> None:
-        """Segment one run of any length: candidate merges leave the agenda by rank, then from the left; each is skipped by its hash.
-
-        With `drops` those merges are skipped and no others; `taken` gets the merges made.
-        """
+    def _merge(self, run: str, mark: int, shift: int, limit: int, out: list[int]) -> None:
+        """Segment one run of any length: candidate merges leave the agenda by rank, then from the left; each is skipped by its hash."""
         rank, n = self.rank, len(run)
         if run in self.ids and n == 1:
             out.append(self.ids[run])
@@ -177,11 +200,7 @@ class Pieces:
             middle = end[i]
             if not middle or middle >= stop or end[middle] != stop:
                 continue  # one of the two symbols has been merged otherwise
-            if drops is not None:
-                if i << 16 | stop in drops:
-                    continue
-                taken.append((i, stop))
-            elif limit:
+            if limit:
                 z = (mark + (shift + i) * _START + (shift + stop) * _STOP) & _MASK
                 z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & _MASK
                 z = ((z ^ z >> 27) * 0x94D049BB133111EB) & _MASK
@@ -216,88 +235,118 @@ class Pieces:
         self._merge(word[start:], key, at + start, limit, out)
         return tuple(out)
 
-    def _ranks(self, left: np.ndarray, right: np.ndarray, merge: np.ndarray, drops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and id of what each pair of symbols merges to; an infinite rank where it doesn't or is one of `drops`."""
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of what each pair of symbols merges to; an infinite rank where it doesn't."""
         sought = left.astype(np.int64) << 16 | right
-        at = np.minimum(np.searchsorted(self.pair, sought), len(self.pair) - 1)
-        rank = np.where(self.pair[at] == sought, self.pair_rank[at], np.float32(np.inf))
-        for k in range(drops.shape[1]):
-            rank[drops[:, k] == merge] = np.inf
-        return rank, self.pair_id[at]
-
-    def _agendas(self, texts: list[str], drops: list[Drops]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        """Merges and ids of short words that skip `drops`, many at once: each round, every word makes the first of its best-ranked merges.
-
-        The first result tells which words all of whose characters have pieces; the others are left out.
+        place = self._slot(sought)
+        key = self.slot_key[place]
+        on = np.flatnonzero((key != sought) & (key != _NO_KEY))
+        while len(on):
+            place[on] = (place[on] + 1) & (self.slots - 1)
+            key = self.slot_key[place[on]]
+            on = on[(key != sought[on]) & (key != _NO_KEY)]
+        pair = self.slot_pair[place]
+        return self.pair_rank[pair], self.pair_id[pair]
+
+    def _agendas(self, symbols: np.ndarray, first: np.ndarray, size: np.ndarray, skip: Skip | None, merges: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]]:
+        """Segment words (symbols[first : first + size]), many of like length at once: each round, every word takes the
+        first of its best-ranked candidate merges, which is made or skipped.
+
+        Gives, for groups of words: which they are, all ids of one after another and how many each has, and, if asked
+        for, the starts and stops of the merges made and how many.
         """
-        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        longest = max(int(size.max()), 1)
-        points = np.zeros((len(texts), longest), dtype=np.uint32)
-        points[np.arange(longest) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        symbol = self.symbol[points]
-        plain = ((symbol >= 0) | (np.arange(longest) >= size[:, None])).all(1)
-        rows = np.flatnonzero(plain)
-        symbol, count = symbol[rows], size[rows]
-        skipped = np.full((len(rows), max(map(len, drops))), -1, dtype=np.int64)
-        for at, k in enumerate(rows.tolist()):
-            for n, merge in enumerate(drops[k]):
-                skipped[at, n] = merge
-        # symbols stay at the position of their first character; after[w, i]: where the one after i starts
-        alive = np.arange(longest) < count[:, None]
-        after = np.tile(np.arange(1, longest + 1), (len(rows), 1))
-        before = after - 2
-        rank = np.full((len(rows), longest), np.inf, dtype=np.float32)
-        into = np.zeros((len(rows), longest), dtype=np.int32)
-        w, i = np.nonzero(alive[:, 1:])
-        rank[w, i], into[w, i] = self._ranks(symbol[w, i], symbol[w, i + 1], i << 16 | i + 2, skipped[w])
-        live = np.arange(len(rows))
-        made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while len(live):
-            best = rank[live].argmin(1)
-            some = rank[live, best] < np.inf
-            live, best = live[some], best[some]
-            gone = after[live, best]
-            stop = after[live, gone]
-            made.append((live, best, stop))
-            symbol[live, best] = into[live, best]
-            after[live, best] = stop
-            alive[live, gone] = False
-            rank[live, gone] = rank[live, best] = np.inf
-            more = stop < count[live]
-            before[live[more], stop[more]] = best[more]
-            left = before[live, best]
-            some = left >= 0
-            w = np.concatenate([live[more], live[some]])
-            i = np.concatenate([best[more], left[some]])
-            j = after[w, i]
-            rank[w, i], into[w, i] = self._ranks(symbol[w, i], symbol[w, j], i << 16 | after[w, j], skipped[w])
-        of, start, stop = (np.concatenate([m[k] for m in made] or [live]) for k in range(3))
-        order = np.argsort(of, kind="stable")
-        return plain, (start[order], stop[order]), np.bincount(of, minlength=len(rows)), symbol[alive], alive.sum(1)
+        order = np.argsort(size, kind="stable")
+        for begin in range(0, len(order), GROUP):
+            group = order[begin : begin + GROUP]
+            count = size[group]
+            n, longest = len(group), max(int(count[-1]), 1)
+            alive = np.arange(longest) < count[:, None]
+            symbol = symbols[np.minimum(first[group][:, None] + np.arange(longest), max(0, len(symbols) - 1))] if len(symbols) else np.zeros((n, longest), np.int32)
+            # symbols stay at the position of their first character; after: where in the word the one after starts
+            rank, into = np.full((n, longest), np.inf, dtype=np.float32), np.zeros((n, longest), dtype=np.int32)
+            found = self._ranks(symbol[:, :-1].ravel(), symbol[:, 1:].ravel())
+            rank[:, :-1], into[:, :-1] = np.where(alive[:, 1:], found[0].reshape(n, -1), np.float32(np.inf)), found[1].reshape(n, -1)
+            after = np.tile(np.arange(1, longest + 1), n)
+            before = after - 2
+            ranks, symbol, into, there = rank.ravel(), symbol.ravel(), into.ravel(), alive.ravel()
+            live, base = np.arange(n), np.arange(n) * longest
+            made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            while len(live):
+                best = (rank if len(live) == n else rank[live]).argmin(1)
+                at = base[live] + best
+                some = ranks[at] < np.inf
+                if not some.all():
+                    live, best, at = live[some], best[some], at[some]
+                ranks[at], todo = np.inf, live
+                gone = base[todo] + after[at]
+                stop = after[gone]
+                if skip is not None:
+                    kept = ~skip(group[todo], best, stop)
+                    if not kept.all():
+                        todo, best, at, gone, stop = todo[kept], best[kept], at[kept], gone[kept], stop[kept]
+                if merges:
+                    made.append((todo, best, stop))
+                symbol[at], after[at], there[gone], ranks[gone] = into[at], stop, False, np.inf
+                more, left = stop < count[todo], before[at]
+                right = base[todo[more]] + stop[more]
+                before[right] = best[more]
+                some = left >= 0
+                left = base[todo[some]] + left[some]
+                where = np.concatenate([at[more], left])
+                ranks[where], into[where] = self._ranks(symbol[where], symbol[np.concatenate([right, at[some]])])
+            of, start, stop = (np.concatenate([m[k] for m in made] or [live]) for k in range(3))
+            by_word = np.argsort(of, kind="stable")
+            yield group, symbol[there], alive.sum(1), (start[by_word], stop[by_word]), np.bincount(of, minlength=n)
 
     def _flat(self, words: list[str], keys: np.ndarray, starts: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
         """All ids of _word() of many short words, one word after another, and how many each has."""
         paths, limit = self.paths, np.uint64(int(dropout * (1 << 64)))
         if paths.nodes > KEPT:
             paths = self.paths = Paths(self)
-        node = paths.roots(words)
-        live = np.arange(len(words)) if limit else np.arange(0)
+        distinct = list(dict.fromkeys(words))
+        which = np.fromiter(map(dict(zip(distinct, range(len(distinct)), strict=True)).__getitem__, words), dtype=np.int64, count=len(words))
+        node = paths.roots(distinct, np.bincount(which, minlength=len(distinct)))[which]
+        live = np.flatnonzero(node >= 0) if limit else np.arange(0)
         while len(live):
             n = paths.n_merges[node[live]]
             slot = _ranges(paths.first_merge[node[live]], n)
             of = np.repeat(live, n)
             at = starts[of]
-            z = keys[of] + (at + paths.start[slot]).astype(np.uint64) * np.uint64(_START) + (at + paths.stop[slot]).astype(np.uint64) * np.uint64(_STOP)
-            z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-            skipped = np.flatnonzero((z ^ z >> np.uint64(31)) < limit)
+            skipped = np.flatnonzero(_hashed(keys[of], at + paths.start[slot], at + paths.stop[slot]) < limit)
             of, slot = of[skipped], slot[skipped]
             # the first that each word skips leads to the rest of its agenda
             first = np.diff(of, prepend=-1) != 0
             live, slot = of[first], slot[first]
             node[live] = paths.after(node[live], slot)
-        counts = paths.n_ids[node]
-        return paths.ids[_ranges(paths.first_id[node], counts)], counts
+            live = live[node[live] >= 0]
+        alone = np.flatnonzero(node < 0)
+        size = np.fromiter((len(words[k]) for k in alone.tolist()), dtype=np.int64, count=len(alone))
+        symbol = self.symbol[np.frombuffer("".join([words[k] for k in alone.tolist()]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+
+        def skip(w: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+            at = starts[alone[w]]
+            return _hashed(keys[alone[w]], at + start, at + stop) < limit
+
+        found = list(self._agendas(symbol, np.cumsum(size) - size, size, skip if limit else None))
+        counts = paths.n_ids[node]  # of words without a node, set next
+        for group, _, n_ids, _, _ in found:
+            counts[alone[group]] = n_ids
+        first = np.cumsum(counts) - counts
+        flat = np.zeros(int(counts.sum()), dtype=np.int32)
+        known = np.flatnonzero(node >= 0)
+        flat[_ranges(first[known], counts[known])] = paths.ids[_ranges(paths.first_id[node[known]], counts[known])]
+        for group, ids, n_ids, _, _ in found:
+            flat[_ranges(first[alone[group]], n_ids)] = ids
+        odd = np.flatnonzero(flat < 0)
+        if len(odd):
+            spelt = [[self.byte_ids[b] for b in chr(-1 - k).encode("utf-8", "surrogatepass")] for k in flat[odd].tolist()]
+            owner = np.searchsorted(first + counts, odd, side="right")
+            sizes = np.ones(len(flat), dtype=np.int64)
+            sizes[odd] = [len(ids) for ids in spelt]
+            np.add.at(counts, owner, sizes[odd] - 1)
+            flat = np.repeat(flat, sizes)
+            flat[flat < 0] = list(chain.from_iterable(spelt))
+        return flat, counts
 
     def _words(self, words: list[str], key: int, dropout: float) -> list[tuple[int, ...]]:
         """_word() of many short words, each at the start of a text."""
@@ -339,6 +388,13 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
+    def decode_flat(self, flat: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """UTF-8 bytes of decode() of texts whose ids, `counts` of each, stand one after another."""
+        n = self.spelt_n[flat]
+        data = self.spelt[_ranges(self.spelt_from[flat], n)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [data[i + 1 : j] for i, j in zip(ends, ends[1:], strict=False)]
+
 
 @lru_cache(2)
 def pieces_of(model: str) -> Pieces:
@@ -359,14 +415,15 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", dropout: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = pieces_of(model)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            size = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            bounds = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1).tolist(), len(batch)]
+            for i, j in zip(bounds, bounds[1:], strict=False):
+                part = batch.slice(i, j - i)
                 texts = part.column(1).to_pylist()
                 flat, counts = tool.encode_flat(texts, [mark & _MASK for mark in part.column(2).to_pylist()], dropout)
+                whole = [back == (t or "").encode() for back, t in zip(tool.decode_flat(flat, counts), texts, strict=True)]
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                ids, ends = flat.tolist(), offsets.tolist()
-                whole = [tool.decode(ids[i:j]) == (t or "") for i, j, t in zip(ends, ends[1:], texts, strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(counts), pa.array(whole)], names=["_id", "pieces", "n_pieces", "lossless"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(counts), pa.array(whole, pa.bool_())], names=["_id", "pieces", "n_pieces", "lossless"])
 
     return slim.mapInArrow(run, f"_id {dict(slim.dtypes)['_id']}, pieces array<int>, n_pieces long, lossless boolean").withColumnRenamed("_id", key)
 
