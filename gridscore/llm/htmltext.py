@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from bisect import bisect_right
+from collections.abc import Container, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,8 @@ BLOCKS = frozenset(
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
-_MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"""[>]|=\s*(["'])""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -41,12 +43,6 @@ class Block:
     linked: int = 0
 
 
-@dataclass
-class _Open:
-    tag: str
-    marks: tuple[str, ...] = field(default=())
-
-
 def _marks(tag: str, rest: str) -> tuple[str, ...]:
     """Features that an element gives to all blocks within it."""
     found = [f"in:{tag}"]
@@ -58,69 +54,150 @@ def _marks(tag: str, rest: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def blocks_of(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order; broken markup is read as a browser would, roughly: no end tag is required."""
-    page = page or ""
-    stack: list[_Open] = []
+@lru_cache(64)
+def _end_of(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+
+
+class _Scanner:
+    """Tags of a page, from left to right and never back: a page is read in time that grows with its length only."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "<>\"'"}
+        self.quotes = True
+
+    def tag_end(self, at: int) -> int:
+        """Where the `>` is that ends a tag from `at` on: not one in a quoted value, unless its quote is never closed."""
+        begin = at
+        while self.quotes:
+            m = _STOP.search(self.page, at)
+            if m is None:
+                # some quote is out of step: from here on quotes count for nothing, or each tag might look as far
+                self.quotes = False
+            elif m[1] is None:
+                return m.start()
+            else:
+                at = self.page.index(m[1], m.end()) + 1 if self.last[m[1]] >= m.end() else m.end()
+        return self.page.find(">", begin)
+
+    def tokens(self) -> Iterator[tuple[str, str, str]]:
+        """(kind, tag or text, rest): kind is text, open or close."""
+        page, at, end = self.page, 0, len(self.page)
+        while at < end:
+            mark, text_from = page.find("<", at), at
+            while mark >= 0 and mark < self.last[">"] and page[mark + 1] not in "!?" and not _TAG.match(page, mark):
+                mark = page.find("<", mark + 1)
+            if mark < 0 or mark >= self.last[">"] and not page.startswith("<!--", mark):
+                yield "text", page[text_from:], ""
+                return
+            if mark > text_from:
+                yield "text", page[text_from:mark], ""
+            if page.startswith("<!--", mark):
+                stop = page.find("-->", mark + 4)
+                at = stop + 3 if stop >= 0 else end
+            elif page[mark + 1] in "!?":
+                at = page.index(">", mark) + 1
+            else:
+                found = _TAG.match(page, mark)
+                stop = self.tag_end(found.end())
+                tag, at = found[1].lower(), stop + 1
+                if page[mark + 1] == "/":
+                    yield "close", tag, ""
+                    continue
+                rest = page[found.end() : stop]
+                if tag in SILENT:
+                    if not rest.endswith("/"):
+                        close = _end_of(tag).search(page, at)
+                        stop = page.find(">", close.end()) if close else -1
+                        at = stop + 1 if stop >= 0 else end
+                else:
+                    yield "open", tag, rest
+
+
+class _Stack:
+    """Open elements: where each tag's are, where the blocks are, and how many of them give each mark."""
+
+    def __init__(self, known: Container[str] | None):
+        self.known = known
+        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.marks: dict[str, int] = {}
+
+    def push(self, tag: str, rest: str) -> None:
+        marks = tuple(m for m in _marks(tag, rest) if self.known is None or m in self.known)
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, marks))
+        for m in marks:
+            self.marks[m] = self.marks.get(m, 0) + 1
+
+    def close(self, depth: int) -> None:
+        while len(self.open) > depth:
+            tag, marks = self.open.pop()
+            self.at[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            for m in marks:
+                self.marks[m] -= 1
+                if not self.marks[m]:
+                    del self.marks[m]
+
+    def innermost(self, tag: str) -> int:
+        """Depth of the innermost open element with this tag, or -1."""
+        found = self.at.get(tag)
+        return found[-1] if found else -1
+
+    def make_room(self, tag: str) -> None:
+        """Close what a block with this tag closes by opening, as far out as the element that holds such blocks."""
+        shut = CLOSED_BY.get(tag, set()) | ({"p"} if tag != "p" or self.innermost("p") >= 0 else set())
+        if tag in HOLDERS:
+            holder = max(map(self.innermost, HOLDERS[tag]))
+        else:
+            holder = next((k for k in reversed(self.blocks) if self.open[k][0] not in shut), -1)
+        inner = [positions[k] for t in shut if (positions := self.at.get(t)) and (k := bisect_right(positions, holder)) < len(positions)]
+        if inner:
+            self.close(min(inner))
+
+
+def blocks_of(page: str | None, known: Container[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page in order; broken markup is read as a browser would, roughly: no end tag is required.
+
+    With `known`, only such features of elements are kept as it holds. Time grows with the page's length, however
+    broken or deep its markup is.
+    """
+    stack = _Stack(known)
     blocks: list[Block] = []
     texts: list[tuple[str, bool]] = []
-    links = 0
 
     def flush() -> None:
-        nonlocal texts
         if texts:
             joined = " ".join(entities.unescape("".join(t for t, _ in texts)).split())
             if joined:
                 linked = len(" ".join(entities.unescape("".join(t for t, link in texts if link)).split()))
-                own = next((o.tag for o in reversed(stack) if o.tag in BLOCKS), "body")
-                blocks.append(Block(own, tuple(dict.fromkeys(m for o in stack for m in o.marks)), joined, linked))
-            texts = []
-
-    def close(depth: int) -> None:
-        nonlocal links
-        for o in stack[depth:]:
-            links -= o.tag == "a"
-        del stack[depth:]
-
-    at, end = 0, len(page)
-    while at < end:
-        m = _MARK.search(page, at)
-        if m is None:
-            texts.append((page[at:], links > 0))
-            break
-        if m.start() > at:
-            texts.append((page[at : m.start()], links > 0))
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
-            if depth is not None:
-                if any(o.tag in BLOCKS for o in stack[depth:]):
+                own = stack.open[stack.blocks[-1]][0] if stack.blocks else "body"
+                blocks.append(Block(own, tuple(stack.marks), joined, linked))
+            texts.clear()
+
+    for kind, tag, rest in _Scanner(page or "").tokens():
+        if kind == "text":
+            texts.append((tag, stack.innermost("a") >= 0))
+        elif kind == "close":
+            depth = stack.innermost(tag)
+            if depth >= 0:
+                if stack.blocks and stack.blocks[-1] >= depth:
                     flush()
-                close(depth)
-            continue
-        rest = m[3] or m[6] or ""
-        if tag in SILENT:
-            if not rest.endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else end
-            continue
-        if tag in BLOCKS:
-            flush()
-            shut = {"p"} if tag != "p" or any(o.tag == "p" for o in stack) else set()
-            shut |= CLOSED_BY.get(tag, set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag in shut:
-                    close(k)
-                elif stack[k].tag in HOLDERS.get(tag, ()) or stack[k].tag in BLOCKS and tag not in HOLDERS:
-                    break
-        elif tag == "br":
-            texts.append((" ", False))
-        if tag not in VOID:
-            stack.append(_Open(tag, _marks(tag, rest)))
-            links += tag == "a"
+                stack.close(depth)
+        else:
+            if tag in BLOCKS:
+                flush()
+                stack.make_room(tag)
+            elif tag == "br":
+                texts.append((" ", False))
+            if tag not in VOID:
+                stack.push(tag, rest)
     flush()
     return blocks
 
@@ -232,7 +309,7 @@ def trained() -> Field:
 
 
 def main_text(page: str | None, model: Field) -> str:
-    blocks = blocks_of(page)
+    blocks = blocks_of(page, model.weights)
     return "\n\n".join(b.text for b, label in zip(blocks, model.label(blocks), strict=True) if label)
 
 

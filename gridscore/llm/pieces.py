@@ -39,6 +39,11 @@ Drops = tuple[int, ...]
 Skip = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
+def _limit(dropout: float) -> int:
+    """Hashes below it skip their merge."""
+    return min(_MASK, int(dropout * (1 << 64)))
+
+
 def _hashed(keys: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """The hash of merges at these places of texts whose keys these are."""
     z = keys + start.astype(np.uint64) * np.uint64(_START) + stop.astype(np.uint64) * np.uint64(_STOP)
@@ -226,7 +231,7 @@ class Pieces:
     def _word(self, word: str, key: int, dropout: float, at: int = 0) -> tuple[int, ...]:
         """Ids of a word that starts `at` characters into the text of the document that has this key."""
         out: list[int] = []
-        start, limit = 0, int(dropout * (1 << 64))
+        start, limit = 0, _limit(dropout)
         # no piece holds these two characters side by side, so no merge crosses them
         for i in range(1, len(word)):
             if word[i - 1 : i + 1] not in self.adjacent:
@@ -300,7 +305,7 @@ class Pieces:
 
     def _flat(self, words: list[str], keys: np.ndarray, starts: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
         """All ids of _word() of many short words, one word after another, and how many each has."""
-        paths, limit = self.paths, np.uint64(int(dropout * (1 << 64)))
+        paths, limit = self.paths, np.uint64(_limit(dropout))
         if paths.nodes > KEPT:
             paths = self.paths = Paths(self)
         distinct = list(dict.fromkeys(words))

@@ -9,14 +9,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridscore.session import stored
+
 #: Texts are packed in pieces of so many bytes, each from a fresh start, so that a dictionary counts for all of a text.
 PIECE = 2048
-#: Of labelled rows, at most so many of each class are fitted on, each with at most so many bytes (from its middle).
-ROWS, BYTES, DICTIONARY, LEVEL = 1500, 16384, 1 << 18, 12
+#: Of labelled rows, at most so many of each class are fitted on, and a dictionary has so many bytes, equal shares of each.
+ROWS, DICTIONARY, LEVEL = 1500, 1 << 18, 12
 
 
 @dataclass
@@ -38,30 +40,37 @@ class _Packer:
 
     def features(self, text: str | None) -> tuple[float, ...]:
         """(bad - good) / (bad + good) of the packed sizes, over all pieces and over the fifth of pieces where it is least;
-        the logarithm of the packed share of the text, over all pieces and where it is least (text that repeats itself)."""
+        the logarithm of the packed share of the text, which tells text that repeats itself from text that is merely
+        unlike both dictionaries."""
         data = (text or "").encode("utf-8", "surrogatepass")
-        pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
-        if len(pieces) > 1 and len(pieces[-1]) < PIECE // 4:
-            pieces[-2:] = [pieces[-2] + pieces[-1]]
-        if not pieces:
-            return 0.0, 0.0, 0.0, 0.0
-        good, bad = (np.array([len(tool.compress(p)) for p in pieces], dtype=np.float64) for tool in self.tools)
-        each = np.sort((bad - good) / (bad + good))
-        share = np.minimum(0.0, np.log((good + bad) / (2.0 * np.array([len(p) for p in pieces]))))
-        packed = min(0.0, math.log((good.sum() + bad.sum()) / (2.0 * len(data))))
-        return float((bad.sum() - good.sum()) / (bad.sum() + good.sum())), float(each[: -(-len(each) // 5)].mean()), packed, float(share.min())
+        good, bad, least = 0, 0, []
+        for k in range(0, max(1, len(data) - PIECE // 4 + 1), PIECE):  # a short rest goes with the last piece
+            piece = data[k : k + PIECE] if len(data) - k - PIECE >= PIECE // 4 else data[k:]
+            g, b = (len(tool.compress(piece)) for tool in self.tools)
+            good, bad = good + g, bad + b
+            least.append((b - g) / (b + g))
+        if not data:
+            return 0.0, 0.0, 0.0
+        each = np.sort(least)
+        return (bad - good) / (bad + good), float(each[: -(-len(each) // 5)].mean()), min(0.0, math.log((good + bad) / (2.0 * len(data))))
 
     def score(self, text: str | None, weights: tuple[float, ...]) -> float:
         z = weights[0] + sum(w * x for w, x in zip(weights[1:], self.features(text), strict=True))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def _middle(data: bytes, share: int) -> bytes:
+    return data[(len(data) - share) // 2 if len(data) > share else 0 :][:share]
+
+
 def _dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
-    """Equal shares of every text, cut to `size` bytes in all."""
-    if not texts:
-        return b" " * 8
-    share = max(64, size // len(texts))
-    return b"".join(t[(len(t) - share) // 2 if len(t) > share else 0 :][:share] for t in texts)[-size:].ljust(8)
+    """Equal shares of every text, from its middle, cut to `size` bytes in all."""
+    share = _share(len(texts), size)
+    return b"".join(_middle(t, share) for t in texts)[-size:].ljust(8)
+
+
+def _share(texts: int, size: int = DICTIONARY) -> int:
+    return max(64, size // max(1, texts))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -83,32 +92,40 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Fit on docs whose key has a label (1: good, 0: bad; other labels, nulls and repeats are ignored).
 
     The sample is drawn from `labels`, so no text moves for it: at most `rows` keys of each label, the first by hash,
-    are looked for in docs, and their texts, each cut to BYTES from its middle, come to the driver. Even ones fill the
-    dictionaries that odd ones are scored with for the curve, and the other way round; the final dictionaries hold
-    all. Without rows of both labels every score is 0.5.
+    are looked for in docs. Their whole texts are packed in tasks, and no more than their shares of the dictionaries
+    and three numbers a text come to the driver. Even ones fill the dictionaries that odd ones are scored with for the
+    curve, and the other way round; the final dictionaries hold all. Without rows of both labels every score is 0.5.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(F.col(label).cast("int")).alias("y"))
     counts = dict(known.groupBy("y").count().collect())
     draw = F.pmod(F.xxhash64("k"), F.lit(1 << 32))
     # a share of the keys that is expected to hold twice the rows asked for, so that the sort sees few
     drawn = [known.where((F.col("y") == y) & (draw < int(min(1, 2 * rows / n) * (1 << 32)))).orderBy(draw, "k").limit(rows) for y, n in sorted(counts.items())]
+    none = Model(b" " * 8, b" " * 8, (0.0,) * 4)
     if len(drawn) < 2:
-        return Model(b" " * 8, b" " * 8, (0.0,) * 5)
+        return none
     keys = drawn[0].unionByName(drawn[1])  # 2 x rows keys at most
-    cut = F.expr(f"substring(t, greatest(1, length(t) div 2 - {BYTES // 2}), {BYTES})")
-    found = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(keys), "k").select("k", "y", cut.alias("t"))
-    sample = found.groupBy("k", "y").agg(F.min("t").alias("t")).orderBy(F.xxhash64("t"), "k").collect()
-    texts = [[r.t.encode("utf-8", "surrogatepass") for r in sample if r.y == y] for y in (0, 1)]
-    if not all(len(t) > 1 for t in texts):
-        return Model(b" " * 8, b" " * 8, (0.0,) * 5)
-    x, y = [], []
-    for fold in (0, 1):
-        packer = _Packer(Model(_dictionary(texts[1][fold::2]), _dictionary(texts[0][fold::2]), ()))
-        for value in (0, 1):
-            for t in texts[value][1 - fold :: 2]:
-                x.append(packer.features(t.decode("utf-8", "replace")))
-                y.append(value)
-    weights = _logistic(np.array(x), np.array(y, dtype=np.float64))
+    found = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(keys), "k")
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("t"), "k")) - 1  # `rows` of them at most
+    sample = stored(found.groupBy("k", "y").agg(F.min("t").alias("t")).withColumn("n", place), "sample")
+    sizes = dict(sample.groupBy("y").count().collect())
+    if min(sizes.get(y, 0) for y in (0, 1)) < 2:
+        return none
+    # a fold's shares are the larger ones, and those of all are their middles
+    most = max(_share(n // 2) for n in sizes.values())
+    middle = F.expr(f"substring(encode(t, 'utf-8'), greatest(1, (octet_length(t) - {most}) div 2 + 1), {most})")
+    shares = sample.select("y", "n", middle.alias("t")).orderBy("n").collect()
+    texts = [[bytes(r.t) for r in shares if r.y == y] for y in (0, 1)]
+    folds = [Model(_dictionary(texts[1][fold::2]), _dictionary(texts[0][fold::2]), ()) for fold in (0, 1)]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packers = [_Packer(m) for m in folds]
+        for batch in batches:
+            for t, y, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([list(packers[1 - n % 2].features(t))], pa.list_(pa.float64()))], names=["y", "x"])
+
+    seen = sample.select("t", "y", "n").repartition(max(1, len(shares) // 128), "y", "n").mapInArrow(measure, "y int, x array<double>").orderBy("y", "x").collect()
+    weights = _logistic(np.array([r.x for r in seen]), np.array([r.y for r in seen], dtype=np.float64))
     return Model(_dictionary(texts[1]), _dictionary(texts[0]), tuple(weights.tolist()))
 
 

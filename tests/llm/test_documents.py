@@ -225,6 +225,46 @@ def test_pieces_agree_with_the_library_and_decode(spark, docs):
     assert tool._words(words, 9, 0.2) == [tool._word(w, 9, 0.2) for w in words]
 
 
+def _naive(tool, text, key, dropout):
+    """The rule as it is stated, over the whole text at once: of all neighbours that some piece joins and that aren't
+    skipped, the best-ranked, leftmost ones are joined or, by their hash, skipped for good."""
+    mask = (1 << 64) - 1
+
+    def skipped(start, stop):
+        z = key + start * 0x9E3779B97F4A7C15 + stop * 0xC2B2AE3D27D4EB4F & mask
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & mask
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
+        return z ^ z >> 31 < min(mask, int(dropout * (1 << 64)))
+
+    whole = " " + text
+    ends = list(range(len(whole) + 1))  # bounds of symbols
+    gone = set()
+    while True:
+        found = [(tool.rank[whole[a:c]], a, c) for a, c in zip(ends, ends[2:], strict=False) if whole[a:c] in tool.rank and (a, c) not in gone]
+        if not found:
+            break
+        _, a, c = min(found)
+        if skipped(a, c):
+            gone.add((a, c))
+        else:
+            ends = [e for e in ends if e <= a or e >= c]
+    out = []
+    for a, b in zip(ends, ends[1:], strict=False):
+        out += [tool.ids[whole[a:b]]] if whole[a:b] in tool.ids else [tool.byte_ids[x] for x in whole[a:b].encode()]
+    return out
+
+
+def test_dropout_is_that_of_the_plain_rule(spark, docs):
+    tool = pieces.Pieces(pieces.MODEL)
+    texts = [r.text[:300] for r in docs.orderBy("doc_id").limit(12).collect()] + ["a  b\n\tc  é ½ \x00 😀", "ab" * 60, "x" * 90, "internationalization, internationalization!", "▁ ▁a", " "]
+    for dropout in (0.0, 0.1, 0.5, 1.0):
+        keys = [k * 0x9E3779B97F4A7C15 % 2**64 for k in range(len(texts))]
+        assert tool.encode_all(texts * 3, keys * 3, dropout) == [_naive(tool, t, k, dropout) for t, k in zip(texts, keys, strict=True)] * 3
+    query = {r.doc_id: r.pieces for r in pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    marks = {r.doc_id: r.mark % 2**64 for r in spark.range(len(texts)).select(F.col("id").alias("doc_id"), F.xxhash64(F.lit(42), F.lit(0.1), "id").alias("mark")).collect()}
+    assert query == {k: _naive(tool, t, marks[k], 0.1) for k, t in enumerate(texts)}
+
+
 def test_every_document_and_place_has_its_own_dropout(spark, docs):
     rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("The internationalization of things").alias("text"))
     assert len({tuple(r.pieces) for r in pieces.encode(rows).collect()}) > 20

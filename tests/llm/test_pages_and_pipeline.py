@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,27 @@ PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body
 <section id="comments"><div class="comment"><p>I do not agree with this at all.</p></div></section><footer>&copy; 2020</footer>"""
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<p title='x>don't" * 60_000, '<a x="' * 170_000, "<div>a" * 170_000, "<b><div>x</div>" * 70_000, "<div>" * 60_000 + "<li>x" * 120_000,
+        "".join(f"<div class='c{k}'>a" for k in range(50_000)), "<script></script" * 60_000, "<!x" * 340_000, "<" * 1_000_000, "<a b='" + '<c d=">' * 140_000,
+    ],
+)
+def test_long_broken_pages_are_read_once(page):
+    start = time.process_time()
+    htmltext.main_text(page, htmltext.trained())
+    assert len(page) > 800_000 and time.process_time() - start < 30
+
+
+def test_quotes_hide_the_end_of_a_tag_only_if_they_are_closed():
+    texts = lambda page: [b.text for b in htmltext.blocks_of(page)]
+    assert texts("<p title='a>b'>one</p><p title=it's>two</p>") == ["one", "two"]
+    assert texts('<p title="a>one</p><p>two</p>') == ["one", "two"]
+    assert texts("<p>a < b</p><!-- <p>no</p> --><p>b <c") == ["a < b", "b <c"]
+    assert texts("<ul><li>one<li>two<ul><li>three</ul><li>four</ul><p>five<p>six<div>seven") == ["one", "two", "three", "four", "five", "six", "seven"]
+
+
 def test_extraction_edge_cases(spark):
     rows = spark.createDataFrame([(1, PAGE, "x"), (1, PAGE, "x"), (2, None, "x"), (3, "", "x"), (4, "<<<>><a b=\"x", "x"), (None, "<script>only", "x"), (5, "<p>" + "word " * 50000, "x")], "page_id long, html string, text string")
     found = htmltext.extract(rows).collect()
