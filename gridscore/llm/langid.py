@@ -15,8 +15,8 @@ from gridscore.session import stored
 
 #: Buckets of hashed byte trigrams, their additive count, and how many trigrams' evidence a text has at most.
 BUCKETS, ALPHA, EVIDENCE = 1 << 13, 0.5, 50
-#: Of each declared language at most ROWS distinct texts, by hash, are fitted on, each with BYTES characters from its middle.
-ROWS, BYTES = 400, 16384
+#: Of each declared language at most ROWS distinct texts, by hash, are fitted on, each of them whole.
+ROWS = 400
 #: What a level of the host hierarchy weighs against the level below it, in rows; and a category's additive count.
 STRENGTH, ADD = 10.0, 1.0
 #: Texts whose language is less likely than this, or without letters, are rejected.
@@ -54,7 +54,8 @@ def code(declared: Column) -> Column:
 
 
 def fit_text(df: DataFrame, text: str = "text", declared: str = "lang", rows: int = ROWS) -> TextModel:
-    """Fit on texts and the language that they declare: at most `rows` texts of each language come to the driver.
+    """Fit on texts and the language that they declare, at most `rows` whole texts of each language: their trigrams are
+    counted in tasks, and counts a bucket and language come to the driver.
 
     Every language is learnt that a row with letters declares, however rare it is. Copies of a text count once.
     """
@@ -65,15 +66,23 @@ def fit_text(df: DataFrame, text: str = "text", declared: str = "lang", rows: in
     languages = sorted(counts)
     table = np.full((BUCKETS, len(languages) + 1), ALPHA)
     draw = F.pmod("h", F.lit(1 << 32))
-    cut = F.expr(f"substring(t, greatest(1, length(t) div 2 - {BYTES // 2}), {BYTES})")
     # a share of each language's texts that is expected to hold twice those asked for, found in one scan; copies meet
     # before they are shuffled
     limits = df.sparkSession.createDataFrame([(k, int(min(1, 2 * rows / max(n, 1)) * (1 << 32))) for k, n in counts.items()], "l string, most long")
-    drawn = known.join(F.broadcast(limits), "l").where(draw < F.col("most")).groupBy("l", "h").agg(F.min(cut).alias("t"))
+    drawn = known.join(F.broadcast(limits), "l").where(draw < F.col("most")).groupBy("l", "h").agg(F.min("t").alias("t"))
     sample = drawn.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy(draw, "h"))).where(F.col("n") <= rows)
     place = {k: i for i, k in enumerate(languages)}
-    for r in sample.select("l", "t").collect():
-        table[:, place[r.l]] += np.bincount(_trigrams(r.t), minlength=BUCKETS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for language, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = np.bincount(_trigrams(t), minlength=BUCKETS)
+                some = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(found[some])], names=["l", "bucket", "n"])
+
+    counted = sample.select("l", "t").mapInArrow(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n"))
+    for r in counted.groupBy("l").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).collect():  # BUCKETS of each at most
+        table[np.array(r.b), place[r.l]] += r.n
     table[:, -1] = 1.0
     return TextModel([*languages, UNKNOWN], np.log(table / table.sum(0)).astype(np.float32))
 
@@ -181,9 +190,11 @@ def page_evidence(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
 
 
 def accepted_only(df: DataFrame, model: TextModel, key: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source") -> DataFrame:
-    """The rows of df whose language is known, columns unchanged; rejected rows are found by key and text."""
-    named = {"__key": F.coalesce(df[key], F.lit(-(1 << 63))), "__hash": F.xxhash64(F.coalesce(df[text], F.lit("")))}
-    found = identify(df.select(named["__key"].alias("__key"), named["__hash"].alias("__hash"), df[text].alias("text"), df[declared].alias("declared"), df[host].alias("host")), model)
+    """The rows of df whose language is known, columns unchanged; rejected rows are found by key, text and evidence, so
+    rows that repeat a key or a text each have their own fate."""
+    parts = [c for name in (text, declared, host) for c in (df[name].isNull(), df[name])]
+    named = {"__key": F.coalesce(df[key], F.lit(-(1 << 63))), "__hash": F.xxhash64(*parts)}
+    found = identify(df.select(*[c.alias(name) for name, c in named.items()], df[text].alias("text"), df[declared].alias("declared"), df[host].alias("host")), model)
     rejected = stored(found.where(~F.col("accepted")).select("__key", "__hash").distinct(), "rejected")
     keyed = df.withColumns(named)
     return keyed.join(rejected, ["__key", "__hash"], "left_anti").select(*[keyed[c] for c in df.columns])

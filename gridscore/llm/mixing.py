@@ -16,6 +16,8 @@ from gridscore.session import stored
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, 42
 #: Leaves, or residuals of the level below, that one node of the tree reduces.
 FAN = 64
+#: Repeats of a row, or copies of it, that are listed in one go; more are dealt out first.
+LISTED = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -25,14 +27,14 @@ def words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """source, source_size, rows and target of each source of `sizes` (source, size).
+    """source, source_size, rows and target of each source of `sizes` (source, size, times: how often it has that size).
 
     Sources in code-point order, null last, weigh `weights` in turn and share `share` of all sizes; no target is above
     `most` times its source's size, and what is cut off is shared again by weight. The level at which
     sum(min(most * size, level * weight)) meets the whole is found among prefix sums in the order of most * size /
     weight. The windows see one row a source.
     """
-    by = stored(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "sources")
+    by = stored(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.sum("times").alias("rows")), "sources")
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
     ranked = by.withColumn("_w", weight).withColumn("_cap", F.lit(float(most)) * F.col("source_size"))
@@ -54,7 +56,7 @@ def _uniform(*columns: Column) -> Column:
 
 
 def _item(x: Column, p: Column) -> Column:
-    return F.struct(x["h"].alias("h"), x["key"].alias("key"), x["size"].alias("size"), p.alias("p"))
+    return F.struct(x["h"].alias("h"), x["key"].alias("key"), x["tie"].alias("tie"), x["size"].alias("size"), p.alias("p"))
 
 
 def _pivot(acc: Column, x: Column) -> Column:
@@ -85,8 +87,27 @@ def _reduce(items: DataFrame, kind: str) -> DataFrame:
     return grouped.select("source", "node", F.aggregate("items", start, _pivot).alias("acc")).select("source", "node", "acc.*")
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """key, source, size, source_size, target and copies of each row of df; copies are whole, 0 to 2.
+def _numbered(groups: DataFrame, times: str) -> DataFrame:
+    """Each row `times` times, numbered from 0 in `n`; what is repeated often is dealt over tasks first, in parts of LISTED.
+
+    `groups` is read twice if it has such rows: it should be a stored table.
+    """
+
+    def listed(df: DataFrame, first: Column) -> DataFrame:
+        last = F.least(F.col(times), first + LISTED) - 1
+        return df.withColumn("n", F.explode(F.sequence(first.cast("long"), last.cast("long")))).drop("_part")
+
+    often = groups.where(F.col(times) > LISTED)
+    every = listed(groups.where(F.col(times).between(1, LISTED)), F.lit(0))
+    if often.isEmpty():
+        return every
+    parts = often.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / LISTED))))
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return every.unionByName(listed(parts.repartition(tasks, F.xxhash64(*groups.columns, "_part")), F.col("_part") * LISTED))
+
+
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", tie: Column | None = None) -> DataFrame:
+    """key, source, size, source_size, target and copies of each row of df, and tie, if given; copies are whole, 0 to 2.
 
     A source's copies a row are target / source_size: its whole part everywhere, and its fraction rounded by pivotal
     steps. Rows are dealt by hash into leaves of about FAN rows, so one source's rows are spread however many it has;
@@ -94,24 +115,29 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     what a source takes differs from its target by half of one row's words at most, and one row is then flipped to close
     that gap as well as a row can. All chances come from hashes: reruns
     agree. Null texts and texts without words have size 0 and get the whole part only; a null source is a source; a
-    null key is a key like others; repeated rows are rounded one by one; an empty table gives no rows.
+    null key is a key like others; rows that repeat a key (and size, and tie) are counted first, then numbered, and
+    rounded one by one, each in a leaf by its number; an empty table gives no rows.
     """
-    sized = stored(df.select(df[key].alias("key"), df[source].alias("source"), words(df[text]).alias("size")), "sizes")
-    shares = stored(targets(sized), "targets")
+    tied = F.lit(0) if tie is None else tie
+    sized = df.select(df[key].alias("key"), df[source].alias("source"), words(df[text]).alias("size"), tied.alias("tie"))
+    groups = stored(sized.groupBy("source", "key", "size", "tie").agg(F.count("*").alias("times")), "sizes")
+    shares = stored(targets(groups), "targets")
+    sized = _numbered(groups, "times")
     known = shares.withColumn("p", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))).withColumn("base", F.floor("p"))
     same = sized["source"].eqNullSafe(known["source"])
-    rows = sized.join(known, same).select(sized["key"], sized["source"], "size", (F.col("p") - F.col("base")).alias("f"), F.ceil(F.col("rows") / FAN).alias("leaves"))
+    rows = sized.join(known, same).select(sized["key"], sized["source"], "size", "tie", "n", (F.col("p") - F.col("base")).alias("f"), F.ceil(F.col("rows") / FAN).alias("leaves"))
     open_ = (F.col("f") > 0) & (F.col("size") > 0)
-    h = F.xxhash64(F.lit(SEED), "key", "size")
-    item = F.struct(h.alias("h"), F.col("key"), F.col("size"), F.col("f").alias("p"))
-    kind = f"struct<h:bigint,key:{dict(sized.dtypes)['key']},size:bigint,p:double>"
+    h = F.xxhash64(F.lit(SEED), "key", "size", "tie", "n")
+    item = F.struct(h.alias("h"), F.col("key"), F.col("tie"), F.col("size"), F.col("f").alias("p"))
+    kinds = dict(sized.dtypes)
+    kind = f"struct<h:bigint,key:{kinds['key']},tie:{kinds['tie']},size:bigint,p:double>"
     level = rows.where(open_).select("source", F.pmod(F.xxhash64(h), "leaves").alias("node"), item.alias("item"))
-    whole = rows.where(~open_).select("source", "key", "size", F.lit(0).alias("extra"), F.expr("cast(null as struct<depth:int,node:bigint,at:int>)").alias("id"))
+    whole = rows.where(~open_).select("source", "key", "tie", "size", F.lit(0).alias("extra"), F.expr("cast(null as struct<depth:int,node:bigint,at:int>)").alias("id"))
     taken = [whole]
     leaves, depth = (shares.agg(F.max("rows")).first()[0] or 0) / FAN, 0
 
     def items(found: DataFrame, at: Column, x: Column, copies: Column) -> DataFrame:
-        return found.select("source", x["key"].alias("key"), x["size"].alias("size"), copies.cast("int").alias("extra"), F.struct(F.lit(depth).alias("depth"), F.col("node").cast("long").alias("node"), at.alias("at")).alias("id"))
+        return found.select("source", x["key"].alias("key"), x["tie"].alias("tie"), x["size"].alias("size"), copies.cast("int").alias("extra"), F.struct(F.lit(depth).alias("depth"), F.col("node").cast("long").alias("node"), at.alias("at")).alias("id"))
 
     while True:
         level = stored(_reduce(level, kind), "level")
@@ -131,17 +157,25 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     best = every.alias("e").join(gaps.alias("g"), F.expr("e.source <=> g.source")).where(fits).groupBy("g.source").agg(F.min(F.struct(off.alias("off"), F.col("size"), F.col("id"))).alias("best"))
     final = stored(gaps.alias("g").join(best.alias("b"), F.expr("g.source <=> b.source"), "left").select("g.*", "b.best.id"), "final").alias("f")
     extra = F.when(F.col("e.id") == F.col("f.id"), 1 - F.col("extra")).otherwise(F.col("extra"))
-    return every.alias("e").join(final, F.expr("e.source <=> f.source")).select(F.col("key").alias(key), F.col("e.source").alias("source"), "size", "source_size", "target", (F.col("base") + extra).cast("int").alias("copies"))
+    named = [F.col("key").alias(key), F.col("e.source").alias("source"), F.col("size"), F.col("source_size"), F.col("target"), (F.col("base") + extra).cast("int").alias("copies")]
+    return every.alias("e").join(final, F.expr("e.source <=> f.source")).select(*named, *([] if tie is None else ["tie"]))
 
 
 def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of df, each as often as the mix takes it; columns unchanged."""
-    names = ["__key", "__source", "__size"]
-    copies = mix(df, key, text, source).toDF("__key", "__source", "__size", "__whole", "__target", "__copies")
-    rows = df.withColumns({"__key": df[key], "__source": df[source], "__size": words(df[text])})
-    # rows that agree in key, source and size are paired off by number, which is no join key: texts are shuffled once
-    left = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))).alias("a")
-    right = copies.withColumn("__n", F.row_number().over(Window.partitionBy(*names).orderBy("__copies"))).alias("b")
-    on = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]) & F.expr("a.__n - b.__n = 0")
-    kept = left.join(right.where("__copies > 0"), on)
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*[F.col(f"a.{c}") for c in df.columns])
+    """The rows of df, each as often as the mix takes it; columns unchanged.
+
+    Rows that agree in all columns are alike, so one of them stands for all and is taken as often as they are together;
+    rows that differ anywhere are told apart by a hash of 128 bits over all columns but maps. Texts are shuffled once.
+    """
+    whole = [c for f in df.schema.fields if "map<" not in f.dataType.simpleString() for c in (df[f.name].isNull(), df[f.name])]
+    tie = F.struct(F.xxhash64(F.lit(0), *whole).alias("a"), F.xxhash64(F.lit(1), *whole).alias("b"))
+    parts = F.transform(F.array(tie), lambda t: F.struct(t["a"], t["b"]))[0]
+    taken = mix(df, key, text, source, parts).groupBy("tie").agg(F.sum("copies").alias("__times"))
+    taken = stored(taken.where("__times > 0").select(F.col("tie.a").alias("__a"), F.col("tie.b").alias("__b"), "__times"), "taken")
+    rows = df.withColumns({"__a": tie["a"], "__b": tie["b"]}).dropDuplicates(["__a", "__b"])
+    often = taken.where(F.col("__times") > LISTED)
+    copies = F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))
+    kept = rows.join(taken.where(F.col("__times") <= LISTED), ["__a", "__b"]).withColumn("__copy", copies).select(*df.columns)
+    if often.isEmpty():
+        return kept
+    return kept.unionByName(_numbered(stored(rows.join(often, ["__a", "__b"]), "often"), "__times").select(*df.columns))

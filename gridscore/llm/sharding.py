@@ -57,32 +57,34 @@ def shard_by_bytes(df: DataFrame, n_shards: int, key: str = "doc_id", text: str
     empty; repeated rows each get a slot of their own; an empty table gives no rows. Only key, size and checksum are
     shuffled, never the texts.
     """
+    return _placed(df, n_shards, key, text, {}).select(F.col("_key").alias(key), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+
+
+def _placed(df: DataFrame, n_shards: int, key: str, text: str, carried: dict[str, Column]) -> DataFrame:
+    """_key, _size, _crc, _shard and _slot of each row, and `carried` columns, whose order decides among equal keys."""
     slim = df.select(
         F.col(key).alias("_key"),
         record_size(F.col(text)).alias("_size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc"),
+        *[c.alias(name) for name, c in carried.items()],
     )
-    placed = with_prefix(slim, ["_key", "_crc", "_size"], "_size").withColumn(
+    placed = with_prefix(slim, ["_key", "_crc", "_size", *[name for name in carried if name == "_like"]], "_size").withColumn(
         "_shard",
         F.least(F.lit(n_shards - 1), F.expr(f"((2 * _before + _size) * {n_shards}) div (2 * _total)")).cast("int"),
     )
     first = placed.groupBy("_shard").agg(F.min("_index").alias("_first"))  # n_shards rows
-    return placed.join(F.broadcast(first), "_shard").select(
-        F.col("_key").alias(key),
-        F.col("_size").alias("size"),
-        F.col("_crc").alias("text_crc32"),
-        F.col("_shard").alias("shard"),
-        (F.col("_index") - F.col("_first")).alias("slot"),
-    )
+    return placed.join(F.broadcast(first), "_shard").withColumn("_slot", F.col("_index") - F.col("_first"))
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int, key: str = "doc_id", text: str = "text") -> None:
-    """Write df with its shard and slot as Parquet, one folder a shard, sorted by slot."""
-    placed = shard_by_bytes(df, n_shards, key, text).select(F.col(key).alias("_k"), "size", "text_crc32", "shard", "slot")
-    own = df.withColumn("_crc", F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    # repeated rows are numbered on both sides, so each meets one place
-    rows = own.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_crc").orderBy(F.lit(0))))
-    places = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "text_crc32").orderBy("shard", "slot")))
-    joined = rows.join(places, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_crc") == F.col("text_crc32")) & (rows["_n"] == places["_n"]))
+    """Write df with its shard and slot as Parquet, one folder a shard, sorted by slot.
+
+    Rows are shuffled once, by ranges, and carry their columns; rows that agree in key, size and checksum are ordered
+    by a hash of all columns but maps, so that reruns agree.
+    """
     kept = [c for c in df.columns if c not in ("shard", "slot")]
-    joined.select(*[df[c] for c in kept], places["shard"], places["slot"]).repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    whole = [c for name in kept if "map<" not in df.schema[name].dataType.simpleString() for c in (df[name].isNull(), df[name])]
+    placed = _placed(df, n_shards, key, text, {"_like": F.xxhash64(*whole), "_row": F.struct(*[df[c] for c in kept])})
+    rows = placed.select("_row.*", F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    # a shard's rows lie in a few neighbouring ranges, and stay in their tasks
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
