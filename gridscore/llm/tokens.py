@@ -100,10 +100,13 @@ def count_tokens(files: DataFrame, folder: str, separator: int = SEPARATOR, bloc
     listed = files.select("file").distinct().mapInArrow(sizes, "file string, ids long")
     blocks = listed.where("ids > 0").select("file", "ids", F.explode(F.expr(f"sequence(0L, (ids - 1) div {per}L)")).alias("block"))
     scanned = blocks.repartition("file", "block").mapInArrow(scan, "file string, block long, found long, first long, last long, between array<long>")
+    scanned = stored(scanned, "scanned")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    stitched = scanned.withColumn("at0", F.coalesce(F.sum("found").over(earlier), F.lit(0))).withColumn("last0", F.coalesce(F.max("last").over(earlier), F.lit(-1)))
+    # the window sees one row of three numbers a block, and the distances stay where they are
+    before = scanned.select("file", "block", F.coalesce(F.sum("found").over(earlier), F.lit(0)).alias("at0"), F.coalesce(F.max("last").over(earlier), F.lit(-1)).alias("last0"))
+    stitched = scanned.where("found > 0").join(before, ["file", "block"])
     lengths = F.concat(F.array(F.col("first") - F.col("last0") - 1), "between")
-    return stitched.where("found > 0").select("file", "at0", F.posexplode(lengths).alias("k", "n_tokens")).select("file", (F.col("at0") + F.col("k")).alias("at"), "n_tokens")
+    return stitched.select("file", "at0", F.posexplode(lengths).alias("k", "n_tokens")).select("file", (F.col("at0") + F.col("k")).alias("at"), "n_tokens")
 
 
 def document_tokens(spark: SparkSession, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
