@@ -45,7 +45,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [("language_id", language_id), ("quality", quality_filter), ("simhash", near_dedup), ("mixing", mix), ("pieces", encode)]
-#: The stages hash, compress and train, which SQL can't express; tests/llm holds each against a brute-force version.
+#: The stages hash, compress and train, which SQL can't express; tests/llm holds posteriors, scores, links, targets and
+#: segmentations against plain versions, and the stages against these operators.
 ORACLE_SQL: str | None = None
 
 
