@@ -54,6 +54,7 @@ TARGETS = {
     "gamma": Target("proportion_ratio", 1.8, 0.8, 4.0, "LOW", Box(y_max=-60, z_max=40)),
     "delta": Target("mean_ratio", 0.85, 0.5, 1.4, "MEDIUM", Box(y_min=0), Box(y_max=-40)),
 }
+# What a target's confidence weighs.
 CONFIDENCE = {"HIGH": 1.0, "MEDIUM": 0.8, "LOW-MEDIUM": 0.6, "LOW": 0.4}
 
 
@@ -105,10 +106,11 @@ DEFAULTS = {
     "beta": Params(0.55, 0.65, 1.4, 0.5, 0.45, 0.85, 1.0),
     "gamma": Params(0.40, 0.90, 1.2, 0.3, 0.70, 0.80, 1.0),
 }
-BOUNDS = {"mi_weight": (0.25, 0.95), "contrast": (0.10, 1.20), "boost": (1.0, 3.0), "penalty": (0.0, 1.0), "softening": (0.1, 1.0)}
+BOUNDS = {"mi_weight": (0.25, 0.95), "contrast": (0.10, 1.20), "boost": (1.0, 3.0), "penalty": (0.0, 1.0), "softening": (0.1, 1.0), "keep_top_pct": (0.60, 0.98), "smoothing_fwhm": (0.0, 3.0)}
 BAND_BOUNDS = {"alpha": {"softening": (0.50, 1.0), "boost": (1.0, 1.8)}}
 GLOBAL_BOUNDS = {"min_cluster_mm3": (10.0, 80.0), "temporal_window": (1.0, 7.0)}
 WEIGHT_CAPS = {"alpha": (0.35, 0.92), "beta": (0.35, 0.65), "theta": (0.35, 0.75), "gamma": (0.35, 0.75), "delta": (0.30, 0.70)}
+# Fixed value: edge of a cell in mm.
 SPACING = 2.0
 
 

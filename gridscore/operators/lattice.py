@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridscore.operators.components import connected_components
 from gridscore.operators.signature import offsets_within
 from gridscore.operators.topk import keep_top
+from gridscore.session import stored
 
 CELL = ["i", "j", "k"]
 
@@ -98,17 +99,23 @@ def maximum(df: DataFrame, keys: list[str], value: str = "value", shape: tuple[i
 def components(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, cell, component (the smallest cell code of the group reachable by 6-neighbour steps) and its size.
 
-    Edges go along the three positive axes only, each an equi-join; labels come from star contraction.
+    Runs along k are found by a window over each line of cells, and are the nodes, numbered by one long each; edges go
+    from run to run along the two other axes, each an equi-join; labels come from star contraction.
     """
-    code = F.struct(*keys, *CELL) if keys else F.struct(*CELL)
-    cells = df.select(*keys, *CELL).distinct().withColumn("_id", code)
-    steps = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(c).alias("dk")) for a, b, c in ((1, 0, 0), (0, 1, 0), (0, 0, 1))])
-    ahead = _spread(cells.withColumnRenamed("_id", "src"), keys, steps)
-    edges = ahead.join(cells.withColumnRenamed("_id", "dst"), [*keys, *CELL]).select("src", "dst")
+    line = Window.partitionBy(*keys, "i", "j").orderBy("k")
+    cells = stored(df.select(*keys, *CELL).distinct().withColumn("_run", F.col("k") - F.row_number().over(line)), "cells")
+    runs = cells.groupBy(*keys, "i", "j", "_run").agg(F.count("*").alias("_cells"), F.min("k").alias("_k")).withColumn("_id", F.monotonically_increasing_id())
+    runs = stored(runs, "runs")
+    named = stored(cells.join(runs.select(*keys, "i", "j", "_run", "_id"), [*keys, "i", "j", "_run"]).select(*keys, *CELL, "_id"), "named")
+    steps = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(0).alias("dk")) for a, b in ((1, 0), (0, 1))])
+    ahead = _spread(named.withColumnRenamed("_id", "src"), keys, steps)
+    edges = ahead.join(named.withColumnRenamed("_id", "dst"), [*keys, *CELL]).select("src", "dst")
     labels = connected_components(edges)
-    found = cells.join(labels, cells["_id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "_id")).drop("node", "_id")
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    return found.join(sizes, "component").select(*keys, *CELL, "component", "size")
+    labelled = stored(runs.join(labels, runs["_id"] == labels["node"], "left").withColumn("_root", F.coalesce("component", "_id")).drop("node", "component"), "labelled")
+    code = F.struct(*keys, "i", "j", F.col("_k").alias("k"))
+    groups = labelled.groupBy("_root").agg(F.min(code).alias("component"), F.sum("_cells").alias("size"))
+    found = labelled.join(groups, "_root").select("_id", "component", "size")
+    return named.join(found, "_id").select(*keys, *CELL, "component", "size")
 
 
 def drop_small(df: DataFrame, keys: list[str], least: int, floor_share: float = 0.5, floor_least: int = 0, value: str = "value") -> DataFrame:

@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridscore.functions.columns import let
+from gridscore.functions.columns import total as _sum
+from gridscore.session import stored
+
+#: Signatures and snapshots that are counted against each other in one go.
+CHUNK = 128
+
 
 def long_form(df: DataFrame, keys: list[str], values: str, position: str = "pos", value: str = "value") -> DataFrame:
     """One row per entry of an array column."""
@@ -28,17 +35,29 @@ def average_rank(keys: list[str], value: str) -> Column:
 
 
 def rank_array(values: Column) -> Column:
-    """average_rank() of each entry of an array, over its size: sorted once, then looked up."""
-    ordered = F.array_sort(values)
-    return F.transform(values, lambda v: (F.array_position(ordered, v) * 2 + F.size(F.filter(values, lambda u: u == v)) - 1) / (2.0 * F.size(values)))
+    """average_rank() of each entry of an array, over its size: sorted once, then looked up from both ends."""
+
+    def ranked(m: Column) -> Column:
+        # the first and the last place of an entry among the sorted ones
+        return F.transform(m["v"], lambda v: (F.array_position(m["up"], v) + m["n"] + 1 - F.array_position(m["down"], v)) / (2.0 * m["n"]))
+
+    def both(v: Column) -> Column:
+        return let(F.array_sort(v), lambda up: let(F.struct(v.alias("v"), up.alias("up"), F.reverse(up).alias("down"), F.size(v).alias("n")), ranked))
+
+    return let(values, both)
 
 
 def bin_array(values: Column, n: int) -> Column:
     """Equal-width bin of each entry between the array's ends; the last bin is closed; a flat array is centred."""
-    low, high = F.array_min(values), F.array_max(values)
-    start = F.when(high > low, low).otherwise(low - 0.5)
-    width = F.when(high > low, high - low).otherwise(1.0)
-    return F.transform(values, lambda v: F.least(F.floor((v - start) / width * n), F.lit(n - 1)).cast("int"))
+
+    def binned(m: Column) -> Column:
+        return F.transform(m["v"], lambda v: F.least(F.floor((v - m["start"]) / m["width"] * n), F.lit(n - 1)).cast("int"))
+
+    def ends(m: Column) -> Column:
+        flat = ~(m["high"] > m["low"])
+        return F.struct(m["v"].alias("v"), F.when(flat, m["low"] - 0.5).otherwise(m["low"]).alias("start"), F.when(flat, 1.0).otherwise(m["high"] - m["low"]).alias("width"))
+
+    return let(values, lambda v: let(F.struct(v.alias("v"), F.array_min(v).alias("low"), F.array_max(v).alias("high")), lambda m: let(ends(m), binned)))
 
 
 def bin_value(value: Column, low: Column, high: Column, n: int) -> Column:
@@ -56,13 +75,17 @@ def dice(a: Column, b: Column, eps: float = 1e-12) -> Column:
 
 
 def pair_up(signatures: DataFrame, snapshots: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Each signature with each snapshot of its band; the snapshots, a few hundred rows, are the broadcast side.
+    """Each signature with each snapshot of its band: the snapshots are a query set that all signatures answer.
 
-    Snapshots are one row per epoch and band, so their number doesn't grow with the voxels; where they are many, pass
-    them in epoch batches.
+    They are stored, so that Spark knows their size: a few hundred go to all tasks, and beyond the session's broadcast
+    threshold both sides are dealt by a block number and meet in an equi-join.
     """
-    small = F.broadcast(snapshots)
-    return signatures.join(small, by) if by else signatures.crossJoin(small)
+    held = stored(snapshots, "snapshots")
+    if by:
+        return signatures.join(held, by)
+    blocks = -(-held.count() // CHUNK) or 1
+    asked = held.withColumn("_block", F.pmod(F.xxhash64(*held.columns), F.lit(blocks)))
+    return signatures.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(asked, "_block").drop("_block")
 
 
 def dice_scores(signatures: DataFrame, snapshots: DataFrame, keys: list[str], ranked: bool = False, by: list[str] | None = None) -> DataFrame:
@@ -74,10 +97,6 @@ def dice_scores(signatures: DataFrame, snapshots: DataFrame, keys: list[str], ra
     return pair_up(left, right, by).select(*keys, (2 * dot(F.col("w"), F.col("v")) / (F.col("_w2") + F.col("_v2") + 1e-12)).alias("dice"))
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
-
-
 def information(counts: Column, n: int, alpha: float, eps: float) -> Column:
     """Mutual information in nats from an array of n x n joint counts, row by row, each raised by alpha; never negative."""
     raised = F.transform(counts, lambda c: c + F.lit(float(alpha)))
@@ -95,44 +114,58 @@ def information(counts: Column, n: int, alpha: float, eps: float) -> Column:
     return F.transform(F.array(both), terms)[0]
 
 
-def mutual_information(signatures: DataFrame, snapshots: DataFrame, keys: list[str], signature_keys: list[str], snapshot_keys: list[str], n: int = 4, alpha: float = 0.5, eps: float = 1e-10, method: str = "explode") -> DataFrame:
+def mutual_information(signatures: DataFrame, snapshots: DataFrame, keys: list[str], signature_keys: list[str], snapshot_keys: list[str], n: int = 4, alpha: float = 0.5, eps: float = 1e-10, method: str = "arrow") -> DataFrame:
     """keys and mi of all pairs of a signature w and a snapshot v, from n equal-width bins of each.
 
-    method "explode": one row per pair and channel, counted by n x n conditional sums (SQL can check it); "arrow": the
-    snapshots go with the tasks and batches of signatures are counted by matrix products, for billions of pairs.
+    method "arrow": signatures and snapshots are gathered into chunks of about CHUNK, chunks meet in an equi-join, and
+    two chunks are counted against each other by a matrix product; "explode": one row per pair and channel, counted by
+    n x n conditional sums. Null arrays have no pairs.
     """
     left = signatures.withColumn("bv", bin_array(F.col("w"), n))
     right = snapshots.withColumn("bs", bin_array(F.col("v"), n))
     if method == "arrow":
-        return _information_by_batch(left, right, signature_keys, snapshot_keys, keys, n, alpha, eps)
+        return _information_by_chunk(left, right, signature_keys, snapshot_keys, keys, n, alpha, eps)
     a = long_form(left, signature_keys, "bv", "pos", "a")
     b = long_form(right, snapshot_keys, "bs", "pos", "b")
-    joint = a.join(F.broadcast(b), "pos").groupBy(*keys)
+    joint = a.join(stored(b, "bins"), "pos").groupBy(*keys)
     cells = [(i, j) for i in range(n) for j in range(n)]
     counted = joint.agg(*[F.sum(F.when((F.col("a") == i) & (F.col("b") == j), 1.0).otherwise(0.0)).alias(f"c{i}_{j}") for i, j in cells])
     return counted.select(*keys, information(F.array(*[F.col(f"c{i}_{j}") for i, j in cells]), n, alpha, eps).alias("mi"))
 
 
-def _information_by_batch(left: DataFrame, right: DataFrame, own: list[str], other: list[str], keys: list[str], n: int, alpha: float, eps: float) -> DataFrame:
-    small = right.select(*other, "bs").toPandas()  # one row per epoch: as small as the broadcast side of the other method
-    marks = np.stack([np.stack(small["bs"].to_numpy()) == j for j in range(n)], axis=1).astype(np.float32) if len(small) else None
-    kinds = dict(left.dtypes) | dict(right.dtypes)
+def _chunks(df: DataFrame, keys: list[str], bins: str, name: str) -> tuple[DataFrame, int]:
+    """Rows of about CHUNK rows of df each: `name` (number), the keys as arrays and all bins in one array; and how many."""
+    rows = df.where(F.col(bins).isNotNull()).select(*keys, F.col(bins).cast("array<tinyint>").alias("_bins"))
+    count = -(-rows.count() // CHUNK) or 1
+    gathered = rows.groupBy(F.pmod(F.xxhash64(*keys), F.lit(count)).alias(name)).agg(F.collect_list(F.struct(*keys, "_bins")).alias("_r"))
+    return gathered.select(name, *[F.col(f"_r.{k}").alias(f"{name}_{k}") for k in keys], F.flatten("_r._bins").alias(f"{name}_bins")), count
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if marks is None or not len(frame):
-                continue
-            for start in range(0, len(frame), 512):
-                part = frame.iloc[start : start + 512]
-                own_marks = np.stack([np.stack(part["bv"].to_numpy()) == i for i in range(n)], axis=1).astype(np.float32)
-                joint = np.einsum("vic,sjc->vsij", own_marks, marks, optimize=True).astype(np.float64) + alpha
+def _information_by_chunk(left: DataFrame, right: DataFrame, own: list[str], other: list[str], keys: list[str], n: int, alpha: float, eps: float) -> DataFrame:
+    kinds = dict(left.dtypes) | dict(right.dtypes)
+    a, _ = _chunks(left, own, "bv", "_a")
+    b, blocks = _chunks(right, other, "bs", "_b")
+    pairs = a.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(stored(b, "chunks"), "_b")
+    pairs = pairs.select("_a_bins", "_b_bins", *[f"_a_{k}" for k in own], *[f"_b_{k}" for k in other])
+
+    def marked(bins: np.ndarray, rows: int) -> np.ndarray:
+        return np.stack([bins.reshape(rows, -1) == i for i in range(n)], axis=1).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = {name: batch.column(name)[k].values for name in batch.schema.names}
+                rows, columns = len(row[f"_a_{own[0]}"]), len(row[f"_b_{other[0]}"])
+                one, two = marked(row["_a_bins"].to_numpy(), rows), marked(row["_b_bins"].to_numpy(), columns)
+                joint = (one.reshape(rows * n, -1) @ two.reshape(columns * n, -1).T).reshape(rows, n, columns, n).transpose(0, 2, 1, 3).astype(np.float64) + alpha
                 p = joint / joint.sum((2, 3), keepdims=True)
                 product = p.sum(3)[..., None] * p.sum(2)[..., None, :] + eps
                 mi = np.maximum(0.0, np.where(p > 0, p * np.log(np.where(p > 0, p, 1.0) / product), 0.0).sum((2, 3)))
-                out = {k: np.repeat(part[k].to_numpy(), len(small)) for k in own} | {k: np.tile(small[k].to_numpy(), len(part)) for k in other}
-                yield pd.DataFrame(out | {"mi": mi.ravel()})[[*keys, "mi"]]
+                at = {f"_a_{name}": np.repeat(np.arange(rows), columns) for name in own} | {f"_b_{name}": np.tile(np.arange(columns), rows) for name in other}
+                made = {name[3:]: row[name].take(pa.array(places)) for name, places in at.items()}
+                yield pa.RecordBatch.from_arrays([*[made[name] for name in keys], pa.array(mi.ravel())], names=[*keys, "mi"])
 
-    return left.select(*own, "bv").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", mi double")
+    return pairs.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", mi double")
 
 
 def bin_agreement(a: Column, b: Column) -> Column:
@@ -144,9 +177,12 @@ def bin_agreement(a: Column, b: Column) -> Column:
 def min_max(df: DataFrame, keys: list[str], columns: list[str], eps: float = 0.0) -> DataFrame:
     """Columns rescaled to 0..1 within keys; flat groups become 0.
 
-    The ends come from a partial and final aggregate and are joined back, so no group is gathered in one task.
+    The ends come from a partial and final aggregate and are joined back, so no group is gathered in one task. df is
+    stored first: it is read twice and may be costly.
     """
+    df = stored(df, "unscaled")
     ends = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+    ends = stored(ends, "ends")
     scaled = {c: F.when(F.col(f"_hi_{c}") > F.col(f"_lo_{c}") + eps, (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))).otherwise(0.0) for c in columns}
     return df.join(ends, keys).withColumns(scaled).drop(*[f"_{n}_{c}" for c in columns for n in ("lo", "hi")])
 

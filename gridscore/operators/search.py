@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridscore.functions.geometry import in_box, raw_prior, scaled_prior
-from gridscore.model import BAND_BOUNDS, BOUNDS, DEFAULTS, PRIORS, TARGETS, WEIGHT_CAPS, Box, Target
-from gridscore.operators.metrics import EPS, target_score
+from gridscore.model import BAND_BOUNDS, BOUNDS, CONFIDENCE, DEFAULTS, GLOBAL_BOUNDS, PRIORS, SPACING, TARGETS, WEIGHT_CAPS, Box, Target
+from gridscore.operators.metrics import EPS, band_metric, target_score
 from gridscore.operators.resample import uniform
+from gridscore.operators.timeops import temporal_keep
 from gridscore.session import stored
 
 
@@ -157,7 +158,8 @@ def optimise_band(scores: DataFrame, band: str, n: int = 20, rounds: int = 3, k:
     """
     spark = scores.sparkSession
     spatial = {p: BAND_BOUNDS.get(band, {}).get(p, BOUNDS[p]) for p in ("boost", "penalty", "softening")}
-    intensity = {p: BOUNDS[p] for p in ("mi_weight", "contrast")}
+    # the last two shape the volume later; they are drawn and kept with the rest
+    intensity = {p: BOUNDS[p] for p in ("mi_weight", "contrast", "keep_top_pct", "smoothing_fwhm")}
     names = [*intensity, *spatial]
     start = DEFAULTS[band]
     assignment = stored(folds(scores, "recording_id", k, seed), "folds")
@@ -211,89 +213,154 @@ GRID = tuple(round(0.3 + 0.1 * i, 1) for i in range(7))
 GRID_RULES = {"alpha": ("ratio", 6.0, (None, 0.85)), "beta": ("share", 0.575, (0.45, None)), "theta": ("share", 0.20, (None, 0.70)), "delta": ("entropy", None, (None, None)), "gamma": ("kurtosis", None, (None, None))}
 
 
-def grid_search(scores: DataFrame, band: str, k: int = 3, seed: int = 42, weights: tuple[float, ...] = GRID, region: Box | None = None) -> DataFrame:
-    """mi_weight, value, stability and metric of each weight, over k folds of epochs (scores: voxel_id, epoch, x, y, z,
-    mi, dice).
+#: Boxes of the older grid search: beta's and theta's, and theta's where one recording is searched alone.
+GRID_BOXES = {"beta": Box(y_min=-40, y_max=0), "theta": Box(y_min=-10, y_max=60, abs_x_max=40)}
+SINGLE_THETA = Box(y_min=20, abs_x_max=30)
+_GRID_SUMS = ("back", "front", "middle", "rest", "beta", "theta", "n", "p1", "p2", "p3", "p4")
+
+
+def grid_sums(scores: DataFrame, keys: list[str], assignment: DataFrame, weights: tuple[float, ...] = GRID, theta: Box = GRID_BOXES["theta"]) -> DataFrame:
+    """keys, mi_weight, fold and the sums that every band's value is made of; fold -1 is all epochs.
+
+    scores: keys, voxel_id, epoch, x, y, mi, dice, averaged over what keys leave out; assignment: epoch, fold. One
+    aggregate serves all bands, and sums of several recordings add up.
+    """
+    means = scores.groupBy(*keys, "voxel_id", "x", "y", "epoch").agg(F.avg("mi").alias("mi"), F.avg("dice").alias("dice")).join(assignment, "epoch")
+    twice = means.withColumn("fold", F.explode(F.array(F.lit(-1).cast("long"), F.col("fold").cast("long"))))
+    rows = twice.groupBy(*keys, "voxel_id", "x", "y", "fold").agg(F.avg("mi").alias("mi"), F.avg("dice").alias("dice"))
+    rows = rows.withColumn("mi_weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
+    h, y = F.col("_h"), F.col("y")
+    zones = {"back": y < -40, "front": y > 0, "middle": (y >= -40) & (y < 0), "rest": y >= 0, "beta": in_box(GRID_BOXES["beta"]), "theta": in_box(theta)}
+    sums = [F.sum(F.when(c, h).otherwise(0.0)).alias(n) for n, c in zones.items()] + [F.count("*").alias("n"), *[F.sum(F.pow(h, F.lit(float(k)))).alias(f"p{k}") for k in range(1, 5)]]
+    return rows.withColumn("_h", F.col("mi_weight") * F.col("mi") + (1 - F.col("mi_weight")) * F.col("dice")).groupBy(*keys, "mi_weight", "fold").agg(*sums)
+
+
+def _grid_value(band: str) -> Column:
+    """A band's value from grid_sums()."""
+    kind = GRID_RULES[band][0]
+    if kind == "ratio":
+        return F.col("back") / (F.col("front") + EPS)
+    if kind == "share":
+        return F.col(band) / (F.col("p1") + EPS)
+    if kind == "kurtosis":
+        m, n = F.col("p1") / F.col("n"), F.col("n")
+        second = F.col("p2") / n - m * m
+        fourth = F.col("p4") / n - 4 * m * F.col("p3") / n + 6 * m * m * F.col("p2") / n - 3 * F.pow(m, F.lit(4.0))
+        return F.try_divide(fourth, second * second) - 3
+    parts = [F.col("back"), F.col("middle"), F.col("rest")]
+    total = reduce(Column.__add__, parts) + EPS
+    return reduce(Column.__add__, [F.when(p > 0, -p / total * F.log(p / total)).otherwise(0.0) for p in parts])
+
+
+def grid_scored(sums: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
+    """keys, band, mi_weight, value, stability and metric of every band from grid_sums().
 
     alpha: posterior over anterior against its target ratio; beta and theta: a region's share against its target;
     delta: entropy of three zones; gamma: kurtosis over voxels; each times stability over the folds.
     """
-    kind, target, _ = GRID_RULES[band]
-    assignment = folds(scores, "epoch", k, seed)
-    grid = F.explode(F.array(*[F.lit(float(w)) for w in weights])).alias("mi_weight")
-    blended = F.col("mi_weight") * F.col("mi") + (1 - F.col("mi_weight")) * F.col("dice")
-    means = scores.groupBy("voxel_id", "x", "y", "epoch").agg(F.avg("mi").alias("mi"), F.avg("dice").alias("dice")).join(F.broadcast(assignment), "epoch")
-    per_fold = means.groupBy("voxel_id", "x", "y", "fold").agg(F.avg("mi").alias("mi"), F.avg("dice").alias("dice"))
-    whole = means.groupBy("voxel_id", "x", "y").agg(F.avg("mi").alias("mi"), F.avg("dice").alias("dice")).withColumn("fold", F.lit(-1).cast("bigint"))
-    rows = per_fold.withColumn("fold", F.col("fold").cast("bigint")).unionByName(whole).select("*", grid).withColumn("h", blended)
-    y, h = F.col("y"), F.col("h")
-    box = region or (Box(y_min=-40, y_max=0) if band == "beta" else Box(y_min=-10, y_max=60, abs_x_max=40))
-    share = lambda c: F.sum(F.when(c, h).otherwise(0.0))
-    if kind == "ratio":
-        value = share(y < -40) / (share(y > 0) + EPS)
-    elif kind == "share":
-        value = share(in_box(box)) / (F.sum(h) + EPS)
-    elif kind == "kurtosis":
-        value = F.kurtosis("h")
-    else:
-        parts = [share(y < -40), share((y >= -40) & (y < 0)), share(y >= 0)]
-        total = reduce(Column.__add__, parts) + EPS
-        value = reduce(Column.__add__, [F.when(p > 0, -p / total * F.log(p / total)).otherwise(0.0) for p in parts])
-    found = rows.groupBy("mi_weight", "fold").agg(value.alias("_v"))
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), _grid_value(b).alias("_v"), F.lit(GRID_RULES[b][1]).cast("double").alias("_target")) for b in bands])).alias("b")
+    found = sums.select(*keys, "mi_weight", "fold", each).select(*keys, "mi_weight", "fold", "b.*")
     of_folds = F.when(F.col("fold") >= 0, F.col("_v"))
     stability = 1 - F.stddev_pop(of_folds) / (F.avg(of_folds) + EPS)
-    scored = found.groupBy("mi_weight").agg(F.max(F.when(F.col("fold") < 0, F.col("_v"))).alias("value"), stability.alias("stability"))
-    closeness = 1 - F.least(F.lit(1.0), F.abs(F.col("value") - target) / target) if target else F.col("value")
-    return scored.withColumn("metric", closeness * F.col("stability"))
-
-
-def grid_pick(found: DataFrame, band: str) -> DataFrame:
-    """The grid's best weight (the first of ties), raised or capped for the band."""
-    low, high = GRID_RULES[band][2]
-    best = found.agg(F.max_by("mi_weight", F.struct(F.round("metric", 12), -F.col("mi_weight"))).alias("mi_weight"))
-    w = F.col("mi_weight")
-    w = F.greatest(w, F.lit(low)) if low is not None else w
-    return best.select(F.lit(band).alias("band"), (F.least(w, F.lit(high)) if high is not None else w).alias("mi_weight"))
+    scored = found.groupBy(*keys, "band", "_target", "mi_weight").agg(F.max(F.when(F.col("fold") < 0, F.col("_v"))).alias("value"), stability.alias("stability"))
+    closeness = F.when(F.col("_target").isNull(), F.col("value")).otherwise(1 - F.least(F.lit(1.0), F.abs(F.col("value") - F.col("_target")) / F.col("_target")))
+    return scored.withColumn("metric", closeness * F.col("stability")).drop("_target")
 
 
-def evaluate_global(volume: DataFrame, targets: dict[str, Target], isolation: DataFrame, window: int, least_cells: int, share: float = 0.3) -> DataFrame:
-    """band and score of one global candidate: temporal filter with zero edges, isolated voxels damped, metric weighted by
-    confidence; volume: recording_id, band, voxel_id, epoch, value, x, y, z; isolation: voxel_id, n_near."""
-    from gridscore.model import CONFIDENCE
-    from gridscore.operators.metrics import band_metric
-    from gridscore.operators.timeops import temporal_keep
+def grid_search(scores: DataFrame, bands: list[str], k: int = 3, seed: int = 42, weights: tuple[float, ...] = GRID, assignment: DataFrame | None = None, keys: list[str] | None = None, theta: Box = GRID_BOXES["theta"]) -> DataFrame:
+    """band, mi_weight, value, stability and metric of each weight over k folds of epochs (scores: voxel_id, epoch, x, y,
+    mi, dice), or over the folds given; with keys (recording_id) each recording is searched alone."""
+    keys = keys or []
+    return grid_scored(grid_sums(scores, keys, folds(scores, "epoch", k, seed) if assignment is None else assignment, weights, theta), keys, bands)
 
-    kept = temporal_keep(volume, ["recording_id", "band", "voxel_id"], window, share, "zero")
-    means = kept.groupBy("recording_id", "band", "voxel_id", "x", "y", "z").agg(F.avg("value").alias("value")).join(isolation, "voxel_id", "left")
-    damped = means.withColumn("value", F.when(F.coalesce("n_near", F.lit(1)) < least_cells, F.col("value") * 0.1).otherwise(F.col("value")))
-    parts = [band_metric(damped.where(F.col("band") == b), ["recording_id"], b, target=t).agg(F.avg("metric").alias("m")).select(F.lit(b).alias("band"), (F.col("m") * CONFIDENCE.get(t.confidence, 0.5)).alias("score")) for b, t in targets.items()]
-    return reduce(DataFrame.unionByName, parts)
 
+def grid_pick(found: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, band and its best weight of the grid (the first of ties), raised or capped for the band."""
+    best = found.groupBy(*(keys or []), "band").agg(F.max_by("mi_weight", F.struct(F.round("metric", 9), -F.col("mi_weight"))).alias("mi_weight"))
+    w = F.col("mi_weight")
+    for b, (_, _, (low, high)) in GRID_RULES.items():
+        own = F.greatest(w, F.lit(low if low is not None else 0.0))
+        w = F.when(F.col("band") == b, F.least(own, F.lit(high if high is not None else 1.0))).otherwise(w)
+    return best.withColumn("mi_weight", w)
 
-def optimise_global(volume: DataFrame, targets: dict[str, Target], cells: DataFrame, n: int = 15, rounds: int = 2, seed: int = 42) -> dict[str, float]:
-    """The temporal window and cluster size with the best mean score: defaults, n candidates, then `rounds` x 8 around
-    the best. Candidates are a few numbers on the driver; each is one Spark job."""
-    import random
 
-    from gridscore.model import GLOBAL_BOUNDS
-    from gridscore.operators.lattice import min_cells
+def grid_leave_one_out(scores: DataFrame, bands: list[str], assignment: DataFrame, weights: tuple[float, ...] = GRID) -> DataFrame:
+    """band, test_id, mi_weight, pa_ratio and occipital_pct: for every recording left out, the weight that the others'
+    pooled values favour, and what the recording itself comes to with it, rescaled by its own extremes.
 
-    draw = random.Random(seed)
-    isolation = stored(cells, "isolation")
+    Pools are totals less the recording's own sums, so one aggregate over all scores serves every fold.
+    """
+    sums = stored(grid_sums(scores, ["recording_id"], assignment, weights), "grid")
+    whole = sums.groupBy("mi_weight", "fold").agg(*[F.sum(c).alias(f"t_{c}") for c in _GRID_SUMS])
+    left = sums.join(whole, ["mi_weight", "fold"]).select(F.col("recording_id").alias("test_id"), "mi_weight", "fold", *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in _GRID_SUMS])
+    picked = stored(grid_pick(grid_scored(left.where("n > 0"), ["test_id"], bands), ["test_id"]), "picked")
+    # caps lie off the grid, so the recording's own values are made anew, once for each weight that was picked
+    ours = scores.withColumnRenamed("recording_id", "test_id").join(picked.select("test_id", "mi_weight").distinct(), "test_id")
+    h = F.col("mi_weight") * F.col("mi") + (1 - F.col("mi_weight")) * F.col("dice")
+    ours = ours.withColumn("_h", h)
+    means = ours.groupBy("test_id", "mi_weight", "voxel_id", "y").agg(F.avg("_h").alias("_h"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
+    part = lambda c: [F.sum(F.when(c, F.col("_h")).otherwise(0.0)), F.sum(c.cast("int"))]
+    zones = {"back": F.col("y") < -40, "front": F.col("y") > 0, "occipital": F.col("y") < -70, "all": F.lit(True)}
+    found = means.groupBy("test_id", "mi_weight").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), *[c.alias(f"{p}_{z}") for z, cond in zones.items() for p, c in zip("sn", part(cond), strict=True)])
+    # scaling is affine: a zone's scaled sum is its sum less its count times the lowest, over the range
+    scaled = lambda z: F.when(F.col("_hi") > F.col("_lo"), (F.col(f"s_{z}") - F.col(f"n_{z}") * F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.col(f"s_{z}"))
+    tested = found.select("test_id", "mi_weight", (scaled("back") / (scaled("front") + EPS)).alias("pa_ratio"), (100 * scaled("occipital") / (scaled("all") + EPS)).alias("occipital_pct"))
+    return picked.join(tested, ["test_id", "mi_weight"]).select("band", "test_id", "mi_weight", "pa_ratio", "occipital_pct")
+
+
+def windowed_means(volume: DataFrame, windows: list[int], share: float = 0.3) -> DataFrame:
+    """recording_id, band, voxel_id, x, y, z, temporal_window, epochs and value: time means of a volume after the temporal
+    filter with zero edges, for each window; a series no longer than the window isn't filtered."""
+    series = ["recording_id", "band", "voxel_id"]
+    place = [*series, "x", "y", "z"]
+
+    def one(window: int) -> DataFrame:
+        kept = temporal_keep(volume.withColumn("_raw", F.col("value")), series, window, share, "zero")
+        value = F.when(F.count("*") > window, F.avg("value")).otherwise(F.avg("_raw"))
+        return kept.groupBy(*place).agg(value.alias("value"), F.count("*").alias("epochs")).withColumn("temporal_window", F.lit(window))
+
+    return reduce(DataFrame.unionByName, [one(w) for w in windows])
+
+
+def global_scores(means: DataFrame, candidates: DataFrame, targets: dict[str, Target], isolation: DataFrame) -> DataFrame:
+    """cand, band and score of global candidates (cand, temporal_window, least_cells) over windowed_means(), all in one
+    aggregate: the metric averaged over recordings, weighted by the target's confidence.
+
+    Voxels with fewer than least_cells near (isolation: voxel_id, n_near) are damped, but only where the series is no
+    longer than the window: the temporal filter's means replace the damped ones.
+    """
+    rows = means.join(F.broadcast(candidates), "temporal_window").join(isolation, "voxel_id", "left")
+    damp = (F.coalesce("n_near", F.lit(1)) < F.col("least_cells")) & (F.col("epochs") <= F.col("temporal_window"))
+    rows = rows.withColumn("value", F.when(damp, F.col("value") * 0.1).otherwise(F.col("value")))
+    parts = [band_metric(rows.where(F.col("band") == b), ["cand", "recording_id"], b, target=t).groupBy("cand").agg(F.avg("metric").alias("m")).select("cand", F.lit(b).alias("band"), (F.col("m") * CONFIDENCE.get(t.confidence, 0.5)).alias("score")) for b, t in targets.items()]
+    return reduce(DataFrame.unionByName, parts)
 
-    def score(c: dict[str, float]) -> float:
-        found = evaluate_global(volume, targets, isolation, int(c["temporal_window"]), min_cells(c["min_cluster_mm3"], least=4))
-        return found.agg(F.avg("score")).first()[0] or 0.0
 
-    def point(center: dict[str, float] | None, width: float) -> dict[str, float]:
-        ends = {p: (lo, hi) if center is None else (max(lo, center[p] - (hi - lo) * width / 2), min(hi, center[p] + (hi - lo) * width / 2)) for p, (lo, hi) in GLOBAL_BOUNDS.items()}
-        made = {p: draw.uniform(*e) for p, e in ends.items()}
-        return made | {"temporal_window": float(round(made["temporal_window"]))}
+def optimise_global(volume: DataFrame, targets: dict[str, Target], isolation: DataFrame, n: int = 15, rounds: int = 2, near: int = 8, seed: int = 42, tolerance: float = 0.001) -> DataFrame:
+    """round, temporal_window, min_cluster_mm3 and score of the best candidate after each round: the defaults with n
+    candidates of a Latin hypercube, then `near` around the best, twice.
 
-    best = {"temporal_window": 3.0, "min_cluster_mm3": 25.0}
-    top = score(best)
+    The temporal filter runs once for each whole window that the bounds allow; a round is one aggregate over time means.
+    """
+    spark = volume.sparkSession
+    names = list(GLOBAL_BOUNDS)
+    low, high = GLOBAL_BOUNDS["temporal_window"]
+    means = stored(windowed_means(volume, list(range(round(low), round(high) + 1))), "windowed")
+    start = {"temporal_window": 3.0, "min_cluster_mm3": 25.0}
+    first = spark.range(1).select(F.lit(-1).alias("cand"), *[F.lit(start[p]).alias(p) for p in names])
+    made = latin_hypercube(spark, GLOBAL_BOUNDS, n, seed).unionByName(first)
+    best: DataFrame | None = None
+    trail = []
     for r in range(rounds + 1):
-        for c in [point(None if r == 0 else best, 0.4**r) for _ in range(n if r == 0 else 8)]:
-            if (s := score(c)) > top:
-                best, top = c, s
-    return best | {"score": top}
+        if best is not None:
+            made = refine(best.select(*names), GLOBAL_BOUNDS, near, r, seed).withColumn("temporal_window", F.round("temporal_window"))
+        made = stored(made.select("cand", *names), "candidates")
+        asked = made.select("cand", F.col("temporal_window").cast("int"), F.greatest(F.lit(4), F.floor(F.col("min_cluster_mm3") / SPACING**3)).alias("least_cells"))
+        scored = global_scores(means, asked, targets, isolation).groupBy("cand").agg(F.avg("score").alias("score")).join(made, "cand")
+        top = scored.agg(F.max_by(F.struct("score", *names), F.struct(F.round("score", 12), -F.col("cand"))).alias("b")).select("b.*")
+        if best is not None:
+            both = top.select(F.struct("score", *names).alias("new")).crossJoin(best.select(F.struct("score", *names).alias("old")))  # one row each
+            top = both.select(F.when(F.col("new.score") > F.col("old.score") + tolerance, F.col("new")).otherwise(F.col("old")).alias("b")).select("b.*")
+        best = stored(top, "best")
+        trail.append(best.withColumn("round", F.lit(r)))
+    return reduce(DataFrame.unionByName, trail).select("round", *names, "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridscore.functions.columns import let, total
 from gridscore.functions.geometry import adaptive_sigma
 
 
@@ -21,36 +22,54 @@ def _with_channels(voxels: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 def _normalised(w: Column, fallback: Column) -> Column:
-    total = F.aggregate(w, F.lit(0.0), lambda s, v: s + v)
-    return F.when(total > 1e-12, F.transform(w, lambda v: v / total)).otherwise(fallback)
+    return let(w, lambda v: let(total(v), lambda t: F.when(t > 1e-12, F.transform(v, lambda e: e / t)).otherwise(fallback)))
 
 
 def signatures(voxels: DataFrame, channels: DataFrame, band: str | None = None, cut: float = 200.0, least: int = 8, same: float = 0.85, cross: float = 0.25, middle: float = 0.80, gap: float = 3.0) -> DataFrame:
     """voxels with `w`: Gaussian weights over the channels, in idx order, that sum to 1.
 
     Weights fall with distance by the voxel's zone and end at `cut`; where fewer than `least` exceed 0.01 the nearest
-    `least` channels get 0.05 at least; channels across the midline weigh `cross`, on the voxel's side `same`, and for
+    `least` channels (by idx where equally near) get 0.05 at least; channels across the midline weigh `cross`, on the voxel's side `same`, and for
     midline voxels both sides `middle`. Where nothing is left the nearest channel takes all.
     """
-    rows = _with_channels(voxels, channels).withColumn("_s", adaptive_sigma(F.col("y"), band))
-    raw = F.transform("c", lambda c: F.when(c["d"] > cut, 0.0).otherwise(F.exp(-c["d"] * c["d"] / (2 * F.col("_s") * F.col("_s")))))
-    near = F.element_at(F.array_sort(F.transform("c", lambda c: c["d"])), F.least(F.lit(least), F.size("c")))
-    few = F.size(F.filter("_raw", lambda v: v > 0.01)) < least
-    floored = F.zip_with("_raw", "c", lambda v, c: F.when(few & (c["d"] <= F.col("_near")), F.greatest(v, F.lit(0.05))).otherwise(v))
     side = F.when(F.col("x") < -gap, "L").when(F.col("x") > gap, "R").otherwise("M")
-    factor = F.zip_with("_w", "c", lambda v, c: v * F.when(c["side"] == "M", 1.0).when(F.col("_side") == "M", middle).when(c["side"] == F.col("_side"), same).otherwise(cross))
-    nearest = F.transform("c", lambda c: F.when(c["idx"] == F.array_min(F.transform("c", lambda e: F.struct(e["d"], e["idx"])))["idx"], 1.0).otherwise(0.0))
-    rows = rows.withColumn("_raw", raw).withColumn("_near", near).withColumn("_w", floored).withColumn("_side", side)
-    return rows.withColumn("w", _normalised(factor, nearest)).drop("c", "_s", "_raw", "_near", "_w", "_side")
+    decay = adaptive_sigma(F.col("y"), band)
+    voxel = F.struct(F.col("c").alias("c"), side.alias("side"), (2 * decay * decay).alias("s"))
+
+    def raw(m: Column) -> Column:
+        return F.transform(m["c"], lambda c: F.when(c["d"] > cut, 0.0).otherwise(F.exp(-c["d"] * c["d"] / m["s"])))
+
+    def floored(m: Column, r: Column) -> Column:
+        place = lambda c: F.struct(c["d"].alias("d"), c["idx"].alias("idx"))
+        last = F.element_at(F.array_sort(F.transform(m["c"], place)), F.least(F.lit(least), F.size(m["c"])))
+        few = F.size(F.filter(r, lambda v: v > 0.01)) < least
+        # where enough exceed 0.01 there is no last one to raise
+        return let(F.when(few, last), lambda e: F.zip_with(r, m["c"], lambda v, c: F.when(place(c) <= e, F.greatest(v, F.lit(0.05))).otherwise(v)))
+
+    def sided(m: Column, w: Column) -> Column:
+        return F.zip_with(w, m["c"], lambda v, c: v * F.when(c["side"] == "M", 1.0).when(m["side"] == "M", middle).when(c["side"] == m["side"], same).otherwise(cross))
+
+    def nearest(m: Column) -> Column:
+        first = F.array_min(F.transform(m["c"], lambda c: F.struct(c["d"], c["idx"])))
+        return let(first["idx"], lambda k: F.transform(m["c"], lambda c: F.when(c["idx"] == k, 1.0).otherwise(0.0)))
+
+    w = let(voxel, lambda m: let(raw(m), lambda r: let(floored(m, r), lambda v: _normalised(sided(m, v), nearest(m)))))
+    return _with_channels(voxels, channels).withColumn("w", w).drop("c")
 
 
 def ranged_signatures(voxels: DataFrame, channels: DataFrame, sigma: float = 35.0, low: float = 10.0, high: float = 150.0, k: int = 3) -> DataFrame:
     """voxels with `w` over the channels within low..high of the voxel, or over the k nearest where none is."""
     rows = _with_channels(voxels, channels)
-    some = F.exists("c", lambda c: c["d"].between(low, high))
-    kth = F.element_at(F.array_sort(F.transform("c", lambda c: c["d"])), F.least(F.lit(k), F.size("c")))
-    weight = F.transform("c", lambda c: F.when(F.when(F.col("_some"), c["d"].between(low, high)).otherwise(c["d"] <= F.col("_kth")), F.exp(-c["d"] * c["d"] / (2 * sigma**2))).otherwise(0.0))
-    return rows.withColumn("_some", some).withColumn("_kth", kth).withColumn("w", _normalised(weight, F.transform("c", lambda c: F.lit(0.0)))).drop("c", "_some", "_kth")
+
+    def weighed(c: Column) -> Column:
+        kth = F.element_at(F.array_sort(F.transform(c, lambda e: e["d"])), F.least(F.lit(k), F.size(c)))
+        some = F.exists(c, lambda e: e["d"].between(low, high))
+        # between low and high where some is, else up to the k-th nearest
+        ends = F.struct(F.when(some, F.lit(low)).otherwise(0.0).alias("lo"), F.when(some, F.lit(high)).otherwise(kth).alias("hi"))
+        return let(ends, lambda m: F.transform(c, lambda e: F.when(e["d"].between(m["lo"], m["hi"]), F.exp(-e["d"] * e["d"] / (2 * sigma**2))).otherwise(0.0)))
+
+    w = let(F.col("c"), lambda c: _normalised(weighed(c), F.transform(c, lambda e: F.lit(0.0))))
+    return rows.withColumn("w", w).drop("c")
 
 
 def neighbour_weights(channels: DataFrame, sigma: float = 30.0, taper: float = 60.0, end: float = 100.0) -> DataFrame:
@@ -116,7 +135,7 @@ def project_surface(vertices: DataFrame, channels: DataFrame, envelopes: DataFra
     """vertex_id, epoch and value: channel envelopes (idx, epoch, value) spread by normalised Gaussian weights."""
     rows = _with_channels(vertices, channels)
     w = F.transform("c", lambda c: F.exp(-c["d"] * c["d"] / (2 * sigma**2)))
-    long = rows.withColumn("_w", _normalised(w, w)).select("vertex_id", F.explode(F.arrays_zip(F.col("c.idx").alias("idx"), F.col("_w").alias("w"))).alias("e")).select("vertex_id", "e.idx", "e.w")
+    long = rows.withColumn("_w", let(w, lambda v: _normalised(v, v))).select("vertex_id", F.explode(F.arrays_zip(F.col("c.idx").alias("idx"), F.col("_w").alias("w"))).alias("e")).select("vertex_id", "e.idx", "e.w")
     return long.join(envelopes, "idx").groupBy("vertex_id", "epoch").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 

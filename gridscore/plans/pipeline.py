@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridscore.functions.geometry import prior_weights
-from gridscore.model import BANDS, Params, PostParams
+from gridscore.model import BANDS, TARGETS, Params, PostParams
 from gridscore.operators import lattice, metrics, score, search, signal, signature, timeops, topk
 from gridscore.session import stored
 
@@ -39,12 +39,18 @@ def score_recordings(series: DataFrame, channels: DataFrame, voxels: DataFrame,
     return score.min_max(reduce(DataFrame.unionByName, parts), FRAME, ["mi", "dice"])
 
 
-def fit_weights(scores: DataFrame, bands: list[str], **options: int) -> tuple[DataFrame, DataFrame]:
-    """(folds, consensus): every band's leave-one-out optimum and its medians. scores: time means with x, y, z."""
-    names = ["mi_weight", "contrast", "boost", "penalty", "softening"]
+def fit_weights(scores: DataFrame, bands: list[str], volume: DataFrame | None = None, isolation: DataFrame | None = None, **options: int) -> tuple[DataFrame, DataFrame] | tuple[DataFrame, DataFrame, DataFrame]:
+    """(folds, consensus): every band's leave-one-out optimum and its medians. scores: time means with x, y, z.
+
+    With a located volume and the voxels' isolation a third table holds the second level's rounds: temporal window and
+    cluster size for all bands together.
+    """
+    names = ["mi_weight", "contrast", "boost", "penalty", "softening", "keep_top_pct", "smoothing_fwhm"]
     found = [search.optimise_band(scores.where(F.col("band") == b).drop("band"), b, **options) for b in bands]
     folds = reduce(DataFrame.unionByName, found)
-    return folds, search.consensus(folds, names)
+    if volume is None or isolation is None:
+        return folds, search.consensus(folds, names)
+    return folds, search.consensus(folds, names), search.optimise_global(volume, {b: TARGETS[b] for b in bands}, isolation)
 
 
 def build_volume(scores: DataFrame, voxels: DataFrame, band: str, params: Params) -> DataFrame:

@@ -56,7 +56,7 @@ def information_sql(n: int, alpha: float, eps: float) -> str:
 
 @query(f"WITH {information_sql(4, 0.5, 1e-10)} SELECT voxel_id, epoch, round(mi, 6) + 0.0 AS mi FROM info")
 def q_mi_hist(spark: SparkSession, d: str) -> DataFrame:
-    return rounded_all(score.mutual_information(signatures(spark, d), snapshots(spark, d), PAIR, ["voxel_id"], ["epoch"]), "mi")
+    return rounded_all(score.mutual_information(signatures(spark, d), snapshots(spark, d), PAIR, ["voxel_id"], ["epoch"], method="explode"), "mi")
 
 
 @query(f"WITH {information_sql(4, 0.5, 1e-10)} SELECT voxel_id, epoch, round(mi, 6) + 0.0 AS mi FROM info")
