@@ -9,16 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridscore.session import stored
 
-def dealt_in_blocks(rows: DataFrame, cell: list[str], tie: str, block: int) -> DataFrame:
+
+def dealt_in_blocks(rows: DataFrame, cell: list[str], tie: str, block: int, slim: DataFrame | None = None) -> DataFrame:
     """Rows sorted by block within partitions, each block at most about 2 x `block` rows of one cell.
 
     A cell of up to `block` rows is one block. A larger cell is cut by the hash of `tie` into c chunks, and each row
     goes to the c pairs of chunks that hold its own, so that every two rows of the cell meet in some block whatever
     the cell's size, and no task holds more than a block. Adds `_chunk`, `_i` and `_j`; two rows of one chunk meet in
-    several blocks and are compared where `_i` = `_j`.
+    several blocks and are compared where `_i` = `_j`. Cells are counted on `slim`, the same rows with fewer columns.
     """
-    large = rows.groupBy(*cell).count().where(F.col("count") > block).select(*cell, F.ceil(F.col("count") / block).alias("_chunks"))
+    large = (rows if slim is None else slim).groupBy(*cell).count().where(F.col("count") > block).select(*cell, F.ceil(F.col("count") / block).alias("_chunks"))
+    large = stored(large, "large")  # at most one cell for `block` rows: Spark sees the size, and only a large table is shuffled
     joined = rows.join(large, cell, "left")
     chunk = F.when(F.col("_chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64(tie), F.col("_chunks"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)).cast("int") - 1))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,8 +16,10 @@ from gridscore.operators.components import connected_components
 from gridscore.session import stored
 
 COSINE = 0.95
-#: Blocks that the rotated coordinates are split into, and how many coordinates of a block its grid is laid over.
-BLOCKS, GRIDDED, SEED = 4, 2, 42
+#: Blocks that the rotated coordinates are split into, and vectors that the rotation is fitted on at most.
+BLOCKS, SAMPLE, SEED = 4, 2048, 42
+#: What a row that is sent to a cell costs, in comparisons of two rows; a grid is laid over up to MOST coordinates.
+ROW_COST, MOST = 3000, 8
 #: Room for rounding in squared distances of unit vectors.
 SLACK = 1e-6
 #: Rows of a cell that one block of work holds at most, twice; and pairs that are looked at in one go.
@@ -30,14 +33,39 @@ def _rotation(dims: int) -> np.ndarray:
 
 
 class _Space:
-    """Where unit vectors of `dims` coordinates lie: their blocks, each with its share of the squared-distance budget."""
+    """Where unit vectors of `dims` coordinates lie: their blocks, each with its share of the squared-distance budget.
 
-    def __init__(self, dims: int, cosine: float):
-        self.rotation = _rotation(dims)
-        parts = np.array_split(np.arange(dims), min(BLOCKS, dims))
-        self.parts = [slice(int(p[0]), int(p[-1]) + 1) for p in parts]
+    Any rotation gives the same links. This one puts the widest directions of `sample` first in the blocks, in turn, and
+    each block's grid lies over its widest coordinates: as many as make the least work for `n` vectors.
+    """
+
+    def __init__(self, dims: int, cosine: float, sample: np.ndarray, n: int):
+        blocks = min(BLOCKS, dims)
+        if len(sample) >= 2 * dims:
+            widest = np.linalg.eigh(np.cov(sample.T).reshape(dims, dims))[1][:, ::-1]
+            self.rotation = np.ascontiguousarray(widest[:, np.argsort(np.arange(dims) % blocks, kind="stable")])
+        else:
+            self.rotation = _rotation(dims)
+        sizes = [len(range(k, dims, blocks)) for k in range(blocks)]
+        ends = np.cumsum(sizes).tolist()
+        self.parts = [slice(end - size, end) for size, end in zip(sizes, ends, strict=True)]
         whole = 2 - 2 * cosine + SLACK
-        self.budgets = [whole * len(p) / dims for p in parts]
+        self.budgets = [whole * size / dims for size in sizes]
+        spread = (sample @ self.rotation).std(0) if len(sample) > 1 else np.full(dims, dims**-0.5)
+        self.gridded = [self._gridded(spread[part], budget, n) for part, budget in zip(self.parts, self.budgets, strict=True)]
+
+    @staticmethod
+    def _radius(budget: float) -> tuple[float, int]:
+        """The radius that cells are twice as wide as, and how many cells a coordinate of unit vectors has at most."""
+        radius = budget**0.5 * (1 + 1e-9)
+        return radius, 2 * math.ceil(0.5 / radius) + 5
+
+    def _gridded(self, spread: np.ndarray, budget: float, n: int) -> int:
+        """Coordinates to grid: each sends a row to two thirds more cells and leaves this share of the comparisons."""
+        radius, cells = self._radius(budget)
+        most = max(1, min(len(spread), MOST, int(62 / math.log2(cells))))
+        left = np.cumprod([math.erf(0.86 * radius / max(float(s), 1e-9)) for s in spread[:most]])
+        return int(np.argmin([ROW_COST * 1.68**g + n * left[g - 1] for g in range(1, most + 1)])) + 1
 
     def rotated(self, unit: np.ndarray) -> np.ndarray:
         # a plain sum in fixed order: a row's coordinates are alike in whatever batch it comes
@@ -50,20 +78,39 @@ class _Space:
 
     def cells(self, rotated: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, cell, home) of the cells of block k's grid that the rows lie in or, being later ones, reach into."""
-        radius = self.budgets[k] ** 0.5 * (1 + 1e-9)
-        x = rotated[:, self.parts[k]][:, :GRIDDED]
-        home = np.floor(x / (2 * radius)).astype(np.int64)
-        low, high = np.floor((x - radius) / (2 * radius)).astype(np.int64), np.floor((x + radius) / (2 * radius)).astype(np.int64)
-        code = (home + (1 << 20)) @ (1 << 22 * np.arange(x.shape[1], dtype=np.int64))
-        found = [(np.arange(len(x)), code, np.ones(len(x), dtype=bool))]
-        for corner in range(1, 1 << x.shape[1]):
-            # a radius is half a cell, so in each coordinate a row reaches into one other cell at most
-            moved = [(corner >> c) & 1 for c in range(x.shape[1])]
-            other = np.stack([np.where(low[:, c] < home[:, c], low[:, c], high[:, c]) if moved[c] else home[:, c] for c in range(x.shape[1])], axis=1)
-            there = (other + (1 << 20)) @ (1 << 22 * np.arange(x.shape[1], dtype=np.int64))
-            rows = np.flatnonzero(np.all((other != home) == np.array(moved, dtype=bool), axis=1) & (there > code))
-            found.append((rows, there[rows], np.zeros(len(rows), dtype=bool)))
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+        radius, cells = self._radius(self.budgets[k])
+        x = rotated[:, self.parts[k]][:, : self.gridded[k]] / (2 * radius)
+        home = np.floor(x).astype(np.int64)
+        up = x - home >= 0.5
+        # a radius is half a cell, so in each coordinate a row reaches into the nearer neighbour at most
+        gap = np.where(up, home + 1 - x, x - home) * (2 * radius)
+        unit = cells ** np.arange(x.shape[1], dtype=np.int64)
+        code = (home + cells // 2) @ unit
+        row, cell, left = np.arange(len(x)), code, np.full(len(x), radius**2 * (1 + 1e-9))
+        for c in range(x.shape[1]):
+            rest = left - gap[row, c] ** 2
+            some = np.flatnonzero(rest >= 0)
+            moved = row[some]
+            row, cell = np.concatenate([row, moved]), np.concatenate([cell, cell[some] + np.where(up[moved, c], unit[c], -unit[c])])
+            left = np.concatenate([left, rest[some]])
+        kept = (np.arange(len(row)) < len(x)) | (cell > code[row])
+        return row[kept], cell[kept], np.arange(len(row))[kept] < len(x)
+
+
+#: Makes the space of vectors of so many coordinates.
+Spaces = Callable[[int], _Space]
+
+
+def _spaces(distinct: DataFrame, cosine: float) -> Spaces:
+    """Spaces fitted on up to SAMPLE vectors of each frequent length, drawn by hash."""
+    counts = {r.dims: r.n for r in distinct.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").limit(8).collect()}
+    known = {}
+    for dims, n in counts.items():
+        draw = F.pmod(F.xxhash64("vector", F.lit(SEED)), F.lit(1 << 32))
+        drawn = distinct.where((F.col("dims") == dims) & (draw < int(min(1, 2 * SAMPLE / n) * (1 << 32)))).orderBy(draw, "uid").limit(SAMPLE)
+        vectors = drawn.select("vector").toArrow()["vector"]
+        known[dims] = _Space(dims, cosine, _matrix(vectors, dims) if len(vectors) else np.empty((0, dims)), n)
+    return lambda dims: known[dims] if dims in known else _Space(dims, cosine, np.empty((0, dims)), 1)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -73,33 +120,38 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
-def _spread(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+def _spread(batches: Iterator[pa.RecordBatch], spaces: Spaces, vectors: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = batch.column("dims").to_numpy()
         for dims in np.unique(sizes).tolist():
             part = batch.filter(pa.array(sizes == dims))
-            space = _Space(dims, cosine)
+            space = spaces(dims)
             rotated = space.rotated(_matrix(part.column("vector"), dims))
+            kept = part if vectors else part.select(["dims"])
             for k in range(len(space.parts)):
                 rows, cell, home = space.cells(rotated, k)
-                taken = part.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.full(len(rows), k, dtype=np.int32)), pa.array(cell), pa.array(home)], names=[*taken.schema.names, "block", "cell", "home"])
+                for at in range(0, len(rows), 1 << 14):
+                    taken = kept.take(pa.array(rows[at : at + (1 << 14)]))
+                    yield pa.RecordBatch.from_arrays(
+                        [*taken.columns, pa.array(np.full(len(taken), k, dtype=np.int32)), pa.array(cell[at : at + (1 << 14)]), pa.array(home[at : at + (1 << 14)])],
+                        names=[*taken.schema.names, "block", "cell", "home"],
+                    )
 
 
-def _link(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+def _link(batches: Iterator[pa.RecordBatch], spaces: Spaces, cosine: float) -> Iterator[pa.RecordBatch]:
     for table, bounds in by_block(batches, ["dims", "block", "cell", "_i", "_j"]):
         for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if end - start > 1:
-                yield from _link_block(table.slice(start, end - start), cosine)
+                yield from _link_block(table.slice(start, end - start), spaces, cosine)
 
 
-def _link_block(table: pa.Table, cosine: float) -> Iterator[pa.RecordBatch]:
+def _link_block(table: pa.Table, spaces: Spaces, cosine: float) -> Iterator[pa.RecordBatch]:
     dims, k, pairwise = table["dims"][0].as_py(), table["block"][0].as_py(), table["_i"][0] != table["_j"][0]
     homes = table["home"].to_numpy()
     table = table.take(pa.array(np.argsort(~homes, kind="stable")))  # rows at home first: each meets the rows after it
     uid, weight, chunk = (table[c].to_numpy() for c in ("uid", "copies", "_chunk"))
     unit = _matrix(table["vector"], dims)
-    space = _Space(dims, cosine)
+    space = spaces(dims)
     rotated = space.rotated(unit)
     block = rotated[:, space.parts[k]]
     norms, ones = (block * block).sum(1), np.ones(len(block))
@@ -147,13 +199,13 @@ def _link_block(table: pa.Table, cosine: float) -> Iterator[pa.RecordBatch]:
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """key, n_links, component_id and kept of each row of df, by all links at cosine similarity of at least `cosine`.
 
-    Unit vectors at that cosine have a squared distance of 2 - 2 x cosine at most. After one seeded rotation their
-    coordinates are split into BLOCKS blocks; in one block at least the distance is within the block's proportional
-    share, and each block's vectors are range-joined under that budget on a grid over GRIDDED of its coordinates: a
-    vector is at home in its cell and visits the later cells that its radius reaches. Pairs near in a block are
-    verified exactly in double precision; each link is counted in the first block that it is near in. Copies of a
-    vector count as one with a weight until the end. What comes out of a cell is a count a vector and a spanning
-    forest, never its pairs, and a large cell is compared in blocks of bounded size.
+    Unit vectors at that cosine have a squared distance of 2 - 2 x cosine at most. After one rotation their coordinates
+    are split into BLOCKS blocks; in one block at least the distance is within the block's proportional share, and each
+    block's vectors are range-joined under that budget on a grid over some of its widest coordinates, more of them the
+    more vectors there are: a vector is at home in its cell and visits the later cells that its radius reaches. Pairs
+    near in a block are verified exactly in double precision; each link is counted in the first block that it is near
+    in. Copies of a vector count as one with a weight until the end. What comes out of a cell is a count a vector and a
+    spanning forest, never its pairs, and a large cell is compared in blocks of bounded size.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
     different lengths; such a row is its own component. component_id is the smallest key reachable; kept: it is the
@@ -165,9 +217,13 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows = df.select(df[key].alias("key"), df[vector].alias("vector")).withColumn("valid", plain)
     distinct = stored(rows.where("valid").groupBy("vector").agg(F.min("key").alias("least"), F.count("*").alias("copies")).withColumn("uid", F.monotonically_increasing_id()).withColumn("dims", F.size("vector")), "vectors")
     slim = f"uid long, copies long, dims int, vector array<{kind}>"
-    spread = distinct.select("uid", "copies", "dims", "vector").mapInArrow(lambda b: _spread(b, cosine), f"{slim}, block int, cell long, home boolean")
-    dealt = dealt_in_blocks(stored(spread, "cells"), ["dims", "block", "cell"], "uid", CHUNK)
-    found = stored(dealt.mapInArrow(lambda b: _link(b, cosine), "uid long, links long, root long"), "links")
+    spaces = _spaces(distinct, cosine)
+    homes = distinct.select("uid", "copies", "dims", "vector")
+    spread = homes.mapInArrow(lambda b: _spread(b, spaces, True), f"{slim}, block int, cell long, home boolean")
+    # the cells' sizes are counted on a second pass without the vectors, so that only the pass that is shuffled holds them
+    cells = homes.mapInArrow(lambda b: _spread(b, spaces, False), "dims int, block int, cell long, home boolean")
+    dealt = dealt_in_blocks(spread, ["dims", "block", "cell"], "uid", CHUNK, cells)
+    found = stored(dealt.mapInArrow(lambda b: _link(b, spaces, cosine), "uid long, links long, root long"), "links")
     counts = found.groupBy("uid").agg(F.sum("links").alias("links"))
     groups = connected_components(found, "uid", "root")
     labelled = distinct.join(counts, "uid", "left").join(groups, distinct.uid == groups.node, "left")
