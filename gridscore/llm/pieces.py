@@ -20,9 +20,9 @@ DROPOUT, SEED = 0.1, 42
 #: A document's dropout key is one of so many: a hash of 64 bits.
 VARIANTS = 1 << 64
 #: Words of up to CACHED characters are segmented many at once; of those met twice, KEPT or so paths through their agendas are kept.
-CACHED, KEPT = 40, 300_000
+CACHED, KEPT = 40, 150_000
 #: Characters of text, and words of one length, that are segmented together.
-SLICE, GROUP = 1 << 21, 8192
+SLICE, GROUP = 1 << 19, 8192
 _MASK, _START, _STOP = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _NO_KEY = -(1 << 62)
 
@@ -429,6 +429,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", dropout: floa
                 whole = [back == (t or "").encode() for back, t in zip(tool.decode_flat(flat, counts), texts, strict=True)]
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(counts), pa.array(whole, pa.bool_())], names=["_id", "pieces", "n_pieces", "lossless"])
+        tool.paths = Paths(tool)  # a worker lives on after its task
 
     return slim.mapInArrow(run, f"_id {dict(slim.dtypes)['_id']}, pieces array<int>, n_pieces long, lossless boolean").withColumnRenamed("_id", key)
 
