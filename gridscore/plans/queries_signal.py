@@ -27,7 +27,10 @@ def q_envelope(spark: SparkSession, d: str) -> DataFrame:
     return found.select("voxel_id", F.explode("power").alias("band", "power")).withColumn("power", rounded("power"))
 
 
-@query()
+@query("""WITH lng AS (SELECT vec_id AS voxel_id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+  seg AS (SELECT voxel_id, s, pos - 16 * s AS n, v - avg(v) OVER (PARTITION BY voxel_id, s) AS v FROM lng, range(3) u(s) WHERE pos BETWEEN 16 * s AND 16 * s + 31), win AS (SELECT voxel_id, s, n, v * (0.5 - 0.5 * cos(2 * pi() * n / 32)) AS v FROM seg),
+  p AS (SELECT voxel_id, s, k, pow(sum(v * cos(2 * pi() * k * n / 32)), 2) + pow(sum(v * sin(2 * pi() * k * n / 32)), 2) AS p FROM win, range(4, 7) u(k) GROUP BY 1, 2, 3)
+  SELECT voxel_id, round(sum(CASE k WHEN 5 THEN 2 ELSE 1 END * p) / 3 * 2 / 768, 9) + 0.0 AS power FROM p GROUP BY 1""")
 def q_welch(spark: SparkSession, d: str) -> DataFrame:
     return rounded_all(S.welch_power(_series(spark, d), 64.0, 8, 13, 32).select("voxel_id", "power"), "power", digits=9)
 

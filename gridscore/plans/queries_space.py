@@ -11,7 +11,7 @@ from gridscore.operators import lattice as L
 from gridscore.operators import signature as S
 from gridscore.plans.queries_metrics import CHANNELS, channel_places
 from gridscore.plans.registry import query
-from gridscore.plans.stand_ins import EV, VAL, VOX, means, rounded, rounded_all, samples, scores, values, voxels
+from gridscore.plans.stand_ins import EV, MEAN, VAL, VOX, means, rounded, rounded_all, samples, scores, values, voxels
 from gridscore.session import table
 from gridscore.sources import tables as A
 
@@ -168,7 +168,11 @@ def q_components(spark: SparkSession, d: str) -> DataFrame:
     return L.components(_frame(spark, d).where("value >= 0.93"), ["band"]).select("band", "i", "j", "k", "size")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAME}, c AS (SELECT band, i, j, k, greatest(value - 0.9::DOUBLE, 0) AS value, ((band || '-') || (100000 + i * 1000 + j)) || '-' || (1000 + k) AS id FROM f WHERE value - 0.9::DOUBLE > 0),
+  e AS (SELECT a.id AS s, b.id AS t FROM c a JOIN c b ON a.band = b.band AND abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1), r AS (SELECT id AS s, id AS t FROM c UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s),
+  n AS (SELECT s AS id, count(*) AS size FROM r GROUP BY 1), z AS (SELECT c.*, size, rank() OVER (PARTITION BY band ORDER BY value DESC) AS place FROM c JOIN n USING (id)),
+  l AS (SELECT band, count(*) FILTER (WHERE size >= 3) AS kept, least(greatest(floor(0.5 * count(*)), 5), count(*)) AS least_kept FROM z GROUP BY 1)
+  SELECT band, i, j, k, CASE WHEN size >= 3 OR place <= least_kept THEN value END AS value FROM z JOIN l USING (band) WHERE size >= 3 OR (kept < least_kept AND place <= least_kept)""")
 def q_drop_small(spark: SparkSession, d: str) -> DataFrame:
     rows = _frame(spark, d).withColumn("value", F.greatest(F.col("value") - 0.9, F.lit(0.0)))
     return L.drop_small(rows, ["band"], 3, 0.5, 5).select("band", "i", "j", "k", "value")
@@ -221,13 +225,16 @@ def q_long_metrics(spark: SparkSession, d: str) -> DataFrame:
     return A.long_metrics(wide, ["recording_id", "band"], ["peak", "mean"], 11)
 
 
-@query()
+@query(f"""WITH {MEAN}, v AS (SELECT voxel_id, x, y, z, avg(value) AS value FROM m GROUP BY 1, 2, 3, 4), t AS (SELECT v.*, range / 9.0::DOUBLE AS t FROM v, range(10)),
+  c AS (SELECT DISTINCT voxel_id, value, CAST(round_even((x * (1 - t) + x * 0.9::DOUBLE * t + 90) / 9, 0) AS INT) AS ci, CAST(round_even((y * (1 - t) + y * 0.9::DOUBLE * t + 130) / 11, 0) AS INT) AS cj, CAST(round_even((z * (1 - t) + z * 0.9::DOUBLE * t + 72) / 3.6::DOUBLE, 0) AS INT) AS ck FROM t),
+  s AS (SELECT value, CAST(ci + a.range AS INT) AS i, CAST(cj + b.range AS INT) AS j, CAST(ck + e.range AS INT) AS k, exp(-sqrt(a.range * a.range + b.range * b.range + e.range * e.range) / 1.5) AS w FROM c, range(-1, 2) a, range(-1, 2) b, range(-1, 2) e WHERE ci BETWEEN 0 AND 19 AND cj BETWEEN 0 AND 19 AND ck BETWEEN 0 AND 49)
+  SELECT i, j, k, 0 AS epoch, round(max(w * value), 9) + 0.0 AS value FROM s WHERE i BETWEEN 0 AND 19 AND j BETWEEN 0 AND 19 AND k BETWEEN 0 AND 49 GROUP BY 1, 2, 3""")
 def q_ribbon(spark: SparkSession, d: str) -> DataFrame:
     """Voxels' mean values carried along a ribbon from each voxel towards the origin."""
     rows = means(spark, d).groupBy("voxel_id", "x", "y", "z").agg(F.avg("value").alias("value"))
     ribbons = rows.select(F.col("voxel_id").alias("vertex_id"), F.struct("x", "y", "z").alias("outer"), F.struct((F.col("x") * 0.9).alias("x"), (F.col("y") * 0.9).alias("y"), (F.col("z") * 0.9).alias("z")).alias("inner"))
     found = S.fill_ribbon(ribbons, rows.select(F.col("voxel_id").alias("vertex_id"), F.lit(0).alias("epoch"), "value"), (-90.0, -130.0, -72.0), (9.0, 11.0, 3.6), (20, 20, 50))
-    return rounded_all(found, "value")
+    return rounded_all(found, "value", digits=9)
 
 
 @query(f"""WITH {VOX}, {EV}, {CH}, e AS (SELECT CAST(dense_rank() OVER (ORDER BY channel) - 1 AS INT) AS idx, epoch, avg(abs(value)) AS value FROM ev GROUP BY channel, epoch), p AS (SELECT voxel_id, idx, exp(-{DIST} * {DIST} / 1800) AS w FROM vox v, ch c), n AS (SELECT voxel_id, idx, w, sum(w) OVER (PARTITION BY voxel_id) AS t FROM p)

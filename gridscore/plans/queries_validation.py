@@ -85,7 +85,12 @@ def q_kernel_on_connectivity(spark: SparkSession, d: str) -> DataFrame:
     return rounded_all(V.kernel_on_connectivity(samples(spark, d), ["recording_id"], TAPS, "channel"), "r", "rmse", "rho")
 
 
-@query()
+@query(f"""WITH {VAL}, s AS (SELECT band, roi_id, epoch, avg(value) AS v FROM val GROUP BY 1, 2, 3),
+  r AS (SELECT p.band, p.roi_id AS roi_a, q.roi_id AS roi_b, CASE WHEN sqrt(var_pop(p.v)) * sqrt(var_pop(q.v)) > 1e-15 THEN covar_pop(p.v, q.v) / (sqrt(var_pop(p.v)) * sqrt(var_pop(q.v))) END AS r FROM s p JOIN s q USING (band, epoch) WHERE p.roi_id < q.roi_id GROUP BY 1, 2, 3),
+  c AS (SELECT roi_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM vox GROUP BY 1),
+  m AS (SELECT a.r AS a, b.r AS b, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2) AS d FROM r a JOIN r b USING (roi_a, roi_b) JOIN c p ON p.roi_id = roi_a JOIN c q ON q.roi_id = roi_b WHERE a.band = 'A' AND b.band = 'N'),
+  k AS (SELECT corr(a, b) AS ab, corr(a, d) AS ad, corr(b, d) AS bd FROM m)
+  SELECT 'A-N' AS pair, round((ab - ad * bd) / sqrt((1 - ad * ad) * (1 - bd * bd)), 6) + 0.0 AS r FROM k""")
 def q_given_distance(spark: SparkSession, d: str) -> DataFrame:
     """Region correlations of flag A and flag N, with the distance of the regions' centres held."""
     from gridscore.operators.connect import correlations
@@ -125,7 +130,12 @@ def q_series_signature(spark: SparkSession, d: str) -> DataFrame:
     return signatures(spark, d).select("voxel_id", series_signature(F.col("w"), 16).alias("digest"))
 
 
-@query()
+GAMMAS = """g AS (SELECT CAST(range AS INT) AS tap, pow(2.0::DOUBLE * range, 5) * exp(-2.0::DOUBLE * range) / 120 - pow(2.0::DOUBLE * range, 15) * exp(-2.0::DOUBLE * range) / 1307674368000 / 6 AS raw FROM range(16)),
+  k AS (SELECT tap, raw / sum(raw) OVER () AS w FROM g)"""
+
+
+@query(f"""WITH {EV}, {GAMMAS}, cv AS (SELECT a.recording_id, a.channel, a.epoch, sum(w * b.value) AS value FROM ev a, k JOIN ev b ON true WHERE b.recording_id = a.recording_id AND b.channel = a.channel AND b.epoch = greatest(a.epoch - tap, 0) GROUP BY 1, 2, 3),
+  m AS (SELECT channel, avg(value) AS mean FROM cv GROUP BY 1) SELECT channel, round(mean, 6) + 0.0 AS mean, tap, round(w, 6) + 0.0 AS weight FROM m, k""")
 def q_kernel(spark: SparkSession, d: str) -> DataFrame:
     """The canonical kernel's taps, each with the mean of a channel's convolved series."""
     taps = timeops.kernel_table(spark, timeops.canonical_kernel())
