@@ -271,8 +271,10 @@ def pattern_correlation(power: DataFrame, channels: DataFrame, points: DataFrame
 
 
 def correlation(df: DataFrame, keys: list[str], a: str, b: str, name: str = "r") -> DataFrame:
-    """keys and Pearson's r; null where either side is constant, which ANSI mode's corr() would raise on."""
+    """keys and Pearson's r over rows where neither side is null; null where either is constant, which ANSI mode's corr()
+    would raise on."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     moved = F.covar_pop(x, y)
     spread = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
     return df.groupBy(*keys).agg(F.when(spread > 1e-15, moved / spread).alias(name))

@@ -11,8 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridscore.operators.metrics import EPS, dispersion, sum_where
+from gridscore.functions.geometry import raw_prior, scaled_prior
+from gridscore.model import BAND_BOUNDS, BOUNDS, PRIORS
+from gridscore.operators.metrics import EPS, correlation, dispersion, entropy, gini, positive_ratio, sum_where
 from gridscore.operators.score import average_rank
+from gridscore.session import stored
 
 
 def uniform(*columns: Column | str) -> Column:
@@ -100,6 +103,35 @@ def permutation_metrics(weights: DataFrame, keys: list[str], n_perm: int, seed:
     return dispersion(moved, own, value).join(ratio, own)
 
 
+def spatial_metrics(volume: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """map_metrics() of a volume: keys, voxel_id, y and value, a row an epoch."""
+    sizes = [F.avg(F.abs(value)).alias("value"), F.sum(F.greatest(F.col(value), F.lit(0.0))).alias("mass"), F.first("y").alias("y")]
+    return map_metrics(volume.groupBy(*keys, "voxel_id").agg(*sizes), keys)
+
+
+def map_metrics(maps: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_active, mean, std, entropy and gini of voxels' time-mean sizes (value) above 0, and pa_ratio of their
+    positive mass. A group without active voxels has 0 throughout. maps are stored: each metric reads them.
+    """
+    maps = stored(maps, "maps")
+    active = maps.where("value > 0")
+    sizes = active.groupBy(*keys).agg(F.count("*").alias("n_active"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    joined = positive_ratio(maps, keys, "mass")
+    for found in (sizes, entropy(active, keys), gini(active, keys)):
+        joined = joined.join(found, keys, "left")
+    return joined.fillna(0)
+
+
+def null_table(real: DataFrame, null: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """keys, metric, value, null_mean, null_std and p: two_sided() of several columns at once, a row a metric."""
+
+    def long(df: DataFrame) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+        return df.select(*keys, F.explode(pairs).alias("m")).select(*keys, "m.*")
+
+    return two_sided(long(real), long(null), [*keys, "metric"], "value")
+
+
 def time_shuffled(df: DataFrame, keys: list[str], n_perm: int, seed: int, order: str = "epoch") -> DataFrame:
     """df for each `perm` with the epochs of every series permuted on their own."""
     rows = df.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
@@ -110,26 +142,44 @@ def time_shuffled(df: DataFrame, keys: list[str], n_perm: int, seed: int, order:
     return drawn.join(epochs, [*keys, "perm", "_m"]).withColumn(order, F.col("_o")).drop("_n", "_m", "_o")
 
 
+def _angles(seeds: np.ndarray, n: int) -> np.ndarray:
+    """n angles in [0, 2 pi) for each seed, by mixing seed and place as 64-bit integers."""
+    # fixed values: step and factors of the split-mix generator
+    step, one, two = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+    z = seeds.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64) * step
+    z = (z ^ (z >> np.uint64(30))) * one
+    z = (z ^ (z >> np.uint64(27))) * two
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * (2 * np.pi / 2**53)
+
+
 def phase_randomised(df: DataFrame, keys: list[str], n_perm: int, seed: int, values: str = "values") -> DataFrame:
     """keys, perm and values: series with the same amplitudes and hash-seeded random phases, real again.
 
-    One row is one series; the transform is an Arrow batch of such rows.
+    One row is one series; the transform is an Arrow batch of such rows, those of a length together. Null series stay null.
     """
     slim = df.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"), F.col(values).cast("array<double>").alias("values"))
     slim = slim.withColumn("_seed", F.xxhash64(F.lit(seed), "perm", *keys))
     kinds = dict(slim.dtypes)
 
+    def turned(x: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
+        f = np.fft.rfft(x, axis=1)
+        phase = _angles(seeds, f.shape[1])
+        phase[:, 0] = np.angle(f[:, 0])
+        if n % 2 == 0:
+            phase[:, -1] = 0.0
+        return np.fft.irfft(np.abs(f) * np.exp(1j * phase), n=n, axis=1)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for x, s in zip(frame["values"], frame["_seed"], strict=True):
-                x = np.asarray(x, dtype=np.float64)
-                f = np.fft.rfft(x)
-                phase = np.random.default_rng(s & (2**63 - 1)).uniform(0, 2 * np.pi, len(f))
-                phase[0] = 0.0
-                if len(x) % 2 == 0 and len(phase) > 1:
-                    phase[-1] = 0.0
-                out.append(np.fft.irfft(np.abs(f) * np.exp(1j * (phase + np.angle(f) * (np.arange(len(f)) == 0))), n=len(x)) if len(x) else x)
+            out = list(frame["values"])
+            sizes = np.array([0 if v is None else len(v) for v in out])
+            seeds = frame["_seed"].to_numpy()
+            for size in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == size)
+                made = turned(np.stack([np.asarray(out[k], dtype=np.float64) for k in at]), seeds[at])
+                for k, row in zip(at, made, strict=True):
+                    out[k] = row
             yield frame.drop(columns="_seed").assign(values=out)
 
     return slim.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in [*keys, "perm", "values"]))
@@ -226,6 +276,42 @@ def perturbations(params: DataFrame, spreads: DataFrame, names: list[str]) -> Da
     return rows.withColumns(moved | {"param": F.col("_move.param"), "sign": F.col("_move.sign")}).drop("_move", *[f"_{n}" for n in names])
 
 
+def perturbed_maps(scores: DataFrame, band: str, params: DataFrame, spreads: DataFrame, names: list[str]) -> DataFrame:
+    """param, sign, moved_to, r, rmse and relative change of one band's mean map when one parameter moves by its spread.
+
+    scores: recording_id, voxel_id, x, y, z, mi and dice of the band, means over time; params and spreads: a row a band.
+    A moved value stays within the parameter's bounds. The map moved from is the weighted blend without contrast, as the
+    moved ones' contrast is part of what is judged. The moves are two a parameter, so broadcast.
+    """
+    bounds = BOUNDS | BAND_BOUNDS.get(band, {})
+    clipped = {n: F.greatest(F.lit(float(bounds[n][0])), F.least(F.lit(float(bounds[n][1])), F.col(n))) for n in names}
+    moves = perturbations(params.where(F.col("band") == band), spreads, names)
+    moves = moves.withColumns({n: F.when(F.col("param") == n, c).otherwise(F.col(n)) for n, c in clipped.items()}).drop("band")
+    prior = PRIORS[band]
+    raw = raw_prior(prior, F.col("penalty"), F.col("x"), F.col("y"), F.col("z"))
+    most = scores.select("voxel_id", "x", "y", "z").distinct().crossJoin(F.broadcast(moves)).groupBy("param", "sign").agg(F.max(raw).alias("_most"))
+    rows = scores.crossJoin(F.broadcast(moves.join(most, ["param", "sign"])))
+    weight = scaled_prior(raw, F.col("_most"), prior.least, F.col("boost"), F.col("softening"))
+    blended = (F.col("mi_weight") * F.col("mi") + (1 - F.col("mi_weight")) * F.col("dice")) * weight
+    raised = F.when((F.col("sign") == 0) | (F.col("contrast") == 1.0), blended).otherwise(F.pow(F.greatest(blended, F.lit(1e-12)), F.col("contrast")))
+    to = reduce(lambda c, n: c.when(F.col("param") == n, F.col(n)), names, F.when(F.lit(False), 0.0))
+    maps = rows.groupBy("voxel_id", "param", "sign").agg(F.avg(raised).alias("_v"), F.first(to).alias("moved_to"))
+    base = maps.where("sign = 0").select("voxel_id", F.col("_v").alias("_b"))
+    both = maps.where("sign <> 0").join(base, "voxel_id")
+    own = ["param", "sign"]
+    gap = F.col("_b") - F.col("_v")
+    sizes = both.groupBy(*own).agg(F.first("moved_to").alias("moved_to"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.stddev_pop("_b").alias("_s"))
+    return correlation(both, own, "_b", "_v").join(sizes, own).select(*own, "moved_to", "r", "rmse", (F.col("rmse") / (F.col("_s") + EPS)).alias("relative"))
+
+
+def inversion(band: str) -> Column:
+    """Factor that turns a band's usual layout round: its own places shrink, the opposite ones grow."""
+    y, z = F.col("y"), F.col("z")
+    if band == "beta":
+        return F.when(y.between(-45, 15) & (z >= 40), 0.33).otherwise(1.0) * F.when(y < -40, 3.0).otherwise(1.0)
+    return F.when(y < -40, 0.33).when(y > 0, 3.0).otherwise(1.0)
+
+
 def sensitivity(metrics: DataFrame, keys: list[str], target: Column, low: Column, high: Column, value: str = "metric") -> DataFrame:
     """keys, mean, std, cv, deviation from the target, percent in range, and a verdict."""
     v = F.col(value)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridscore.functions.geometry import in_box
-from gridscore.model import Box
+from gridscore.functions.geometry import in_box, prior_weights
+from gridscore.model import Box, Params
 from gridscore.operators import connect, metrics, resample, timeops
 
 EPS = 1e-12
@@ -71,6 +71,64 @@ def randomised_places(means: DataFrame, keys: list[str], n_perm: int, seed: int,
     return real.join(null, keys).join(u, keys, "left").join(d, keys, "left")
 
 
+def place_test(means: DataFrame, voxels: DataFrame, keys: list[str], subject: str, n_perm: int, seed: int, id_: str = "voxel_id", value: str = "value") -> DataFrame:
+    """keys, metric (pa_ratio, enrichment), means and deviations over subjects with real and with permuted places, and
+    Mann-Whitney's u, its z and Cohen's d between the two.
+
+    means: keys, subject, voxel_id, value, x, y, z and is_gm; each subject's places are permuted on their own. What is
+    ranked is one ratio a subject and permutation.
+    """
+    own = [*keys, subject]
+    moved = resample.shuffled(means, own, ["x", "y", "z", "is_gm"], id_, n_perm, seed)
+
+    def ratios(df: DataFrame, by: list[str]) -> DataFrame:
+        both = metrics.positive_ratio(df, by, value).join(metrics.posterior_enrichment(df, voxels, by, value), by)
+        pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in ("pa_ratio", "enrichment")])
+        return both.select(*keys, F.explode(pairs).alias("m")).select(*keys, "m.*")
+
+    both = ratios(means, own).withColumn("real", F.lit(True)).unionByName(ratios(moved, [*own, "perm"]).withColumn("real", F.lit(False)))
+    by = [*keys, "metric"]
+    one, two = F.when(F.col("real"), F.col("v")), F.when(~F.col("real"), F.col("v"))
+    sizes = both.groupBy(*by).agg(F.avg(one).alias("real_mean"), F.stddev_pop(one).alias("real_std"), F.avg(two).alias("null_mean"), F.stddev_pop(two).alias("null_std"))
+    pooled = F.sqrt((F.col("real_std") * F.col("real_std") + F.col("null_std") * F.col("null_std")) / 2 + EPS)
+    d = ((F.col("real_mean") - F.col("null_mean")) / pooled).alias("d")
+    return sizes.join(resample.mann_whitney(both, by, "real", "v").select(*by, "u", "z"), by).select(*by, "real_mean", "real_std", "null_mean", "null_std", "u", "z", d)
+
+
+def counterfactual(scores: DataFrame, voxels: DataFrame, keys: list[str], band: str, params: Params) -> DataFrame:
+    """keys, posterior-anterior ratios of the real map, of the inverted one and of the inverted one under the prior anew,
+    and follows_data: whether the last is nearer to the inverted than to the real ratio.
+
+    scores: keys, voxel_id, mi and dice of one band, a row an epoch. The prior at rest weighs 1, so that the inverted
+    ratio is also the one without prior.
+    """
+    weights = prior_weights(voxels, band, params.boost, params.penalty, params.softening).select("voxel_id", "x", "y", "z", "weight")
+    blend = params.mi_weight * F.col("mi") + (1 - params.mi_weight) * F.col("dice")
+    rows = scores.groupBy(*keys, "voxel_id").agg(F.avg(blend).alias("_a")).join(weights, "voxel_id")
+    rows = rows.withColumn("_b", F.col("_a") * resample.inversion(band)).withColumn("_c", F.col("_b") * F.col("weight"))
+    y = F.col("y")
+    ratio = lambda c: metrics.sum_where(y < -40, F.col(c)) / (metrics.sum_where(y > 0, F.col(c)) + EPS)
+    found = rows.groupBy(*keys).agg(ratio("_a").alias("real"), ratio("_b").alias("inverted"), ratio("_c").alias("with_prior"))
+    nearer = F.abs(F.col("with_prior") - F.col("inverted")) < F.abs(F.col("with_prior") - F.col("real"))
+    return found.withColumn("follows_data", nearer)
+
+
+def kernel_responses(series: DataFrame, keys: list[str], taps: list[float], at: int = 10, width: int = 10, order: str = "epoch") -> DataFrame:
+    """keys, impulse_epoch, impulse_peak, block_epoch, block_peak and edge_ratio: where and how high an impulse and a
+    block at epoch `at` peak under the kernel on the series' own epochs (the earliest of equal peaks), and a constant's
+    first value over its middle one. Series that end before `at` peak at 0."""
+    o = F.col(order)
+    rows = series.select(*keys, order, (o == at).cast("double").alias("_i"), o.between(at, at + width - 1).cast("double").alias("_b"), F.lit(1.0).alias("_c"))
+    for c in ("_i", "_b", "_c"):
+        rows = timeops.convolve(rows, keys, taps, c, order)
+    span = rows.groupBy(*keys).agg(F.min(order).alias("_lo"), F.expr(f"(min({order}) + max({order})) div 2").alias("_mid"))
+    peak = lambda c: F.max(F.struct(F.round(c, 12).alias("v"), (-o).alias("o")))
+    found = rows.join(span, keys).groupBy(*keys).agg(
+        peak("_i").alias("_p"), peak("_b").alias("_q"), F.try_divide(F.max(F.when(o == F.col("_lo"), F.col("_c"))), F.max(F.when(o == F.col("_mid"), F.col("_c")))).alias("edge_ratio")
+    )
+    return found.select(*keys, (-F.col("_p.o")).alias("impulse_epoch"), F.col("_p.v").alias("impulse_peak"), (-F.col("_q.o")).alias("block_epoch"), F.col("_q.v").alias("block_peak"), "edge_ratio")
+
+
 def signature_overlap(signatures: DataFrame, region: str = "roi_id", values: str = "w") -> DataFrame:
     """Mean and deviation of |r| between the regions' mean signatures."""
     mean = metrics.mean_signature(signatures, [region], values).withColumnRenamed("pos", "epoch")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridscore.functions.geometry import parameter_hash, prior_weights, series_signature
-from gridscore.model import Box
-from gridscore.operators import metrics, signal, signature, timeops
+from gridscore.model import DEFAULTS, Box
+from gridscore.operators import metrics, resample, signal, signature, timeops
 from gridscore.operators import validation as V
+from gridscore.plans.queries_search import FLAGS, _scores
 from gridscore.plans.queries_space import _channels
 from gridscore.plans.registry import query
-from gridscore.plans.stand_ins import EV, MEAN, SIG, VAL, means, rounded_all, samples, scores, signatures, values, voxels
-from gridscore.session import table
+from gridscore.plans.stand_ins import EV, MEAN, SC, SIG, VAL, VOX, means, rounded_all, samples, scores, signatures, values, voxels
+from gridscore.session import stored, table
 
 TAPS = [0.5, 0.3, 0.2]
 CONV = "k(tap, w) AS (VALUES (0, 0.5::DOUBLE), (1, 0.3::DOUBLE), (2, 0.2::DOUBLE)), cv AS (SELECT a.recording_id, a.channel, a.epoch, sum(w * b.value) AS value FROM ev a, k, ev b WHERE b.recording_id = a.recording_id AND b.channel = a.channel AND b.epoch = greatest(a.epoch - tap, 0) GROUP BY 1, 2, 3)"
@@ -141,3 +144,115 @@ def q_kernel(spark: SparkSession, d: str) -> DataFrame:
     taps = timeops.kernel_table(spark, timeops.canonical_kernel())
     level = timeops.convolve(samples(spark, d), ["recording_id", "channel"], timeops.canonical_kernel()).groupBy("channel").agg(F.avg("value").alias("mean"))
     return rounded_all(level.crossJoin(F.broadcast(taps)), "mean", "weight")
+
+
+# Priors of the three bands that return flags stand for, spelled out: raw weight, with c.penalty, and least.
+RAW_PRIORS = {
+    "alpha": ("exp(-((y + 40) ** 2) / 12800)", 0.6),
+    "beta": ("exp(-((y + 15) ** 2) / 2450) * exp(-((z - 50) ** 2) / 1250) * exp(-((abs(x) - 40) ** 2) / 1250) * (1 - c.penalty * exp(-((y + 15) ** 2) / 800))", 0.3),
+    "delta": ("exp(-((y - 40) ** 2) / 3200) * (1 - c.penalty * exp(-((y + 15) ** 2) / 1800))", 0.25),
+}
+# Starting parameters of these bands: mi_weight, contrast, boost, penalty, softening.
+STARTS = {"alpha": (0.65, 0.50, 1.3, 0.0, 0.70), "beta": (0.55, 0.65, 1.4, 0.5, 0.45), "delta": (0.45, 0.90, 1.7, 0.8, 0.40)}
+PARAMETERS = ("mi_weight", "contrast", "boost", "penalty", "softening")
+LIMITS = ((0.25, 0.95), (0.10, 1.20), (1.0, 3.0), (0.0, 1.0), (0.1, 1.0))
+ALPHA_LIMITS = (*LIMITS[:2], (1.0, 1.8), LIMITS[3], (0.5, 1.0))
+SPREAD = 0.05
+
+
+def _sql_moves() -> str:
+    rows = []
+    for band, start in STARTS.items():
+        rows.append((band, "", 0, *start))
+        for n, name in enumerate(PARAMETERS):
+            low, high = (ALPHA_LIMITS if band == "alpha" else LIMITS)[n]
+            rows += [(band, name, sign, *[min(high, max(low, v + sign * SPREAD)) if k == n else v for k, v in enumerate(start)]) for sign in (-1, 1)]
+    row = lambda r: f"('{r[0]}', '{r[1]}', {r[2]}, " + ", ".join(f"{v!r}::DOUBLE" for v in r[3:]) + ")"
+    return f"c(band, param, sign, {', '.join(PARAMETERS)}) AS (VALUES {', '.join(row(r) for r in rows)})"
+
+
+BANDED = "CASE l_returnflag WHEN 'A' THEN 'alpha' WHEN 'N' THEN 'beta' ELSE 'delta' END"
+RAW_SQL = "CASE {b} " + " ".join(f"WHEN '{b}' THEN {raw}" for b, (raw, _) in RAW_PRIORS.items()) + " END"
+LEAST_SQL = "CASE {b} " + " ".join(f"WHEN '{b}' THEN {least}::DOUBLE" for b, (_, least) in RAW_PRIORS.items()) + " END"
+
+
+@query(f"""WITH {VOX}, {_sql_moves()}, s AS (SELECT {BANDED} AS band, s_nationkey AS recording_id, l_partkey AS voxel_id, avg(l_discount * 10) AS mi, avg(l_tax * 12.5::DOUBLE) AS dice FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3),
+  r AS (SELECT s.*, c.* EXCLUDE (band), {RAW_SQL.format(b="s.band")} AS raw, {LEAST_SQL.format(b="s.band")} AS least FROM s JOIN vox USING (voxel_id) JOIN c ON c.band = s.band),
+  w AS (SELECT *, (1 - softening) * (least + (boost - least) * raw / max(raw) OVER (PARTITION BY band, param, sign)) + softening AS weight FROM r),
+  m AS (SELECT band, voxel_id, param, sign, avg(CASE WHEN sign = 0 THEN (mi_weight * mi + (1 - mi_weight) * dice) * weight ELSE pow(greatest((mi_weight * mi + (1 - mi_weight) * dice) * weight, 1e-12), contrast) END) AS v,
+    first(CASE param WHEN 'mi_weight' THEN mi_weight WHEN 'contrast' THEN contrast WHEN 'boost' THEN boost WHEN 'penalty' THEN penalty ELSE softening END) AS moved_to FROM w GROUP BY 1, 2, 3, 4),
+  j AS (SELECT m.band, m.param, m.sign, m.moved_to, m.v, b.v AS b FROM m JOIN m b ON b.band = m.band AND b.voxel_id = m.voxel_id AND b.sign = 0 WHERE m.sign <> 0)
+  SELECT band, param, sign, round(first(moved_to), 6) + 0.0 AS moved_to, round(corr(b, v), 6) + 0.0 AS r, round(sqrt(avg((b - v) ** 2)), 6) + 0.0 AS rmse, round(sqrt(avg((b - v) ** 2)) / (stddev_pop(b) + 1e-12), 6) + 0.0 AS relative FROM j GROUP BY 1, 2, 3""")
+def q_perturbed_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Each parameter of every band moved by 0.05 both ways: how far the band's map over nations moves."""
+    rows = stored(_scores(spark, d), "scores")
+    params = spark.createDataFrame([(b, *[float(getattr(DEFAULTS[b], n)) for n in PARAMETERS]) for b in FLAGS.values()], f"band string, {', '.join(f'{n} double' for n in PARAMETERS)}")
+    spreads = params.select("band", *[F.lit(SPREAD).alias(n) for n in PARAMETERS])
+    found = [resample.perturbed_maps(rows.where(F.col("band") == b).drop("band"), b, params, spreads, list(PARAMETERS)).withColumn("band", F.lit(b)) for b in FLAGS.values()]
+    return rounded_all(reduce(DataFrame.unionByName, found), "moved_to", "r", "rmse", "relative")
+
+
+STARTS_SQL = f"c(band, {', '.join(PARAMETERS)}) AS (VALUES " + ", ".join(f"('{b}', " + ", ".join(f"{v!r}::DOUBLE" for v in start) + ")" for b, start in STARTS.items()) + ")"
+
+
+@query(f"""WITH {VOX}, {SC}, {STARTS_SQL}, b AS (SELECT CASE band WHEN 'A' THEN 'alpha' WHEN 'N' THEN 'beta' ELSE 'delta' END AS band, * EXCLUDE (band) FROM sc),
+  p AS (SELECT c.band, voxel_id, x, y, z, {RAW_SQL.format(b="c.band")} AS raw, {LEAST_SQL.format(b="c.band")} AS least, c.boost, c.softening FROM vox, c), w AS (SELECT *, (1 - softening) * (least + (boost - least) * raw / max(raw) OVER (PARTITION BY band)) + softening AS weight FROM p),
+  m AS (SELECT recording_id, b.band, voxel_id, avg(mi_weight * mi + (1 - mi_weight) * dice) AS a FROM b JOIN c ON c.band = b.band GROUP BY 1, 2, 3),
+  i AS (SELECT recording_id, band, y, weight, a, a * CASE WHEN band = 'beta' THEN CASE WHEN y BETWEEN -45 AND 15 AND z >= 40 THEN 0.33::DOUBLE ELSE 1 END * CASE WHEN y < -40 THEN 3 ELSE 1 END WHEN y < -40 THEN 0.33::DOUBLE WHEN y > 0 THEN 3 ELSE 1 END AS v FROM m JOIN w USING (band, voxel_id)),
+  r AS (SELECT recording_id, band, sum(CASE WHEN y < -40 THEN a ELSE 0 END) / (sum(CASE WHEN y > 0 THEN a ELSE 0 END) + 1e-12) AS real, sum(CASE WHEN y < -40 THEN v ELSE 0 END) / (sum(CASE WHEN y > 0 THEN v ELSE 0 END) + 1e-12) AS inverted,
+    sum(CASE WHEN y < -40 THEN v * weight ELSE 0 END) / (sum(CASE WHEN y > 0 THEN v * weight ELSE 0 END) + 1e-12) AS with_prior FROM i GROUP BY 1, 2)
+  SELECT recording_id, band, round(real, 6) + 0.0 AS real, round(inverted, 6) + 0.0 AS inverted, round(with_prior, 6) + 0.0 AS with_prior, abs(with_prior - inverted) < abs(with_prior - real) AS follows_data FROM r""")
+def q_counterfactual(spark: SparkSession, d: str) -> DataFrame:
+    """Every recording's map turned round, under the band's prior anew: does the ratio follow the data or the prior?"""
+    rows, places = stored(scores(spark, d), "scores"), voxels(spark, d)
+    found = [V.counterfactual(rows.where(F.col("band") == flag), places, ["recording_id"], band, DEFAULTS[band]).withColumn("band", F.lit(band)) for flag, band in FLAGS.items()]
+    return rounded_all(reduce(DataFrame.unionByName, found), "real", "inverted", "with_prior")
+
+
+@query(f"""WITH {EV}, {GAMMAS}, u AS (SELECT recording_id, channel, epoch, CAST(epoch = 10 AS INT) AS i, CAST(epoch BETWEEN 10 AND 19 AS INT) AS b FROM ev),
+  cv AS (SELECT a.recording_id, a.channel, a.epoch, sum(w * p.i) AS i, sum(w * p.b) AS b FROM u a, k JOIN u p ON true WHERE p.recording_id = a.recording_id AND p.channel = a.channel AND p.epoch = greatest(a.epoch - tap, 0) GROUP BY 1, 2, 3)
+  SELECT recording_id, channel, arg_max(epoch, i) AS impulse_epoch, round(max(i), 6) + 0.0 AS impulse_peak, arg_max(epoch, b) AS block_epoch, round(max(b), 6) + 0.0 AS block_peak, 1.0::DOUBLE AS edge_ratio FROM cv GROUP BY 1, 2""")
+def q_kernel_responses(spark: SparkSession, d: str) -> DataFrame:
+    found = V.kernel_responses(samples(spark, d), ["recording_id", "channel"], timeops.canonical_kernel())
+    return rounded_all(found, "impulse_peak", "block_peak", "edge_ratio")
+
+
+@query(f"""WITH {VAL}, s AS (SELECT recording_id, band, voxel_id, y, epoch, round(value - avg(value) OVER (PARTITION BY recording_id, band), 9) AS v FROM val),
+  m AS (SELECT recording_id, band, voxel_id, y, avg(abs(v)) AS value, sum(greatest(v, 0)) AS mass FROM s GROUP BY ALL), a AS (SELECT *, row_number() OVER (PARTITION BY recording_id, band ORDER BY value) AS n, max(value) OVER (PARTITION BY recording_id, band) AS top FROM m WHERE value > 0),
+  h AS (SELECT recording_id, band, least(floor(value / (top + 1e-10) * 50), 49) AS bin, count(*) AS c FROM a GROUP BY 1, 2, 3), q AS (SELECT *, c / sum(c) OVER (PARTITION BY recording_id, band) AS p FROM h), e AS (SELECT recording_id, band, sum(-p * log2(p)) AS entropy FROM q GROUP BY 1, 2),
+  r AS (SELECT recording_id, band, sum(CASE WHEN y < -40 THEN mass ELSE 0 END) / (sum(CASE WHEN y > 0 THEN mass ELSE 0 END) + 1e-12) AS pa_ratio FROM m GROUP BY 1, 2),
+  t AS (SELECT recording_id, band, count(*) AS n_active, avg(value) AS mean, stddev_pop(value) AS std, 2 * sum(n * value) / (count(*) * sum(value)) - (count(*) + 1) / count(*)::DOUBLE AS gini FROM a GROUP BY 1, 2)
+  SELECT recording_id, band, n_active, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(pa_ratio, 6) + 0.0 AS pa_ratio, round(entropy, 6) + 0.0 AS entropy, round(gini, 6) + 0.0 AS gini FROM t JOIN e USING (recording_id, band) JOIN r USING (recording_id, band)""")
+def q_spatial_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The metrics that null tests compare, of every recording's values about their mean."""
+    rows = values(spark, d)
+    keys = ["recording_id", "band"]
+    centred = rows.join(rows.groupBy(*keys).agg(F.avg("value").alias("_m")), keys).withColumn("value", F.round(F.col("value") - F.col("_m"), 9))
+    return rounded_all(resample.spatial_metrics(centred, keys), "mean", "std", "pa_ratio", "entropy", "gini")
+
+
+@query()
+def q_null_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of every band's map series about its mean against 100 phase-randomised twins, with two-sided p."""
+    from gridscore.sources.tables import pack
+
+    keys = ["band"]
+    rows = values(spark, d).groupBy("band", "voxel_id", "y", "epoch").agg(F.avg("value").alias("value"))
+    rows = rows.join(rows.groupBy(*keys).agg(F.avg("value").alias("_m")), keys).withColumn("value", F.col("value") - F.col("_m"))
+    own = ["band", "voxel_id", "y"]
+    series = stored(pack(rows, own, "epoch"), "series")
+    total = lambda f: F.aggregate("values", F.lit(0.0), lambda s, v: s + f(v))
+    sizes = [(total(F.abs) / F.size("values")).alias("value"), total(lambda v: F.greatest(v, F.lit(0.0))).alias("mass")]
+    null = resample.map_metrics(resample.phase_randomised(series, own, 100, 42).select(*own, "perm", *sizes), [*keys, "perm"])
+    names = ["n_active", "mean", "std", "pa_ratio", "entropy", "gini"]
+    found = resample.null_table(resample.map_metrics(series.select(*own, *sizes), keys), stored(null, "null"), keys, names)
+    return rounded_all(found, "value", "null_mean", "null_std", "p")
+
+
+@query()
+def q_place_test(spark: SparkSession, d: str) -> DataFrame:
+    """Ratio and enrichment of every nation's map against ten permutations of its places."""
+    places = voxels(spark, d).select("voxel_id", "is_gm")
+    rows = _scores(spark, d).withColumn("value", 0.6 * F.col("mi") + 0.4 * F.col("dice")).drop("mi", "dice").join(places, "voxel_id")
+    found = V.place_test(stored(rows, "places"), voxels(spark, d), ["band"], "recording_id", 10, 42)
+    return rounded_all(found, "real_mean", "real_std", "null_mean", "null_std", "z", "d")
