@@ -245,3 +245,51 @@ def q_surface(spark: SparkSession, d: str) -> DataFrame:
     rows = samples(spark, d).groupBy("channel", "epoch").agg(F.avg(F.abs("value")).alias("value"))
     numbered = rows.withColumn("idx", F.dense_rank().over(Window.orderBy("channel")) - 1).drop("channel")
     return rounded_all(S.project_surface(voxels(spark, d).withColumnRenamed("voxel_id", "vertex_id"), _channels(spark, d), numbered), "value")
+
+
+@query(f"""WITH {VOX}, a AS (SELECT i, j, k, min(roi_id) AS roi_id FROM vox GROUP BY 1, 2, 3), m AS (SELECT DISTINCT i, j, k FROM vox WHERE is_gm)
+  SELECT voxel_id, a.roi_id FROM vox JOIN a USING (i, j, k) SEMI JOIN m USING (i, j, k)""")
+def q_label_voxels(spark: SparkSession, d: str) -> DataFrame:
+    rows = voxels(spark, d)
+    atlas = rows.groupBy("i", "j", "k").agg(F.min("roi_id").alias("roi_id"))
+    return S.label_voxels(rows.drop("roi_id"), atlas, rows.where("is_gm")).select("voxel_id", "roi_id")
+
+
+@query(f"""WITH {FRAME}, t(o, w) AS (VALUES {", ".join(f"({x}, {w!r}::DOUBLE)" for x, w in TAPS)}), s AS (SELECT band, f.i + a.o AS i, f.j + b.o AS j, f.k + c.o AS k, sum(value * a.w * b.w * c.w) AS v FROM f, t a, t b, t c GROUP BY 1, 2, 3, 4)
+  SELECT band, i, j, k, round(0.85 * value + 0.15 * v, 6) + 0.0 AS value FROM f JOIN s USING (band, i, j, k) WHERE value > 0""")
+def q_blend_smooth(spark: SparkSession, d: str) -> DataFrame:
+    return rounded_all(L.blend_smooth(_frame(spark, d), ["band"], (0.8, 0.8, 0.8)).select("band", "i", "j", "k", "value"), "value")
+
+
+@query(f"""WITH {VAL}, b(band, y_min, y_max, z_min, z_max, abs_x_min, abs_x_max) AS (VALUES ('A', NULL, -40, NULL, NULL, NULL, NULL), ('N', -45, 15, 40, NULL, 10, 55), ('R', 0, NULL, NULL, 65, NULL, 60))
+  SELECT band, voxel_id, count(*) AS n, (y_min IS NULL OR y >= y_min) AND (y_max IS NULL OR y <= y_max) AND (z_min IS NULL OR z >= z_min) AND (z_max IS NULL OR z <= z_max) AND (abs_x_min IS NULL OR abs(x) >= abs_x_min) AND (abs_x_max IS NULL OR abs(x) <= abs_x_max) AS inside FROM val JOIN b USING (band) GROUP BY ALL""")
+def q_in_region(spark: SparkSession, d: str) -> DataFrame:
+    """Voxels of every flag's values inside a box of the flag's own, open sides included."""
+    limits = ("y_min", "y_max", "z_min", "z_max", "abs_x_min", "abs_x_max")
+    boxes = [("A", None, -40.0, None, None, None, None), ("N", -45.0, 15.0, 40.0, None, 10.0, 55.0), ("R", 0.0, None, None, 65.0, None, 60.0)]
+    regions = spark.createDataFrame(boxes, "band string, " + ", ".join(f"{c} double" for c in limits))
+    return G.in_region(values(spark, d), regions).groupBy("band", "voxel_id", "inside").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {VOX} SELECT voxel_id, -90 + 9.0::DOUBLE * i AS x, -130 + 11.0::DOUBLE * j AS y, round(-72 + 3.6::DOUBLE * k, 9) AS z, regexp_extract('m_v' || p_brand || '.csv', '_v(.*)\\.csv', 1) AS tag FROM vox JOIN part ON p_partkey = voxel_id""")
+def q_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """Cells back to coordinates, and the version in a file name."""
+    places = {c: F.round(G.to_coordinate(F.col(n), o, s), 9) for c, n, o, s in (("x", "i", -90.0, 9.0), ("y", "j", -130.0, 11.0), ("z", "k", -72.0, 3.6))}
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("voxel_id"), G.version_tag(F.concat(F.lit("m_v"), "p_brand", F.lit(".csv"))).alias("tag"))
+    return voxels(spark, d).select("voxel_id", *[c.alias(n) for n, c in places.items()]).join(names, "voxel_id")
+
+
+WEIGHT = f"(0.3 * (0.6 + 0.7 * {BELL} / (SELECT max({BELL}) FROM vox)) + 0.7)::DOUBLE"
+HYBRID = f"""{VAL}, r AS (SELECT recording_id, band, epoch, i, j, k, pow(greatest((0.65 * mi + 0.35 * dice) * {WEIGHT}, 1e-12), 0.5::DOUBLE) AS h, voxel_id FROM sc JOIN vox USING (voxel_id)),
+  vol AS (SELECT recording_id, band, voxel_id, epoch, i, j, k, CASE WHEN max(h) OVER w > min(h) OVER w + 1.1920928955078125e-07 THEN (h - min(h) OVER w) / (max(h) OVER w - min(h) OVER w) ELSE 0 END AS value FROM r WINDOW w AS (PARTITION BY recording_id, band))"""
+
+
+@query(f"WITH {HYBRID} SELECT recording_id, band, epoch, i, j, k, round(value, 6) + 0.0 AS value FROM vol")
+def q_build_volume(spark: SparkSession, d: str) -> DataFrame:
+    """The volumes of every recording and flag under the prior of alpha and its starting parameters."""
+    from gridscore.model import DEFAULTS
+    from gridscore.plans.pipeline import build_volume
+
+    rows = scores(spark, d).withColumn("recording_id", F.struct("recording_id", "band")).withColumn("band", F.lit("alpha"))
+    found = build_volume(rows, voxels(spark, d), "alpha", DEFAULTS["alpha"])
+    return rounded_all(found.select("recording_id.recording_id", "recording_id.band", "epoch", "i", "j", "k", "value"), "value")
