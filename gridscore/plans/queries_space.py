@@ -293,3 +293,37 @@ def q_build_volume(spark: SparkSession, d: str) -> DataFrame:
     rows = scores(spark, d).withColumn("recording_id", F.struct("recording_id", "band")).withColumn("band", F.lit("alpha"))
     found = build_volume(rows, voxels(spark, d), "alpha", DEFAULTS["alpha"])
     return rounded_all(found.select("recording_id.recording_id", "recording_id.band", "epoch", "i", "j", "k", "value"), "value")
+
+
+SOFT = L.gaussian_taps(1.0 / 2.355 / 2.0)
+POST_STEPS = f"""known AS (SELECT band, voxel_id, i, j, k, epoch, avg(value) AS v FROM val GROUP BY ALL), s0 AS (SELECT band, voxel_id, i, j, k, epoch, coalesce(v, 0) AS v FROM (SELECT DISTINCT band, voxel_id, i, j, k FROM known) CROSS JOIN (SELECT DISTINCT epoch FROM known) LEFT JOIN known USING (band, voxel_id, i, j, k, epoch)),
+  l1 AS (SELECT *, lag(v) OVER (PARTITION BY band, voxel_id ORDER BY epoch) AS p FROM s0),
+  f1 AS (SELECT band, voxel_id, avg(v) AS m, avg(v) FILTER (WHERE p IS NOT NULL) AS my, avg(p) AS mp, greatest(-0.99, least(0.99, covar_pop(v, p) / greatest(var_samp(p), 1e-12)))::DOUBLE AS phi FROM l1 GROUP BY 1, 2),
+  s1 AS (SELECT band, voxel_id, i, j, k, epoch, CASE WHEN p IS NULL THEN v - m ELSE v - (my - phi * mp) - phi * p END AS v FROM l1 JOIN f1 USING (band, voxel_id)),
+  s2 AS (SELECT * REPLACE ((v - avg(v) OVER (PARTITION BY band)) / stddev_samp(v) OVER (PARTITION BY band) AS v) FROM s1),
+  t(o, w) AS (VALUES {", ".join(f"({x}, {w!r}::DOUBLE)" for x, w in SOFT)}), g AS (SELECT band, epoch, s2.i + a.o AS i, s2.j + b.o AS j, s2.k + c.o AS k, sum(v * a.w * b.w * c.w) AS s FROM s2, t a, t b, t c GROUP BY ALL),
+  s3 AS (SELECT * REPLACE (CASE WHEN v > 0 THEN s ELSE 0 END AS v) FROM s2 LEFT JOIN g USING (band, epoch, i, j, k)),
+  s4 AS (SELECT * REPLACE (CASE WHEN v <= 0 OR rank() OVER (PARTITION BY band, epoch ORDER BY v DESC) <= 200 THEN v ELSE 0 END AS v) FROM s3),
+  c AS (SELECT band, epoch, i, j, k, v, i * 10000 + j * 100 + k AS id FROM s4 WHERE v > 0), e AS (SELECT a.band, a.epoch, a.id AS s, b.id AS t FROM c a JOIN c b ON a.band = b.band AND a.epoch = b.epoch AND abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1),
+  r AS (SELECT band, epoch, id AS s, id AS t FROM c UNION SELECT r.band, r.epoch, r.s, e.t FROM r JOIN e ON r.band = e.band AND r.epoch = e.epoch AND r.t = e.s), n AS (SELECT band, epoch, s AS id, count(*) AS size FROM r GROUP BY 1, 2, 3),
+  z AS (SELECT *, rank() OVER (PARTITION BY band, epoch ORDER BY v DESC) AS place FROM c JOIN n USING (band, epoch, id)), f AS (SELECT band, epoch, count(*) FILTER (WHERE size >= 8) AS kept, least(greatest(floor(0.25 * count(*)), 20), count(*)) AS least_kept FROM z GROUP BY 1, 2),
+  k5 AS (SELECT band, epoch, i, j, k FROM z JOIN f USING (band, epoch) WHERE size >= 8 OR (kept < least_kept AND place <= least_kept)),
+  s5 AS (SELECT s4.* REPLACE (CASE WHEN k5.band IS NULL THEN 0 ELSE v END AS v) FROM s4 LEFT JOIN k5 USING (band, epoch, i, j, k)),
+  w6 AS (SELECT *, CAST(v > 0 AS INT) AS a, lag(CAST(v > 0 AS INT)) OVER w AS b, lead(CAST(v > 0 AS INT)) OVER w AS n FROM s5 WINDOW w AS (PARTITION BY band, voxel_id ORDER BY epoch)),
+  s6 AS (SELECT * REPLACE (CASE WHEN a + coalesce(b, a) + coalesce(n, a) >= 1 THEN v ELSE 0 END AS v) FROM w6),
+  taps AS (SELECT tap, raw / sum(raw) OVER () AS w FROM (SELECT range AS tap, pow(2.0::DOUBLE * range, 5) * exp(-2.0::DOUBLE * range) / 120 - pow(2.0::DOUBLE * range, 15) * exp(-2.0::DOUBLE * range) / 1307674368000 / 6 AS raw FROM range(16)))"""
+
+
+@query(f"""WITH RECURSIVE {VAL}, {POST_STEPS}
+  SELECT a.band, a.voxel_id, a.epoch, a.i, a.j, a.k, round(sum(w * p.v), 6) + 0.0 AS value FROM s6 a, taps JOIN s6 p ON true WHERE p.band = a.band AND p.voxel_id = a.voxel_id AND p.epoch = greatest(a.epoch - tap, (SELECT min(epoch) FROM s6)) GROUP BY ALL""")
+def q_postprocess(spark: SparkSession, d: str) -> DataFrame:
+    """All seven steps over every flag's volume of months: 200 cells a month, clusters of eight cells."""
+    from gridscore.model import PostParams
+    from gridscore.operators.timeops import densify
+    from gridscore.plans.pipeline import postprocess
+
+    keys = ["band", "voxel_id", "i", "j", "k"]
+    rows = values(spark, d).groupBy(*keys, "epoch").agg(F.avg("value").alias("value"))
+    volume = densify(rows, keys, rows.select("epoch").distinct()).withColumn("recording_id", F.lit(0))
+    found = postprocess(volume, PostParams(keep=200, floor_pct=0.25, floor_abs=20))
+    return rounded_all(found.select("band", "voxel_id", "epoch", "i", "j", "k", "value"), "value")
