@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscore.llm import embeddings, htmltext, langid, media, mixing, pieces, quality, sharding, simhash, tokens
+from gridscore.llm import embeddings, htmltext, langid, lm, media, mixing, pieces, quality, sharding, simhash, tokens
 from gridscore.session import table
 
 
@@ -70,8 +70,16 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe_media(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    aside = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    model = lm.fit(docs.where(~aside))
+    scored = lm.score(docs.select("doc_id", "text", aside.alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_quality, op3_mixing, op4_token_counts, op5_simhash, op6_language_id, op7_html_extraction, op8_pieces, op9_sharding, op10_media_columns)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_quality, op3_mixing, op4_token_counts, op5_simhash, op6_language_id, op7_html_extraction, op8_pieces, op9_sharding, op10_media_columns, op11_lm_scores)}
 
 
 #: All pairs of vectors by cosine, and components by following links from every vector.
