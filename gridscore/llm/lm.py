@@ -21,12 +21,12 @@ from gridscore.session import stored
 OWN, SHAPES = 767, 256
 #: Numbers a symbol has, words of context, and the additive count of the base.
 WIDTH, CONTEXT, ADD = 24, 2, 0.1
-#: Rounds over all training texts, positions a step, noise draws a step, the steps' size by round, and the seed.
-ROUNDS, BATCH, NOISE, RATE, SEED = 2, 2048, 64, (0.15, 0.05), 42
+#: Rounds over all training texts, positions a step, noise draws a step, the steps' size, and the seed.
+ROUNDS, BATCH, NOISE, RATE, SEED = 1, 1024, 32, 0.05, 42
 #: Words whose counts are sent to the tasks at most; those of all others are joined. Longer words go by their digest.
 FREQUENT, LONG = 1 << 18, 64
 #: Positions trained on or scored in one go, at least; distinct words that a task counts before it hands them on.
-CHUNK, HELD = 1 << 20, 1 << 18
+CHUNK, HELD = 1 << 21, 1 << 18
 #: Weights in a row, when those of tasks are averaged.
 BLOCK = 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -214,7 +214,7 @@ def _trained(train: DataFrame, model: Model, rounds: int) -> Weights:
     for turn in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], weights: Weights = weights, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            trainer = _Trainer(weights, share, RATE[min(turn, len(RATE) - 1)], SEED + turn)
+            trainer = _Trainer(weights, share, RATE, SEED + turn)
             known = dict(own)
             held, size = [], 0
             for batch in batches:
@@ -226,7 +226,7 @@ def _trained(train: DataFrame, model: Model, rounds: int) -> Weights:
                         known[w] = shape(w)
                     held.append(np.array([known[w] for w in found], dtype=np.int32))
                     size += len(found) + 1
-                    if size >= CHUNK // 4:
+                    if size >= CHUNK // 8:
                         trainer.learn(held)
                         held, size = [], 0
             if held:
