@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscore.llm import embeddings, htmltext, langid, lm, media, mixing, pieces, quality, sharding, simhash, tokens
+from gridscore.llm import embeddings, htmltext, langid, lm, media, mixing, negatives, pieces, quality, sharding, simhash, tokens, whitening
 from gridscore.session import table
 
 
@@ -78,8 +78,17 @@ def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=moved)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_dedup, op2_quality, op3_mixing, op4_token_counts, op5_simhash, op6_language_id, op7_html_extraction, op8_pieces, op9_sharding, op10_media_columns, op11_lm_scores)}
+    return {f.__name__: f for f in (op1_embedding_dedup, op2_quality, op3_mixing, op4_token_counts, op5_simhash, op6_language_id, op7_html_extraction, op8_pieces, op9_sharding, op10_media_columns, op11_lm_scores, op12_whitening, op13_hard_negatives)}
 
 
 #: All pairs of vectors by cosine, and components by following links from every vector.
