@@ -111,6 +111,16 @@ OP9_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(
   SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INT) AS grown_shard FROM s"""
 
 
+#: All products of anchors with all rows; the order of ranks decides ties.
+OP13_SQL = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+  p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+  n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+  SELECT * FROM n WHERE rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Hashes, compression, training and tokenizers have no SQL here; tests/llm holds those queries against plain versions."""
-    return {"op1_embedding_dedup": OP1_SQL, "op9_sharding": OP9_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op9_sharding": OP9_SQL, "op13_hard_negatives": OP13_SQL}
