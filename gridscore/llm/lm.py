@@ -22,7 +22,7 @@ OWN, SHAPES = 767, 256
 #: Numbers a symbol has, words of context, and the additive count of the base.
 WIDTH, CONTEXT, ADD = 24, 2, 0.1
 #: Rounds over all training texts, positions a step, noise draws a step, the steps' size, and the seed.
-ROUNDS, BATCH, NOISE, RATE, SEED = 1, 1024, 32, 0.05, 42
+ROUNDS, BATCH, NOISE, RATE, SEED = 1, 2048, 32, 0.05, 42
 #: Words whose counts are sent to the tasks at most; those of all others are joined. Longer words go by their digest.
 FREQUENT, LONG = 1 << 18, 64
 #: Positions trained on or scored in one go, at least; distinct words that a task counts before it hands them on.
@@ -83,21 +83,26 @@ class Weights:
     def normalisers(self, before: np.ndarray) -> np.ndarray:
         """Logarithm of the sum over all symbols of exp(score), by batched matrix products."""
         out = np.empty(len(before), dtype=np.float64)
-        for k in range(0, len(before), 1024):
-            z = self.context(before[k : k + 1024]) @ self.asked.T + self.bias
-            most = z.max(1)
-            z -= most[:, None]
-            out[k : k + 1024] = np.log(np.exp(z, out=z).sum(1, dtype=np.float64)) + most
+        asked, ones = np.concatenate([self.asked.T, self.bias[None]]), np.ones(len(self.bias), dtype=np.float32)
+        h = np.ones((512, WIDTH + 1), dtype=np.float32)
+        for k in range(0, len(before), len(h)):
+            part = before[k : k + len(h)]
+            h[: len(part), :WIDTH] = self.context(part)
+            z = h[: len(part)] @ asked
+            most = 0.0 if z.max() < 80 else z.max(1)[:, None]  # beyond that, exp() would overflow
+            out[k : k + len(h)] = np.log(np.exp(z - most if np.ndim(most) else z, out=z) @ ones) + np.ravel(most)
         return out
 
     def log_probabilities(self, symbols: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Natural logarithms of the symbols' probabilities; a context that repeats is normalised once."""
         k = len(self.bias)
-        code = before[:, 0].astype(np.int64)
-        for i in range(1, CONTEXT):
-            code = code * k + before[:, i]
-        _, first, at = np.unique(code, return_index=True, return_inverse=True)
-        out = -self.normalisers(before[first])[at]
+        code = before @ (k ** np.arange(CONTEXT, dtype=np.int64))
+        there = np.zeros(k**CONTEXT, dtype=bool)
+        there[code] = True
+        found = np.flatnonzero(there)
+        each = np.zeros(len(there))
+        each[found] = self.normalisers(np.stack([found // k**i % k for i in range(CONTEXT)], 1))
+        out = -each[code]
         for j in range(0, len(symbols), 1 << 16):
             part = slice(j, j + (1 << 16))
             out[part] += np.einsum("nd,nd->n", self.context(before[part]), self.asked[symbols[part]]) + self.bias[symbols[part]]
@@ -168,7 +173,7 @@ class _Trainer:
         d_asked = _added(symbols, up[:, None] * h, k)
         np.add.at(d_asked, noise, down.T @ h)
         d_bias = np.bincount(symbols, weights=up, minlength=k) + np.bincount(noise, weights=down.sum(0), minlength=k)
-        d_seen = sum(_added(before[:, i], dh * w.place[i], k) for i in range(CONTEXT))
+        d_seen = _added(before.T.ravel(), (dh * w.place[:, None, :]).reshape(-1, WIDTH), k)
         d_place = np.stack([(dh * w.seen[before[:, i]]).sum(0) for i in range(CONTEXT)])
         for p, d, s in zip(w.parts(), (d_seen, d_asked, d_bias, d_place), self.squares, strict=True):
             s += d * d
