@@ -15,6 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridscore.llm.rows import packed, schema_of, unpacked
 from gridscore.session import stored
 
 #: The most frequent words are symbols of their own; all others share a symbol with those of the same shape.
@@ -332,8 +333,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     added ones are replaced.
     """
     rest = [c for c in docs.columns if c not in (text, "n_tokens", "n_known", "base_score", "score")]
-    slim = docs.select(F.struct(F.lit(0).alias("_"), *[docs[c] for c in rest]).alias("row"), docs[text].cast("string").cast("binary").alias("text"))
-    kind = slim.schema["row"].dataType.simpleString()
+    slim = docs.select(packed(docs, rest).alias("row"), docs[text].cast("string").cast("binary").alias("text"))
     plain = replace(model, counts=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,11 +357,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         if held:
             yield out()
 
-    schema = f"row {kind}, n_tokens long, n_known long, base_score double, score double, rest array<struct<word: binary, n: bigint>>"
+    schema = schema_of(slim.select("row"), "n_tokens long, n_known long, base_score double, score double, rest array<struct<word: binary, n: bigint>>")
     read = stored(slim.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "scored")
     asked = read.select("uid", F.explode("rest").alias("r")).select("uid", "r.word", "r.n")
     looked = asked.join(model.counts.select("word", F.col("n").alias("c")), "word", "left")
     more = looked.groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("known"))
     joined = read.join(more, "uid", "left")
     added = F.coalesce("more", F.lit(0.0))
-    return joined.select(*[F.col("row")[c].alias(c) for c in rest], "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base_score") + added).alias("base_score"), (F.col("score") + added).alias("score"))
+    return joined.select(*unpacked(rest), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base_score") + added).alias("base_score"), (F.col("score") + added).alias("score"))

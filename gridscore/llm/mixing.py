@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridscore.llm.rows import packed, unpacked
 from gridscore.session import stored
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, 42
@@ -103,7 +104,7 @@ def _numbered(groups: DataFrame, times: str) -> DataFrame:
         return every
     parts = often.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / LISTED))))
     tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return every.unionByName(listed(parts.repartition(tasks, F.xxhash64(*groups.columns, "_part")), F.col("_part") * LISTED))
+    return every.unionByName(listed(parts.repartition(tasks, F.xxhash64(*[c for c in groups.columns if c != "row"], "_part")), F.col("_part") * LISTED))
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", tie: Column | None = None) -> DataFrame:
@@ -170,12 +171,12 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     whole = [c for f in df.schema.fields if "map<" not in f.dataType.simpleString() for c in (df[f.name].isNull(), df[f.name])]
     tie = F.struct(F.xxhash64(F.lit(0), *whole).alias("a"), F.xxhash64(F.lit(1), *whole).alias("b"))
     parts = F.transform(F.array(tie), lambda t: F.struct(t["a"], t["b"]))[0]
-    taken = mix(df, key, text, source, parts).groupBy("tie").agg(F.sum("copies").alias("__times"))
-    taken = stored(taken.where("__times > 0").select(F.col("tie.a").alias("__a"), F.col("tie.b").alias("__b"), "__times"), "taken")
-    rows = df.withColumns({"__a": tie["a"], "__b": tie["b"]}).dropDuplicates(["__a", "__b"])
-    often = taken.where(F.col("__times") > LISTED)
-    copies = F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))
-    kept = rows.join(taken.where(F.col("__times") <= LISTED), ["__a", "__b"]).withColumn("__copy", copies).select(*df.columns)
-    if often.isEmpty():
-        return kept
-    return kept.unionByName(_numbered(stored(rows.join(often, ["__a", "__b"]), "often"), "__times").select(*df.columns))
+    taken = mix(df, key, text, source, parts).groupBy("tie").agg(F.sum("copies").alias("times"))
+    taken = stored(taken.where("times > 0").select(F.col("tie.a").alias("a"), F.col("tie.b").alias("b"), "times"), "taken")
+    rows = df.select(packed(df).alias("row"), tie["a"].alias("a"), tie["b"].alias("b")).dropDuplicates(["a", "b"])
+    often = taken.where(F.col("times") > LISTED)
+    copies = F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))
+    kept = rows.join(taken.where(F.col("times") <= LISTED), ["a", "b"]).withColumn("copy", copies).select("row")
+    if not often.isEmpty():
+        kept = kept.unionByName(_numbered(stored(rows.join(often, ["a", "b"]), "often"), "times").select("row"))
+    return kept.select(*unpacked(df.columns))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridscore.llm.cells import by_block, dealt_in_blocks, forest, small_pairs
+from gridscore.llm.rows import packed, unpacked
 from gridscore.operators.components import connected_components
 from gridscore.session import stored
 
@@ -116,8 +117,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", most
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
     """One row of each group of df: the smallest key's, known before null ones, then the smallest text hash; once if the
     row is repeated; columns unchanged."""
-    last = F.lit((1 << 63) - 1)
-    order = F.struct(F.coalesce(F.col(key), last).alias("__key"), F.col("_text_hash").alias("__hash"))
+    last, hashed = F.lit((1 << 63) - 1), F.xxhash64(F.coalesce(df[text].cast("string"), F.lit("")))
+    order = F.struct(F.coalesce(F.col(key), last).alias("key"), F.col("_text_hash").alias("hash"))
     first = stored(near_duplicates(df, key, text, most).groupBy("_group").agg(F.min(order).alias("o")).select("o.*"), "first")
-    keyed = df.withColumns({"__key": F.coalesce(df[key], last), "__hash": F.xxhash64(F.coalesce(df[text].cast("string"), F.lit("")))})
-    return keyed.join(first, ["__key", "__hash"], "left_semi").dropDuplicates(["__key", "__hash"]).select(*[keyed[c] for c in df.columns])
+    rows = df.select(packed(df).alias("row"), F.coalesce(df[key], last).alias("key"), hashed.alias("hash"))
+    return rows.join(first, ["key", "hash"], "left_semi").dropDuplicates(["key", "hash"]).select(*unpacked(df.columns))
