@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridscore.llm import langid, mixing, pieces, quality, simhash
 from gridscore.llm.queries import quality_model
@@ -25,8 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier good than bad."""
-    scored = quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")), column="__score")
-    return scored.where("__score >= 0.5").select(*docs.columns)
+    column = "score" + "_" * max(map(len, docs.columns))  # longer than any name there
+    scored = quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")), column=column)
+    return scored.where(F.col(column) >= 0.5).drop(column)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
