@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridscore.operators.metrics import correlation
+from gridscore.operators.order import with_rank
 
 
 def region_pairs(series: DataFrame, keys: list[str], region: str = "roi_id", value: str = "value") -> DataFrame:
@@ -73,10 +74,7 @@ def partial_given(df: DataFrame, keys: list[str], a: str, b: str, given: str) ->
 
 def rank_correlation(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys and Spearman's r: Pearson's of average ranks."""
-    def rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / F.lit(2.0)
-
-    return correlation(df.withColumn("_ra", rank(a)).withColumn("_rb", rank(b)), keys, "_ra", "_rb")
+    return correlation(with_rank(with_rank(df, keys, a, "_ra"), keys, b, "_rb"), keys, "_ra", "_rb")
 
 
 def difference(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridscore.operators.components import connected_components
+from gridscore.operators.order import quantiles
 from gridscore.operators.signature import offsets_within
 from gridscore.operators.topk import keep_top
 from gridscore.session import stored
@@ -81,7 +82,7 @@ def erode(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def clean_mask(df: DataFrame, keys: list[str], shape: tuple[int, int, int], share: float = 0.30, value: str = "value") -> DataFrame:
     """Rows whose cell is in the mask above the quantile `share` of positive values, after opening, closing and dilation."""
-    cut = df.where(F.col(value) > 0).groupBy(*keys).agg(F.percentile(value, F.lit(share)).alias("_cut"))
+    cut = quantiles(df.where(F.col(value) > 0), keys, value, {"_cut": share})
     mask = df.join(cut, keys).where(F.col(value) > F.col("_cut"))
     opened = dilate(erode(mask, keys), keys, shape)
     # a closing must not lose cells at the lattice's edge for want of neighbours there, so it may grow beyond and back

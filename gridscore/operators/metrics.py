@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridscore.functions.geometry import in_box, zone
 from gridscore.model import TARGETS, Box, Target
+from gridscore.operators.order import quantiles, value_counts
 from gridscore.operators.score import bin_value
 
 EPS = 1e-12
@@ -20,7 +21,7 @@ def sum_where(condition: Column, value: Column) -> Column:
 
 def threshold_positive(df: DataFrame, keys: list[str], share: float, value: str = "value") -> DataFrame:
     """Values below the quantile `share` of the positive ones of their group become 0; groups without any stay as they are."""
-    cut = df.where(F.col(value) > 0).groupBy(*keys).agg(F.percentile(value, F.lit(share)).alias("_cut"))
+    cut = quantiles(df.where(F.col(value) > 0), keys, value, {"_cut": share})
     return df.join(cut, keys, "left").withColumn(value, F.when(F.col(value) < F.col("_cut"), 0.0).otherwise(F.col(value))).drop("_cut")
 
 
@@ -29,7 +30,7 @@ def normalise_and_threshold(df: DataFrame, keys: list[str], share: float, value:
     some = df.where(F.col(value) != 0)
     moments = some.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     scored = df.join(moments, keys, "left").withColumn("_z", F.when(F.col(value) != 0, F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))))
-    cut = scored.where("_z is not null").groupBy(*keys).agg(F.percentile(F.abs("_z"), F.lit(share)).alias("_cut"))
+    cut = quantiles(scored.where("_z is not null").withColumn("_z", F.abs("_z")), keys, "_z", {"_cut": share})
     kept = F.when(F.abs("_z") >= F.col("_cut"), F.col("_z")).otherwise(0.0)
     return scored.join(cut, keys, "left").withColumn(value, kept).drop("_m", "_s", "_z", "_cut")
 
@@ -161,9 +162,11 @@ def entropy(df: DataFrame, keys: list[str], value: str = "value", bins: int = 50
 
 def gini(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """keys and gini: 2 sum(i v) / (n sum v) - (n + 1) / n over the sorted values; 0 where the sum is 0."""
-    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
-    total, n = F.sum(value), F.count(value)
-    return ranked.groupBy(*keys).agg(F.coalesce(F.try_divide(2 * F.sum(F.col("_i") * F.col(value)), n * total) - (n + 1) / n, F.lit(0.0)).alias("gini"))
+    v, k = F.col(value), F.col("n")
+    total, n = F.sum(k * v), F.sum(k)
+    places = k * F.col("before") + k * (k + 1) / 2.0  # the sum of the places of k equal values
+    counts = value_counts(df.where(v.isNotNull()), keys, value)
+    return counts.groupBy(*keys).agg(F.coalesce(F.try_divide(2 * F.sum(places * v), n * total) - (n + 1) / n, F.lit(0.0)).alias("gini"))
 
 
 def variation(value: str = "value") -> Column:
@@ -181,7 +184,7 @@ def dispersion(df: DataFrame, keys: list[str], value: str = "value") -> DataFram
 
 def concentration(df: DataFrame, keys: list[str], share: float = 0.95, value: str = "value") -> DataFrame:
     """keys and concentration: mass at or above the quantile `share`, over all mass."""
-    cut = df.groupBy(*keys).agg(F.percentile(value, F.lit(share)).alias("_cut"))
+    cut = quantiles(df, keys, value, {"_cut": share})
     v = F.col(value)
     return df.join(cut, keys).groupBy(*keys).agg((sum_where(v >= F.col("_cut"), v) / (F.sum(v) + 1e-10)).alias("concentration"))
 

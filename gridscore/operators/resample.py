@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gridscore.functions.geometry import raw_prior, scaled_prior
 from gridscore.model import BAND_BOUNDS, BOUNDS, PRIORS
 from gridscore.operators.metrics import EPS, correlation, dispersion, entropy, gini, positive_ratio, sum_where
-from gridscore.operators.score import average_rank
+from gridscore.operators.order import quantiles, value_counts
 from gridscore.session import stored
 
 
@@ -64,9 +64,11 @@ def spread_of(boots: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def robust(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """keys, median, mad, robust deviation (1.4826 mad) and a 95 percent interval clipped to 0..1."""
-    middle = df.groupBy(*keys).agg(F.median(value).alias("median"), F.count("*").alias("n"))
-    joined = df.join(middle, keys) if keys else df.crossJoin(F.broadcast(middle))
-    found = joined.groupBy(*keys).agg(F.first("median").alias("median"), F.first("n").alias("n"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    own = [*keys, "_all"]
+    rows = df.withColumn("_all", F.lit(0))
+    middle = quantiles(rows, own, value, {"median": 0.5})
+    far = quantiles(rows.join(middle, own).withColumn("_far", F.abs(F.col(value) - F.col("median"))), own, "_far", {"mad": 0.5})
+    found = rows.groupBy(*own).agg(F.count("*").alias("n")).join(middle, own).join(far, own)
     half = 1.96 * 1.4826 * F.col("mad") / F.sqrt("n")
     return found.select(*keys, "median", "mad", (1.4826 * F.col("mad")).alias("robust_std"), F.greatest(F.col("median") - half, F.lit(0.0)).alias("low"), F.least(F.col("median") + half, F.lit(1.0)).alias("high"))
 
@@ -187,9 +189,10 @@ def phase_randomised(df: DataFrame, keys: list[str], n_perm: int, seed: int, val
 
 def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str = "value") -> DataFrame:
     """keys, u (of the rows where `group` is true), n1, n2 and z by the normal approximation with ties."""
-    ranked = df.withColumn("_r", average_rank(keys, value)).withColumn("_t", F.count("*").over(Window.partitionBy(*keys, value)))
     g = F.col(group).cast("double")
-    sums = ranked.groupBy(*keys).agg(F.sum(F.col("_r") * g).alias("_s"), F.sum(g).alias("n1"), F.sum(1 - g).alias("n2"), F.sum(F.col("_t") * F.col("_t") - 1.0).alias("_ties"))
+    counts = value_counts(df, keys, value, _one=F.sum(g), _two=F.sum(1 - g)).withColumn("_r", F.col("before") + (F.col("n") + 1) / 2.0)
+    ties = F.sum(F.col("n") * (F.col("n").cast("double") * F.col("n") - 1.0))
+    sums = counts.groupBy(*keys).agg(F.sum(F.col("_r") * F.col("_one")).alias("_s"), F.sum("_one").alias("n1"), F.sum("_two").alias("n2"), ties.alias("_ties"))
     n = F.col("n1") + F.col("n2")
     u = F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2
     spread = F.sqrt(F.col("n1") * F.col("n2") / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
@@ -206,7 +209,7 @@ def cohen_d(df: DataFrame, keys: list[str], group: str, value: str = "value") ->
 
 def levene(df: DataFrame, keys: list[str], group: str, value: str = "value") -> DataFrame:
     """keys, w and its degrees of freedom: equal variances tested by an analysis of |value - group median|."""
-    medians = df.groupBy(*keys, group).agg(F.median(value).alias("_med"))
+    medians = quantiles(df, [*keys, group], value, {"_med": 0.5})
     z = df.join(medians, [*keys, group]).withColumn("_z", F.abs(F.col(value) - F.col("_med")))
     parts = z.groupBy(*keys, group).agg(F.count("*").alias("_n"), F.avg("_z").alias("_zm"), F.sum("_z").alias("_zs"), F.sum(F.col("_z") * F.col("_z")).alias("_z2"))
     n, k = F.sum("_n"), F.count("*")

@@ -29,7 +29,7 @@ def packed(df: DataFrame, keys: list[str], position: str, value: str, values: st
 
 
 def average_rank(keys: list[str], value: str) -> Column:
-    """Rank of a value among its group's, ties sharing the mean of their places."""
+    """Rank of a value among its group's, ties sharing the mean of their places; for groups that fit a task (order.with_rank: any)."""
     ties = F.count("*").over(Window.partitionBy(*keys, value))
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (ties - 1) / F.lit(2.0)
 

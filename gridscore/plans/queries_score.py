@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridscore.operators import score, topk
+from gridscore.operators.order import with_rank
 from gridscore.plans.registry import query
 from gridscore.plans.stand_ins import SC, SIG, VAL, VOX, rounded, rounded_all, scores, signatures, snapshots, values, voxels
 
@@ -34,7 +35,7 @@ def q_dice_rank(spark: SparkSession, d: str) -> DataFrame:
   SELECT voxel_id, pos, rank() OVER (PARTITION BY voxel_id ORDER BY a) + (count(*) OVER (PARTITION BY voxel_id, a) - 1) / 2.0::DOUBLE AS place FROM lng""")
 def q_average_rank(spark: SparkSession, d: str) -> DataFrame:
     long = score.long_form(signatures(spark, d), ["voxel_id"], "w", value="a").withColumn("pos", F.col("pos").cast("bigint"))
-    return long.select("voxel_id", "pos", score.average_rank(["voxel_id"], "a").alias("place"))
+    return with_rank(long, ["voxel_id"], "a", "place").select("voxel_id", "pos", "place")
 
 
 def _binned(n: int) -> str:
