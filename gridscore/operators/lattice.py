@@ -82,6 +82,7 @@ def erode(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def clean_mask(df: DataFrame, keys: list[str], shape: tuple[int, int, int], share: float = 0.30, value: str = "value") -> DataFrame:
     """Rows whose cell is in the mask above the quantile `share` of positive values, after opening, closing and dilation."""
+    df = stored(df, "raw")
     cut = quantiles(df.where(F.col(value) > 0), keys, value, {"_cut": share})
     mask = df.join(cut, keys).where(F.col(value) > F.col("_cut"))
     opened = dilate(erode(mask, keys), keys, shape)

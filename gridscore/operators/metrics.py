@@ -11,6 +11,7 @@ from gridscore.functions.geometry import in_box, zone
 from gridscore.model import TARGETS, Box, Target
 from gridscore.operators.order import quantiles, value_counts
 from gridscore.operators.score import bin_value
+from gridscore.session import stored
 
 EPS = 1e-12
 
@@ -21,6 +22,7 @@ def sum_where(condition: Column, value: Column) -> Column:
 
 def threshold_positive(df: DataFrame, keys: list[str], share: float, value: str = "value") -> DataFrame:
     """Values below the quantile `share` of the positive ones of their group become 0; groups without any stay as they are."""
+    df = stored(df, "raw")
     cut = quantiles(df.where(F.col(value) > 0), keys, value, {"_cut": share})
     return df.join(cut, keys, "left").withColumn(value, F.when(F.col(value) < F.col("_cut"), 0.0).otherwise(F.col(value))).drop("_cut")
 
@@ -29,7 +31,7 @@ def normalise_and_threshold(df: DataFrame, keys: list[str], share: float, value:
     """Non-zero values become z-scores within keys (population deviation), those nearer to 0 than the quantile `share` of |z| become 0."""
     some = df.where(F.col(value) != 0)
     moments = some.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    scored = df.join(moments, keys, "left").withColumn("_z", F.when(F.col(value) != 0, F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))))
+    scored = stored(df.join(moments, keys, "left").withColumn("_z", F.when(F.col(value) != 0, F.try_divide(F.col(value) - F.col("_m"), F.col("_s")))), "scored")
     cut = quantiles(scored.where("_z is not null").withColumn("_z", F.abs("_z")), keys, "_z", {"_cut": share})
     kept = F.when(F.abs("_z") >= F.col("_cut"), F.col("_z")).otherwise(0.0)
     return scored.join(cut, keys, "left").withColumn(value, kept).drop("_m", "_s", "_z", "_cut")
@@ -184,6 +186,7 @@ def dispersion(df: DataFrame, keys: list[str], value: str = "value") -> DataFram
 
 def concentration(df: DataFrame, keys: list[str], share: float = 0.95, value: str = "value") -> DataFrame:
     """keys and concentration: mass at or above the quantile `share`, over all mass."""
+    df = stored(df.select(*keys, value), "mass")
     cut = quantiles(df, keys, value, {"_cut": share})
     v = F.col(value)
     return df.join(cut, keys).groupBy(*keys).agg((sum_where(v >= F.col("_cut"), v) / (F.sum(v) + 1e-10)).alias("concentration"))

@@ -45,8 +45,9 @@ def with_rank(df: DataFrame, keys: list[str], value: str, rank: str = "rank") ->
     """df with the average rank of `value` within keys, ties sharing the mean of their places.
 
     Distinct values are counted before they are shuffled, ranked by running(), and joined back by an equi-join, whose
-    frequent values Spark may split. df is read twice.
+    frequent values Spark may split. df is stored first: a value that is worked out twice need not be the same.
     """
+    df = stored(df, "unranked")
     ranks = value_counts(df, keys, value).select(*keys, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias("_rank"))
     ranks = ranks.select(*[F.col(c).alias(f"_r_{c}") for c in (*keys, value)], "_rank")
     on = reduce(Column.__and__, [df[c].eqNullSafe(F.col(f"_r_{c}")) for c in (*keys, value)])
@@ -59,7 +60,8 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
     A first pass counts and sketches each group; a second one counts the values below the sketch's bracket as one and
     those within it one by one, and the places asked for are looked up among their running counts. So buffers stay as
     small as a sketch, and what is sorted is about 4 / ACCURACY of the rows. A place that a bracket should miss is
-    looked up once more among all values. Nulls don't count; a group of nulls only has null quantiles. df is read twice.
+    looked up once more among all values. Nulls don't count; a group of nulls only has null quantiles. df is read twice:
+    store it where its values are worked out, above all if they are then compared with the quantiles.
     """
     names, room = list(shares), 2.0 / ACCURACY
     slim = df.select(*keys, F.col(value).cast("double").alias("_v"))
@@ -78,7 +80,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
         again = _looked_up(slim, missed.select(*keys, "_i", "_at", F.lit(None).cast("double").alias("_low"), F.lit(None).cast("double").alias("_high")), keys)
         found = found.where("_below is not null and _above is not null").unionByName(again)
     down, up = F.floor("_at"), F.ceil("_at")
-    between = F.when(down == up, F.col("_below")).otherwise((up - F.col("_at")) * F.col("_below") + (F.col("_at") - down) * F.col("_above"))
+    between = F.when((down == up) | (F.col("_below") == F.col("_above")), F.col("_below")).otherwise((up - F.col("_at")) * F.col("_below") + (F.col("_at") - down) * F.col("_above"))
     each = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, between)).alias(name) for i, name in enumerate(names)])
     groups = known.select(*keys) if keys else known.select("_n")
     return groups.join(each, _same(groups, each, keys), "left").select(*[groups[k] for k in keys], *names)

@@ -65,7 +65,7 @@ def spread_of(boots: DataFrame, keys: list[str], value: str) -> DataFrame:
 def robust(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """keys, median, mad, robust deviation (1.4826 mad) and a 95 percent interval clipped to 0..1."""
     own = [*keys, "_all"]
-    rows = df.withColumn("_all", F.lit(0))
+    rows = stored(df.select(*keys, value).withColumn("_all", F.lit(0)), "raw")
     middle = quantiles(rows, own, value, {"median": 0.5})
     far = quantiles(rows.join(middle, own).withColumn("_far", F.abs(F.col(value) - F.col("median"))), own, "_far", {"mad": 0.5})
     found = rows.groupBy(*own).agg(F.count("*").alias("n")).join(middle, own).join(far, own)
@@ -209,6 +209,7 @@ def cohen_d(df: DataFrame, keys: list[str], group: str, value: str = "value") ->
 
 def levene(df: DataFrame, keys: list[str], group: str, value: str = "value") -> DataFrame:
     """keys, w and its degrees of freedom: equal variances tested by an analysis of |value - group median|."""
+    df = stored(df.select(*keys, group, value), "raw")
     medians = quantiles(df, [*keys, group], value, {"_med": 0.5})
     z = df.join(medians, [*keys, group]).withColumn("_z", F.abs(F.col(value) - F.col("_med")))
     parts = z.groupBy(*keys, group).agg(F.count("*").alias("_n"), F.avg("_z").alias("_zm"), F.sum("_z").alias("_zs"), F.sum(F.col("_z") * F.col("_z")).alias("_z2"))
