@@ -1,16 +1,20 @@
-"""Neighbourhood and graph operators on lattice cells, as explodes, equi-joins and aggregates on (i, j, k)."""
+"""Neighbourhood and graph operators on lattice cells: stencils and components by dense cubes, joins of what crosses their faces."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gridscore.operators import tiles
 from gridscore.operators.components import connected_components
 from gridscore.operators.order import quantiles
-from gridscore.operators.signature import offsets_within
 from gridscore.operators.topk import keep_top
 from gridscore.session import stored
 
@@ -24,28 +28,36 @@ def gaussian_taps(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]
     return [(x, w / sum(raw)) for x, w in zip(range(-r, r + 1), raw, strict=True)]
 
 
-def _reflect(c: Column, size: int) -> Column:
-    """Index within 0..size-1 after mirroring at the edges, edge cells included."""
-    m = F.pmod(c, F.lit(2 * size))
-    return F.when(m >= size, 2 * size - 1 - m).otherwise(m).cast("int")
+def _convolved(x: np.ndarray, sigmas: tuple[float, float, float]) -> np.ndarray:
+    for axis, sigma in enumerate(sigmas):
+        x = sum(w * (tiles.shifted(x, axis, by, 0.0) if by else x) for by, w in gaussian_taps(sigma))
+    return x
+
+
+def _reached(x: np.ndarray, sigmas: tuple[float, float, float]) -> np.ndarray:
+    for axis, sigma in enumerate(sigmas):
+        x = np.logical_or.reduce([tiles.shifted(x, axis, by, False) if by else x for by, _ in gaussian_taps(sigma)])
+    return x
 
 
 def smooth(df: DataFrame, keys: list[str], sigmas: tuple[float, float, float], masked: bool = True, shape: tuple[int, int, int] | None = None, value: str = "value") -> DataFrame:
-    """keys, cell and value of a Gaussian over cells: one explode and aggregate per axis.
+    """keys, cell and value of a Gaussian over cells, worked out cube by cube (tiles.stencil).
 
     Absent cells count as 0. masked: results stay where the input was positive, and weights beyond the lattice are lost;
     else results spread, mirrored at the edges of `shape`.
     """
-    rows = df.select(*keys, *CELL, F.col(value).alias("_v"))
-    for n, (axis, sigma) in enumerate(zip(CELL, sigmas, strict=True)):
-        taps = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(w).alias("w")) for x, w in gaussian_taps(sigma)]))
-        moved = F.col(axis) + F.col("t.x")
-        moved = _reflect(moved, shape[n]) if shape and not masked else moved
-        rows = rows.withColumn("t", taps).withColumn("_v", F.col("_v") * F.col("t.w")).withColumn(axis, moved).groupBy(*keys, *CELL).agg(F.sum("_v").alias("_v"))
-    if not masked:
-        return rows.withColumnRenamed("_v", value)
-    support = df.where(F.col(value) > 0).select(*keys, *CELL)
-    return rows.join(support, [*keys, *CELL]).withColumnRenamed("_v", value)
+    reach = max(by for sigma in sigmas for by, _ in gaussian_taps(sigma))
+
+    def step(x: np.ndarray, there: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if masked:
+            return tiles.inner(_convolved(x, sigmas), reach), tiles.inner(there & (x > 0), reach)
+        if shape:
+            inside = tiles.within(first, shape, x.shape[1])
+            x, there = tiles.mirrored(x, first, shape), tiles.mirrored(there, first, shape)
+            return tiles.inner(_convolved(x, sigmas), reach), tiles.inner(_reached(there, sigmas) & inside, reach)
+        return tiles.inner(_convolved(x, sigmas), reach), tiles.inner(_reached(there, sigmas), reach)
+
+    return tiles.stencil(df, keys, reach, step, value)
 
 
 def blend_smooth(df: DataFrame, keys: list[str], sigmas: tuple[float, float, float], share: float = 0.15, value: str = "value") -> DataFrame:
@@ -62,22 +74,36 @@ def bilateral(df: DataFrame, keys: list[str], shape: tuple[int, int, int], sigma
     return df.join(soft, [*keys, *CELL]).withColumn(value, F.col(value) * (1 - w) + F.col("_s") * w).drop("_s")
 
 
-def _spread(cells: DataFrame, keys: list[str], steps: Column) -> DataFrame:
-    sent = cells.withColumn("o", F.explode(steps))
-    return sent.withColumns({c: (F.col(c) + F.col(f"o.d{c}")).cast("int") for c in CELL}).drop("o")
+def _grown(x: np.ndarray) -> np.ndarray:
+    """Cells and their six neighbours."""
+    return np.logical_or.reduce([x, *[tiles.shifted(x, axis, by, False) for axis in range(3) for by in (-1, 1)]])
+
+
+def _shrunk(x: np.ndarray) -> np.ndarray:
+    """Cells all of whose six neighbours are cells."""
+    return np.logical_and.reduce([x, *[tiles.shifted(x, axis, by, False) for axis in range(3) for by in (-1, 1)]])
+
+
+def _morphed(cells: DataFrame, keys: list[str], steps: str, shape: tuple[int, int, int] | None) -> DataFrame:
+    """keys and cells after steps, each a letter: g grows within `shape`, G beyond it too, s shrinks. All in one exchange."""
+
+    def step(x: np.ndarray, there: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inside = tiles.within(first, shape, x.shape[1]) if shape else True
+        for letter in steps:
+            there = _shrunk(there) if letter == "s" else _grown(there) & (inside if letter == "g" else True)
+        return tiles.inner(x, len(steps)), tiles.inner(there, len(steps))
+
+    return tiles.stencil(cells.select(*keys, *CELL, F.lit(1.0).alias("_v")), keys, len(steps), step, "_v").drop("_v")
 
 
 def dilate(cells: DataFrame, keys: list[str], shape: tuple[int, int, int] | None = None) -> DataFrame:
     """Cells (keys, i, j, k) and their six neighbours, within shape."""
-    grown = _spread(cells.select(*keys, *CELL), keys, offsets_within(1.0)).distinct()
-    inside = reduce(Column.__and__, [F.col(c).between(0, n - 1) for c, n in zip(CELL, shape, strict=True)]) if shape else F.lit(True)
-    return grown.where(inside)
+    return _morphed(cells, keys, "g", shape)
 
 
 def erode(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cells all of whose six neighbours are cells; the lattice's edge counts as outside."""
-    counts = _spread(cells.select(*keys, *CELL), keys, offsets_within(1.0)).groupBy(*keys, *CELL).count()
-    return cells.select(*keys, *CELL).join(counts.where("count = 7").drop("count"), [*keys, *CELL], "left_semi")
+    return _morphed(cells, keys, "s", None)
 
 
 def clean_mask(df: DataFrame, keys: list[str], shape: tuple[int, int, int], share: float = 0.30, value: str = "value") -> DataFrame:
@@ -85,39 +111,79 @@ def clean_mask(df: DataFrame, keys: list[str], shape: tuple[int, int, int], shar
     df = stored(df, "raw")
     cut = quantiles(df.where(F.col(value) > 0), keys, value, {"_cut": share})
     mask = df.join(cut, keys).where(F.col(value) > F.col("_cut"))
-    opened = dilate(erode(mask, keys), keys, shape)
-    # a closing must not lose cells at the lattice's edge for want of neighbours there, so it may grow beyond and back
-    closed = erode(dilate(opened, keys), keys)
-    return df.join(dilate(closed, keys, shape), [*keys, *CELL], "left_semi")
+    # opening; closing, which must not lose cells at the lattice's edge for want of neighbours there, so it may grow
+    # beyond and back; dilation
+    return df.join(_morphed(mask, keys, "sgGsg", shape), [*keys, *CELL], "left_semi")
 
 
 def maximum(df: DataFrame, keys: list[str], value: str = "value", shape: tuple[int, int, int] | None = None) -> DataFrame:
     """keys, cell and the largest value among each cell's 27, for every cell that has one near; absent cells don't count."""
-    grown = _spread(df.select(*keys, *CELL, value), keys, offsets_within(1.75)).groupBy(*keys, *CELL).agg(F.max(value).alias(value))
-    inside = reduce(Column.__and__, [F.col(c).between(0, n - 1) for c, n in zip(CELL, shape, strict=True)]) if shape else F.lit(True)
-    return grown.where(inside)
+
+    def step(x: np.ndarray, there: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inside = tiles.within(first, shape, x.shape[1]) if shape else True
+        for axis in range(3):
+            x = np.maximum.reduce([x, *[tiles.shifted(x, axis, by, -np.inf) for by in (-1, 1)]])
+            there = np.logical_or.reduce([there, *[tiles.shifted(there, axis, by, False) for by in (-1, 1)]])
+        return tiles.inner(x, 1), tiles.inner(there & inside, 1)
+
+    return tiles.stencil(df, keys, 1, step, value, most=True)
+
+
+def _labels(there: np.ndarray) -> np.ndarray:
+    """For each cell of m cubes the smallest place in its cube that it is joined to by 6-neighbour steps, by hooking and
+    pointer jumping; cells that aren't there have the cube's size."""
+    m, size = len(there), there.shape[1]
+    none = size**3
+    label = np.where(there, np.arange(none).reshape(1, size, size, size), none)
+    while True:
+        least = np.minimum.reduce([label, *[tiles.shifted(label, axis, by, none) for axis in range(3) for by in (-1, 1)]])
+        least = np.where(there, least, none).reshape(m, none)
+        padded = np.concatenate([least, np.full((m, 1), none)], axis=1)
+        least = np.minimum(least, np.take_along_axis(padded, least, axis=1)).reshape(label.shape)
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _labelled(cubes: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """cubes (with _id) with `label`, a long for each of their cells: alike within a cube's component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, tiles.AT_ONCE):
+                batch = whole.slice(k, tiles.AT_ONCE)
+                lists, ids = batch.column(batch.schema.get_field_index("at")), batch.column(batch.schema.get_field_index("_id")).to_numpy()
+                at, counts = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+                rows = np.repeat(np.arange(len(ids)), counts)
+                there = np.zeros((len(ids), size**3), dtype=bool)
+                there[rows, at] = True
+                found = _labels(there.reshape(-1, size, size, size)).reshape(len(ids), -1)[rows, at] + ids[rows] * size**3
+                label = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(found, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, label], names=[*batch.schema.names, "label"])
+
+    return cubes.mapInArrow(run, T.StructType([*cubes.schema.fields, T.StructField("label", T.ArrayType(T.LongType()))]))
 
 
 def components(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, cell, component (the smallest cell code of the group reachable by 6-neighbour steps) and its size.
 
-    Runs along k are found by a window over each line of cells, and are the nodes, numbered by one long each; edges go
-    from run to run along the two other axes, each an equi-join; labels come from star contraction.
+    Cells are joined cube by cube inside tasks; only what meets across the cubes' faces becomes an edge between two
+    cubes' components, each pair once, and goes to star contraction. So what is shuffled and stored in its rounds falls
+    with the faces, not with the cells.
     """
-    line = Window.partitionBy(*keys, "i", "j").orderBy("k")
-    cells = stored(df.select(*keys, *CELL).distinct().withColumn("_run", F.col("k") - F.row_number().over(line)), "cells")
-    runs = cells.groupBy(*keys, "i", "j", "_run").agg(F.count("*").alias("_cells"), F.min("k").alias("_k")).withColumn("_id", F.monotonically_increasing_id())
-    runs = stored(runs, "runs")
-    named = stored(cells.join(runs.select(*keys, "i", "j", "_run", "_id"), [*keys, "i", "j", "_run"]).select(*keys, *CELL, "_id"), "named")
-    steps = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(0).alias("dk")) for a, b in ((1, 0), (0, 1))])
-    ahead = _spread(named.withColumnRenamed("_id", "src"), keys, steps)
-    edges = ahead.join(named.withColumnRenamed("_id", "dst"), [*keys, *CELL]).select("src", "dst")
-    labels = connected_components(edges)
-    labelled = stored(runs.join(labels, runs["_id"] == labels["node"], "left").withColumn("_root", F.coalesce("component", "_id")).drop("node", "component"), "labelled")
-    code = F.struct(*keys, "i", "j", F.col("_k").alias("k"))
-    groups = labelled.groupBy("_root").agg(F.min(code).alias("component"), F.sum("_cells").alias("size"))
-    found = labelled.join(groups, "_root").select("_id", "component", "size")
-    return named.join(found, "_id").select(*keys, *CELL, "component", "size")
+    size = tiles.SIZE
+    cubes = tiles.packed(df.select(*keys, *CELL).distinct().withColumn("_v", F.lit(0.0)), keys, "_v", size).drop("v")
+    cubes = stored(_labelled(stored(cubes.withColumn("_id", F.monotonically_increasing_id()), "cubes"), keys, size), "labelled")
+    place = [F.expr(f"_{c} * {size} + x.at div {size ** (2 - n)} % {size}").cast("int").alias(c) for n, c in enumerate(CELL)]
+    cells = cubes.select(*keys, *[f"_{c}" for c in CELL], F.explode(F.arrays_zip("at", "label")).alias("x")).select(*keys, *place, F.col("x.label").alias("label"))
+    low, high = ([cells.where(F.pmod(F.col(c), F.lit(size)) == edge) for c in CELL] for edge in (0, size - 1))
+    seams = [a.withColumn(c, F.col(c) + 1).withColumnRenamed("label", "src").join(b.withColumnRenamed("label", "dst"), [*keys, *CELL]).select("src", "dst") for c, a, b in zip(CELL, high, low, strict=True)]
+    joined = connected_components(stored(reduce(DataFrame.unionByName, seams).distinct(), "seams"))
+    own = cells.groupBy("label").agg(F.count("*").alias("_cells"), F.min(F.struct(*keys, *CELL)).alias("_code"))
+    rooted = stored(own.join(joined, own["label"] == joined["node"], "left").select("label", "_cells", "_code", F.coalesce("component", "label").alias("_root")), "rooted")
+    groups = rooted.groupBy("_root").agg(F.min("_code").alias("component"), F.sum("_cells").alias("size"))
+    found = rooted.join(groups, "_root").select("label", "component", "size")
+    return cells.join(found, "label").select(*keys, *CELL, "component", "size")
 
 
 def drop_small(df: DataFrame, keys: list[str], least: int, floor_share: float = 0.5, floor_least: int = 0, value: str = "value") -> DataFrame:

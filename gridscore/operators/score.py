@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridscore.functions.columns import let
 from gridscore.functions.columns import total as _sum
+from gridscore.operators import bitslice
 from gridscore.session import stored
 
 #: Signatures and snapshots that are counted against each other in one go.
@@ -81,11 +82,10 @@ def pair_up(signatures: DataFrame, snapshots: DataFrame, by: list[str] | None =
     threshold both sides are dealt by a block number and meet in an equi-join.
     """
     held = stored(snapshots, "snapshots")
-    if by:
-        return signatures.join(held, by)
     blocks = -(-held.count() // CHUNK) or 1
     asked = held.withColumn("_block", F.pmod(F.xxhash64(*held.columns), F.lit(blocks)))
-    return signatures.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(asked, "_block").drop("_block")
+    dealt = signatures.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    return dealt.join(asked, [*(by or []), "_block"]).drop("_block")
 
 
 def dice_scores(signatures: DataFrame, snapshots: DataFrame, keys: list[str], ranked: bool = False, by: list[str] | None = None) -> DataFrame:
@@ -97,40 +97,54 @@ def dice_scores(signatures: DataFrame, snapshots: DataFrame, keys: list[str], ra
     return pair_up(left, right, by).select(*keys, (2 * dot(F.col("w"), F.col("v")) / (F.col("_w2") + F.col("_v2") + 1e-12)).alias("dice"))
 
 
-def information(counts: Column, n: int, alpha: float, eps: float) -> Column:
-    """Mutual information in nats from an array of n x n joint counts, row by row, each raised by alpha; never negative."""
-    raised = F.transform(counts, lambda c: c + F.lit(float(alpha)))
-    side = F.sequence(F.lit(0), F.lit(n - 1))
-    total = _sum(counts) + n * n * float(alpha)
-    rows = F.transform(side, lambda a: _sum(F.slice(raised, a * n + 1, n)))
-    columns = F.transform(side, lambda b: _sum(F.transform(side, lambda a: F.get(raised, a * n + b))))
-    both = F.struct(raised.alias("c"), rows.alias("x"), columns.alias("y"), total.alias("t"))
-
-    def terms(m: Column) -> Column:
-        share = lambda v: v / m["t"]
-        of = lambda v, k: F.when(v > 0, share(v) * F.log(share(v) / (share(F.get(m["x"], F.floor(k / n).cast("int"))) * share(F.get(m["y"], k % n)) + eps))).otherwise(0.0)
-        return F.greatest(_sum(F.transform(m["c"], of)), F.lit(0.0))
-
-    return F.transform(F.array(both), terms)[0]
-
-
-def mutual_information(signatures: DataFrame, snapshots: DataFrame, keys: list[str], signature_keys: list[str], snapshot_keys: list[str], n: int = 4, alpha: float = 0.5, eps: float = 1e-10, method: str = "arrow") -> DataFrame:
+def mutual_information(signatures: DataFrame, snapshots: DataFrame, keys: list[str], signature_keys: list[str], snapshot_keys: list[str], n: int = 4, alpha: float = 0.5, eps: float = 1e-10, method: str = "bits") -> DataFrame:
     """keys and mi of all pairs of a signature w and a snapshot v, from n equal-width bins of each.
 
-    method "arrow": signatures and snapshots are gathered into chunks of about CHUNK, chunks meet in an equi-join, and
-    two chunks are counted against each other by a matrix product; "explode": one row per pair and channel, counted by
-    n x n conditional sums. Null arrays have no pairs.
+    method "bits": bins become bit masks over channels, and a pair's joint counts are bit counts (pair_scores());
+    "arrow": signatures and snapshots are gathered into chunks of about CHUNK, chunks meet in an equi-join, and two chunks
+    are counted against each other by a matrix product in Python. Null arrays have no pairs; entries beyond the shorter
+    of two vectors don't count.
     """
+    if method == "bits":
+        return pair_scores(signatures, snapshots, keys, n=n, alpha=alpha, eps=eps, dice=False)
     left = signatures.withColumn("bv", bin_array(F.col("w"), n))
     right = snapshots.withColumn("bs", bin_array(F.col("v"), n))
-    if method == "arrow":
-        return _information_by_chunk(left, right, signature_keys, snapshot_keys, keys, n, alpha, eps)
-    a = long_form(left, signature_keys, "bv", "pos", "a")
-    b = long_form(right, snapshot_keys, "bs", "pos", "b")
-    joint = a.join(stored(b, "bins"), "pos").groupBy(*keys)
-    cells = [(i, j) for i in range(n) for j in range(n)]
-    counted = joint.agg(*[F.sum(F.when((F.col("a") == i) & (F.col("b") == j), 1.0).otherwise(0.0)).alias(f"c{i}_{j}") for i, j in cells])
-    return counted.select(*keys, information(F.array(*[F.col(f"c{i}_{j}") for i, j in cells]), n, alpha, eps).alias("mi"))
+    return _information_by_chunk(left, right, signature_keys, snapshot_keys, keys, n, alpha, eps)
+
+
+def pair_scores(signatures: DataFrame, snapshots: DataFrame, keys: list[str], n: int = 4, alpha: float = 0.5, eps: float = 1e-10, mi: bool = True, dice: bool = True, agreement: bool = False, by: list[str] | None = None) -> DataFrame:
+    """keys and mi, dice (of average ranks over their number) and agreement (share of channels in the same bin), as asked
+    for, of all pairs of a signature w and a snapshot v: each pair is met once, and all its scores are bit counts of
+    slices that were cut before the sides met, in one projection of generated code.
+    """
+    held = stored(snapshots.where(F.col("v").isNotNull()), "snapshots")
+    left = signatures.where(F.col("w").isNotNull())
+    channels = held.agg(F.max(F.size("v"))).first()[0] or 1
+    digits = (2 * max(channels, left.agg(F.max(F.size("w"))).first()[0] or 1)).bit_length() if dice else 0
+
+    def sliced(df: DataFrame, values: str, name: str) -> DataFrame:
+        made: dict[str, Column] = {}
+        rows = df.withColumns({"_bins": bin_array(F.col(values), n), "_twice": F.transform(rank_array(F.col(values)), lambda r: F.round(r * 2 * F.size(values)).cast("bigint")) if dice else F.lit(0)})
+        if mi or agreement:
+            made |= bitslice.bin_slices(F.col("_bins"), n, channels, name)
+        if dice:
+            made |= bitslice.digit_slices(F.col("_twice"), digits, channels, f"{name}d")
+            made[f"{name}s"] = F.aggregate("_twice", F.lit(0).cast("bigint"), lambda s, r: s + r * r)
+        return rows.withColumns(made | {f"{name}n": F.size(values)}).drop("_bins", "_twice", values)
+
+    pairs = pair_up(sliced(left, "w", "_a"), sliced(held, "v", "_b"), by)
+    if mi:
+        pairs = bitslice.with_information(pairs, "_a", "_b", n, channels, alpha, eps)
+    found = []
+    if mi:
+        found.append(F.col("mi"))
+    if dice:
+        # the slices hold twice the ranks; a rank counts as a share of its vector's length
+        a, b = F.col("_an").cast("double"), F.col("_bn").cast("double")
+        found.append((2 * (bitslice.product("_ad", "_bd", digits, channels) / (4 * a * b)) / (F.col("_as") / (4 * a * a) + F.col("_bs") / (4 * b * b) + 1e-12)).alias("dice"))
+    if agreement:
+        found.append((bitslice.agreement("_a", "_b", n, channels) / F.col("_an")).alias("agreement"))
+    return pairs.select(*keys, *found)
 
 
 def _chunks(df: DataFrame, keys: list[str], bins: str, name: str) -> tuple[DataFrame, int]:
@@ -174,25 +188,34 @@ def bin_agreement(a: Column, b: Column) -> Column:
     return F.aggregate(same, F.lit(0.0), lambda s, v: s + v) / F.size(a)
 
 
-def min_max(df: DataFrame, keys: list[str], columns: list[str], eps: float = 0.0) -> DataFrame:
+def min_max(df: DataFrame, keys: list[str], columns: list[str], eps: float = 0.0, kept: bool = False) -> DataFrame:
     """Columns rescaled to 0..1 within keys; flat groups become 0.
 
     The ends come from a partial and final aggregate and are joined back, so no group is gathered in one task. df is
-    stored first: it is read twice and may be costly.
+    stored first, unless it is `kept`, that is, cheap to read twice.
     """
-    df = stored(df, "unscaled")
+    df = df if kept else stored(df, "unscaled")
     ends = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
     ends = stored(ends, "ends")
     scaled = {c: F.when(F.col(f"_hi_{c}") > F.col(f"_lo_{c}") + eps, (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}"))).otherwise(0.0) for c in columns}
     return df.join(ends, keys).withColumns(scaled).drop(*[f"_{n}_{c}" for c in columns for n in ("lo", "hi")])
 
 
-def hybrid(df: DataFrame, keys: list[str], mi_weight: Column | float, contrast: Column | float = 1.0, weight: Column | float = 1.0, mi: str = "mi", dice_: str = "dice") -> DataFrame:
+def hybrid(df: DataFrame, keys: list[str], mi_weight: Column | float, contrast: Column | float = 1.0, weight: Column | float = 1.0, mi: str = "mi", dice_: str = "dice", kept: bool = False) -> DataFrame:
     """df with `hybrid`: mi and dice blended, times a prior weight, raised to a contrast and rescaled within keys."""
     w, c, p = (F.lit(float(v)) if isinstance(v, (int, float)) else v for v in (mi_weight, contrast, weight))
     blended = (w * F.col(mi) + (1 - w) * F.col(dice_)) * p
     raised = F.when(c == 1.0, blended).otherwise(F.pow(F.greatest(blended, F.lit(1e-12)), c))
-    return min_max(df.withColumn("hybrid", raised), keys, ["hybrid"], eps=float(np.finfo(np.float32).eps))
+    return min_max(df.withColumn("hybrid", raised), keys, ["hybrid"], eps=float(np.finfo(np.float32).eps), kept=kept)
+
+
+def scaled_scores(signatures: DataFrame, snapshots: DataFrame, keys: list[str], within: list[str], by: list[str] | None = None) -> DataFrame:
+    """pair_scores() of mutual information and rank Dice, each rescaled within `within`.
+
+    The pairs are made once and stored; what is read again are their columns, for the ends (an aggregate that sends a row
+    a task and group) and for the rescaled result. No table of pairs is joined or shuffled.
+    """
+    return min_max(pair_scores(signatures, snapshots, keys, by=by), within, ["mi", "dice"])
 
 
 def stability_hybrid(mi: Column, dice_: Column, stability: Column, mi_weight: float = 0.5, dice_weight: float = 0.5) -> Column:

@@ -16,27 +16,31 @@ SERIES = ["recording_id", "band", "voxel_id"]
 FRAME = ["recording_id", "band", "epoch"]
 
 
-def score_recordings(series: DataFrame, channels: DataFrame, voxels: DataFrame, fs: float, epoch_size: int, method: str = "arrow") -> DataFrame:
-    """recording_id, band, voxel_id, epoch, mi and dice of raw series (recording_id, channel, values).
-
-    Filter, notch, cut into epochs, band power per channel, signatures per band, then mutual information and rank Dice of
-    every voxel with every epoch, rescaled within the epoch. The long samples never meet the voxels: what is broadcast
-    is one row an epoch.
-    """
+def recording_snapshots(series: DataFrame, fs: float, epoch_size: int) -> DataFrame:
+    """recording_id, band, epoch and v (power by channel) of raw series (recording_id, channel, values): filter, notch, cut
+    into epochs, band power."""
     clean = signal.notch(signal.bandpass(series, fs, 1.0, min(45.0, fs / 2 - 1)), fs, min(50.0, fs / 2 - 1))
     n = F.expr(f"size(values) div {epoch_size}")
     cut = clean.withColumn("epoch", F.explode(F.sequence(F.lit(0), n - 1))).where(n > 0)
     segments = cut.withColumn("values", F.slice("values", F.col("epoch") * epoch_size + 1, epoch_size))
     power = signal.envelopes(segments, fs).select("recording_id", "channel", "epoch", F.explode("power").alias("band", "value"))
-    snapshots = stored(score.packed(power, ["recording_id", "band", "epoch"], "channel", "value", "v"), "snapshots")
-    parts = []
-    for band in BANDS:
-        w = signature.signatures(voxels, channels, band).select("voxel_id", "w")
-        own = snapshots.where(F.col("band") == band)
-        keys = ["recording_id", "band", "epoch", "voxel_id"]
-        mi = score.mutual_information(w, own, keys, ["voxel_id"], ["recording_id", "band", "epoch"], method=method)
-        parts.append(mi.join(score.dice_scores(w, own, keys, ranked=True), keys))
-    return score.min_max(reduce(DataFrame.unionByName, parts), FRAME, ["mi", "dice"])
+    return score.packed(power, ["recording_id", "band", "epoch"], "channel", "value", "v")
+
+
+def score_snapshots(snapshots: DataFrame, channels: DataFrame, voxels: DataFrame, digits: int = 12) -> DataFrame:
+    """recording_id, band, epoch, voxel_id, mi and dice: mutual information and rank Dice of every voxel's signature with
+    every snapshot of its band, rescaled within the epoch.
+
+    All bands' pairs are made in one join on (band, block) and one projection; signatures are rounded to `digits`, so
+    that ranks of channels that are equally near don't hang on a last bit.
+    """
+    each = [signature.signatures(voxels, channels, band).select(F.lit(band).alias("band"), "voxel_id", F.transform("w", lambda x: F.round(x, digits)).alias("w")) for band in BANDS]
+    return score.scaled_scores(reduce(DataFrame.unionByName, each), snapshots, ["recording_id", "band", "epoch", "voxel_id"], FRAME, by=["band"])
+
+
+def score_recordings(series: DataFrame, channels: DataFrame, voxels: DataFrame, fs: float, epoch_size: int) -> DataFrame:
+    """score_snapshots() of recording_snapshots(). The long samples never meet the voxels."""
+    return score_snapshots(recording_snapshots(series, fs, epoch_size), channels, voxels)
 
 
 def fit_weights(scores: DataFrame, bands: list[str], volume: DataFrame | None = None, isolation: DataFrame | None = None, **options: int) -> tuple[DataFrame, DataFrame] | tuple[DataFrame, DataFrame, DataFrame]:

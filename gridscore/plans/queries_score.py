@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridscore.operators import score, topk
 from gridscore.operators.order import with_rank
 from gridscore.plans.registry import query
-from gridscore.plans.stand_ins import SC, SIG, VAL, VOX, rounded, rounded_all, scores, signatures, snapshots, values, voxels
+from gridscore.plans.stand_ins import NCH, ORD, SC, SIG, VAL, VOX, nation_channels, order_snapshots, rounded, rounded_all, scores, signatures, snapshots, values, voxels
 
 PAIR = ["voxel_id", "epoch"]
 
@@ -57,7 +57,7 @@ def information_sql(n: int, alpha: float, eps: float) -> str:
 
 @query(f"WITH {information_sql(4, 0.5, 1e-10)} SELECT voxel_id, epoch, round(mi, 6) + 0.0 AS mi FROM info")
 def q_mi_hist(spark: SparkSession, d: str) -> DataFrame:
-    return rounded_all(score.mutual_information(signatures(spark, d), snapshots(spark, d), PAIR, ["voxel_id"], ["epoch"], method="explode"), "mi")
+    return rounded_all(score.mutual_information(signatures(spark, d), snapshots(spark, d), PAIR, ["voxel_id"], ["epoch"]), "mi")
 
 
 @query(f"WITH {information_sql(4, 0.5, 1e-10)} SELECT voxel_id, epoch, round(mi, 6) + 0.0 AS mi FROM info")
@@ -72,9 +72,8 @@ def q_mi_plain(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SIG}, {_binned(4)} SELECT voxel_id, epoch, round(avg(CASE WHEN p = q THEN 1.0::DOUBLE ELSE 0 END), 6) + 0.0 AS agreement FROM lb JOIN sb USING (pos) GROUP BY 1, 2")
 def q_bin_agreement(spark: SparkSession, d: str) -> DataFrame:
-    a = signatures(spark, d).withColumn("p", score.bin_array(F.col("w"), 4))
-    b = snapshots(spark, d).withColumn("q", score.bin_array(F.col("v"), 4))
-    return score.pair_up(a, b).select("voxel_id", "epoch", rounded(score.bin_agreement(F.col("p"), F.col("q"))).alias("agreement"))
+    found = score.pair_scores(signatures(spark, d), snapshots(spark, d), PAIR, mi=False, dice=False, agreement=True)
+    return rounded_all(found, "agreement")
 
 
 @query(f"""WITH {information_sql(4, 0.5, 1e-10)}, {RANKED.replace(SIG + ",", "")}, dc AS (SELECT voxel_id, epoch, 2 * sum(a * b) / (sum(a * a) + sum(b * b) + 1e-12) AS dice FROM lr JOIN sr USING (pos) GROUP BY 1, 2),
@@ -83,10 +82,8 @@ def q_bin_agreement(spark: SparkSession, d: str) -> DataFrame:
   h AS (SELECT voxel_id, epoch, pow(greatest(0.65::DOUBLE * mi + 0.35::DOUBLE * dice, 1e-12), 0.5::DOUBLE) AS h FROM j)
   SELECT voxel_id, epoch, round((h - min(h) OVER ()) / (max(h) OVER () - min(h) OVER ()), 6) + 0.0 AS hybrid FROM h""")
 def q_hybrid_minmax(spark: SparkSession, d: str) -> DataFrame:
-    s, v = signatures(spark, d), snapshots(spark, d)
-    mi = score.mutual_information(s, v, PAIR, ["voxel_id"], ["epoch"])
-    both = score.min_max(mi.join(score.dice_scores(s, v, PAIR, ranked=True), PAIR), ["epoch"], ["mi", "dice"])
-    found = score.hybrid(both.withColumn("_all", F.lit(1)), ["_all"], 0.65, 0.5)
+    both = score.scaled_scores(signatures(spark, d), snapshots(spark, d), PAIR, ["epoch"])
+    found = score.hybrid(both.withColumn("_all", F.lit(1)), ["_all"], 0.65, 0.5, kept=True)
     return found.select("voxel_id", "epoch", rounded("hybrid").alias("hybrid"))
 
 
@@ -155,3 +152,36 @@ def q_cap_removals(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_exact_sample(spark: SparkSession, d: str) -> DataFrame:
     return topk.exact_sample(voxels(spark, d), 100, "voxel_id", 42, ["roi_id"]).select("voxel_id", "roi_id")
+
+
+#: Signatures of parts over nations, and their scores against orders' snapshots, by band.
+ZONES = "CASE WHEN v.y < -90 THEN 1.5 WHEN v.y < -70 THEN 1.3 WHEN v.y < -40 THEN 1.2 WHEN v.y < 0 THEN 1.0 ELSE 1.1 END::DOUBLE"
+SCALES = "(VALUES ('delta', 1.15::DOUBLE), ('theta', 1.05::DOUBLE), ('alpha', 1.0::DOUBLE), ('beta', 0.9::DOUBLE), ('gamma', 0.8::DOUBLE))"
+SIDES = "CASE WHEN side = 'M' THEN 1 WHEN abs(vx) <= 3 THEN 0.8 WHEN side = CASE WHEN vx < -3 THEN 'L' ELSE 'R' END THEN 0.85 ELSE 0.25 END::DOUBLE"
+
+
+def _bins(key: str, source: str, name: str) -> str:
+    v = {"p": "a", "q": "b"}[name]
+    return f"""SELECT {key}, pos, least(CAST(floor(({v} - CASE WHEN hi > lo THEN lo ELSE lo - 0.5 END) / (CASE WHEN hi > lo THEN hi - lo ELSE 1 END) * 4) AS INT), 3) AS {name}, (rank() OVER (PARTITION BY {key} ORDER BY {v}) + (count(*) OVER (PARTITION BY {key}, {v}) - 1) / 2.0::DOUBLE) / 25 AS r{name}
+    FROM (SELECT *, min({v}) OVER (PARTITION BY {key}) AS lo, max({v}) OVER (PARTITION BY {key}) AS hi FROM {source})"""
+
+
+@query(f"""WITH {VOX}, {NCH}, {ORD}, pp AS (SELECT band, voxel_id, v.x AS vx, idx, side, sqrt((v.x - c.x) * (v.x - c.x) + (v.y - c.y) * (v.y - c.y) + (v.z - c.z) * (v.z - c.z)) AS d, {ZONES} * (35 * scale) AS s FROM vox v, nch c, {SCALES} b(band, scale)),
+  ww AS (SELECT *, CASE WHEN d > 200 THEN 0 ELSE exp(-d * d / (2 * s * s)) END AS w FROM pp),
+  nn AS (SELECT *, count(*) FILTER (WHERE w > 0.01) OVER (PARTITION BY band, voxel_id) < 8 AND row_number() OVER (PARTITION BY band, voxel_id ORDER BY d, idx) <= 8 AS few FROM ww),
+  ff AS (SELECT band, voxel_id, idx AS pos, CASE WHEN few THEN greatest(w, 0.05) ELSE w END * {SIDES} AS w FROM nn),
+  lng AS (SELECT band, voxel_id, pos, round(w / sum(w) OVER (PARTITION BY band, voxel_id), 12) AS a FROM ff),
+  lb AS ({_bins("band, voxel_id", "lng", "p")}), sb AS ({_bins("recording_id, band, epoch", "ord", "q")}),
+  j AS (SELECT recording_id, band, epoch, voxel_id, p, q, rp, rq FROM lb JOIN sb USING (band, pos)),
+  dc AS (SELECT recording_id, band, epoch, voxel_id, 2 * sum(rp * rq) / (sum(rp * rp) + sum(rq * rq) + 1e-12) AS dice FROM j GROUP BY 1, 2, 3, 4),
+  c AS (SELECT recording_id, band, epoch, voxel_id, p, q, count(*) AS c FROM j GROUP BY ALL), cells AS (SELECT x.range AS p, y.range AS q FROM range(4) x, range(4) y),
+  g AS (SELECT dc.recording_id, dc.band, dc.epoch, dc.voxel_id, cells.p, cells.q, (coalesce(c, 0) + 0.5::DOUBLE) / 33 AS v FROM dc CROSS JOIN cells LEFT JOIN c ON c.recording_id = dc.recording_id AND c.band = dc.band AND c.epoch = dc.epoch AND c.voxel_id = dc.voxel_id AND c.p = cells.p AND c.q = cells.q),
+  m AS (SELECT *, sum(v) OVER (PARTITION BY recording_id, band, epoch, voxel_id, p) AS vp, sum(v) OVER (PARTITION BY recording_id, band, epoch, voxel_id, q) AS vq FROM g),
+  mi AS (SELECT recording_id, band, epoch, voxel_id, greatest(0, sum(v * ln(v / (vp * vq + 1e-10)))) AS mi FROM m GROUP BY 1, 2, 3, 4)
+  SELECT recording_id, band, epoch, voxel_id, round((mi - min(mi) OVER w) / (max(mi) OVER w - min(mi) OVER w), 6) + 0.0 AS mi, round((dice - min(dice) OVER w) / (max(dice) OVER w - min(dice) OVER w), 6) + 0.0 AS dice
+    FROM mi JOIN dc USING (recording_id, band, epoch, voxel_id) WINDOW w AS (PARTITION BY recording_id, band, epoch)""")
+def q_score_recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of parts against every status and quarter of orders, in all bands; the band power is given (mean prices)."""
+    from gridscore.plans.pipeline import score_snapshots
+
+    return rounded_all(score_snapshots(order_snapshots(spark, d), nation_channels(spark, d), voxels(spark, d)), "mi", "dice")

@@ -11,7 +11,7 @@ from gridscore.operators import lattice as L
 from gridscore.operators import signature as S
 from gridscore.plans.queries_metrics import CHANNELS, channel_places
 from gridscore.plans.registry import query
-from gridscore.plans.stand_ins import EV, MEAN, VAL, VOX, means, rounded, rounded_all, samples, scores, values, voxels
+from gridscore.plans.stand_ins import EV, MEAN, NCH, VAL, VOX, means, nation_channels, rounded, rounded_all, samples, scores, values, voxels
 from gridscore.session import table
 from gridscore.sources import tables as A
 
@@ -28,13 +28,13 @@ DIST = "sqrt((v.x - c.x) * (v.x - c.x) + (v.y - c.y) * (v.y - c.y) + (v.z - c.z)
 CH = f"ch AS (SELECT CAST(row_number() OVER (ORDER BY channel) - 1 AS INT) AS idx, x, y, z, CASE WHEN x < -3 THEN 'L' WHEN x > 3 THEN 'R' ELSE 'M' END AS side FROM {CHANNELS})"
 
 
-@query(f"""WITH {VOX}, {EV}, {CH}, p AS (SELECT voxel_id, v.x AS vx, idx, side, {DIST} AS d, 35 * CASE WHEN v.y < -90 THEN 1.5 WHEN v.y < -70 THEN 1.3 WHEN v.y < -40 THEN 1.2 WHEN v.y < 0 THEN 1.0 ELSE 1.1 END::DOUBLE AS s FROM vox v, ch c),
+@query(f"""WITH {VOX}, {NCH}, p AS (SELECT voxel_id, v.x AS vx, idx, side, {DIST} AS d, 35 * CASE WHEN v.y < -90 THEN 1.5 WHEN v.y < -70 THEN 1.3 WHEN v.y < -40 THEN 1.2 WHEN v.y < 0 THEN 1.0 ELSE 1.1 END::DOUBLE AS s FROM vox v, nch c),
   w AS (SELECT *, CASE WHEN d > 200 THEN 0 ELSE exp(-d * d / (2 * s * s)) END AS w FROM p),
-  n AS (SELECT *, count(*) FILTER (WHERE w > 0.01) OVER (PARTITION BY voxel_id) < 8 AS few FROM w),
+  n AS (SELECT *, count(*) FILTER (WHERE w > 0.01) OVER (PARTITION BY voxel_id) < 8 AND row_number() OVER (PARTITION BY voxel_id ORDER BY d, idx) <= 8 AS few FROM w),
   f AS (SELECT voxel_id, idx, d, CASE WHEN few THEN greatest(w, 0.05) ELSE w END * CASE WHEN side = 'M' THEN 1 WHEN abs(vx) <= 3 THEN 0.8 WHEN side = CASE WHEN vx < -3 THEN 'L' ELSE 'R' END THEN 0.85 ELSE 0.25 END::DOUBLE AS w FROM n)
   SELECT voxel_id, idx, round(w / sum(w) OVER (PARTITION BY voxel_id), 6) + 0.0 AS w FROM f""")
 def q_signature_gauss(spark: SparkSession, d: str) -> DataFrame:
-    found = S.signatures(voxels(spark, d), _channels(spark, d))
+    found = S.signatures(voxels(spark, d), nation_channels(spark, d))
     return rounded_all(found.select("voxel_id", F.posexplode("w").alias("idx", "w")), "w")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridscore.model import BANDS
 from gridscore.session import table
 
 
@@ -89,3 +90,30 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIG = """lng AS (SELECT vec_id AS voxel_id, label AS roi_id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS a FROM embeddings),
   snap AS (SELECT roi_id AS epoch, pos, round(avg(a), 9) AS b FROM lng GROUP BY 1, 2)"""
+
+
+def nation_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation as a montage of 25 channels at scattered places."""
+    k = F.col("n_nationkey")
+    places = table(spark, sf_dir, "nation").select(k.alias("idx"), (k * 37 % 25 * 6.0 - 72).alias("x"), (k * 11 % 25 * 8.0 - 104).alias("y"), (k * 17 % 25 * 4.0 - 20).alias("z"))
+    return places.withColumn("side", F.when(F.col("x") < -3, "L").when(F.col("x") > 3, "R").otherwise("M"))
+
+
+NCH = """nch AS (SELECT *, CASE WHEN x < -3 THEN 'L' WHEN x > 3 THEN 'R' ELSE 'M' END AS side FROM (SELECT n_nationkey AS idx, (n_nationkey * 37) % 25 * 6::DOUBLE - 72 AS x,
+  (n_nationkey * 11) % 25 * 8::DOUBLE - 104 AS y, (n_nationkey * 17) % 25 * 4::DOUBLE - 20 AS z FROM nation))"""
+
+
+def order_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as snapshots: a status is a recording, a priority a band, a quarter an epoch; nations' mean prices are the
+    power of their channels."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("idx"))
+    keys = [F.col("o_orderstatus").alias("recording_id"), F.element_at(F.array(*[F.lit(b) for b in BANDS]), F.substring("o_orderpriority", 1, 1).cast("int")).alias("band"), F.quarter("o_orderdate").alias("epoch")]
+    power = table(spark, sf_dir, "orders").join(customers, "o_custkey").groupBy(*keys, "idx").agg(F.round(F.avg("o_totalprice"), 6).alias("value"))
+    known = power.groupBy("recording_id", "band", "epoch").agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("known"))
+    n = table(spark, sf_dir, "nation").count()
+    return known.select("recording_id", "band", "epoch", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at("known", k), F.lit(0.0))).alias("v"))
+
+
+ORD = """pw AS (SELECT o_orderstatus AS recording_id, list_extract(['delta', 'theta', 'alpha', 'beta', 'gamma'], CAST(o_orderpriority[1] AS INT)) AS band, CAST(quarter(o_orderdate) AS INT) AS epoch, c_nationkey AS idx, round(avg(o_totalprice), 6) AS value
+    FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3, 4),
+  ord AS (SELECT k.recording_id, k.band, k.epoch, n_nationkey AS pos, coalesce(value, 0) AS b FROM (SELECT DISTINCT recording_id, band, epoch FROM pw) k CROSS JOIN nation LEFT JOIN pw ON pw.recording_id = k.recording_id AND pw.band = k.band AND pw.epoch = k.epoch AND pw.idx = n_nationkey)"""
