@@ -10,11 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridscore.functions.geometry import raw_prior, scaled_prior
 from gridscore.model import BAND_BOUNDS, BOUNDS, PRIORS
 from gridscore.operators.metrics import EPS, correlation, dispersion, entropy, gini, positive_ratio, sum_where
-from gridscore.operators.order import quantiles, value_counts
+from gridscore.operators.order import quantiles, running, value_counts
 from gridscore.session import stored
 
 
@@ -50,10 +51,30 @@ def bootstrap_pick(scores: DataFrame, keys: list[str], subject: str, option: str
     return totals.groupBy(*keys, "boot").agg(F.max_by(option, F.struct(F.round("_mean", 12), -F.col(option))).alias(option))
 
 
-def leave_one_out(df: DataFrame, subject: str) -> DataFrame:
-    """df once for each subject held out (`fold`), without that subject's rows. Subjects are few; score tables use sums instead (search)."""
-    folds = df.select(F.col(subject).alias("fold")).distinct()
-    return df.join(F.broadcast(folds), F.col("fold") != F.col(subject))
+def fold_draws(sizes: DataFrame, keys: list[str], n_boot: int, seed: int) -> DataFrame:
+    """keys, fold, boot, pick and times: for each of _n subjects held out, how often each other one is drawn in n_boot draws
+    of _n - 1 with replacement. sizes: keys and _n."""
+    rows = sizes.where("_n > 1").withColumn("fold", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
+    rows = rows.withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 2)))
+    drawn = F.pmod(F.xxhash64(F.lit(seed), "fold", "boot", "slot"), F.col("_n") - 1).cast("int")
+    others = rows.withColumn("pick", drawn + (drawn >= F.col("fold")).cast("int"))
+    return others.groupBy(*keys, "fold", "boot", "pick").agg(F.count("*").alias("times"))
+
+
+def bootstrap_folds(scores: DataFrame, keys: list[str], subject: str, option: str, value: str, n_boot: int, seed: int) -> DataFrame:
+    """keys, test_id, and mean, median, deviation and both percentiles of the best option over n_boot draws of the others,
+    for every subject held out.
+
+    One table of multiplicities serves all folds, and is joined to one sum a subject and option: scores are read once,
+    whatever the number of folds and draws. Ties go to the smaller option; a lone subject has no fold.
+    """
+    rows = stored(numbered(scores, keys, subject).groupBy(*keys, subject, "pick", option).agg(F.sum(value).alias("_sum"), F.count(value).alias("_rows")), "sums")
+    sizes = rows.groupBy(*keys).agg(F.countDistinct(subject).alias("_n"))
+    times = fold_draws(sizes, keys, n_boot, seed)
+    pooled = times.join(rows, [*keys, "pick"]).groupBy(*keys, "fold", "boot", option).agg((F.sum(F.col("_sum") * F.col("times")) / F.sum(F.col("_rows") * F.col("times"))).alias("_mean"))
+    best = pooled.groupBy(*keys, "fold", "boot").agg(F.max_by(option, F.struct(F.round("_mean", 12), -F.col(option))).alias(option))
+    names = rows.select(*keys, F.col("pick").alias("fold"), F.col(subject).alias("test_id")).distinct()
+    return spread_of(best, [*keys, "fold"], option).join(names, [*keys, "fold"]).drop("fold")
 
 
 def spread_of(boots: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -73,16 +94,59 @@ def robust(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     return found.select(*keys, "median", "mad", (1.4826 * F.col("mad")).alias("robust_std"), F.greatest(F.col("median") - half, F.lit(0.0)).alias("low"), F.least(F.col("median") + half, F.lit(1.0)).alias("high"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit integers stirred so that each bit depends on all."""
+    # fixed values: factors of the split-mix generator
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def permuted_places(places: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """Where a keyed permutation of 0..size-1 sends each place: all places of one size and key go to different places.
+
+    A place is written as two digits of bases a and b with a x b just above the size; rounds add a hash of one digit to
+    the other, which is a permutation of all pairs; a pair beyond the size walks on until it comes back below it.
+    """
+    n = sizes.astype(np.int64)
+    a = np.maximum(1, np.ceil(np.sqrt(n))).astype(np.int64)
+    b = -(-n // a)
+    key, now = keys.astype(np.int64).view(np.uint64), places.astype(np.int64).copy()
+    todo = np.arange(len(now))
+    while len(todo):
+        left, right = now[todo] // b[todo], now[todo] % b[todo]
+        for r in range(rounds):
+            stir = key[todo] + np.uint64(0x9E3779B97F4A7C15 * (r + 1) & (1 << 64) - 1)  # fixed value: the generator's step
+            if r % 2:
+                right = (right + (_mixed(_mixed(left.view(np.uint64)) ^ stir) % b[todo].view(np.uint64)).astype(np.int64)) % b[todo]
+            else:
+                left = (left + (_mixed(_mixed(right.view(np.uint64)) ^ stir) % a[todo].view(np.uint64)).astype(np.int64)) % a[todo]
+        now[todo] = left * b[todo] + right
+        todo = todo[now[todo] >= n[todo]]
+    return now
+
+
+@F.pandas_udf(T.LongType())
+def _permuted(places: pd.Series, sizes: pd.Series, keys: pd.Series) -> pd.Series:
+    return pd.Series(permuted_places(places.to_numpy(), sizes.to_numpy(), keys.to_numpy()))
+
+
 def shuffled(df: DataFrame, keys: list[str], moved: list[str], id_: str, n_perm: int, seed: int) -> DataFrame:
-    """df for each `perm` of 0..n_perm-1 with the columns `moved` permuted among the rows of a group.
+    """df for each `perm` of 0..n_perm-1 with the columns `moved` permuted among the rows of a group; id_ is unique there.
 
-    Rows are numbered by id and again by a hash of (perm, id), and the two numberings are joined.
+    Rows are numbered once, over ranges (order.running); a keyed permutation then says for each `perm` which row's
+    columns come to a place, and one equi-join on that number fetches them. Nothing is sorted or numbered again, and what
+    is fetched isn't copied.
     """
-    rows = df.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    by = Window.partitionBy(*keys, "perm")
-    stay = rows.drop(*moved).withColumn("_n", F.row_number().over(by.orderBy(id_)))
-    move = rows.select(*keys, "perm", *moved, F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "perm", id_), id_)).alias("_n"))
-    return stay.join(move, [*keys, "perm", "_n"]).drop("_n")
+    held = stored(df, "places")
+    own = [*keys, id_]
+    at = running(held.groupBy(*own).agg(F.count("*").alias("n")), keys, id_).select(*own, F.col("before").alias("_n"))
+    sizes = held.groupBy(*keys).agg(F.count("*").alias("_size"))
+    rows = stored(held.join(at, own).join(sizes, keys) if keys else held.join(at, own).crossJoin(F.broadcast(sizes)), "numbered")
+    copies = rows.drop(*moved).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+    asked = copies.withColumn("_from", _permuted("_n", "_size", F.xxhash64(F.lit(seed), "perm", *keys))).drop("_n", "_size")
+    given = rows.select(*keys, *moved, F.col("_n").alias("_from"))
+    return asked.join(given, [*keys, "_from"]).drop("_from")
 
 
 def two_sided(real: DataFrame, null: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -134,14 +198,31 @@ def null_table(real: DataFrame, null: DataFrame, keys: list[str], names: list[st
     return two_sided(long(real), long(null), [*keys, "metric"], "value")
 
 
-def time_shuffled(df: DataFrame, keys: list[str], n_perm: int, seed: int, order: str = "epoch") -> DataFrame:
-    """df for each `perm` with the epochs of every series permuted on their own."""
-    rows = df.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    by = Window.partitionBy(*keys, "perm")
-    places = rows.withColumn("_n", F.row_number().over(by.orderBy(order)))
-    drawn = places.withColumn("_m", F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "perm", *keys, order), order)))
-    epochs = places.select(*keys, "perm", F.col("_n").alias("_m"), F.col(order).alias("_o"))
-    return drawn.join(epochs, [*keys, "perm", "_m"]).withColumn(order, F.col("_o")).drop("_n", "_m", "_o")
+def time_permuted(series: DataFrame, keys: list[str], n_perm: int, seed: int, values: str = "values") -> DataFrame:
+    """keys, perm and values: every series for each `perm` with its entries in the order of a hash of (perm, keys, place).
+
+    A series is permuted inside its row, so nothing is shuffled or sorted across rows. Null series stay null.
+    """
+    rows = series.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"), values)
+    rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), "perm", *keys))
+    ordered = F.array_sort(F.transform(values, lambda v, i: F.struct(F.xxhash64("_key", i).alias("h"), i.alias("i"), v.alias("v"))))
+    return rows.select(*keys, "perm", F.transform(ordered, lambda s: s["v"]).alias(values))
+
+
+def series_sizes(values: str = "values") -> dict[str, Column]:
+    """What map_metrics() takes of a series: the mean size of its entries, and the sum of the positive ones."""
+    total = lambda f: F.aggregate(values, F.lit(0.0), lambda s, v: s + f(v))
+    return {"value": total(F.abs) / F.size(values), "mass": total(lambda v: F.greatest(v, F.lit(0.0)))}
+
+
+def null_metrics(series: DataFrame, keys: list[str], voxel: list[str], null: DataFrame) -> DataFrame:
+    """keys, metric, value, null_mean, null_std and p: the six metrics of map_metrics() of voxels' series against those of
+    their null twins (keys, voxel, perm, values). Twins become two numbers a voxel where they are made, so that no
+    twin's series is shuffled."""
+    sizes = [c.alias(n) for n, c in series_sizes().items()]
+    of_null = map_metrics(null.select(*keys, *voxel, "perm", *sizes), [*keys, "perm"])
+    names = ["n_active", "mean", "std", "pa_ratio", "entropy", "gini"]
+    return null_table(map_metrics(series.select(*keys, *voxel, *sizes), keys), stored(of_null, "null"), keys, names)
 
 
 def _angles(seeds: np.ndarray, n: int) -> np.ndarray:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridscore.functions.columns import let, total
+
 
 def epochs(samples: DataFrame, size: int, keys: list[str], index: str = "sample_idx") -> DataFrame:
     """samples with `epoch` (tumbling, `size` samples each); samples of an incomplete last epoch go."""
@@ -137,6 +139,22 @@ def lag1_correlation(df: DataFrame, keys: list[str], value: str = "value", order
     return steps.groupBy(*keys).agg(F.when((spread > 1e-15) & (F.count("*") > 1), F.covar_pop(value, "_p") / spread).alias("r"))
 
 
+def lag1_array(values: Column) -> Column:
+    """lag1_correlation() of one series at rest, worked out inside its row."""
+
+    def moments(m: Column) -> Column:
+        centre = lambda x: total(x) / m["n"]
+        return let(F.struct(centre(m["x"]).alias("a"), centre(m["y"]).alias("b")), lambda c: F.struct(total(F.transform(m["x"], lambda v: (v - c["a"]) * (v - c["a"]))).alias("xx"), total(F.transform(m["y"], lambda v: (v - c["b"]) * (v - c["b"]))).alias("yy"), total(F.zip_with(m["x"], m["y"], lambda v, w: (v - c["a"]) * (w - c["b"]))).alias("xy"), m["n"].alias("n")))
+
+    def r(s: Column) -> Column:
+        spread = F.sqrt(s["xx"] / s["n"]) * F.sqrt(s["yy"] / s["n"])
+        return F.when(spread > 1e-15, s["xy"] / s["n"] / spread)
+
+    n = F.size(values) - 1
+    both = F.struct(F.slice(values, 1, n).alias("x"), F.slice(values, 2, n).alias("y"), n.alias("n"))
+    return F.when(n > 1, let(both, lambda m: let(moments(m), r)))
+
+
 def detrend(df: DataFrame, keys: list[str], value: str = "value", order: str = "epoch") -> DataFrame:
     """df less each series' least-squares line; a series of one epoch becomes 0."""
     x, y = F.col(order).cast("double"), F.col(value)

@@ -144,14 +144,28 @@ def q_perm_null(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q_time_null(spark: SparkSession, d: str) -> DataFrame:
     """Lag-1 correlation of every channel's series against series whose days are permuted."""
-    from gridscore.operators.timeops import lag1_correlation
+    from gridscore.operators.timeops import lag1_array
+    from gridscore.sources.tables import pack
 
-    rows = samples(spark, d)
-    null = lag1_correlation(R.time_shuffled(rows, ["recording_id", "channel"], 100, 42), ["recording_id", "channel", "perm"]).groupBy("channel", "perm").agg(F.avg("r").alias("r"))
-    real = lag1_correlation(rows, ["recording_id", "channel"]).groupBy("channel").agg(F.avg("r").alias("r"))
+    keys = ["recording_id", "channel"]
+    series = stored(pack(samples(spark, d), keys, "epoch"), "series")
+    r = lag1_array(F.col("values")).alias("r")
+    null = R.time_permuted(series, keys, 100, 42).select("channel", "perm", r).groupBy("channel", "perm").agg(F.avg("r").alias("r"))
+    real = series.select("channel", r).groupBy("channel").agg(F.avg("r").alias("r"))
     return rounded_all(R.two_sided(real, null, ["channel"], "r"), "r", "null_mean", "null_std", "p")
 
 
+@query()
+def q_bootstrap_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Which of three weights lies nearest to half the nations' ratios, for every nation held out, when the others are resampled."""
+    from gridscore.operators.metrics import posterior_anterior
+
+    nations = table(spark, d, "supplier").select(F.col("s_suppkey").alias("recording_id"), F.col("s_nationkey").alias("nation"))
+    ratios = posterior_anterior(means(spark, d).join(nations, "recording_id"), ["band", "nation"])
+    scored = ratios.select("band", "nation", F.explode(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7))).alias("w"), "pa_ratio").withColumn("m", -F.abs(F.col("w") - F.col("pa_ratio") * 0.53))
+    return rounded_all(R.bootstrap_folds(scored, ["band"], "nation", "w", "m", 100, 42), "mean", "median", "std", "low", "high")
+
+
 @query()
 def q_phase_null(spark: SparkSession, d: str) -> DataFrame:
     """Mean size of series against their phase-randomised twins: amplitudes, and so power, stay; how values spread doesn't."""

@@ -231,21 +231,37 @@ def q_spatial_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded_all(resample.spatial_metrics(centred, keys), "mean", "std", "pa_ratio", "entropy", "gini")
 
 
+def _centred(spark: SparkSession, d: str) -> DataFrame:
+    """Every band's map series about the band's mean, a row a voxel."""
+    from gridscore.sources.tables import pack
+
+    rows = values(spark, d).groupBy("band", "voxel_id", "y", "epoch").agg(F.avg("value").alias("value"))
+    rows = rows.join(rows.groupBy("band").agg(F.avg("value").alias("_m")), "band").withColumn("value", F.round(F.col("value") - F.col("_m"), 9))
+    return stored(pack(rows, ["band", "voxel_id", "y"], "epoch"), "series")
+
+
 @query()
 def q_null_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of every band's map series about its mean against 100 phase-randomised twins, with two-sided p."""
-    from gridscore.sources.tables import pack
+    series = _centred(spark, d)
+    found = resample.null_metrics(series, ["band"], ["voxel_id", "y"], resample.phase_randomised(series, ["band", "voxel_id", "y"], 100, 42))
+    return rounded_all(found, "value", "null_mean", "null_std", "p")
 
-    keys = ["band"]
-    rows = values(spark, d).groupBy("band", "voxel_id", "y", "epoch").agg(F.avg("value").alias("value"))
-    rows = rows.join(rows.groupBy(*keys).agg(F.avg("value").alias("_m")), keys).withColumn("value", F.col("value") - F.col("_m"))
-    own = ["band", "voxel_id", "y"]
-    series = stored(pack(rows, own, "epoch"), "series")
-    total = lambda f: F.aggregate("values", F.lit(0.0), lambda s, v: s + f(v))
-    sizes = [(total(F.abs) / F.size("values")).alias("value"), total(lambda v: F.greatest(v, F.lit(0.0))).alias("mass")]
-    null = resample.map_metrics(resample.phase_randomised(series, own, 100, 42).select(*own, "perm", *sizes), [*keys, "perm"])
-    names = ["n_active", "mean", "std", "pa_ratio", "entropy", "gini"]
-    found = resample.null_table(resample.map_metrics(series.select(*own, *sizes), keys), stored(null, "null"), keys, names)
+
+#: The six metrics look at time means, which no order of the epochs changes: every twin has the map's own, and p is 1.
+CENTRED = f"""{VAL}, cv AS (SELECT band, voxel_id, y, epoch, avg(value) AS value FROM val GROUP BY 1, 2, 3, 4), cm AS (SELECT band, voxel_id, y, avg(abs(v)) AS value, sum(greatest(v, 0)) AS mass FROM (SELECT *, round(value - avg(value) OVER (PARTITION BY band), 9) AS v FROM cv) GROUP BY 1, 2, 3),
+  act AS (SELECT band, value, row_number() OVER (PARTITION BY band ORDER BY value) AS i, least(CAST(floor(value / (max(value) OVER (PARTITION BY band) + 1e-10) * 50) AS INT), 49) AS bin FROM cm WHERE value > 0),
+  hist AS (SELECT band, count(*) / sum(count(*)) OVER (PARTITION BY band) AS p FROM act GROUP BY band, bin), ent AS (SELECT band, sum(-p * log2(p)) AS entropy FROM hist GROUP BY 1),
+  siz AS (SELECT band, count(*)::DOUBLE AS n_active, avg(value) AS mean, stddev_pop(value) AS std, 2 * sum(i * value) / (count(*) * sum(value)) - (count(*) + 1)::DOUBLE / count(*) AS gini FROM act GROUP BY 1),
+  pos AS (SELECT band, sum(CASE WHEN y < -40 THEN mass ELSE 0 END) / (sum(CASE WHEN y > 0 THEN mass ELSE 0 END) + 1e-12) AS pa_ratio FROM cm GROUP BY 1),
+  met AS (SELECT band, n_active, mean, std, pa_ratio, entropy, gini FROM siz JOIN ent USING (band) JOIN pos USING (band)), lon AS (UNPIVOT met ON n_active, mean, std, pa_ratio, entropy, gini INTO NAME metric VALUE value)"""
+
+
+@query(f"WITH {CENTRED} SELECT band, metric, round(value, 6) + 0.0 AS value, round(value, 6) + 0.0 AS null_mean, 0.0::DOUBLE AS null_std, 1.0::DOUBLE AS p FROM lon")
+def q_time_null_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The same metrics against 100 twins of every voxel's series whose epochs are permuted on their own."""
+    series = _centred(spark, d)
+    found = resample.null_metrics(series, ["band"], ["voxel_id", "y"], resample.time_permuted(series, ["band", "voxel_id", "y"], 100, 42))
     return rounded_all(found, "value", "null_mean", "null_std", "p")
 
 

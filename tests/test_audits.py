@@ -88,8 +88,82 @@ def test_bootstrap_picks_the_best_mean_of_what_was_drawn(spark):
     wide = table.pivot(index="s", columns="w", values="m")
     for boot, part in draws.groupby("boot"):
         assert len(part) == 6 and found[boot] == wide.loc[part.pick].mean().idxmax()
-    out = resample.leave_one_out(spark.createDataFrame(table), "s").toPandas()
-    assert len(out) == 6 * 5 * 3 and (out.fold != out.s).all()
+
+
+def test_bootstrap_of_every_fold(spark):
+    """Draws of each fold, taken from its table of multiplicities, and all else by pandas."""
+    rng = np.random.default_rng(6)
+    subjects = [11, 3, 7, 5, 2]
+    table = pd.DataFrame([(b, s, w, float(rng.normal())) for b in "xy" for s in subjects for w in (0.3, 0.5, 0.7) for _ in range(1 + s % 2)], columns=["band", "s", "w", "m"])
+    df = spark.createDataFrame(table).unionByName(spark.createDataFrame([("lone", 1, 0.5, 1.0)], "band string, s long, w double, m double"))
+    found = resample.bootstrap_folds(df, ["band"], "s", "w", "m", 25, 9).toPandas().set_index(["band", "test_id"])
+    assert len(found) == 10
+    times = resample.fold_draws(spark.createDataFrame([("x", 5), ("y", 5)], "band string, _n long"), ["band"], 25, 9).toPandas()
+    assert (times.pick != times.fold).all() and (times.groupby(["band", "fold", "boot"]).times.sum() == 4).all()
+    order = sorted(subjects)
+    for (band, fold), part in times.groupby(["band", "fold"]):
+        picks = []
+        for _, draw in part.groupby("boot"):
+            rows = pd.concat([table[(table.band == band) & (table.s == order[k])] for k, n in zip(draw.pick, draw.times, strict=True) for _ in range(n)])
+            picks.append(rows.groupby("w").m.mean().idxmax())
+        row = found.loc[(band, order[fold])]
+        assert np.allclose(row[["mean", "median", "std", "low", "high"]].astype(float), [np.mean(picks), np.median(picks), np.std(picks), *np.quantile(picks, [0.025, 0.975])])
+
+
+def test_places_are_permuted_for_every_size():
+    for n in [*range(1, 400), 1023, 1024, 1025, 65_537, 99_991]:
+        places = np.arange(n)
+        for key in (0, -(2**63), 123_456_789):
+            got = resample.permuted_places(places, np.full(n, n), np.full(n, key))
+            assert np.array_equal(np.sort(got), places)
+    mixed = resample.permuted_places(np.tile(np.arange(7), 3), np.full(21, 7), np.repeat([1, 2, 3], 7))
+    assert len({tuple(p) for p in mixed.reshape(3, 7)}) == 3
+    # places go everywhere alike: chi-squared of where the first of 10 goes over 20,000 keys, 9 degrees of freedom
+    first = resample.permuted_places(np.zeros(20_000, dtype=np.int64), np.full(20_000, 10), np.arange(20_000))
+    assert ((np.bincount(first, minlength=10) - 2000) ** 2 / 2000).sum() < 28
+    # and neighbours don't stay together
+    big = resample.permuted_places(np.arange(100_000), np.full(100_000, 100_000), np.full(100_000, 5))
+    assert abs(np.corrcoef(big, np.arange(100_000))[0, 1]) < 0.02 and (np.abs(np.diff(big)) < 50).mean() < 0.01
+
+
+def test_shuffles_do_not_depend_on_partitions(maps):
+    one, two = (resample.shuffled(maps.repartition(n), ["band", "recording_id"], ["x", "y"], "voxel_id", 2, 3).toPandas().sort_values(["recording_id", "voxel_id", "perm"]).reset_index(drop=True) for n in (1, 5))
+    assert one[["voxel_id", "perm", "x", "y", "z", "value"]].equals(two[["voxel_id", "perm", "x", "y", "z", "value"]])
+    assert (one.y == 15.0 * ((one.x + 20) / 3) - 90).all()  # moved columns move together
+
+
+def test_times_are_permuted_in_their_rows(spark):
+    from gridscore.operators.timeops import lag1_array, lag1_correlation
+
+    rng = np.random.default_rng(1)
+    rows = [(k, rng.normal(size=n).round(3).tolist()) for k, n in enumerate((9, 30, 2, 1, 0))] + [(7, [2.0] * 6), (8, None)]
+    series = spark.createDataFrame(rows, "id int, values array<double>")
+    one, two = (resample.time_permuted(series.repartition(n), ["id"], 40, 1).toPandas().sort_values(["id", "perm"])["values"].tolist() for n in (1, 5))
+    assert one == two and len(one) == 40 * len(rows)
+    own = {k: v for k, v in rows}
+    drawn = resample.time_permuted(series, ["id"], 40, 1).collect()
+    assert all((r["values"] is None and own[r.id] is None) or sorted(r["values"]) == sorted(own[r.id]) for r in drawn)
+    assert len({tuple(r["values"]) for r in drawn if r.id == 1}) == 40
+    first = np.array([r["values"] for r in drawn if r.id == 0])
+    assert len({tuple(c) for c in first.T}) == 9  # no place keeps its value
+    long = series.select("id", F.posexplode("values").alias("epoch", "value"))
+    want = {r.id: r.r for r in lag1_correlation(long, ["id"]).collect()}
+    for r in series.select("id", lag1_array(F.col("values")).alias("r")).collect():
+        assert r.r == (None if want.get(r.id) is None else pytest.approx(want[r.id]))
+    plan = resample.time_permuted(series, ["id"], 3, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_null_table_of_permuted_times(spark):
+    rng = np.random.default_rng(7)
+    rows = [("b", v, 10.0 * v - 95, (rng.normal(size=8) * (v % 5 > 0)).round(4).tolist()) for v in range(20)]
+    series = spark.createDataFrame(rows, "band string, voxel_id int, y double, values array<double>")
+    keys = ["band", "voxel_id", "y"]
+    found = resample.null_metrics(series, ["band"], keys[1:], resample.time_permuted(series, keys, 6, 2)).toPandas().set_index("metric")
+    assert len(found) == 6 and (found.p == 1).all() and np.allclose(found.value, found.null_mean) and np.allclose(found.null_std, 0)
+    assert found.value["n_active"] == 16
+    turned = resample.null_metrics(series, ["band"], keys[1:], resample.phase_randomised(series, keys, 6, 2)).toPandas().set_index("metric")
+    assert turned.null_std["mean"] > 0 and np.allclose(turned.value, found.value)
 
 
 def test_shrunk_partial_against_numpy(spark):
