@@ -76,6 +76,11 @@ def _bell(c: Column, centre: float, width: float) -> Column:
     return F.exp(-F.pow(c - centre, F.lit(2.0)) / (2 * width**2))
 
 
+def penalty_bell(prior: Prior, y: Column) -> Column:
+    """How much of a prior's penalty meets a place: 1 at its centre, 0 throughout where the prior has none."""
+    return _bell(y, *prior.penalty) if prior.penalty else F.lit(0.0)
+
+
 def raw_prior(prior: Prior, penalty: Column | float, x: Column, y: Column, z: Column) -> Column:
     """A band's prior before it is scaled: its peaks, damped around the centre that it penalises."""
     peaks = []
@@ -84,7 +89,7 @@ def raw_prior(prior: Prior, penalty: Column | float, x: Column, y: Column, z: Co
         peaks.append(F.lit(p.weight) * reduce(Column.__mul__, terms))
     weight = reduce(Column.__add__, peaks)
     penalty = F.lit(penalty) if isinstance(penalty, (int, float)) else penalty
-    return weight * F.when(penalty > 0, 1 - penalty * _bell(y, *prior.penalty)).otherwise(1.0) if prior.penalty else weight
+    return weight * F.when(penalty > 0, 1 - penalty * penalty_bell(prior, y)).otherwise(1.0) if prior.penalty else weight
 
 
 def scaled_prior(raw: Column, most: Column, least: float | Column, boost: Column, softening: Column) -> Column:

@@ -58,18 +58,23 @@ def target_score(target: Target, raw: Column) -> Column:
     return F.when(raw.between(target.low, target.high), F.least(F.lit(1.0), score * 1.15)).otherwise(score)
 
 
-def band_penalty(band: str, value: Column) -> Column:
-    """Factor of one group for a band's implausible layouts, as an aggregate."""
-    y = F.col("y")
+def penalty_of(band: str, front_over_back: Column, middle_pct: Column) -> Column:
+    """Factor for a band's implausible layouts."""
+    # fixed values: where a layout becomes implausible, and twice the squared width of the fall beyond
     if band == "delta":
-        f = F.avg(F.when(y > 0, value)) / (F.avg(F.when(y < -40, value)) + EPS)
+        f = front_over_back
         return F.coalesce(F.when(f > 1.5, F.exp(-F.pow(f - 1.5, F.lit(2.0)) / 4.5)).when(f < 0.8, F.exp(-F.pow(0.8 - f, F.lit(2.0)) / 0.5)), F.lit(1.0))
     if band == "beta":
-        c = 100 * sum_where(y.between(-45, 15), value) / (F.sum(value) + EPS)
-        return F.when(c > 35, F.exp(-F.pow(c - 35, F.lit(2.0)) / 800)).otherwise(1.0)
+        return F.when(middle_pct > 35, F.exp(-F.pow(middle_pct - 35, F.lit(2.0)) / 800)).otherwise(1.0)
     return F.lit(1.0)
 
 
+def band_penalty(band: str, value: Column) -> Column:
+    """penalty_of() one group, as an aggregate."""
+    y = F.col("y")
+    return penalty_of(band, F.avg(F.when(y > 0, value)) / (F.avg(F.when(y < -40, value)) + EPS), 100 * sum_where(y.between(-45, 15), value) / (F.sum(value) + EPS))
+
+
 def band_metric(df: DataFrame, keys: list[str], band: str, value: str = "value", target: Target | None = None) -> DataFrame:
     """keys, raw, and metric (score times penalty) of the time-mean values of located voxels; one aggregate."""
     target = target or TARGETS[band]

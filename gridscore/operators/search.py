@@ -7,14 +7,20 @@ sum is the total less its own part, a left-out extreme is the best or the second
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from gridscore.functions.geometry import in_box, raw_prior, scaled_prior
+from gridscore.functions.geometry import in_box, penalty_bell, raw_prior
 from gridscore.model import BAND_BOUNDS, BOUNDS, CONFIDENCE, DEFAULTS, GLOBAL_BOUNDS, PRIORS, SPACING, TARGETS, WEIGHT_CAPS, Box, Target
-from gridscore.operators.metrics import EPS, band_metric, target_score
+from gridscore.operators.metrics import EPS, band_metric, penalty_of, target_score
 from gridscore.operators.resample import uniform
 from gridscore.operators.timeops import temporal_keep
 from gridscore.session import stored
@@ -50,27 +56,118 @@ def _regions(target: Target) -> tuple[Column, Column]:
     return in_box(target.region), in_box(target.against) if target.against else F.lit(True)
 
 
-def statistics(scores: DataFrame, candidates: DataFrame, band: str) -> DataFrame:
-    """cand, recording_id, sums and counts of the region, of what it is held against and of all, and the extremes.
+#: Candidates that a block of rows is met with at once, and rows of a block.
+CANDIDATES, ROWS = 64, 4096
+SPATIAL, BLEND = ("boost", "penalty", "softening"), ("mi_weight", "contrast")
+
+
+def _candidate_arrays(candidates: DataFrame) -> dict[str, dict[str, np.ndarray]]:
+    """Parameters of each band's candidates as arrays: a few numbers a candidate, of which a round has one set of folds'."""
+    frame = candidates.select("band", "cand", *SPATIAL, *BLEND).toPandas().sort_values(["band", "cand"])
+    return {band: {c: part[c].to_numpy() for c in ("cand", *SPATIAL, *BLEND)} for band, part in frame.groupby("band")}
+
+
+def _fields(rows: DataFrame, bands: list[str]) -> DataFrame:
+    """rows with what a candidate needs of a voxel: its band's prior without the penalty, the penalty's bell, and its zones as
+    bits."""
+
+    def chosen(f: Callable[[str], Column]) -> Column:
+        return reduce(lambda c, b: c.when(F.col("band") == b, f(b)), bands, F.when(F.lit(False), f(bands[0])))
+
+    x, y, z = (F.col(c) for c in "xyz")
+    whole = chosen(lambda b: raw_prior(PRIORS[b], 0.0, x, y, z))
+    bell = chosen(lambda b: penalty_bell(PRIORS[b], y))
+    zones = {"in": chosen(lambda b: _regions(TARGETS[b])[0]), "against": chosen(lambda b: _regions(TARGETS[b])[1]), "all": F.lit(True), "front": y > 0, "back": y < -40, "middle": y.between(-45, 15)}
+    bits = reduce(Column.__add__, [F.when(zones[name], 1 << i).otherwise(0) for i, name in enumerate(ZONES)])
+    return rows.withColumns({"_prior": whole, "_bell": bell, "_zones": bits.cast("int")})
+
+
+def _penalised(prior: np.ndarray, bell: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    return prior[:, None] * (1 - np.maximum(penalty, 0.0) * bell[:, None])
+
+
+def _vectors(rows: DataFrame, run: Callable, columns: list[str], keys: list[str]) -> DataFrame:
+    """keys and, for each of columns, the sum (s_), least (lo_) or largest (hi_) of the vectors that tasks send."""
+    kinds = ", ".join(f"{k} {kind}" for k, kind in rows.select(*keys).dtypes)
+    each = rows.mapInArrow(run, f"{kinds}, {', '.join(f'{c} array<double>' for c in columns)}")
+    how = {"s": Summarizer.sum, "l": Summarizer.min, "h": Summarizer.max}
+    return each.groupBy(*keys).agg(*[vector_to_array(how[c[0]](array_to_vector(F.col(c)))).alias(c) for c in columns])
+
 
-    scores: recording_id, voxel_id, x, y, z, mi, dice of one band, means over time already; candidates: cand,
-    mi_weight, contrast, boost, penalty, softening, a few dozen rows and so broadcast. One streaming aggregate; the
-    candidates' prior scales come from the distinct voxels.
+def band_statistics(scores: DataFrame, candidates: DataFrame) -> DataFrame:
+    """band, cand, recording_id, sums and counts of the region, of what it is held against and of all, and the extremes.
+
+    scores: band, recording_id, voxel_id, x, y, z, mi, dice, means over time already; candidates: band, cand, mi_weight,
+    contrast, boost, penalty, softening. Candidates go with the tasks as arrays; a task holds a block of rows against a
+    block of candidates, and sends one vector of sums a recording and band, which Spark adds up. No row is copied. Scores
+    are scanned twice, the first time for the priors' scales.
     """
-    prior, (inside, against) = PRIORS[band], _regions(TARGETS[band])
-    small = F.broadcast(candidates)
-    raw = raw_prior(prior, F.col("penalty"), F.col("x"), F.col("y"), F.col("z"))
-    most = scores.select("voxel_id", "x", "y", "z").distinct().crossJoin(small).groupBy("cand").agg(F.max(raw).alias("_most"))
-    whole = candidates.join(most, "cand")
-    rows = scores.crossJoin(F.broadcast(whole))
-    weight = scaled_prior(raw, F.col("_most"), prior.least, F.col("boost"), F.col("softening"))
-    blended = (F.col("mi_weight") * F.col("mi") + (1 - F.col("mi_weight")) * F.col("dice")) * weight
-    h = F.when(F.col("contrast") == 1.0, blended).otherwise(F.pow(F.greatest(blended, F.lit(1e-12)), F.col("contrast")))
-    rows = rows.withColumn("_h", h)
-    part = lambda c, name: [F.sum(F.when(c, F.col("_h")).otherwise(0.0)).alias(f"s_{name}"), F.sum(c.cast("long")).alias(f"n_{name}")]
-    y = F.col("y")
-    zones = [*part(inside, "in"), *part(against, "against"), *part(F.lit(True), "all"), *part(y > 0, "front"), *part(y < -40, "back"), *part(y.between(-45, 15), "middle")]
-    return rows.groupBy("cand", "recording_id").agg(*zones, F.min("_h").alias("lo"), F.max("_h").alias("hi"))
+    given = _candidate_arrays(candidates)
+    bands = sorted(given)
+    least = {b: PRIORS[b].least for b in bands}
+    rows = _fields(scores.where(F.col("band").isin(bands)), bands)
+    kind = rows.schema["recording_id"]
+
+    def scales(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = {b: np.full(len(given[b]["cand"]), -np.inf) for b in bands}
+        for batch in batches:
+            names, prior, bell = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for b in bands:
+                own = np.flatnonzero(names == b)
+                for k in range(0, len(own), ROWS):
+                    part = own[k : k + ROWS]
+                    for c in range(0, len(most[b]), CANDIDATES):
+                        block = slice(c, c + CANDIDATES)
+                        most[b][block] = np.maximum(most[b][block], _penalised(prior[part], bell[part], given[b]["penalty"][block]).max(0))
+        yield pa.RecordBatch.from_arrays([pa.array(bands, pa.string()), pa.array([most[b] for b in bands], pa.list_(pa.float64()))], names=["band", "h"])
+
+    scale = {r.band: np.array(r.h) for r in _vectors(rows.select("band", "_prior", "_bell"), scales, ["h"], ["band"]).collect()}
+
+    def weights(b: str, prior: np.ndarray, bell: np.ndarray, block: slice) -> np.ndarray:
+        p, most = {c: given[b][c][block] for c in SPATIAL}, scale[b][block]
+        raised = least[b] + (p["boost"] - least[b]) * _penalised(prior, bell, p["penalty"]) / np.where(most > 1e-12, most, 1.0)
+        weight = np.where(most > 1e-12, raised, least[b])
+        return np.where(p["softening"] > 0, (1 - p["softening"]) * weight + p["softening"], weight)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        for batch in batches:
+            names, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            prior, bell, mi, dice = (batch.column(k).to_numpy() for k in (2, 3, 5, 6))
+            inside = (batch.column(4).to_numpy()[:, None] >> np.arange(len(ZONES)) & 1).astype(np.float64)
+            groups: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(names, ids, strict=True)):
+                groups.setdefault(key, []).append(at)
+            for (b, recording), places in groups.items():
+                n = len(given[b]["cand"])
+                if (b, recording) not in held:
+                    held[b, recording] = [np.zeros((len(ZONES), n)), np.zeros(len(ZONES)), np.full(n, np.inf), np.full(n, -np.inf)]
+                total, count, low, high = held[b, recording]
+                for k in range(0, len(places), ROWS):
+                    part = np.array(places[k : k + ROWS])
+                    count += inside[part].sum(0)
+                    for c in range(0, n, CANDIDATES):
+                        block = slice(c, c + CANDIDATES)
+                        w, power = given[b]["mi_weight"][block], given[b]["contrast"][block]
+                        h = (w * mi[part, None] + (1 - w) * dice[part, None]) * weights(b, prior[part], bell[part], block)
+                        h = np.where(power == 1.0, h, np.maximum(h, 1e-12) ** power)
+                        total[:, block] += inside[part].T @ h
+                        low[block], high[block] = np.minimum(low[block], h.min(0)), np.maximum(high[block], h.max(0))
+        for (b, recording), (total, count, low, high) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.string()), pa.array([recording], recordings), *[pa.array([x.ravel()], pa.list_(pa.float64())) for x in (total, count, low, high)]], names=["band", "recording_id", "s", "s_n", "l", "h"])
+
+    recordings = to_arrow_type(kind.dataType)
+    found = _vectors(rows.select("band", "recording_id", "_prior", "_bell", "_zones", F.col("mi").cast("double"), F.col("dice").cast("double")), sums, ["s", "s_n", "l", "h"], ["band", "recording_id"])
+    numbers = candidates.groupBy("band").agg(F.array_sort(F.collect_list("cand")).alias("_cands"))  # as many as a task holds anyway
+    each = found.join(numbers, "band").select("band", "recording_id", "s", "s_n", "l", "h", F.size("_cands").alias("_size"), F.posexplode("_cands").alias("_at", "cand"))
+    at = F.col("_at")
+    parts = [F.get("s", at + i * F.col("_size")).alias(f"s_{z}") for i, z in enumerate(ZONES)] + [F.get("s_n", F.lit(i)).cast("long").alias(f"n_{z}") for i, z in enumerate(ZONES)]
+    return each.select("band", "cand", "recording_id", *parts, F.get("l", at).alias("lo"), F.get("h", at).alias("hi"))
+
+
+def statistics(scores: DataFrame, candidates: DataFrame, band: str) -> DataFrame:
+    """band_statistics() of one band's scores and candidates, without `band`."""
+    return band_statistics(scores.withColumn("band", F.lit(band)), candidates.withColumn("band", F.lit(band))).drop("band")
 
 
 ZONES = ("in", "against", "all", "front", "back", "middle")
@@ -88,61 +185,62 @@ def metric_of(band: str, sums: dict[str, Column], counts: dict[str, Column], low
     else:
         share = s["in"] / (s["all"] + EPS)
         raw = F.when(counts["in"] > 0, share if target.kind == "proportion" else share / (1 - share + EPS)).otherwise(0.0)
-    penalty = F.lit(1.0)
-    if band == "delta":
-        f = mean("front") / (mean("back") + EPS)
-        penalty = F.coalesce(F.when(f > 1.5, F.exp(-F.pow(f - 1.5, F.lit(2.0)) / 4.5)).when(f < 0.8, F.exp(-F.pow(0.8 - f, F.lit(2.0)) / 0.5)), F.lit(1.0))
-    elif band == "beta":
-        c = 100 * s["middle"] / (s["all"] + EPS)
-        penalty = F.when(c > 35, F.exp(-F.pow(c - 35, F.lit(2.0)) / 800)).otherwise(1.0)
-    return target_score(target, raw) * penalty
-
-
-def _collected(where: Column | None = None) -> list[Column]:
-    pick = (lambda c: F.when(where, F.col(c))) if where is not None else F.col
-    return [f(pick(f"{p}_{z}")).alias(f"{p}_{z}") for z in ZONES for p, f in (("s", F.sum), ("n", F.sum))]
+    return target_score(target, raw) * penalty_of(band, mean("front") / (mean("back") + EPS), 100 * s["middle"] / (s["all"] + EPS))
 
 
 def _metric(band: str, low: str = "lo", high: str = "hi") -> Column:
     return metric_of(band, {z: F.col(f"s_{z}") for z in ZONES}, {z: F.col(f"n_{z}") for z in ZONES}, F.col(low), F.col(high))
 
 
+def _metrics(bands: list[str]) -> Column:
+    """_metric() of the row's band."""
+    return reduce(lambda c, b: c.when(F.col("band") == b, _metric(b)), bands, F.when(F.lit(False), F.lit(0.0)))
+
+
 def left_out(stats: DataFrame) -> DataFrame:
-    """cand, test_id and the statistics of all other recordings, by arithmetic from the totals and the best two extremes."""
-    totals = stats.groupBy("cand").agg(
-        *[F.sum(f"{p}_{z}").alias(f"t_{p}_{z}") for z in ZONES for p in ("s", "n")], F.count("*").alias("_count"),
-        F.array_sort(F.collect_list("lo")).alias("_los"), F.reverse(F.array_sort(F.collect_list("hi"))).alias("_his"),
+    """band (where stats have it), cand, test_id and the statistics of all other recordings, by arithmetic from the totals
+    and the best two extremes, each of which is an aggregate: no recording's numbers are gathered."""
+    keys = ["band", "cand"] if "band" in stats.columns else ["cand"]
+    r = F.col("recording_id")
+    # no window or list: the recording with the extreme, then the extreme of the rest
+    totals = stats.groupBy(*keys).agg(
+        *[F.sum(f"{p}_{z}").alias(f"t_{p}_{z}") for z in ZONES for p in ("s", "n")], F.count("*").alias("_count"), F.min(F.struct("lo", "recording_id")).alias("_low"), F.max(F.struct("hi", "recording_id")).alias("_high")
     )
-    # one number a recording, of which there are tens
-    rows = stats.join(totals, "cand").where("_count > 1")
+    rows = stats.join(totals, keys).where("_count > 1")
+    second = rows.groupBy(*keys).agg(F.min(F.when(r != F.col("_low.recording_id"), F.col("lo"))).alias("_low2"), F.max(F.when(r != F.col("_high.recording_id"), F.col("hi"))).alias("_high2"))
     less = {f"{p}_{z}": F.col(f"t_{p}_{z}") - F.col(f"{p}_{z}") for z in ZONES for p in ("s", "n")}
-    ends = {"lo": F.when(F.col("lo") == F.col("_los")[0], F.col("_los")[1]).otherwise(F.col("_los")[0]), "hi": F.when(F.col("hi") == F.col("_his")[0], F.col("_his")[1]).otherwise(F.col("_his")[0])}
-    return rows.select("cand", F.col("recording_id").alias("test_id"), *[c.alias(n) for n, c in (less | ends).items()])
+    ends = {"lo": F.when(r == F.col("_low.recording_id"), F.col("_low2")).otherwise(F.col("_low.lo")), "hi": F.when(r == F.col("_high.recording_id"), F.col("_high2")).otherwise(F.col("_high.hi"))}
+    return rows.join(second, keys).select(*keys, r.alias("test_id"), *[c.alias(n) for n, c in (less | ends).items()])
 
 
-def evaluate(stats: DataFrame, assignment: DataFrame, band: str, floor: float = 0.1, threshold: float = 0.15) -> DataFrame:
-    """cand, test_id, main, stability and objective of every candidate with every recording left out.
+def evaluate(stats: DataFrame, assignment: DataFrame, floor: float = 0.1, threshold: float = 0.15) -> DataFrame:
+    """band, cand, test_id, main, stability and objective of every candidate with every recording left out.
 
-    assignment: recording_id, fold. Stability is 1 less the variation of the metric over the folds of the recordings
-    that are left in, all scaled alike; the objective is main x max(floor, stability) less what stability falls short
-    of the threshold.
+    stats: band_statistics(); assignment: recording_id, fold. Stability is 1 less the variation of the metric over the
+    folds of the recordings that are left in, all scaled alike; the objective is main x max(floor, stability) less what
+    stability falls short of the threshold. A fold without its left-out recording is its total less that one's numbers,
+    so rows go with recordings times folds, not with recordings squared.
     """
-    main = left_out(stats).withColumn("main", _metric(band))
-    tested = main.select("cand", "test_id", "main", "lo", "hi")
-    parts = stats.drop("lo", "hi").join(assignment, "recording_id").join(tested, "cand").where("recording_id <> test_id")
-    by_fold = parts.groupBy("cand", "test_id", "fold").agg(*_collected(), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("main").alias("main"))
-    scored = by_fold.withColumn("_m", _metric(band))
+    stats = stored(stats.join(assignment, "recording_id"), "statistics")
+    bands = [r.band for r in stats.select("band").distinct().collect()]
+    names = [f"{p}_{z}" for z in ZONES for p in ("s", "n")]
+    main = stored(left_out(stats.drop("fold")).withColumn("main", _metrics(bands)).select("band", "cand", "test_id", "main", "lo", "hi"), "main")
+    totals = stats.groupBy("band", "cand", "fold").agg(*[F.sum(n).alias(f"t_{n}") for n in names])
+    own = stats.select("band", "cand", F.col("recording_id").alias("test_id"), F.col("fold").alias("_own"), *[F.col(n).alias(f"o_{n}") for n in names])
+    rows = main.join(own, ["band", "cand", "test_id"]).join(totals, ["band", "cand"])
+    mine = F.when(F.col("fold") == F.col("_own"), 1).otherwise(0)
+    less = rows.select("band", "cand", "test_id", "main", "lo", "hi", *[(F.col(f"t_{n}") - mine * F.col(f"o_{n}")).alias(n) for n in names]).where("n_all > 0")
+    scored = less.withColumn("_m", _metrics(bands))
     stability = 1 - F.stddev_pop("_m") / (F.avg("_m") + EPS)
-    found = scored.groupBy("cand", "test_id").agg(F.first("main").alias("main"), stability.alias("stability"))
+    found = scored.groupBy("band", "cand", "test_id").agg(F.first("main").alias("main"), stability.alias("stability"))
     objective = F.col("main") * F.greatest(F.lit(floor), F.col("stability")) - F.greatest(F.lit(0.0), threshold - F.col("stability"))
     return found.withColumn("objective", objective)
 
 
 def best_of(found: DataFrame, candidates: DataFrame, names: list[str]) -> DataFrame:
-    """test_id, objective and the parameters of each fold's best candidate."""
-    joined = found.join(F.broadcast(candidates), "cand")
-    best = joined.groupBy("test_id").agg(F.max_by(F.struct("objective", *names), F.struct(F.round("objective", 12), -F.col("cand"))).alias("b"))
-    return best.select("test_id", "b.*")
+    """band, test_id, objective and the parameters of each fold's best candidate; the smaller number where they tie."""
+    best = found.groupBy("band", "test_id").agg(F.max_by(F.struct("objective", "cand"), F.struct(F.round("objective", 12), -F.col("cand"))).alias("b"))
+    return best.select("band", "test_id", "b.*").join(candidates, ["band", "cand"]).select("band", "test_id", "objective", *names)
 
 
 def cap(band: str, weight: Column) -> Column:
@@ -150,43 +248,57 @@ def cap(band: str, weight: Column) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), weight))
 
 
-def optimise_band(scores: DataFrame, band: str, n: int = 20, rounds: int = 3, k: int = 3, seed: int = 42, tolerance: float = 0.001) -> DataFrame:
-    """band, test_id, best parameters and objective of every leave-one-out fold.
+def optimise_bands(scores: DataFrame, bands: list[str], n: int = 20, rounds: int = 3, k: int = 3, seed: int = 42, tolerance: float = 0.001) -> DataFrame:
+    """band, test_id, best parameters and objective of every leave-one-out fold of every band.
 
     Stage 1 shares one set of spatial candidates over all folds; later rounds evaluate the distinct candidates of all
-    folds together, one aggregate over the scores each. Rounds end when no fold improves by more than the tolerance.
+    folds. A round is one pass over all bands' scores. A band is done when none of its folds improves by more than the
+    tolerance.
     """
     spark = scores.sparkSession
-    spatial = {p: BAND_BOUNDS.get(band, {}).get(p, BOUNDS[p]) for p in ("boost", "penalty", "softening")}
     # the last two shape the volume later; they are drawn and kept with the rest
-    intensity = {p: BOUNDS[p] for p in ("mi_weight", "contrast", "keep_top_pct", "smoothing_fwhm")}
-    names = [*intensity, *spatial]
-    start = DEFAULTS[band]
+    intensity = {p: BOUNDS[p] for p in (*BLEND, "keep_top_pct", "smoothing_fwhm")}
+    names = [*intensity, *SPATIAL]
     assignment = stored(folds(scores, "recording_id", k, seed), "folds")
-    first = latin_hypercube(spark, spatial, n, seed).withColumns({p: F.lit(float(getattr(start, p))) for p in intensity})
-    best = stored(best_of(evaluate(statistics(scores, first, band), assignment, band), first, names), "best")
+
+    def drawn(b: str) -> DataFrame:
+        spatial = {p: BAND_BOUNDS.get(b, {}).get(p, BOUNDS[p]) for p in SPATIAL}
+        points = latin_hypercube(spark, spatial, n, seed).withColumns({p: F.lit(float(getattr(DEFAULTS[b], p))) for p in intensity})
+        return points.select(F.lit(b).alias("band"), "cand", *names)
+
+    first = stored(reduce(DataFrame.unionByName, [drawn(b) for b in bands]), "candidates")
+    best = stored(best_of(evaluate(band_statistics(scores, first), assignment), first, names), "best")
+    open_ = list(bands)
     for r in range(rounds):
         size = max(4, n // (r + 1))
+        going = best.where(F.col("band").isin(open_))
         if r == 0:
             points = latin_hypercube(spark, intensity, size, seed + 1)
-            mine = best.drop(*intensity).crossJoin(F.broadcast(points.drop("cand")))
+            mine = going.drop(*intensity).crossJoin(F.broadcast(points.drop("cand")))  # `size` rows
         else:
-            mine = refine(best, intensity, size, r, seed)
-        mine = mine.select("test_id", *names)
-        # candidates are few; equal ones of several folds are evaluated once
-        distinct = stored(mine.select(*names).distinct().withColumn("cand", (F.row_number().over(Window.orderBy(*names)) - 1).cast("int")), "candidates")
-        owned = mine.join(F.broadcast(distinct), names).select("test_id", "cand").distinct()
-        scored = evaluate(statistics(scores, distinct, band), assignment, band).join(owned, ["test_id", "cand"])
-        new = best_of(scored, distinct, names)
-        both = best.alias("a").join(new.alias("b"), "test_id", "left")
+            mine = refine(going, intensity, size, r, seed)
+        mine = stored(mine.select("band", "test_id", *names), "asked")
+        # equal candidates of several folds are evaluated once
+        number = F.row_number().over(Window.partitionBy("band").orderBy(*names)) - 1
+        distinct = stored(mine.select("band", *names).distinct().withColumn("cand", number.cast("int")), "candidates")
+        owned = mine.join(distinct, ["band", *names]).select("band", "test_id", "cand").distinct()
+        scored = evaluate(band_statistics(scores, distinct), assignment).join(owned, ["band", "test_id", "cand"])
+        both = best.alias("a").join(best_of(scored, distinct, names).alias("b"), ["band", "test_id"], "left")
         better = F.coalesce(F.expr(f"b.objective > a.objective + {tolerance}"), F.lit(False))
-        following = both.select("test_id", *[F.when(better, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in ("objective", *names)], better.alias("_moved"))
+        following = both.select("band", "test_id", *[F.when(better, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in ("objective", *names)], better.alias("_moved"))
         following = stored(following, "best")
-        moved = following.where("_moved").count()
+        moved = {row.band for row in following.where("_moved").select("band").distinct().collect()}
         best = following.drop("_moved")
-        if not moved and r > 0:
+        open_ = [b for b in open_ if b in moved or r == 0]
+        if not open_:
             break
-    return best.withColumn("mi_weight", cap(band, F.col("mi_weight"))).withColumn("band", F.lit(band))
+    weight = reduce(lambda c, b: c.when(F.col("band") == b, cap(b, F.col("mi_weight"))), bands, F.when(F.lit(False), F.lit(0.0)))
+    return best.withColumn("mi_weight", weight)
+
+
+def optimise_band(scores: DataFrame, band: str, **options: float) -> DataFrame:
+    """optimise_bands() of one band's scores."""
+    return optimise_bands(scores.withColumn("band", F.lit(band)), [band], **options)
 
 
 def consensus(best: DataFrame, names: list[str]) -> DataFrame:

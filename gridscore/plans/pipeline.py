@@ -50,8 +50,7 @@ def fit_weights(scores: DataFrame, bands: list[str], volume: DataFrame | None =
     cluster size for all bands together.
     """
     names = ["mi_weight", "contrast", "boost", "penalty", "softening", "keep_top_pct", "smoothing_fwhm"]
-    found = [search.optimise_band(scores.where(F.col("band") == b).drop("band"), b, **options) for b in bands]
-    folds = reduce(DataFrame.unionByName, found)
+    folds = stored(search.optimise_bands(scores, bands, **options), "folds")
     if volume is None or isolation is None:
         return folds, search.consensus(folds, names)
     return folds, search.consensus(folds, names), search.optimise_global(volume, {b: TARGETS[b] for b in bands}, isolation)

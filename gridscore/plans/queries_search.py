@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +30,13 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     return means_.join(voxels(spark, d).select("voxel_id", "x", "y", "z"), "voxel_id")
 
 
-def _by_band(spark: SparkSession, d: str, search: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """What `search` finds in each band's scores."""
-    rows = stored(_scores(spark, d), "scores")
-    return reduce(DataFrame.unionByName, [search(rows.where(F.col("band") == b).drop("band"), b).withColumn("band", F.lit(b)) for b in FLAGS.values()])
+def _for_all(candidates: DataFrame) -> DataFrame:
+    """The candidates for every band."""
+    return candidates.withColumn("band", F.explode(F.array(*[F.lit(b) for b in FLAGS.values()])))
+
+
+def _given_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return stored(S.band_statistics(stored(_scores(spark, d), "scores"), _for_all(_candidates(spark))), "statistics")
 
 
 def _candidates(spark: SparkSession) -> DataFrame:
@@ -65,25 +65,20 @@ LOSO = f"""{VOX}, s AS (SELECT CASE l_returnflag WHEN 'A' THEN 'alpha' WHEN 'N'
 @query(f"WITH {LOSO} SELECT band, cand, test_id, round(main::DOUBLE, 6) + 0.0 AS main FROM m")
 def q_loso_metric(spark: SparkSession, d: str) -> DataFrame:
     """Every candidate's metric with every recording left out, from sums; the SQL scales and sums each fold anew."""
-    given = _candidates(spark)
-    return _by_band(spark, d, lambda rows, b: S.left_out(S.statistics(rows, given, b)).select("cand", "test_id", rounded(S._metric(b)).alias("main")))
+    found = S.left_out(_given_statistics(spark, d))
+    return found.select("band", "cand", "test_id", rounded(S._metrics(list(FLAGS.values()))).alias("main"))
 
 
 @query(f"WITH {LOSO}, b AS (SELECT band, test_id, cand, row_number() OVER (PARTITION BY band, test_id ORDER BY round(main::DOUBLE, 9) DESC, cand) AS r FROM m) SELECT band, test_id, cand FROM b WHERE r = 1")
 def q_loso_pick(spark: SparkSession, d: str) -> DataFrame:
-    given = _candidates(spark)
-
-    def pick(rows: DataFrame, b: str) -> DataFrame:
-        found = S.left_out(S.statistics(rows, given, b)).withColumn("main", S._metric(b))
-        return found.groupBy("test_id").agg(F.max_by("cand", F.struct(F.round("main", 9), -F.col("cand"))).alias("cand"))
-
-    return _by_band(spark, d, pick)
+    found = S.left_out(_given_statistics(spark, d)).withColumn("main", S._metrics(list(FLAGS.values())))
+    return found.groupBy("band", "test_id").agg(F.max_by("cand", F.struct(F.round("main", 9), -F.col("cand"))).alias("cand"))
 
 
 @query()
 def q_loso_search(spark: SparkSession, d: str) -> DataFrame:
     """The whole leave-one-out search of every band: shared candidates, then refinement around each fold's best."""
-    return rounded_all(_by_band(spark, d, S.optimise_band), "objective", *NAMES, "keep_top_pct", "smoothing_fwhm")
+    return rounded_all(S.optimise_bands(stored(_scores(spark, d), "scores"), list(FLAGS.values())), "objective", *NAMES, "keep_top_pct", "smoothing_fwhm")
 
 
 @query("""WITH p AS (SELECT l_returnflag AS band, l_suppkey AS fold, avg(l_discount) AS mi_weight, avg(l_tax) AS contrast FROM lineitem GROUP BY 1, 2), u AS (SELECT band, 'mi_weight' AS param, mi_weight AS v FROM p UNION ALL SELECT band, 'contrast', contrast FROM p),
@@ -195,7 +190,8 @@ def q_global_search(spark: SparkSession, d: str) -> DataFrame:
 def q_lhs(spark: SparkSession, d: str) -> DataFrame:
     """A Latin hypercube's candidates scored on all folds of every band: objective and its parts."""
     points = S.latin_hypercube(spark, {n: S.BOUNDS[n] for n in NAMES}, 5, 42)
-    found = _by_band(spark, d, lambda rows, b: S.evaluate(S.statistics(rows, points, b), S.folds(rows, "recording_id", 3, 42), b))
+    rows = stored(_scores(spark, d), "scores")
+    found = S.evaluate(S.band_statistics(rows, _for_all(points)), S.folds(rows, "recording_id", 3, 42))
     return rounded_all(found, "main", "stability", "objective")
 
 

@@ -66,9 +66,9 @@ def test_nulls_draw_as_often_as_the_reference(spark, sf_dir, monkeypatch):
 
     for function, argument in (("permutation_metrics", "n_perm"), ("time_permuted", "n_perm"), ("phase_randomised", "n_perm"), ("bootstrap_pick", "n_boot")):
         watch(resample, function, argument)
-    watch(search, "optimise_band", "n")
+    watch(search, "optimise_bands", "n")
     for name in ("q_perm_null", "q_time_null", "q_bootstrap", "q_loso_search"):
         catalogue.queries()[name](spark, sf_dir)
     twins = catalogue.queries()["q_phase_null"](spark, sf_dir).toPandas()
-    assert found == {"permutation_metrics": 500, "time_permuted": 100, "phase_randomised": 100, "bootstrap_pick": 100, "optimise_band": 20}
+    assert found == {"permutation_metrics": 500, "time_permuted": 100, "phase_randomised": 100, "bootstrap_pick": 100, "optimise_bands": 20}
     assert (twins.power - twins.null_power).abs().max() < 1e-5 and (twins.null_std > 0).any() and twins.p.between(0, 1).all()
