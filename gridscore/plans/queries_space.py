@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from gridscore.operators import lattice as L
 from gridscore.operators import signature as S
 from gridscore.plans.queries_metrics import CHANNELS, channel_places
 from gridscore.plans.registry import query
-from gridscore.plans.stand_ins import EV, MEAN, NCH, VAL, VOX, means, nation_channels, rounded, rounded_all, samples, scores, values, voxels
-from gridscore.session import table
+from gridscore.plans.stand_ins import EV, MEAN, NCH, SC, VAL, VOX, means, nation_channels, rounded, rounded_all, samples, scores, values, voxels
+from gridscore.session import stored, table
 from gridscore.sources import tables as A
 
 
@@ -327,3 +329,40 @@ def q_postprocess(spark: SparkSession, d: str) -> DataFrame:
     volume = densify(rows, keys, rows.select("epoch").distinct()).withColumn("recording_id", F.lit(0))
     found = postprocess(volume, PostParams(keep=200, floor_pct=0.25, floor_abs=20))
     return rounded_all(found.select("band", "voxel_id", "epoch", "i", "j", "k", "value"), "value")
+
+
+@query(f"""WITH {MEAN}, grey AS (SELECT voxel_id FROM vox WHERE is_gm), back AS (SELECT voxel_id FROM vox WHERE y < -40), act AS (SELECT DISTINCT band, voxel_id FROM m WHERE round(value, 9) > 0.8), b AS (SELECT DISTINCT band FROM m),
+  o AS (SELECT 'intersection' AS op, band, voxel_id FROM act SEMI JOIN grey USING (voxel_id) SEMI JOIN back USING (voxel_id)
+    UNION ALL SELECT 'union', band, voxel_id FROM (SELECT band, voxel_id FROM act UNION SELECT band, voxel_id FROM b, grey UNION SELECT band, voxel_id FROM b, back)
+    UNION ALL SELECT 'difference', band, voxel_id FROM act ANTI JOIN grey USING (voxel_id) UNION ALL SELECT 'complement', band, voxel_id FROM (SELECT band, voxel_id FROM b, vox EXCEPT SELECT band, voxel_id FROM act))
+  SELECT op, band, voxel_id, count(*) OVER (PARTITION BY op, band) AS n FROM o""")
+def q_mask_algebra(spark: SparkSession, d: str) -> DataFrame:
+    """Strong voxels of every band against the grey ones and those behind: both, any, less, and the rest of all voxels."""
+    from gridscore.operators import masks as M
+
+    keys = ["op", "band"]
+    strong = stored(M.mask(means(spark, d), ["band"], where=F.round("value", 9) > 0.8), "strong")
+    bands = means(spark, d).select("band").distinct()
+    place = lambda where: voxels(spark, d).where(where).crossJoin(F.broadcast(bands))  # noqa: E731  a few bands
+    grey, back, every = (M.mask(place(where), ["band"]) for where in ("is_gm", "y < -40", "true"))
+    sets = {"intersection": M.intersection([strong, grey, back], ["band"]), "union": M.union([strong, grey, back], ["band"]), "difference": M.difference(strong, grey, ["band"]), "complement": M.difference(every, strong, ["band"])}
+    found = stored(reduce(DataFrame.unionByName, [s.withColumn("op", F.lit(op)) for op, s in sets.items()]), "sets")
+    return M.members(found, keys).join(M.size(found, keys), keys)
+
+
+@query(f"""WITH {SC}, nat AS (SELECT band, s_nationkey AS recording_id, voxel_id, avg(mi) AS mi FROM sc JOIN supplier ON recording_id = s_suppkey GROUP BY 1, 2, 3)
+  SELECT band, recording_id, count(*) AS n, round(avg(CASE WHEN recording_id % 5 = 0 THEN mi * 2 ELSE mi END), 6) + 0.0 AS mi, round(avg(CASE WHEN recording_id % 5 = 0 THEN mi ELSE 0 END), 6) + 0.0 AS moved FROM nat GROUP BY 1, 2""")
+def q_score_store(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of nations in two versions of a store, the second of which replaces every fifth; both are read and joined."""
+    import uuid
+
+    from gridscore.session import shared_folder
+    from gridscore.sources.store import ScoreStore
+
+    nations = table(spark, d, "supplier").select(F.col("s_suppkey").alias("recording_id"), F.col("s_nationkey").alias("nation"))
+    rows = scores(spark, d).join(nations, "recording_id").groupBy("band", F.col("nation").alias("recording_id"), "voxel_id").agg(F.avg("mi").alias("mi"))
+    store = ScoreStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=8)
+    first = store.write(rows)
+    store.write(store.read(first).where("recording_id % 5 = 0").withColumn("mi", F.col("mi") * 2))
+    both = store.read().alias("new").join(store.read(first).alias("old"), ["voxel_id", "band", "recording_id"])
+    return rounded_all(both.groupBy("band", "recording_id").agg(F.count("*").alias("n"), F.avg("new.mi").alias("mi"), F.avg(F.col("new.mi") - F.col("old.mi")).alias("moved")), "mi", "moved")
