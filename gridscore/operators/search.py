@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gridscore.functions.geometry import in_box, penalty_bell, raw_prior
+from gridscore.functions.geometry import in_box, penalty_bell, raw_prior, scaled_prior
 from gridscore.model import BAND_BOUNDS, BOUNDS, CONFIDENCE, DEFAULTS, GLOBAL_BOUNDS, PRIORS, SPACING, TARGETS, WEIGHT_CAPS, Box, Target
-from gridscore.operators.metrics import EPS, band_metric, penalty_of, target_score
+from gridscore.operators.metrics import EPS, band_metric, penalty_of, posterior_anterior, target_score
 from gridscore.operators.resample import uniform
+from gridscore.operators.score import hybrid
 from gridscore.operators.timeops import temporal_keep
 from gridscore.session import stored
 
@@ -301,6 +302,21 @@ def optimise_band(scores: DataFrame, band: str, **options: float) -> DataFrame:
     return optimise_bands(scores.withColumn("band", F.lit(band)), [band], **options)
 
 
+def tested(scores: DataFrame, best: DataFrame) -> DataFrame:
+    """band, test_id, pa_ratio and occipital_pct: what every left-out recording comes to with its fold's parameters, under the
+    prior and rescaled by its own extremes. scores as in band_statistics(); best: band, test_id and parameters."""
+    keys = ["band", "test_id"]
+    bands = [r.band for r in best.select("band").distinct().collect()]
+    rows = stored(scores.withColumnRenamed("recording_id", "test_id").join(best.select(*keys, *SPATIAL, *BLEND), keys), "tested")
+    x, y, z = (F.col(c) for c in "xyz")
+    raw = reduce(lambda c, b: c.when(F.col("band") == b, raw_prior(PRIORS[b], F.col("penalty"), x, y, z)), bands, F.when(F.lit(False), F.lit(0.0)))
+    least = reduce(lambda c, b: c.when(F.col("band") == b, F.lit(PRIORS[b].least)), bands, F.when(F.lit(False), F.lit(0.0)))
+    most = rows.groupBy(*keys).agg(F.max(raw).alias("_most"))
+    weight = scaled_prior(raw, F.col("_most"), least, F.col("boost"), F.col("softening"))
+    found = hybrid(rows.join(most, keys), keys, F.col("mi_weight"), F.col("contrast"), weight, kept=True)
+    return posterior_anterior(found, keys, "hybrid").select(*keys, "pa_ratio", "occipital_pct")
+
+
 def consensus(best: DataFrame, names: list[str]) -> DataFrame:
     """band, the median of each parameter over folds, and mean and deviation of the objective."""
     return best.groupBy("band").agg(*[F.median(n).alias(n) for n in names], F.avg("objective").alias("objective_mean"), F.stddev_pop("objective").alias("objective_std"))

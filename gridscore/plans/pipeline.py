@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridscore.functions.geometry import prior_weights
 from gridscore.model import BANDS, TARGETS, Params, PostParams
-from gridscore.operators import lattice, metrics, score, search, signal, signature, timeops, topk
+from gridscore.operators import lattice, metrics, resample, score, search, signal, signature, timeops, topk, validation
 from gridscore.session import stored
 
 SERIES = ["recording_id", "band", "voxel_id"]
@@ -56,6 +56,25 @@ def fit_weights(scores: DataFrame, bands: list[str], volume: DataFrame | None =
     return folds, search.consensus(folds, names), search.optimise_global(volume, {b: TARGETS[b] for b in bands}, isolation)
 
 
+def fit_report(scores: DataFrame, bands: list[str], volume: DataFrame, isolation: DataFrame, **options: int) -> DataFrame:
+    """level, band, name and value of both levels in one run: each band's consensus parameters, with how many left-out
+    recordings are outliers under their fold's own parameters; then the second level's pair and score after each round."""
+    names = ["mi_weight", "contrast", "boost", "penalty", "softening", "keep_top_pct", "smoothing_fwhm"]
+    folds, agreed, rounds = fit_weights(scores, bands, volume, isolation, **options)
+    tests = stored(search.tested(scores, folds), "tests")
+    odd = tests.join(search.outliers(tests).select("band", "test_id", F.lit(1).alias("_odd")), ["band", "test_id"], "left")
+    counted = odd.groupBy("band").agg(F.sum(F.coalesce("_odd", F.lit(0))).alias("outliers"), F.count("*").alias("folds"))
+
+    def long(df: DataFrame, level: int, band: Column, columns: dict[str, str]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value")) for n, c in columns.items()])
+        return df.select(F.lit(level).alias("level"), band.alias("band"), F.explode(pairs).alias("p"), *(["round"] if "round" in df.columns else []))
+
+    first = long(agreed.join(counted, "band"), 1, F.col("band"), {n: n for n in [*names, "objective_mean", "objective_std", "outliers", "folds"]})
+    second = long(rounds, 2, F.lit("all"), {n: n for n in ["temporal_window", "min_cluster_mm3", "score"]})
+    second = second.select("level", "band", F.struct(F.concat_ws("_", F.col("p.name"), F.lit("round"), F.col("round").cast("string")).alias("name"), F.col("p.value").alias("value")).alias("p"))
+    return first.unionByName(second).select("level", "band", "p.name", "p.value")
+
+
 def build_volume(scores: DataFrame, voxels: DataFrame, band: str, params: Params) -> DataFrame:
     """recording_id, band, epoch, i, j, k and value: hybrid scores under the prior, put on the lattice."""
     weights = prior_weights(voxels, band, params.boost, params.penalty, params.softening)
@@ -108,3 +127,38 @@ def validate(values: DataFrame, voxels: DataFrame, keys: list[str]) -> DataFrame
     tables.append(means.groupBy(*keys).agg(metrics.variation().alias("variation"), metrics.spatial_kurtosis().alias("kurtosis")))
     joined = reduce(lambda a, b: a.join(b, keys), tables)
     return long_metrics(joined, keys, [c for c in joined.columns if c not in keys])
+
+
+def audits(means: DataFrame, voxels: DataFrame, folds: DataFrame, n_perm: int = 10, seed: int = 42) -> DataFrame:
+    """module, band, metric and value: the audits of every band's maps in one long table.
+
+    means: recording_id, band, voxel_id, x, y, z, is_gm, mi, dice, value, over time already; folds: band, test_id and
+    parameters. Modules: spatial (of the mean map), target (each recording's metric against the band's target), robust
+    (median and deviation of recordings' ratios), parameters (variation over folds), reliability, variances (of mi
+    against dice), circularity (enrichment inside the target's region), places (against permuted places).
+    """
+    from gridscore.sources.tables import long_metrics
+
+    by = ["band"]
+    bands = [r.band for r in folds.select("band").distinct().collect()]
+    means = stored(means.where(F.col("band").isin(bands)), "means")
+
+    def part(module: str, df: DataFrame, names: list[str]) -> DataFrame:
+        return long_metrics(df, by, names).select(F.lit(module).alias("module"), "band", "metric", "value")
+
+    parts = [validate(means.drop("x", "y", "z", "is_gm"), voxels, by).select(F.lit("spatial").alias("module"), "band", "metric", "value")]
+    ratios = stored(metrics.posterior_anterior(means, ["band", "recording_id"]), "ratios")
+    parts.append(part("robust", resample.robust(ratios.select("band", F.col("pa_ratio").alias("value")), by), ["median", "mad", "robust_std"]))
+    for b in bands:
+        own, target = means.where(F.col("band") == b), TARGETS[b]
+        scored = metrics.band_metric(own, ["band", "recording_id"], b)
+        parts.append(part("target", validation.target_validation(scored.withColumn("metric", F.col("raw")), by, target.value, target.low, target.high), ["mean", "median", "std", "distance", "in_range_pct"]))
+        parts.append(part("circularity", validation.enrichment(own, by, target.region, ["mi", "dice"]), ["mi_enrichment", "dice_enrichment"]))
+    stable = search.parameter_stability(folds, ["mi_weight", "contrast", "boost", "penalty", "softening"])
+    parts.append(stable.select(F.lit("parameters").alias("module"), "band", F.concat("param", F.lit("_cv")).alias("metric"), F.round("cv", 6).alias("value")))
+    parts.append(part("reliability", resample.icc_2k(means, by, "voxel_id", "recording_id"), ["icc"]))
+    both = means.select("band", F.explode(F.array(F.struct(F.lit("mi").alias("g"), F.col("mi").alias("value")), F.struct(F.lit("dice").alias("g"), F.col("dice").alias("value")))).alias("m")).select("band", "m.*")
+    parts.append(part("variances", resample.levene(both, by, "g"), ["w"]))
+    places = validation.place_test(means, voxels, by, "recording_id", n_perm, seed)
+    parts.append(places.select(F.lit("places").alias("module"), "band", F.concat("metric", F.lit("_d")).alias("metric"), F.round("d", 6).alias("value")))
+    return reduce(DataFrame.unionByName, parts)

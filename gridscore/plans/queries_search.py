@@ -81,6 +81,24 @@ def q_loso_search(spark: SparkSession, d: str) -> DataFrame:
     return rounded_all(S.optimise_bands(stored(_scores(spark, d), "scores"), list(FLAGS.values())), "objective", *NAMES, "keep_top_pct", "smoothing_fwhm")
 
 
+@query(f"""WITH {LOSO.split("f AS (SELECT DISTINCT")[0].rstrip().rstrip(",")}, e AS (SELECT *, (h - min(h) OVER w) / (max(h) OVER w - min(h) OVER w) AS v FROM k WHERE cand = recording_id % 3 WINDOW w AS (PARTITION BY band, recording_id))
+  SELECT band, recording_id AS test_id, round(sum(CASE WHEN y < -40 THEN v ELSE 0 END) / (sum(CASE WHEN y > 0 THEN v ELSE 0 END) + 1e-12), 6) + 0.0 AS pa_ratio, round(100 * sum(CASE WHEN y < -70 THEN v ELSE 0 END) / (sum(v) + 1e-12), 6) + 0.0 AS occipital_pct FROM e GROUP BY 1, 2""".replace("max(raw) OVER (PARTITION BY band, cand)", "max(raw) OVER (PARTITION BY band, cand, recording_id)"))
+def q_fold_tests(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation left out, with one of the three candidates as its fold's parameters."""
+    rows = stored(_scores(spark, d), "scores")
+    folds = rows.select("band", F.col("recording_id").alias("test_id")).distinct().withColumn("cand", (F.col("test_id") % 3).cast("int")).join(_candidates(spark), "cand")
+    return rounded_all(S.tested(rows, folds), "pa_ratio", "occipital_pct")
+
+
+@query()
+def q_fit_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Both levels in one run: consensus of all folds, outliers among the left-out recordings, and the second level's rounds."""
+    from gridscore.plans.pipeline import fit_report
+
+    isolation = stored(radius_count(voxels(spark, d)).join(voxels(spark, d).select("voxel_id", "i", "j", "k"), ["i", "j", "k"]).select("voxel_id", "n_near"), "isolation")
+    return rounded_all(fit_report(stored(_scores(spark, d), "scores"), list(FLAGS.values()), stored(_volume(spark, d), "volume"), isolation), "value")
+
+
 @query("""WITH p AS (SELECT l_returnflag AS band, l_suppkey AS fold, avg(l_discount) AS mi_weight, avg(l_tax) AS contrast FROM lineitem GROUP BY 1, 2), u AS (SELECT band, 'mi_weight' AS param, mi_weight AS v FROM p UNION ALL SELECT band, 'contrast', contrast FROM p),
   a AS (SELECT band, param, avg(v) AS mean, stddev_pop(v) AS std, max(v) - min(v) AS range FROM u GROUP BY 1, 2)
   SELECT band, param, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(range, 6) + 0.0 AS range, round(100 * std / (abs(mean) + 1e-12), 6) + 0.0 AS cv, CASE WHEN 100 * std / (abs(mean) + 1e-12) < 30 THEN 'stable' ELSE 'unstable' END AS verdict FROM a""")
@@ -147,6 +165,18 @@ def q_grid_leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return rounded_all(S.grid_leave_one_out(pooled, list(S.GRID_RULES), assignment), "pa_ratio", "occipital_pct")
 
 
+@query(f"""WITH {VOX}, {SC}, nat AS (SELECT s_nationkey AS recording_id, epoch, voxel_id, avg(mi) AS mi, avg(dice) AS dice FROM sc JOIN supplier ON recording_id = s_suppkey GROUP BY 1, 2, 3), b AS (SELECT *, epoch % 3 AS fold FROM nat UNION ALL SELECT *, -1 FROM nat),
+  t AS (SELECT recording_id, voxel_id, x, y, fold, avg(mi) AS mi, avg(dice) AS dice FROM b JOIN vox USING (voxel_id) GROUP BY 1, 2, 3, 4, 5), h AS (SELECT recording_id, w, fold, x, y, w * mi + (1 - w) * dice AS h FROM t, (VALUES {WEIGHTS}) v(w)), {_grid_sql("recording_id").replace("y BETWEEN -10 AND 60 AND abs(x) <= 40", "y >= 20 AND abs(x) <= 30")}
+  SELECT recording_id, band, mi_weight FROM pick""")
+def q_single_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation searched alone over the grid of weights, theta in its narrower box."""
+    rows, assignment = _grid_rows(spark, d)
+    nations = table(spark, d, "supplier").select(F.col("s_suppkey").alias("recording_id"), F.col("s_nationkey").alias("_n"))
+    pooled = rows.join(nations, "recording_id").groupBy(F.col("_n").alias("recording_id"), "epoch", "voxel_id", "x", "y").agg(F.avg("mi").alias("mi"), F.avg("dice").alias("dice"))
+    found = S.grid_search(pooled, list(S.GRID_RULES), assignment=assignment, keys=["recording_id"], theta=S.SINGLE_THETA)
+    return S.grid_pick(found, ["recording_id"])
+
+
 def _volume(spark: SparkSession, d: str) -> DataFrame:
     """Values of nations over months; what lies below the mean is inactive."""
     nations = table(spark, d, "supplier").select(F.col("s_suppkey").alias("recording_id"), F.col("s_nationkey").alias("_n"))

@@ -297,6 +297,15 @@ def q_build_volume(spark: SparkSession, d: str) -> DataFrame:
     return rounded_all(found.select("recording_id.recording_id", "recording_id.band", "epoch", "i", "j", "k", "value"), "value")
 
 
+def _months(spark: SparkSession, d: str) -> DataFrame:
+    """Every flag's volume of months, without gaps."""
+    from gridscore.operators.timeops import densify
+
+    keys = ["band", "voxel_id", "i", "j", "k"]
+    rows = values(spark, d).groupBy(*keys, "epoch").agg(F.avg("value").alias("value"))
+    return densify(rows, keys, rows.select("epoch").distinct()).withColumn("recording_id", F.lit(0))
+
+
 SOFT = L.gaussian_taps(1.0 / 2.355 / 2.0)
 POST_STEPS = f"""known AS (SELECT band, voxel_id, i, j, k, epoch, avg(value) AS v FROM val GROUP BY ALL), s0 AS (SELECT band, voxel_id, i, j, k, epoch, coalesce(v, 0) AS v FROM (SELECT DISTINCT band, voxel_id, i, j, k FROM known) CROSS JOIN (SELECT DISTINCT epoch FROM known) LEFT JOIN known USING (band, voxel_id, i, j, k, epoch)),
   l1 AS (SELECT *, lag(v) OVER (PARTITION BY band, voxel_id ORDER BY epoch) AS p FROM s0),
@@ -321,13 +330,32 @@ POST_STEPS = f"""known AS (SELECT band, voxel_id, i, j, k, epoch, avg(value) AS
 def q_postprocess(spark: SparkSession, d: str) -> DataFrame:
     """All seven steps over every flag's volume of months: 200 cells a month, clusters of eight cells."""
     from gridscore.model import PostParams
-    from gridscore.operators.timeops import densify
     from gridscore.plans.pipeline import postprocess
 
-    keys = ["band", "voxel_id", "i", "j", "k"]
-    rows = values(spark, d).groupBy(*keys, "epoch").agg(F.avg("value").alias("value"))
-    volume = densify(rows, keys, rows.select("epoch").distinct()).withColumn("recording_id", F.lit(0))
-    found = postprocess(volume, PostParams(keep=200, floor_pct=0.25, floor_abs=20))
+    found = postprocess(_months(spark, d), PostParams(keep=200, floor_pct=0.25, floor_abs=20))
+    return rounded_all(found.select("band", "voxel_id", "epoch", "i", "j", "k", "value"), "value")
+
+
+def _steps(first: str, last: str) -> str:
+    """The part of POST_STEPS that defines the tables from one to another."""
+    begin = POST_STEPS.index(f"{first} AS (") if f" {first} AS (" in POST_STEPS or POST_STEPS.startswith(first) else POST_STEPS.index(f"{first}(")
+    after = POST_STEPS.index(f"{last} AS (")
+    end = POST_STEPS.find("),\n", after)
+    return POST_STEPS[begin : end + 1]
+
+
+#: The older order: z-scores, smoothing, temporal filter, largest values, clusters.
+OLD_STEPS = ", ".join([_steps("known", "s0"), _steps("s2", "s2").replace("FROM s1", "FROM s0"), _steps("t(o, w)", "s3"), _steps("w6", "s6").replace("FROM s5", "FROM s3"), _steps("s4", "s4").replace("FROM s3", "FROM s6"), _steps("c", "s5")])
+
+
+@query(f"WITH RECURSIVE {VAL}, {OLD_STEPS} SELECT band, voxel_id, epoch, i, j, k, round(v, 6) + 0.0 AS value FROM s5")
+def q_postprocess_older(spark: SparkSession, d: str) -> DataFrame:
+    """The older order of steps over the same volumes, without whitening and convolution."""
+    from dataclasses import replace
+
+    from gridscore.plans.pipeline import OLDER, postprocess
+
+    found = postprocess(_months(spark, d), replace(OLDER, keep=200, floor_pct=0.25, floor_abs=20))
     return rounded_all(found.select("band", "voxel_id", "epoch", "i", "j", "k", "value"), "value")
 
 

@@ -272,3 +272,16 @@ def q_place_test(spark: SparkSession, d: str) -> DataFrame:
     rows = _scores(spark, d).withColumn("value", 0.6 * F.col("mi") + 0.4 * F.col("dice")).drop("mi", "dice").join(places, "voxel_id")
     found = V.place_test(stored(rows, "places"), voxels(spark, d), ["band"], "recording_id", 10, 42)
     return rounded_all(found, "real_mean", "real_std", "null_mean", "null_std", "z", "d")
+
+
+@query()
+def q_audits(spark: SparkSession, d: str) -> DataFrame:
+    """All audits of nations' maps in one table; the given candidates stand for the folds' parameters."""
+    from gridscore.plans.pipeline import audits
+    from gridscore.plans.queries_search import _candidates
+
+    rows = stored(_scores(spark, d), "scores")
+    means_ = rows.withColumn("value", 0.6 * F.col("mi") + 0.4 * F.col("dice")).join(voxels(spark, d).select("voxel_id", "is_gm"), "voxel_id")
+    folds = rows.select("band", F.col("recording_id").alias("test_id")).distinct().withColumn("cand", (F.col("test_id") % 3).cast("int")).join(_candidates(spark), "cand")
+    found = audits(means_, voxels(spark, d).select("voxel_id", "x", "y", "z", "is_gm"), folds)
+    return found.select("module", "band", "metric", F.round("value", 6).alias("value"))

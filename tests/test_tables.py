@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from gridscore.model import DEFAULTS, Params, PostParams
+from gridscore.model import DEFAULTS, TARGETS, Params, PostParams
 from gridscore.plans import pipeline
 from gridscore.sources import tables
 from gridscore.streaming.epochs import stream_epochs
@@ -84,3 +85,62 @@ def test_fit_weights(spark):
     scores = spark.createDataFrame(rows, "recording_id string, band string, voxel_id long, mi double, dice double").join(voxels.select("voxel_id", "x", "y", "z"), "voxel_id")
     folds, consensus = pipeline.fit_weights(scores, ["alpha"], n=4, rounds=2)
     assert folds.count() == 4 and 0.35 <= consensus.first().mi_weight <= 0.92
+
+
+def test_both_levels_in_one_run(spark):
+    """The report holds what its parts give on their own."""
+    from gridscore.operators import search
+
+    _, voxels, _ = _world(spark)
+    rng = np.random.default_rng(11)
+    rows = [(f"r{r}", b, v, float(x), float(y)) for b in ("alpha", "delta") for r in range(4) for v, (x, y) in enumerate(rng.uniform(0, 1, (64, 2)))]
+    scores = pipeline.stored(spark.createDataFrame(rows, "recording_id string, band string, voxel_id long, mi double, dice double").join(voxels.select("voxel_id", "x", "y", "z"), "voxel_id"), "scores")
+    volume = pipeline.stored(scores.selectExpr("recording_id", "band", "voxel_id", "x", "y", "z", "explode(sequence(0, 5)) AS epoch", "mi").withColumn("value", F.when(F.pmod(F.xxhash64("voxel_id", "epoch"), F.lit(3)) > 0, F.col("mi")).otherwise(0.0)).drop("mi"), "volume")
+    isolation = voxels.select("voxel_id", F.lit(6).alias("n_near"))
+    found = {(r.level, r.band, r.name): r.value for r in pipeline.fit_report(scores, ["alpha", "delta"], volume, isolation, n=4, rounds=1).collect()}
+    folds = pipeline.stored(search.optimise_bands(scores, ["alpha", "delta"], n=4, rounds=1), "folds")
+    for r in search.consensus(folds, ["mi_weight", "boost"]).collect():
+        assert found[1, r.band, "mi_weight"] == pytest.approx(r.mi_weight) and found[1, r.band, "boost"] == pytest.approx(r.boost) and found[1, r.band, "folds"] == 4
+    tests = search.tested(scores, folds)
+    odd = {r.band: r["count"] for r in search.outliers(tests).groupBy("band").count().collect()}
+    assert all(found[1, b, "outliers"] == odd.get(b, 0) for b in ("alpha", "delta"))
+    rounds = {r.round: r.score for r in search.optimise_global(volume, {b: TARGETS[b] for b in ("alpha", "delta")}, isolation).collect()}
+    assert all(found[2, "all", f"score_round_{k}"] == pytest.approx(v) for k, v in rounds.items())
+
+
+def test_audits_are_those_of_their_operators(spark):
+    from gridscore.operators import metrics, resample, search, validation
+
+    _, voxels, _ = _world(spark)
+    rng = np.random.default_rng(12)
+    rows = [(f"r{r}", b, v, float(x), float(y), float(x + y)) for b in ("alpha", "beta") for r in range(3) for v, (x, y) in enumerate(rng.uniform(0.1, 1, (64, 2)))]
+    means = pipeline.stored(spark.createDataFrame(rows, "recording_id string, band string, voxel_id long, mi double, dice double, value double").join(voxels.select("voxel_id", "x", "y", "z", "is_gm"), "voxel_id"), "means")
+    folds = means.select("band", F.col("recording_id").alias("test_id")).distinct().select("*", *[F.pmod(F.xxhash64("test_id", F.lit(n)), F.lit(100)).cast("double").alias(n) for n in ("mi_weight", "contrast", "boost", "penalty", "softening")])
+    found = {(r.module, r.band, r.metric): r.value for r in pipeline.audits(means, voxels.select("voxel_id", "x", "y", "z", "is_gm"), folds, 3, 1).collect()}
+    assert {m for m, _, _ in found} == {"spatial", "robust", "target", "circularity", "parameters", "reliability", "variances", "places"}
+    for r in search.parameter_stability(folds, ["boost", "penalty"]).collect():
+        assert found["parameters", r.band, f"{r.param}_cv"] == pytest.approx(r.cv, abs=1e-6)
+    for r in resample.icc_2k(means, ["band"], "voxel_id", "recording_id").collect():
+        assert found["reliability", r.band, "icc"] == pytest.approx(r.icc, abs=1e-6)
+    for r in metrics.gini(means.groupBy("band", "voxel_id").agg(F.avg("value").alias("value")), ["band"]).collect():
+        assert found["spatial", r.band, "gini"] == pytest.approx(r.gini, abs=1e-6)
+    for r in validation.place_test(means, voxels, ["band"], "recording_id", 3, 1).collect():
+        assert found["places", r.band, f"{r.metric}_d"] == pytest.approx(r.d, abs=1e-6)
+    for b in ("alpha", "beta"):
+        own = means.where(F.col("band") == b)
+        assert found["circularity", b, "mi_enrichment"] == pytest.approx(validation.enrichment(own, ["band"], TARGETS[b].region, ["mi"]).first().mi_enrichment, abs=1e-6)
+        raw = metrics.band_metric(own, ["recording_id"], b).toPandas().raw
+        assert found["target", b, "mean"] == pytest.approx(raw.mean(), abs=1e-6)
+
+
+def test_recordings_and_coverage_from_files(spark, tmp_path):
+    samples = spark.createDataFrame([("r", c, k, float(k * c)) for c in (1, 2) for k in range(5)], "recording_id string, channel_id int, sample_idx long, value double").withColumn("channel_id", F.col("channel_id").cast("string"))
+    samples.write.parquet(str(tmp_path / "samples"))
+    read = tables.read_samples(spark, str(tmp_path / "samples"))
+    assert sorted(map(tuple, read.select("recording_id", "channel_id", "sample_idx", "value").collect())) == sorted(map(tuple, samples.collect()))
+    packed = tables.pack(read, ["recording_id", "channel_id"])
+    assert {r.channel_id: list(r["values"]) for r in packed.collect()} == {"1": [0.0, 1.0, 2.0, 3.0, 4.0], "2": [0.0, 2.0, 4.0, 6.0, 8.0]}
+    coverage = spark.createDataFrame([(2, 50, 10), (1, 40, 0)], "roi_id int, total int, active int")
+    tables.coverage_report(coverage, spark.createDataFrame([(1, "front"), (2, "back")], "roi_id int, name string"), str(tmp_path / "report"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "report")).collect()
+    assert {(r.roi_id, r.active, r.name) for r in back} == {("1", "0", "front"), ("2", "10", "back")}
