@@ -140,35 +140,87 @@ class Stream:
     discontinuities: int
 
 
-def _read_section(packet: np.ndarray) -> bytes:
-    start = 4 + (1 + int(packet[4]) if packet[3] & 0x20 else 0)
-    start += 1 + int(packet[start])
-    length = 3 + ((int(packet[start + 1]) & 0x0F) << 8 | int(packet[start + 2]))
-    section = packet[start : start + length].tobytes()
-    if len(section) < length or section_crc(section):
-        raise ValueError("a program table is broken")
-    return section
-
-
-def demux(media: bytes) -> Stream:
-    """Read the first elementary stream of the first program; raises ValueError where the stream isn't one."""
+def _sections(packets: np.ndarray) -> Iterator[bytes]:
+    """Table sections of one PID's packets: one may begin anywhere in a packet, go on over several, or follow another."""
+    held, begun = b"", False
+    for packet in packets:
+        if not packet[3] & 0x10:
+            continue
+        body = packet[4 + (1 + int(packet[4]) if packet[3] & 0x20 else 0) :].tobytes()
+        if packet[1] & 0x40:
+            pointer = body[0]
+            pieces = [(body[1 : 1 + pointer], False), (body[1 + pointer :], True)]  # what ends here, what begins here
+        else:
+            pieces = [(body, False)]
+        for piece, fresh in pieces:
+            if fresh:
+                held, begun = piece, True
+            elif begun:
+                held += piece
+            while begun and len(held) >= 3 and held[0] != 0xFF:
+                length = 3 + ((held[1] & 0x0F) << 8 | held[2])
+                if len(held) < length:
+                    break
+                yield held[:length]
+                held = held[length:]
+
+
+def _read_table(packets: np.ndarray, pids: np.ndarray, pid: int, table: int) -> bytes:
+    """The first section of a table that is in force."""
+    for section in _sections(packets[pids == pid]):
+        if section_crc(section):
+            raise ValueError("a program table is broken")
+        if section[0] == table and section[5] & 1:
+            return section
+    raise ValueError("a program table is missing")
+
+
+def _streams(pmt: bytes) -> Iterator[tuple[int, int]]:
+    """(type, PID) of a program's elementary streams."""
+    at = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
+    while at < len(pmt) - 4:
+        yield pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
+        at += 5 + ((pmt[at + 3] & 0x0F) << 8 | pmt[at + 4])
+
+
+def _once(own: np.ndarray) -> np.ndarray:
+    """Which packets of a PID aren't repeats: one that has its predecessor's counter and bytes, but for a clock reference."""
+    keep = np.ones(len(own), dtype=bool)
+    same = np.flatnonzero((own[1:, 3] == own[:-1, 3]) & (own[1:, 3] & 0x10 != 0)) + 1
+    alike = own[same] == own[same - 1]
+    clock = (own[same, 3] & 0x20 != 0) & (own[same, 4] > 6) & (own[same, 5] & 0x10 != 0)
+    alike[:, 6:12] |= clock[:, None]
+    keep[same] = ~alike.all(1)
+    return keep
+
+
+def demux(media: bytes, stream_type: int = STREAM_TYPE) -> Stream:
+    """Read the first elementary stream of a type in the first program; raises ValueError where there is none.
+
+    A repeated packet counts once, and a counter may jump where a packet announces it. Other programs, streams and PIDs
+    are passed over.
+    """
     if len(media) % PACKET:
         raise ValueError("not a whole number of packets")
     packets = np.frombuffer(media, dtype=np.uint8).reshape(-1, PACKET)
     if (packets[:, 0] != SYNC).any():
         raise ValueError("a sync byte is missing")
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    starts = (packets[:, 1] & 0x40) != 0
-    pat = _read_section(packets[np.flatnonzero((pids == 0) & starts)[0]])
-    programs = [(int.from_bytes(pat[k : k + 2], "big"), int.from_bytes(pat[k + 2 : k + 4], "big") & 0x1FFF) for k in range(8, len(pat) - 4, 4)]
-    pmt = _read_section(packets[np.flatnonzero((pids == programs[0][1]) & starts)[0]])
-    at = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
-    stream_type, pid = pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
-    own, first = packets[pids == pid], starts[pids == pid]
+    pat = _read_table(packets, pids, 0, PAT_TABLE)
+    programs = [(n, pid & 0x1FFF) for k in range(8, len(pat) - 4, 4) if (n := int.from_bytes(pat[k : k + 2], "big")) and (pid := int.from_bytes(pat[k + 2 : k + 4], "big"))]
+    if not programs:
+        raise ValueError("a program table is empty")
+    pid = next((pid for kind, pid in _streams(_read_table(packets, pids, programs[0][1], PMT_TABLE)) if kind == stream_type), None)
+    if pid is None:
+        raise ValueError("the program has no stream of this type")
+    own = packets[pids == pid]
+    own = own[_once(own)]
+    first = (own[:, 1] & 0x40) != 0
     has_payload = (own[:, 3] & 0x10) != 0
     counters = own[has_payload, 3] & 15
-    broken = int(((counters[1:] - counters[:-1] - 1) & 15 != 0).sum())
     adaptation = (own[:, 3] & 0x20) != 0
+    told = np.cumsum(adaptation & (own[:, 4] > 0) & (own[:, 5] & 0x80 != 0))[has_payload]
+    broken = int((((counters[1:] - counters[:-1] - 1) & 15 != 0) & (told[1:] == told[:-1])).sum())
     begin = np.where(adaptation, 5 + own[:, 4].astype(np.int32), 4)
     begin = np.where(has_payload, np.minimum(begin, PACKET), PACKET)
     flags = np.where(adaptation & (own[:, 4] > 0), own[:, 5], 0)

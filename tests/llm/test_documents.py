@@ -65,6 +65,66 @@ def test_stream_round_trip(n):
         media.demux(bytes(broken))
 
 
+def _packet(pid, counter, payload, start=False, adaptation=None):
+    """A packet by hand: header, an adaptation field (its bytes after the length), payload; stuffed in front to 188 bytes."""
+    field = None if adaptation is None and len(payload) == 184 else bytes(adaptation or b"")
+    if field is not None:
+        room = 188 - 4 - 1 - len(payload)
+        field = bytes([room]) + (field or (b"\x00" if room else b"")).ljust(room, b"\xff")
+    head = bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 0xFF, (0x20 if field is not None else 0) | (0x10 if payload else 0) | counter])
+    out = head + (field or b"") + payload
+    assert len(out) == 188
+    return out
+
+
+def _with_crc(section):
+    crc = 0xFFFFFFFF
+    for byte in section:  # the standard's register, bit by bit
+        for k in range(7, -1, -1):
+            bit = (crc >> 31) ^ (byte >> k & 1)
+            crc = (crc << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if bit else 0)
+    return section + crc.to_bytes(4, "big")
+
+
+def test_a_stream_written_by_hand_is_read():
+    """Bytes after ISO/IEC 13818-1, not after the writer: a network entry, two programs, a section that spans packets and one
+    that begins behind another, streams of other types, a repeated packet, an announced jump, a null packet."""
+    pat = _with_crc(bytes([0, 0xB0, 9 + 12, 0, 7, 0xC1, 0, 0, 0, 0, 0xE0, 0x10, 0, 5, 0xE2, 0x00, 0, 9, 0xE3, 0x00]))
+    described = bytes([0x05, 200]) + b"x" * 200  # a descriptor that makes the map longer than a packet
+    body = bytes([0, 5, 0xC1, 0, 0, 0xE1, 0x23, 0xF0, 0]) + bytes([0x1B, 0xE1, 0x22, 0xF0 | len(described) >> 8, len(described) & 0xFF]) + described + bytes([0x06, 0xE1, 0x23, 0xF0, 0])
+    later = _with_crc(bytes([2, 0xB0 | (len(body) + 4) >> 8, (len(body) + 4) & 0xFF]) + body[:2] + b"\xc0" + body[3:])  # not in force yet
+    pmt = _with_crc(bytes([2, 0xB0 | (len(body) + 4) >> 8, (len(body) + 4) & 0xFF]) + body)
+    line = later + pmt  # the second begins where the first ends, in a packet's middle
+    rest, at = [], 183
+    rest.append(_packet(0x200, 0, b"\x00" + line[:183], start=True))
+    while at < len(line):
+        begins = at < len(later) <= at + 183  # the pointer is there only where a section begins
+        room = 183 if begins else 184
+        piece = line[at : at + room]
+        payload = (bytes([len(later) - at]) if begins else b"") + piece
+        rest.append(_packet(0x200, len(rest), payload.ljust(184, b"\xff"), start=begins))
+        at += room
+    data = bytes(range(256)) * 2
+    stamp = lambda t: bytes([0x21 | t >> 29 & 14, t >> 22 & 0xFF, t >> 14 & 0xFE | 1, t >> 7 & 0xFF, t << 1 & 0xFE | 1])
+    pes = lambda t, part: b"\x00\x00\x01\xbd" + (len(part) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + stamp(t) + part
+    one, two = pes(0x1_2345_6789, data[:300]), pes(0x1_2345_7000, data[300:])
+    clock = bytes([0x50, 1, 2, 3, 4, 5, 6])
+    first = _packet(0x123, 14, one[:176], True, clock)
+    repeat = _packet(0x123, 14, one[:176], True, bytes([0x50, 9, 9, 9, 9, 9, 9]))  # the same packet with another clock reference
+    own = [first, repeat, _packet(0x123, 15, one[176:], adaptation=b""), _packet(0x123, 15, b"", adaptation=b"\x00".ljust(183, b"\xff")), _packet(0x123, 3, two[:182], True, b"\x80"), _packet(0x123, 4, two[182:], adaptation=b"")]
+    null, other = _packet(0x1FFF, 0, b"\xff" * 184), _packet(0x122, 0, b"\x00\x00\x01\xe0".ljust(184, b"v"), True)
+    packets = [null, _packet(0, 0, (b"\x00" + pat).ljust(184, b"\xff"), True), *rest, other, *own[:2], null, *own[2:], other]
+    s = media.demux(b"".join(packets))
+    assert s.payload == data and s.pts.tolist() == [0x1_2345_6789, 0x1_2345_7000] and s.unit_bytes.tolist() == [300, len(data) - 300]
+    assert (s.pid, s.stream_type, s.programs, s.discontinuities) == (0x123, 6, 2, 0) and s.random_access.tolist() == [True, False]
+    jump = [_packet(0x123, 3, two[:182], True, b"\x00") if p is own[4] else p for p in packets]
+    assert media.demux(b"".join(jump)).discontinuities == 1
+    with pytest.raises(ValueError, match="no stream"):
+        media.demux(b"".join(packets), 0x0F)
+    with pytest.raises(ValueError, match="missing"):
+        media.demux(b"".join(packets[2:]))
+
+
 def test_media_query(spark, sf_dir, docs, odd):
     import hashlib
 
