@@ -167,3 +167,74 @@ def test_rejected_rows_are_told_apart_by_their_evidence(spark):
     rows = docs.unionByName(spark.createDataFrame([(9, "123", "en", "s"), (9, "und so", "de", "s"), (None, "", "en", None), (9, None, None, None)], docs.schema))
     kept = langid.accepted_only(rows, langid.fit_text(docs)).where("source = 's' or source is null").collect()
     assert all(r.text == "und so" for r in kept)
+
+
+def _hash(*values):
+    """xxhash64 of numbers as Spark chains it: (number, bytes) after one another from seed 42."""
+    import xxhash
+
+    seed = 42
+    for value, size in values:
+        seed = xxhash.xxh64(int(value).to_bytes(size, "little", signed=True), seed=seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def _pivoted(items, done):
+    """Fold items (h, size, p, key), in order of h, into whole ones and at most one that is still open."""
+    still = None
+    for x in items:
+        if still is None:
+            still = x
+            continue
+        r = still
+        up, down = min(r[1] * (1 - r[2]), x[1] * x[2]), min(r[1] * r[2], x[1] * (1 - x[2]))
+        u = (_hash((42, 4), (r[0], 8), (x[0], 8), (r[1], 8), (x[1], 8)) % (1 << 53)) / float(1 << 53)
+        if u * (up + down) < down:  # r rises at x's cost
+            first = r[1] * (1 - r[2]) <= x[1] * x[2]
+            ended, value = (r, 1) if first else (x, 0)
+            still = (*x[:2], x[2] - up / x[1], x[3]) if first else (*r[:2], r[2] + up / r[1], r[3])
+        else:
+            first = r[1] * r[2] <= x[1] * (1 - x[2])
+            ended, value = (r, 0) if first else (x, 1)
+            still = (*x[:2], x[2] + down / x[1], x[3]) if first else (*r[:2], r[2] - down / r[1], r[3])
+        done.append((ended[3], ended[1], value))
+    return still
+
+
+def test_mixing_takes_what_a_plain_pivotal_fold_takes(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10**6))  # two leaves and more a source
+    found = {r.key: r for r in mixing.mix(docs).withColumnRenamed("doc_id", "key").collect()}
+    sizes = {r.doc_id: (r.source, len([w for w in (r.text or "").encode().split()])) for r in docs.collect()}
+    rows = Counter(s for s, _ in sizes.values())
+    for source in rows:
+        own = {k: n for k, (s, n) in sizes.items() if s == source}
+        one = found[next(iter(own))]
+        p = one.target / one.source_size
+        base, f, leaves = math.floor(p), p - math.floor(p), math.ceil(rows[source] / mixing.FAN)
+        nodes, taken, ids = defaultdict(list), {}, {}
+        for k, n in own.items():
+            if f > 0 and n > 0:
+                h = _hash((42, 4), (k, 8), (n, 8), (0, 4), (0, 8))
+                nodes[_hash((h, 8)) % leaves].append((h, n, f, k))
+        depth, width = 0, max(rows.values()) / mixing.FAN
+        while True:
+            opened = defaultdict(list)
+            for node in sorted(nodes):
+                done = []
+                still = _pivoted(sorted(nodes[node]), done)
+                for at, (k, _, value) in enumerate(done):
+                    taken[k], ids[k] = value, (depth, node, at)
+                if still:
+                    opened[node // mixing.FAN if width > 1 else node].append(still)
+            if width <= 1:
+                break
+            nodes, width, depth = opened, width / mixing.FAN, depth + 1
+        for node, (still,) in opened.items():
+            taken[still[3]], ids[still[3]] = int(still[2] >= 0.5), (depth, node, -1)
+        gap = one.target - base * one.source_size - sum(own[k] * v for k, v in taken.items())
+        fits = [(abs(abs(gap) - own[k]), own[k], ids[k], k) for k, v in taken.items() if v == int(gap < 0) and abs(abs(gap) - own[k]) < abs(gap)]
+        if fits:
+            k = min(fits)[3]
+            taken[k] = 1 - taken[k]
+        assert {k: found[k].copies for k in own} == {k: base + taken.get(k, 0) for k in own}
