@@ -118,6 +118,7 @@ SPACING = 2.0
 class PostParams:
     """Steps of post-processing and their settings."""
 
+    # fixed values: what the current pipeline starts from
     ar1: bool = True
     fir: bool = True
     fwhm: float = 1.0

@@ -190,16 +190,17 @@ def component_features(components: DataFrame, fs: float, values: str = "values")
 
 #: Groups of channels, and what a component in them gains or loses.
 GROUPS = {
-    "posterior": "O1 O2 Oz PO3 PO4 PO7 PO8 POz P1 P2 P3 P4 P7 P8 Pz Iz".split(),
-    "frontal": "Fp1 Fp2 Fpz AF7 AF8 AF3 AF4".split(),
-    "central": "C1 C2 C3 C4 C5 C6 Cz FC1 FC2 FC3 FC4 FC5 FC6 FCz CP1 CP2 CP3 CP4 CP5 CP6 CPz".split(),
-    "midline": "Fz FCz Cz F1 F2 FC1 FC2 AFz".split(),
+    "posterior": ("O1", "O2", "Oz", "PO3", "PO4", "PO7", "PO8", "POz", "P1", "P2", "P3", "P4", "P7", "P8", "Pz", "Iz"),
+    "frontal": ("Fp1", "Fp2", "Fpz", "AF7", "AF8", "AF3", "AF4"),
+    "central": ("C1", "C2", "C3", "C4", "C5", "C6", "Cz", "FC1", "FC2", "FC3", "FC4", "FC5", "FC6", "FCz", "CP1", "CP2", "CP3", "CP4", "CP5", "CP6", "CPz"),
+    "midline": ("Fz", "FCz", "Cz", "F1", "F2", "FC1", "FC2", "AFz"),
 }
 PROTECTED = {
     "alpha": ("posterior", 0.25, ((0.50, 1.3, -6.0), (0.35, 1.1, -4.0), (None, 1.0, -2.5))),
     "beta": ("central", 0.25, ((0.40, 1.3, -4.0), (0.30, 1.1, -2.5), (None, 1.0, -1.5))),
     "theta": ("midline", 0.25, ((0.40, 1.3, -3.5), (0.30, 1.1, -2.0), (None, 1.0, -1.0))),
 }
+#: The score from which a component is flagged, by mode.
 THRESHOLDS = {"conservative": 4.0, "standard": 3.0, "aggressive": 2.0}
 
 
@@ -209,12 +210,13 @@ def artifact_scores(features: DataFrame, mixing: DataFrame, keys: list[str], mod
     Evidence for eye, muscle, channel and line noise adds up; activity where its rhythm belongs takes off.
     """
     w = F.abs("weight")
-    group = [F.avg(F.when(F.col("name").isin(names), w)).alias(f"_{g}") for g, names in GROUPS.items()]
+    group = [F.avg(F.when(F.col("name").isin(*names), w)).alias(f"_{g}") for g, names in GROUPS.items()]
     shape = mixing.groupBy(*keys, "component").agg(F.avg(w).alias("_all"), F.max(w).alias("_max"), F.median(w).alias("_med"), *group)
     by = Window.partitionBy(*keys)  # tens of components a recording
     rows = features.join(shape, [*keys, "component"]).withColumn("_zk", (F.col("kurtosis") - F.avg("kurtosis").over(by)) / (F.stddev_pop("kurtosis").over(by) + 1e-12))
     overall = F.col("_all") + 1e-12
     over = lambda g: F.coalesce(F.col(f"_{g}") / overall, F.lit(0.0))
+    # fixed values: what each kind of evidence takes, and the points it gives
     rules: list[tuple[Column, float, str]] = [
         ((F.col("_zk") > 2.5) & (F.col("lf_ratio") > 0.3) & (over("frontal") > 1.5), 3.0, "EOG"),
         ((F.col("hf_ratio") > 0.15) & (F.col("_zk") > 1.5), 2.5, "EMG"),

@@ -18,8 +18,8 @@ def epochs(samples: DataFrame, size: int, keys: list[str], index: str = "sample_
 
 
 def densify(df: DataFrame, keys: list[str], grid: DataFrame, value: str = "value", fill: float = 0.0) -> DataFrame:
-    """Every key of df with every row of a small grid (such as epochs); absent values are `fill`."""
-    whole = df.select(*keys).distinct().crossJoin(F.broadcast(grid))
+    """Every key of df with every row of a grid (such as epochs), all of which the result holds; absent values are `fill`."""
+    whole = df.select(*keys).distinct().crossJoin(grid)  # Spark broadcasts the grid if it is small, by its size
     return whole.join(df, [*keys, *grid.columns], "left").fillna(fill, [value])
 
 
