@@ -122,7 +122,72 @@ def convolve(df: DataFrame, keys: list[str], taps: list[float], value: str = "va
 def convolve_packed(values: Column, taps: list[float]) -> Column:
     """convolve() of an array column, without a window."""
     kernel = F.array(*[F.lit(float(t)) for t in taps])
-    return F.transform(values, lambda _, i: F.aggregate(F.sequence(F.lit(0), F.lit(len(taps) - 1)), F.lit(0.0), lambda s, k: s + F.get(kernel, k) * F.get(values, F.greatest(i - k, F.lit(0)))))
+    one = lambda v, i: F.aggregate(F.sequence(F.lit(0), F.lit(len(taps) - 1)), F.lit(0.0), lambda s, k: s + F.get(kernel, k) * F.get(v, F.greatest(i - k, F.lit(0))))
+    # bound once: a column that a projection before makes would be worked out again for each tap
+    return let(values, lambda v: F.transform(v, lambda _, i: one(v, i)))
+
+
+def packed_series(df: DataFrame, keys: list[str], value: str = "value", order: str = "epoch") -> DataFrame:
+    """keys, epochs and values: a row a series, in order of its epochs."""
+    gathered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
+    return df.groupBy(*keys).agg(gathered.alias("_s")).select(*keys, F.transform("_s", lambda s: s["o"]).alias("epochs"), F.transform("_s", lambda s: s["v"]).alias("values"))
+
+
+def unpacked_series(series: DataFrame, keys: list[str], value: str = "value", order: str = "epoch") -> DataFrame:
+    """packed_series() as a row an epoch."""
+    return series.select(*keys, F.explode(F.arrays_zip("epochs", "values")).alias("_s")).select(*keys, F.col("_s.epochs").alias(order), F.col("_s.values").alias(value))
+
+
+def ar1_packed(values: Column) -> Column:
+    """ar1() of one series at rest, without a window or a join."""
+
+    def fitted(m: Column) -> Column:
+        n = m["n"] - 1
+        means = F.struct((total(m["y"]) / n).alias("y"), (total(m["p"]) / n).alias("p"))
+        moments = lambda c: F.struct(
+            (total(F.zip_with(m["y"], m["p"], lambda y, p: (y - c["y"]) * (p - c["p"]))) / n).alias("cov"), (total(F.transform(m["p"], lambda p: (p - c["p"]) * (p - c["p"]))) / F.greatest(n - 1, F.lit(1))).alias("var")
+        )
+        phi = lambda s: F.greatest(F.lit(-0.99), F.least(F.lit(0.99), s["cov"] / F.greatest(s["var"], F.lit(1e-12))))
+        rest = lambda c: let(let(moments(c), phi), lambda f: F.zip_with(m["y"], m["p"], lambda y, p: y - (c["y"] - f * c["p"]) - f * p))
+        first = F.array(m["v"][0] - total(m["v"]) / m["n"])
+        return F.when(n > 0, F.concat(first, let(means, rest))).otherwise(first)
+
+    n = F.size(values)
+    parts = F.struct(values.alias("v"), F.slice(values, 2, F.greatest(n - 1, F.lit(0))).alias("y"), F.slice(values, 1, F.greatest(n - 1, F.lit(0))).alias("p"), n.alias("n"))
+    return F.when(n > 0, let(parts, fitted)).otherwise(values)
+
+
+def z_score_packed(series: DataFrame, scope: list[str], values: str = "values") -> DataFrame:
+    """z_score() in mode global of series at rest: sums over a series are made in its row, then a row a task and scope moves.
+
+    Deviations are from the mean of a first aggregate, so nothing cancels.
+    """
+    v = F.col(values)
+    active = F.exists(v, lambda x: x != 0)
+    rows = series.withColumn("_in", active)
+    some = rows.where("_in")
+    means = some.groupBy(*scope).agg((F.sum(total(v)) / F.sum(F.size(v))).alias("_m"), F.sum(F.size(v)).alias("_n"))
+    squares = some.join(means, scope).groupBy(*scope, "_m", "_n").agg(F.sum(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m")))).alias("_ss"))
+    found = squares.select(*scope, "_m", F.sqrt(F.try_divide(F.col("_ss"), F.col("_n") - 1)).alias("_s"))
+    scaled = F.when(F.col("_in") & (F.col("_s") > 1e-10), F.transform(v, lambda x: (x - F.col("_m")) / F.col("_s"))).otherwise(v)
+    return rows.join(found, scope, "left").withColumn(values, scaled).drop("_m", "_s", "_in")
+
+
+def temporal_packed(values: Column, window: int = 3, least: float = 0.3) -> Column:
+    """temporal_keep() of one series at rest whose epochs are gapless, mirrored at its ends."""
+
+    def kept(m: Column) -> Column:
+        n = m["n"]
+
+        def near(i: Column) -> Column:
+            places = F.sequence(i - window // 2, i + (window - 1 - window // 2))
+            seen = F.transform(places, lambda k: F.get(m["v"], F.when(k < 0, -1 - k).when(k >= n, 2 * n - 1 - k).otherwise(k)))
+            return F.filter(seen, lambda x: x.isNotNull())
+
+        share = lambda i: let(near(i), lambda x: F.size(F.filter(x, lambda e: e > 0)) / F.size(x))
+        return F.transform(m["v"], lambda x, i: F.when(F.round(share(i), 9) >= least, x).otherwise(0.0))
+
+    return let(F.struct(values.alias("v"), F.size(values).alias("n")), kept)
 
 
 def smoothness(df: DataFrame, keys: list[str], value: str = "value", order: str = "epoch") -> DataFrame:

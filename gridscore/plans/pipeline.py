@@ -86,32 +86,40 @@ def build_volume(scores: DataFrame, voxels: DataFrame, band: str, params: Params
 def postprocess(volume: DataFrame, params: PostParams | None = None) -> DataFrame:
     """recording_id, band, voxel_id, epoch, i, j, k and value after the steps of params.order, each in turn.
 
-    Zero means inactive. Steps that aggregate over the lattice are written out, so that a lost executor costs one step.
+    Zero means inactive; epochs are gapless. Steps along time work on packed series, a row a voxel, where nothing is
+    shuffled; steps over the lattice work on a row a cell. Between the two the volume is packed or unpacked once. Each
+    step that aggregates is written out, so that a lost executor costs one step.
     """
     p = params or PostParams()
-    rows = volume
+    keys, cell = [*SERIES, "i", "j", "k"], ["i", "j", "k"]
     sigma = p.fwhm / 2.355 / 2.0
-    place = rows.select("voxel_id", "i", "j", "k").distinct()
     taps = timeops.canonical_kernel()
+    rows, at_rest = volume.select(*keys, "epoch", "value"), False
     for step in p.order:
-        if step == "ar1" and p.ar1:
-            rows = timeops.ar1(rows, SERIES).drop("phi")
+        if (step, True) in (("ar1", not p.ar1), ("fir", not p.fir), ("smooth", sigma <= 0)):
+            continue
+        along = step in ("ar1", "zscore", "fir") or step == "temporal" and not p.chunk
+        if along != at_rest:
+            rows = stored(timeops.packed_series(rows, keys) if along else timeops.unpacked_series(rows, keys), "packed" if along else "cells")
+            at_rest = along
+        if step == "ar1":
+            rows = stored(rows.withColumn("values", timeops.ar1_packed(F.col("values"))), step)
         elif step == "zscore":
-            rows = timeops.z_score(rows, ["recording_id", "band"])
-        elif step == "smooth" and sigma > 0:
+            rows = stored(timeops.z_score_packed(rows, ["recording_id", "band"]), step)
+        elif step == "smooth":
             soft = lattice.smooth(rows, FRAME, (sigma,) * 3).withColumnRenamed("value", "_s")
-            rows = rows.join(soft, [*FRAME, "i", "j", "k"], "left").withColumn("value", F.coalesce("_s", F.lit(0.0))).drop("_s")
+            rows = stored(rows.join(soft, [*FRAME, *cell], "left").withColumn("value", F.coalesce("_s", F.lit(0.0))).drop("_s"), step)
         elif step == "sparsify":
-            rows = topk.keep_top(rows, FRAME, p.keep)
+            rows = stored(topk.keep_top(rows, FRAME, p.keep), step)
         elif step == "clusters":
             kept = lattice.drop_small(rows, FRAME, lattice.min_cells(p.min_cluster_mm3), p.floor_pct, p.floor_abs).select(*FRAME, "voxel_id", F.lit(True).alias("_in"))
-            rows = rows.join(kept, [*FRAME, "voxel_id"], "left").withColumn("value", F.when(F.col("_in"), F.col("value")).otherwise(0.0)).drop("_in")
+            rows = stored(rows.join(kept, [*FRAME, "voxel_id"], "left").withColumn("value", F.when(F.col("_in"), F.col("value")).otherwise(0.0)).drop("_in"), step)
         elif step == "temporal":
-            rows = timeops.temporal_keep(rows, SERIES, p.window, p.share, chunk=p.chunk)
-        elif step == "fir" and p.fir:
-            rows = timeops.convolve(rows, SERIES, taps)
-        rows = stored(rows, step)
-    return rows.drop("i", "j", "k").join(place, "voxel_id")
+            rows = rows.withColumn("values", timeops.temporal_packed(F.col("values"), p.window, p.share)) if at_rest else stored(timeops.temporal_keep(rows, SERIES, p.window, p.share, chunk=p.chunk), step)
+        elif step == "fir":
+            rows = rows.withColumn("values", timeops.convolve_packed(F.col("values"), taps))
+    rows = timeops.unpacked_series(rows, keys) if at_rest else rows
+    return rows.select(*SERIES, "epoch", *cell, "value")
 
 
 #: Older orders of the steps.
