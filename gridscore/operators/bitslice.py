@@ -7,8 +7,6 @@ share in two slices is bit_count(a & b), so that a pair costs no array, no row a
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,55 +17,54 @@ def words(channels: int) -> int:
     return max(1, -(-channels // WORD))
 
 
-def _mask(values: Column, word: int, test) -> Column:
-    """The long whose bit k is set where test(entry 64 word + k); null for a null array."""
-    part = F.slice(values, word * WORD + 1, WORD)
-    bits = F.transform(part, lambda v, k: F.when(test(v), F.call_function("shiftleft", F.lit(1).cast("bigint"), k)).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, b: s.bitwiseOR(b))
+def _mask(values: str, word: int, test: str) -> Column:
+    """The long whose bit k is set where entry 64 word + k, v, passes a test; null for a null array."""
+    bits = f"transform(slice({values}, {word * WORD + 1}, {WORD}), (v, k) -> if({test}, shiftleft(1L, k), 0L))"
+    return F.expr(f"aggregate({bits}, 0L, (s, b) -> s | b)")
+
+
+def bin_slices(bins: str, n: int, channels: int, name: str) -> dict[str, Column]:
+    """Columns name_i_w of an array column of bins: the channels of word w whose bin is i."""
+    return {f"{name}_{i}_{w}": _mask(bins, w, f"v = {i}") for i in range(n) for w in range(words(channels))}
 
 
-def bin_slices(bins: Column, n: int, channels: int, name: str) -> dict[str, Column]:
-    """Columns name_i_w: the channels of word w whose bin is i."""
-    return {f"{name}_{i}_{w}": _mask(bins, w, lambda v, i=i: v == i) for i in range(n) for w in range(words(channels))}
+def digit_slices(numbers: str, digits: int, channels: int, name: str) -> dict[str, Column]:
+    """Columns name_p_w of an array column of whole numbers, 0 or more: the channels of word w that have binary digit p."""
+    return {f"{name}_{p}_{w}": _mask(numbers, w, f"v & {1 << p}L <> 0") for p in range(digits) for w in range(words(channels))}
 
 
-def digit_slices(numbers: Column, digits: int, channels: int, name: str) -> dict[str, Column]:
-    """Columns name_p_w: the channels of word w whose whole number, 0 or more, has binary digit p."""
-    return {f"{name}_{p}_{w}": _mask(numbers, w, lambda v, p=p: v.bitwiseAND(F.lit(1 << p).cast("bigint")) != 0) for p in range(digits) for w in range(words(channels))}
+def _shared(a: str, b: str, channels: int) -> str:
+    return " + ".join(f"bit_count({a}_{w} & {b}_{w})" for w in range(words(channels)))
 
 
-def _shared(a: str, b: str, channels: int) -> Column:
-    return reduce(Column.__add__, [F.bit_count(F.col(f"{a}_{w}").bitwiseAND(F.col(f"{b}_{w}"))) for w in range(words(channels))])
+# Expressions of many terms are written as SQL: a plan of some hundred small columns takes longer to build than to run.
 
 
-def joint_counts(a: str, b: str, n: int, channels: int) -> list[list[Column]]:
-    """Counts of channels by the bins of two vectors, from their bin_slices()."""
-    return [[_shared(f"{a}_{i}", f"{b}_{j}", channels).cast("double") for j in range(n)] for i in range(n)]
+def joint_counts(a: str, b: str, n: int, channels: int) -> dict[str, Column]:
+    """Columns _ci_j: counts of channels by the bins of two vectors, from their bin_slices()."""
+    return {f"_c{i}_{j}": F.expr(f"CAST({_shared(f'{a}_{i}', f'{b}_{j}', channels)} AS DOUBLE)") for i in range(n) for j in range(n)}
 
 
 def with_information(pairs: DataFrame, a: str, b: str, n: int, channels: int, alpha: float, eps: float, name: str = "mi") -> DataFrame:
     """pairs with their mutual information in nats over n x n bins, each count raised by alpha; never negative."""
-    cells = {f"_c{i}_{j}": c for i, row in enumerate(joint_counts(a, b, n, channels)) for j, c in enumerate(row)}
-    counted = pairs.withColumns(cells)
-    cell = lambda i, j: F.col(f"_c{i}_{j}")
-    add = lambda columns: reduce(Column.__add__, columns)
-    sides = {f"_x{i}": add([cell(i, j) for j in range(n)]) + n * alpha for i in range(n)} | {f"_y{j}": add([cell(i, j) for i in range(n)]) + n * alpha for j in range(n)}
-    summed = counted.withColumns(sides)
-    summed = summed.withColumn("_t", add([F.col(f"_x{i}") for i in range(n)]))
+    cells, side = joint_counts(a, b, n, channels), range(n)
+    raised = f"{n * alpha!r}D"
+    sides = {f"_x{i}": F.expr(" + ".join([raised, *[f"_c{i}_{j}" for j in side]])) for i in side} | {f"_y{j}": F.expr(" + ".join([raised, *[f"_c{i}_{j}" for i in side]])) for j in side}
+    summed = pairs.withColumns(cells).withColumns(sides).withColumn("_t", F.expr(" + ".join(f"_x{i}" for i in side)))
     terms = []
-    for i in range(n):
-        for j in range(n):
-            share = (cell(i, j) + alpha) / F.col("_t")
-            term = share * F.log(share / (F.col(f"_x{i}") / F.col("_t") * (F.col(f"_y{j}") / F.col("_t")) + eps))
-            terms.append(term if alpha > 0 else F.when(cell(i, j) > 0, term).otherwise(0.0))
-    return summed.withColumn(name, F.greatest(add(terms), F.lit(0.0))).drop(*cells, *sides, "_t")
+    for i in side:
+        for j in side:
+            share = f"((_c{i}_{j} + {alpha!r}D) / _t)"
+            term = f"{share} * ln({share} / (_x{i} / _t * (_y{j} / _t) + {eps!r}D))"
+            terms.append(term if alpha > 0 else f"CASE WHEN _c{i}_{j} > 0 THEN {term} ELSE 0D END")
+    return summed.withColumn(name, F.expr(f"greatest({' + '.join(terms)}, 0D)")).drop(*cells, *sides, "_t")
 
 
 def agreement(a: str, b: str, n: int, channels: int) -> Column:
     """Number of channels where two vectors' bins agree."""
-    return reduce(Column.__add__, [_shared(f"{a}_{i}", f"{b}_{i}", channels) for i in range(n)])
+    return F.expr(" + ".join(_shared(f"{a}_{i}", f"{b}_{i}", channels) for i in range(n)))
 
 
 def product(a: str, b: str, digits: int, channels: int) -> Column:
     """Exact inner product of two vectors of whole numbers, from their digit_slices()."""
-    return reduce(Column.__add__, [_shared(f"{a}_{p}", f"{b}_{q}", channels).cast("bigint") * F.lit(1 << (p + q)).cast("bigint") for p in range(digits) for q in range(digits)])
+    return F.expr(" + ".join(f"CAST({_shared(f'{a}_{p}', f'{b}_{q}', channels)} AS BIGINT) * {1 << (p + q)}L" for p in range(digits) for q in range(digits)))

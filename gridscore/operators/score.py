@@ -126,9 +126,9 @@ def pair_scores(signatures: DataFrame, snapshots: DataFrame, keys: list[str], n:
         made: dict[str, Column] = {}
         rows = df.withColumns({"_bins": bin_array(F.col(values), n), "_twice": F.transform(rank_array(F.col(values)), lambda r: F.round(r * 2 * F.size(values)).cast("bigint")) if dice else F.lit(0)})
         if mi or agreement:
-            made |= bitslice.bin_slices(F.col("_bins"), n, channels, name)
+            made |= bitslice.bin_slices("_bins", n, channels, name)
         if dice:
-            made |= bitslice.digit_slices(F.col("_twice"), digits, channels, f"{name}d")
+            made |= bitslice.digit_slices("_twice", digits, channels, f"{name}d")
             made[f"{name}s"] = F.aggregate("_twice", F.lit(0).cast("bigint"), lambda s, r: s + r * r)
         return rows.withColumns(made | {f"{name}n": F.size(values)}).drop("_bins", "_twice", values)
 
