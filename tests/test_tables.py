@@ -87,10 +87,11 @@ def test_fit_weights(spark):
     assert folds.count() == 4 and 0.35 <= consensus.first().mi_weight <= 0.92
 
 
-def test_both_levels_in_one_run(spark):
+def test_both_levels_in_one_run(spark, monkeypatch):
     """The report holds what its parts give on their own."""
     from gridscore.operators import search
 
+    monkeypatch.setattr(search, "GLOBAL_BOUNDS", {**search.GLOBAL_BOUNDS, "temporal_window": (3, 4)})  # two windows are enough here
     _, voxels, _ = _world(spark)
     rng = np.random.default_rng(11)
     rows = [(f"r{r}", b, v, float(x), float(y)) for b in ("alpha", "delta") for r in range(4) for v, (x, y) in enumerate(rng.uniform(0, 1, (64, 2)))]
