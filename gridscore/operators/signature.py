@@ -110,25 +110,37 @@ def offsets_within(radius: float) -> Column:
 
 
 def radius_count(cells: DataFrame, radius: float = 2.5) -> DataFrame:
-    """i, j, k and n_near of each cell: how many cells lie within radius steps, itself included.
+    """i, j, k and n_near of each cell: how many of the rows lie within radius steps of it, its own included.
 
-    A cell sends one row to each step within reach and keeps those that meet a cell: an equi-join, never all pairs.
+    Rows of one cell are counted first; then a cell sends one row to each step within reach and keeps those that meet a
+    cell: an equi-join, never all pairs, that doesn't grow with the rows a cell.
     """
-    sent = cells.select("i", "j", "k").withColumn("o", F.explode(offsets_within(radius)))
-    reached = sent.select((F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"), (F.col("k") + F.col("o.dk")).alias("k"))
-    counts = reached.groupBy("i", "j", "k").agg(F.count("*").alias("n_near"))
-    return cells.select("i", "j", "k").distinct().join(counts, ["i", "j", "k"])
+    held = cells.groupBy("i", "j", "k").agg(F.count("*").alias("_rows"))
+    sent = held.withColumn("o", F.explode(offsets_within(radius)))
+    reached = sent.select((F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"), (F.col("k") + F.col("o.dk")).alias("k"), "_rows")
+    counts = reached.groupBy("i", "j", "k").agg(F.sum("_rows").alias("n_near"))
+    return held.drop("_rows").join(counts.hint("merge"), ["i", "j", "k"])
 
 
 def neighbours_within(points: DataFrame, radius: float, key: str = "voxel_id") -> DataFrame:
-    """a, b and d of all points within radius of each other: bucketed by cells of that size, 27 cells looked into."""
-    home = [F.floor(F.col(c) / radius).alias(f"_{c}") for c in "xyz"]
-    a = points.select(F.col(key).alias("a"), "x", "y", "z", *home)
-    around = F.explode(offsets_within(1.75))
-    visits = points.select(F.col(key).alias("b"), F.struct("x", "y", "z").alias("q"), *home).withColumn("o", around)
-    visits = visits.select("b", "q", *[(F.col(f"_{c}") + F.col(f"o.{d}")).alias(f"_{c}") for c, d in zip("xyz", ("di", "dj", "dk"), strict=True)])
-    joined = a.join(visits, ["_x", "_y", "_z"]).withColumn("d", _distance(F.struct("x", "y", "z"), F.col("q")))
-    return joined.where(F.col("d") <= radius).select("a", "b", "d")
+    """a, b and d of all points within radius of each other: bucketed by cells of that size, 27 cells looked into.
+
+    Distances are worked out once a pair of places, however many points share a place; the points are then joined to
+    both ends. What is exploded is merged, never broadcast: Spark takes it for as small as what it is exploded from.
+    """
+    place = ["x", "y", "z"]
+    home = [F.floor(F.col(c) / radius).alias(f"_{c}") for c in place]
+    places = points.where("x is not null and y is not null and z is not null").select(*place).distinct().select(F.struct(*place).alias("p"), *home)
+    visits = places.withColumnRenamed("p", "q").withColumn("o", F.explode(offsets_within(1.75)))
+    visits = visits.select("q", *[(F.col(f"_{c}") + F.col(f"o.{d}")).alias(f"_{c}") for c, d in zip(place, ("di", "dj", "dk"), strict=True)])
+    near = places.join(visits.hint("merge"), ["_x", "_y", "_z"]).withColumn("d", _distance(F.col("p"), F.col("q"))).where(F.col("d") <= radius)
+    ends = near.select(*[F.col(f"{e}.{c}").alias(f"_{e}{c}") for e in "pq" for c in place], "d")
+
+    def met(pairs: DataFrame, end: str, name: str) -> DataFrame:
+        own = points.select(F.col(key).alias(name), *[F.col(c).alias(f"_{end}{c}") for c in place])
+        return pairs.hint("merge").join(own, [f"_{end}{c}" for c in place])
+
+    return met(met(ends, "p", "a"), "q", "b").select("a", "b", "d")
 
 
 def project_surface(vertices: DataFrame, channels: DataFrame, envelopes: DataFrame, sigma: float = 30.0) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 import pandas as pd
+import pytest
 
-from gridscore.operators import resample
+from gridscore.model import DEFAULTS
+from gridscore.operators import metrics, resample, signature, validation
+from gridscore.plans import pipeline
 
 
 def optimised(df) -> str:
@@ -15,3 +21,56 @@ def test_draws_are_merged(spark):
     table = pd.DataFrame([("b", s, w, s * w) for s in range(6) for w in (0.3, 0.5)], columns=["band", "s", "w", "m"])
     found = resample.bootstrap_pick(spark.createDataFrame(table), ["band"], "s", "w", "m", 12, 42)
     assert "strategy=merge" in optimised(found) and found.count() == 12
+
+
+def test_pairs_within_reach_of_points_that_share_places(spark):
+    rng = np.random.default_rng(4)
+    rows = [(n, float(x * 4), float(y * 5), float(z * 3)) for n, (x, y, z) in enumerate(rng.integers(0, 5, (80, 3)))]
+    df = spark.createDataFrame(rows, "voxel_id long, x double, y double, z double")
+    found = signature.neighbours_within(df, 6.0)
+    want = {(a[0], b[0]) for a, b in itertools.product(rows, rows) if np.linalg.norm(np.subtract(a[1:], b[1:])) <= 6.0}
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted(want)
+    assert "strategy=merge" in optimised(found)
+
+
+def test_rows_of_a_cell_are_counted_before_they_are_sent(spark):
+    """A cell is sent to each step once however many rows it holds; cells alone give the number of cells."""
+    rows = [(i, j, 0) for i in range(3) for j in range(3) for _ in range(1 + i)]
+    cells = spark.createDataFrame(rows, "i int, j int, k int")
+    found = {(r.i, r.j): r.n_near for r in signature.radius_count(cells, 1.0).collect()}
+    assert len(found) == 9 and found[1, 1] == 2 * 3 + 1 + 3 and found[0, 0] == 1 + 1 + 2
+    plan = signature.radius_count(cells, 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.rindex("count(1)")  # the plan is printed from its end
+
+
+def test_cells_near_a_cell_are_counted_once(spark, tmp_path):
+    """21,000 parts: the last thousand share cells with the first."""
+    from gridscore.plans import catalogue
+
+    spark.range(21_000).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    found = catalogue.queries()["q_radius_count"](spark, str(tmp_path)).toPandas()
+    assert len(found) == 20_000 and found.n_near.max() == 81
+
+
+def test_a_mean_on_the_margin_is_within_it(spark):
+    w = [0.0475, 0.0475 + 7e-18, 0.04750000000000002, 0.05249999999999998, 0.0525, 0.05]
+    rows = spark.createDataFrame([("b", v) for v in w], "band string, w double")
+    assert validation.boundary_share(rows, ["band"], "w", 0.045, 0.055, 0.25).first().boundary_pct == pytest.approx(100 * 5 / 6)
+
+
+def test_equal_values_but_for_last_bits_lie_on_the_quantile(spark):
+    """Two values in the middle that differ in the last bit have their median between them; both are kept."""
+    rows = spark.createDataFrame([("b", v) for v in (13.0, 13.00000000000001, 9.0, 5.0)], "k string, value double")
+    assert sum(r.value != 0 for r in metrics.normalise_and_threshold(rows, ["k"], 0.5).collect()) == 3
+
+
+def test_volumes_keep_voxels_that_share_a_cell(spark):
+    voxels = spark.createDataFrame([(v, v % 4, 0, 0, 10.0 * v, -50.0, 5.0) for v in range(8)], "voxel_id long, i int, j int, k int, x double, y double, z double")
+    scores = spark.createDataFrame([("r", "alpha", v, e, 0.1 * v, 0.05 * v + 0.01 * e) for v in range(8) for e in range(2)], "recording_id string, band string, voxel_id long, epoch int, mi double, dice double")
+    found = pipeline.build_volume(scores, voxels, "alpha", DEFAULTS["alpha"])
+    assert found.columns == ["recording_id", "band", "epoch", "i", "j", "k", "value"] and found.count() == 16
+
+
+def test_permuted_places_are_merged(spark):
+    maps = spark.createDataFrame([("b", v, float(v), float(v)) for v in range(12)], "band string, voxel_id int, value double, x double")
+    assert "strategy=merge" in optimised(resample.shuffled(maps, ["band"], ["x"], "voxel_id", 3, 7))
