@@ -45,8 +45,9 @@ def target_validation(found: DataFrame, keys: list[str], target: float, low: flo
 
 
 def boundary_share(params: DataFrame, keys: list[str], name: str, low: float, high: float, margin: float = 0.05) -> DataFrame:
-    """keys and percent of rows whose parameter lies within a margin (of the range) of either bound."""
-    edge = (high - low) * margin
+    """keys and percent of rows whose parameter lies within a margin (of the range) of either bound. A parameter that is a
+    mean may lie on the margin but for its last bits, which hang on the order of summing; it counts as within."""
+    edge = (high - low) * margin + EPS
     near = (F.col(name) <= low + edge) | (F.col(name) >= high - edge)
     return params.groupBy(*keys).agg((100 * F.avg(near.cast("double"))).alias("boundary_pct"))
 
