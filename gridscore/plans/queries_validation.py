@@ -244,7 +244,7 @@ def _centred(spark: SparkSession, d: str) -> DataFrame:
 def q_null_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of every band's map series about its mean against 100 phase-randomised twins, with two-sided p."""
     series = _centred(spark, d)
-    found = resample.null_metrics(series, ["band"], ["voxel_id", "y"], resample.phase_randomised(series, ["band", "voxel_id", "y"], 100, 42))
+    found = resample.twin_metrics(series, ["band"], ["voxel_id", "y"], resample.phases_turned, 100, 42)
     return rounded_all(found, "value", "null_mean", "null_std", "p")
 
 
@@ -261,7 +261,7 @@ CENTRED = f"""{VAL}, cv AS (SELECT band, voxel_id, y, epoch, avg(value) AS value
 def q_time_null_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The same metrics against 100 twins of every voxel's series whose epochs are permuted on their own."""
     series = _centred(spark, d)
-    found = resample.null_metrics(series, ["band"], ["voxel_id", "y"], resample.time_permuted(series, ["band", "voxel_id", "y"], 100, 42))
+    found = resample.twin_metrics(series, ["band"], ["voxel_id", "y"], resample.times_turned, 100, 42)
     return rounded_all(found, "value", "null_mean", "null_std", "p")
 
 

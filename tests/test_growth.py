@@ -68,3 +68,17 @@ def test_volumes_keep_voxels_that_share_a_cell(spark):
 def test_permuted_places_are_merged(spark):
     maps = spark.createDataFrame([("b", v, float(v), float(v)) for v in range(12)], "band string, voxel_id int, value double, x double")
     assert "strategy=merge" in optimised(resample.shuffled(maps, ["band"], ["x"], "voxel_id", 3, 7))
+
+
+def test_twins_as_arrays_against_twins_as_rows(spark):
+    """Phases drawn alike: all six metrics and both p's agree; no twin is a row of what is shuffled."""
+    rng = np.random.default_rng(7)
+    rows = [(b, v, 10.0 * v - 95, (rng.normal(size=8 - v % 2) * (v % 5 > 0)).round(4).tolist()) for b in "xy" for v in range(20)]
+    series = spark.createDataFrame([*rows, ("x", 20, 0.0, None), ("x", 21, 0.0, [])], "band string, voxel_id int, y double, values array<double>")
+    keys = ["band", "voxel_id", "y"]
+    some = series.where("size(values) > 0")
+    want = resample.null_metrics(some, ["band"], keys[1:], resample.phase_randomised(some, keys, 6, 2)).toPandas().set_index(["band", "metric"]).sort_index()
+    got = resample.twin_metrics(some, ["band"], keys[1:], resample.phases_turned, 6, 2).toPandas().set_index(["band", "metric"]).sort_index()
+    assert np.allclose(got[want.columns].astype(float), want.astype(float), atol=1e-9)
+    still = resample.twin_metrics(some, ["band"], keys[1:], resample.times_turned, 6, 2).toPandas()
+    assert (still.p == 1).all() and np.allclose(still.value, still.null_mean)
