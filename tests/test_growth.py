@@ -82,3 +82,20 @@ def test_twins_as_arrays_against_twins_as_rows(spark):
     assert np.allclose(got[want.columns].astype(float), want.astype(float), atol=1e-9)
     still = resample.twin_metrics(some, ["band"], keys[1:], resample.times_turned, 6, 2).toPandas()
     assert (still.p == 1).all() and np.allclose(still.value, still.null_mean)
+
+
+def test_scores_are_dealt_before_they_are_grouped(spark, sf_dir, monkeypatch):
+    """Tasks grow with rows, and one exchange serves every aggregate over a voxel: none is begun in a file's split."""
+    from gridscore import session
+    from gridscore.plans.stand_ins import means
+
+    monkeypatch.setattr(session, "ROWS", 500)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = means(spark, sf_dir)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+        assert rows > 2000 and found.rdd.getNumPartitions() == -(-rows // 500)
+        assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in plan[plan.index("Exchange hashpartitioning") :]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
