@@ -350,10 +350,11 @@ _GRID_SUMS = ("back", "front", "middle", "rest", "beta", "theta", "n", "p1", "p2
 def grid_sums(scores: DataFrame, keys: list[str], assignment: DataFrame, weights: tuple[float, ...] = GRID, theta: Box = GRID_BOXES["theta"]) -> DataFrame:
     """keys, mi_weight, fold and the sums that every band's value is made of; fold -1 is all epochs.
 
-    scores: keys, voxel_id, epoch, x, y, mi, dice, averaged over what keys leave out; assignment: epoch, fold. One
-    aggregate serves all bands, and sums of several recordings add up.
+    scores: keys, voxel_id, epoch, x, y, mi, dice, averaged over what keys leave out; assignment: epoch, fold, a row an
+    epoch, which is broadcast: dealt by their few epochs the scores would meet in as few tasks. One aggregate serves all
+    bands, and sums of several recordings add up.
     """
-    means = scores.groupBy(*keys, "voxel_id", "x", "y", "epoch").agg(F.avg("mi").alias("mi"), F.avg("dice").alias("dice")).join(assignment, "epoch")
+    means = scores.groupBy(*keys, "voxel_id", "x", "y", "epoch").agg(F.avg("mi").alias("mi"), F.avg("dice").alias("dice")).join(F.broadcast(assignment), "epoch")
     twice = means.withColumn("fold", F.explode(F.array(F.lit(-1).cast("long"), F.col("fold").cast("long"))))
     rows = twice.groupBy(*keys, "voxel_id", "x", "y", "fold").agg(F.avg("mi").alias("mi"), F.avg("dice").alias("dice"))
     rows = rows.withColumn("mi_weight", F.explode(F.array(*[F.lit(float(w)) for w in weights])))

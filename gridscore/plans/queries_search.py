@@ -11,7 +11,7 @@ from gridscore.operators.signature import radius_count
 from gridscore.plans.queries_metrics import RAW, SCORED
 from gridscore.plans.registry import query
 from gridscore.plans.stand_ins import SC, VAL, VOX, means, rounded, rounded_all, scores, values, voxels
-from gridscore.session import stored, table
+from gridscore.session import dealt, stored, table
 
 #: Candidates that both sides spell out: mi_weight, contrast, boost, penalty, softening.
 CANDIDATES = [(0, 0.3, 0.5, 1.3, 0.0, 0.7), (1, 0.6, 0.8, 1.6, 0.2, 0.6), (2, 0.9, 1.0, 1.1, 0.5, 0.9)]
@@ -26,7 +26,8 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     """Time means of every flag over nations: a supplier's nation is the recording, so that each covers most voxels."""
     rows = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     band = F.element_at(F.create_map(*[F.lit(x) for pair in FLAGS.items() for x in pair]), F.col("l_returnflag"))
-    means_ = rows.groupBy(band.alias("band"), F.col("s_nationkey").alias("recording_id"), F.col("l_partkey").alias("voxel_id")).agg(F.avg(F.col("l_discount") * 10).alias("mi"), F.avg(F.col("l_tax") * 12.5).alias("dice"))
+    slim = rows.select(band.alias("band"), F.col("s_nationkey").alias("recording_id"), F.col("l_partkey").alias("voxel_id"), (F.col("l_discount") * 10).alias("mi"), (F.col("l_tax") * 12.5).alias("dice"))
+    means_ = dealt(slim, table(spark, d, "lineitem").count(), "voxel_id").groupBy("band", "recording_id", "voxel_id").agg(F.avg("mi").alias("mi"), F.avg("dice").alias("dice"))
     return means_.join(voxels(spark, d).select("voxel_id", "x", "y", "z"), "voxel_id")
 
 
@@ -135,8 +136,8 @@ GRID_SQL = f"""{VOX}, {SC}, a AS (SELECT voxel_id, x, y, epoch, avg(mi) AS mi, a
 
 
 def _grid_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = scores(spark, d)
-    return rows.join(voxels(spark, d), "voxel_id"), rows.select("epoch").distinct().withColumn("fold", F.col("epoch") % 3)
+    epochs = table(spark, d, "lineitem").select(F.month("l_shipdate").alias("epoch")).distinct()
+    return scores(spark, d).join(voxels(spark, d), "voxel_id"), epochs.withColumn("fold", F.col("epoch") % 3)
 
 
 @query(f"WITH {GRID_SQL} SELECT band, w AS mi_weight, round(value, 6) + 0.0 AS value, round(stability, 6) + 0.0 AS stability, round(metric, 6) + 0.0 AS metric FROM g")

@@ -99,3 +99,15 @@ def test_scores_are_dealt_before_they_are_grouped(spark, sf_dir, monkeypatch):
         assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in plan[plan.index("Exchange hashpartitioning") :]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_scores_are_not_dealt_by_their_few_epochs(spark, sf_dir):
+    from gridscore.operators import search
+    from gridscore.plans.queries_search import _grid_rows
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for scores beyond it
+    try:
+        plan = search.grid_sums(*(lambda rows, folds: (rows, ["recording_id"], folds))(*_grid_rows(spark, sf_dir)))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [epoch" not in plan and plan.count("BroadcastHashJoin [epoch") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
