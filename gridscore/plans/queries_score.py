@@ -184,4 +184,4 @@ def q_score_recordings(spark: SparkSession, d: str) -> DataFrame:
     """Scores of parts against every status and quarter of orders, in all bands; the band power is given (mean prices)."""
     from gridscore.plans.pipeline import score_snapshots
 
-    return rounded_all(score_snapshots(order_snapshots(spark, d), nation_channels(spark, d), voxels(spark, d)), "mi", "dice")
+    return score_snapshots(order_snapshots(spark, d), nation_channels(spark, d), voxels(spark, d), decimals=6)

@@ -111,3 +111,18 @@ def test_scores_are_not_dealt_by_their_few_epochs(spark, sf_dir):
         assert "SortMergeJoin [epoch" not in plan and plan.count("BroadcastHashJoin [epoch") == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+
+
+def test_places_are_scored_once(spark, monkeypatch):
+    """Five voxels at two places (one without y): a signature a place and band, and every voxel has its place's scores."""
+    from gridscore.model import BANDS
+    from gridscore.operators import score
+
+    channels = spark.createDataFrame([(k, "LMR"[k % 3], -40.0 + 20 * k, 15.0 * k - 30, 5.0 * k) for k in range(6)], "idx long, side string, x double, y double, z double")
+    voxels = spark.createDataFrame([(v, *[(-30.0, -50.0, 10.0), (12.0, None, 4.0)][v % 2]) for v in range(5)] + [(5, 12.0, 30.0, 4.0)], "voxel_id long, x double, y double, z double")
+    snapshots = spark.createDataFrame([("r", b, 0, [float((7 * k + len(b)) % 5) for k in range(6)]) for b in BANDS], "recording_id string, band string, epoch int, v array<double>")
+    real, sent = score.pair_scores, []
+    monkeypatch.setattr(score, "pair_scores", lambda df, *args, **kwargs: sent.append(df.count()) or real(df, *args, **kwargs))
+    found = pipeline.score_snapshots(snapshots, channels, voxels).toPandas()
+    assert sent == [3 * len(BANDS)] and sorted(found.columns) == sorted(["recording_id", "band", "epoch", "voxel_id", "mi", "dice"])
+    assert len(found) == 6 * len(BANDS) and found.groupby(["band", found.voxel_id.where(found.voxel_id == 5, found.voxel_id % 2)]).mi.nunique(dropna=False).max() == 1
