@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gridscore.functions.columns import let, total
 from gridscore.functions.geometry import adaptive_sigma
+from gridscore.operators.score import pair_up
+from gridscore.session import dealt
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -144,11 +146,22 @@ def neighbours_within(points: DataFrame, radius: float, key: str = "voxel_id") -
 
 
 def project_surface(vertices: DataFrame, channels: DataFrame, envelopes: DataFrame, sigma: float = 30.0) -> DataFrame:
-    """vertex_id, epoch and value: channel envelopes (idx, epoch, value) spread by normalised Gaussian weights."""
-    rows = _with_channels(vertices, channels)
+    """vertex_id, epoch and value: channel envelopes (idx, epoch, value) spread by normalised Gaussian weights.
+
+    An epoch's values become one array in the channels' order, and a vertex meets an epoch once: no row a vertex, epoch and
+    channel, and no aggregate over them. A channel without a value at an epoch counts for nothing there. Vertices are dealt
+    first, since a table of few files makes few tasks.
+    """
+    rows = _with_channels(dealt(vertices, vertices.count(), "vertex_id"), channels)
     w = F.transform("c", lambda c: F.exp(-c["d"] * c["d"] / (2 * sigma**2)))
-    long = rows.withColumn("_w", let(w, lambda v: _normalised(v, v))).select("vertex_id", F.explode(F.arrays_zip(F.col("c.idx").alias("idx"), F.col("_w").alias("w"))).alias("e")).select("vertex_id", "e.idx", "e.w")
-    return long.join(envelopes, "idx").groupBy("vertex_id", "epoch").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    weighed = rows.select("vertex_id", let(w, lambda v: _normalised(v, v)).alias("_w"))
+    order = channels.agg(F.array_sort(F.collect_list("idx")).alias("_order"))
+    own = envelopes.join(F.broadcast(channels.select("idx")), "idx", "left_semi").groupBy("epoch", "idx").agg(F.sum("value").alias("value"))
+    epochs = own.groupBy("epoch").agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("_known")).crossJoin(F.broadcast(order))
+    epochs = epochs.select("epoch", F.transform("_order", lambda k: F.try_element_at("_known", k)).alias("_v"))
+    parts = F.filter(F.zip_with("_w", "_v", lambda a, b: a * b), lambda v: v.isNotNull())
+    value = let(parts, lambda v: F.when(F.size(v) > 0, total(v)))
+    return pair_up(weighed, epochs).select("vertex_id", "epoch", value.alias("value"))
 
 
 def fill_ribbon(ribbons: DataFrame, values: DataFrame, origin: tuple[float, float, float], step: tuple[float, float, float], shape: tuple[int, int, int], points: int = 10, decay: float = 1.5) -> DataFrame:

@@ -126,3 +126,20 @@ def test_places_are_scored_once(spark, monkeypatch):
     found = pipeline.score_snapshots(snapshots, channels, voxels).toPandas()
     assert sent == [3 * len(BANDS)] and sorted(found.columns) == sorted(["recording_id", "band", "epoch", "voxel_id", "mi", "dice"])
     assert len(found) == 6 * len(BANDS) and found.groupby(["band", found.voxel_id.where(found.voxel_id == 5, found.voxel_id % 2)]).mi.nunique(dropna=False).max() == 1
+
+
+def test_surfaces_meet_an_epoch_once(spark):
+    """Values as summed a row a vertex, epoch and channel; absent and null values count for nothing; nothing is grouped by vertex."""
+    places = [(0, -10.0, 20.0, 5.0), (1, 30.0, -40.0, 0.0), (3, 0.0, 0.0, 60.0)]
+    channels = spark.createDataFrame([(k, "M", x, y, z) for k, x, y, z in places], "idx long, side string, x double, y double, z double")
+    vertices = spark.createDataFrame([(v, 7.0 * v - 20, 30.0 - 11 * v, 4.0 * v) for v in range(6)], "vertex_id long, x double, y double, z double")
+    given = [(0, 0, 1.5), (1, 0, 2.0), (3, 0, -1.0), (0, 1, 3.0), (3, 1, None), (1, 2, None), (2, 2, 9.0), (2, 3, 9.0)]
+    plan = signature.project_surface(vertices, channels, spark.createDataFrame(given, "idx long, epoch int, value double"))
+    found = {(r.vertex_id, r.epoch): r.value for r in plan.collect()}
+    for v in range(6):
+        p = np.array([7.0 * v - 20, 30.0 - 11 * v, 4.0 * v])
+        w = {k: np.exp(-np.sum((p - np.array(at)) ** 2) / 1800) for k, *at in places}
+        for e in range(3):
+            sums = [w[k] / sum(w.values()) * x for k, t, x in given if t == e and k in w and x is not None]
+            assert found.pop((v, e)) == (pytest.approx(sum(sums)) if sums else None)
+    assert not found and "groupBy" not in optimised(plan) and "Aggregate [vertex_id" not in optimised(plan)
