@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridscore.functions.geometry import in_box, prior_weights
 from gridscore.model import Box, Params
 from gridscore.operators import connect, metrics, resample, timeops
+from gridscore.session import stored
 
 EPS = 1e-12
 
@@ -79,15 +80,20 @@ def place_test(means: DataFrame, voxels: DataFrame, keys: list[str], subject: st
     means: keys, subject, voxel_id, value, x, y, z and is_gm; each subject's places are permuted on their own. What is
     ranked is one ratio a subject and permutation.
     """
-    own = [*keys, subject]
-    moved = resample.shuffled(means, own, ["x", "y", "z", "is_gm"], id_, n_perm, seed)
-
-    def ratios(df: DataFrame, by: list[str]) -> DataFrame:
-        both = metrics.positive_ratio(df, by, value).join(metrics.posterior_enrichment(df, voxels, by, value), by)
-        pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in ("pa_ratio", "enrichment")])
-        return both.select(*keys, F.explode(pairs).alias("m")).select(*keys, "m.*")
-
-    both = ratios(means, own).withColumn("real", F.lit(True)).unionByName(ratios(moved, [*own, "perm"]).withColumn("real", F.lit(False)))
+    own, y = [*keys, subject], F.col("y")
+    means = stored(means.withColumn("_p", F.greatest(F.col(value), F.lit(0.0))), "places")
+    zones = [y < -40, y > 0, F.col("is_gm") & (y < -40), F.col("is_gm") & (y > 0)]
+    moved = resample.permuted_sums(means, own, zones, id_, n_perm, seed, "_p")
+    real = means.groupBy(*own).agg(*[metrics.sum_where(z, F.col("_p")).alias(f"s{i}") for i, z in enumerate(zones)])
+    # a subject without grey places has no enrichment, and takes no part
+    grey = means.where("is_gm").select(*own).distinct()
+    room = voxels.where("is_gm").agg(F.sum((y < -40).cast("int")).alias("_post"), F.sum((y > 0).cast("int")).alias("_ant"))
+    sums = real.withColumn("real", F.lit(True)).unionByName(moved.drop("perm").withColumn("real", F.lit(False)))
+    sums = sums.join(grey, own).crossJoin(F.broadcast(room))
+    ratio = F.col("s0") / (F.col("s1") + EPS)
+    enriched = (F.col("s2") / (F.col("_post") + EPS)) / (F.col("s3") / (F.col("_ant") + EPS) + EPS)
+    pairs = F.array(F.struct(F.lit("pa_ratio").alias("metric"), ratio.alias("v")), F.struct(F.lit("enrichment").alias("metric"), enriched.alias("v")))
+    both = stored(sums.select(*keys, "real", F.explode(pairs).alias("m")).select(*keys, "real", "m.*"), "ratios")
     by = [*keys, "metric"]
     one, two = F.when(F.col("real"), F.col("v")), F.when(~F.col("real"), F.col("v"))
     sizes = both.groupBy(*by).agg(F.avg(one).alias("real_mean"), F.stddev_pop(one).alias("real_std"), F.avg(two).alias("null_mean"), F.stddev_pop(two).alias("null_std"))

@@ -7,6 +7,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from gridscore.model import DEFAULTS
 from gridscore.operators import resample, signature, validation
@@ -143,3 +144,17 @@ def test_surfaces_meet_an_epoch_once(spark):
             sums = [w[k] / sum(w.values()) * x for k, t, x in given if t == e and k in w and x is not None]
             assert found.pop((v, e)) == (pytest.approx(sum(sums)) if sums else None)
     assert not found and "groupBy" not in optimised(plan) and "Aggregate [vertex_id" not in optimised(plan)
+
+
+def test_permuted_sums_are_those_of_the_shuffled_rows(spark, monkeypatch):
+    """Several arrays of values and of flags a group; no row a permutation is made."""
+    monkeypatch.setattr(resample, "VALUES", 4)
+    monkeypatch.setattr(resample, "FLAGS", 8)
+    rows = [(b, v, float((v * 7) % 5), float(v % 9 * 20 - 90), v % 3 > 0) for b, n in (("a", 19), ("b", 3)) for v in range(n)]
+    df = spark.createDataFrame(rows, "band string, voxel_id int, value double, y double, is_gm boolean").repartition(5)
+    zones = [F.col("y") < -40, F.col("is_gm") & (F.col("y") > 0)]
+    found = resample.permuted_sums(df, ["band"], zones, "voxel_id", 3, 7)
+    moved = resample.shuffled(df, ["band"], ["y", "is_gm"], "voxel_id", 3, 7)
+    want = moved.groupBy("band", "perm").agg(*[F.sum(F.when(z, F.col("value")).otherwise(0.0)).alias(f"s{i}") for i, z in enumerate(zones)])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert "Generate explode(sequence(0, 2" not in optimised(found)
