@@ -7,6 +7,7 @@ sum is the total less its own part, a left-out extreme is the best or the second
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -18,13 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from gridscore.functions.batches import grouped
 from gridscore.functions.geometry import in_box, penalty_bell, raw_prior, scaled_prior
 from gridscore.model import BAND_BOUNDS, BOUNDS, CONFIDENCE, DEFAULTS, GLOBAL_BOUNDS, PRIORS, SPACING, TARGETS, WEIGHT_CAPS, Box, Target
-from gridscore.operators.metrics import EPS, band_metric, penalty_of, posterior_anterior, target_score
+from gridscore.operators.metrics import EPS, penalty_of, posterior_anterior, target_score
 from gridscore.operators.resample import uniform
 from gridscore.operators.score import hybrid
-from gridscore.operators.timeops import temporal_keep
-from gridscore.session import stored
+from gridscore.session import dealt, stored
 
 
 def latin_hypercube(spark: SparkSession, bounds: dict[str, tuple[float, float]], n: int, seed: int, whole: tuple[str, ...] = ("temporal_window",)) -> DataFrame:
@@ -68,19 +69,26 @@ def _candidate_arrays(candidates: DataFrame) -> dict[str, dict[str, np.ndarray]]
     return {band: {c: part[c].to_numpy() for c in ("cand", *SPATIAL, *BLEND)} for band, part in frame.groupby("band")}
 
 
+def _chosen(bands: list[str], f: Callable[[str], Column]) -> Column:
+    """f of the row's band."""
+    return reduce(lambda c, b: c.when(F.col("band") == b, f(b)), bands, F.when(F.lit(False), f(bands[0])))
+
+
+def _zone_bits(bands: list[str], targets: dict[str, Target]) -> Column:
+    """The row's zones under its band's target as bits."""
+    y = F.col("y")
+    region, against = (_chosen(bands, lambda b, i=i: _regions(targets[b])[i]) for i in range(2))
+    zones = {"in": region, "against": against, "all": F.lit(True), "front": y > 0, "back": y < -40, "middle": y.between(-45, 15)}
+    return reduce(Column.__add__, [F.when(zones[name], 1 << i).otherwise(0) for i, name in enumerate(ZONES)]).cast("int")
+
+
 def _fields(rows: DataFrame, bands: list[str]) -> DataFrame:
     """rows with what a candidate needs of a voxel: its band's prior without the penalty, the penalty's bell, and its zones as
     bits."""
-
-    def chosen(f: Callable[[str], Column]) -> Column:
-        return reduce(lambda c, b: c.when(F.col("band") == b, f(b)), bands, F.when(F.lit(False), f(bands[0])))
-
     x, y, z = (F.col(c) for c in "xyz")
-    whole = chosen(lambda b: raw_prior(PRIORS[b], 0.0, x, y, z))
-    bell = chosen(lambda b: penalty_bell(PRIORS[b], y))
-    zones = {"in": chosen(lambda b: _regions(TARGETS[b])[0]), "against": chosen(lambda b: _regions(TARGETS[b])[1]), "all": F.lit(True), "front": y > 0, "back": y < -40, "middle": y.between(-45, 15)}
-    bits = reduce(Column.__add__, [F.when(zones[name], 1 << i).otherwise(0) for i, name in enumerate(ZONES)])
-    return rows.withColumns({"_prior": whole, "_bell": bell, "_zones": bits.cast("int")})
+    whole = _chosen(bands, lambda b: raw_prior(PRIORS[b], 0.0, x, y, z))
+    bell = _chosen(bands, lambda b: penalty_bell(PRIORS[b], y))
+    return rows.withColumns({"_prior": whole, "_bell": bell, "_zones": _zone_bits(bands, TARGETS)})
 
 
 def _penalised(prior: np.ndarray, bell: np.ndarray, penalty: np.ndarray) -> np.ndarray:
@@ -174,9 +182,9 @@ def statistics(scores: DataFrame, candidates: DataFrame, band: str) -> DataFrame
 ZONES = ("in", "against", "all", "front", "back", "middle")
 
 
-def metric_of(band: str, sums: dict[str, Column], counts: dict[str, Column], low: Column, high: Column) -> Column:
+def metric_of(band: str, sums: dict[str, Column], counts: dict[str, Column], low: Column, high: Column, target: Target | None = None) -> Column:
     """A band's metric from zone sums and counts of unscaled values and the extremes that scale them."""
-    target = TARGETS[band]
+    target = target or TARGETS[band]
     flat = high <= low
     s = {z: F.when(flat, sums[z]).otherwise((sums[z] - counts[z] * low) / F.nullif(high - low, F.lit(0.0))) for z in ZONES}
     mean = lambda z: F.try_divide(s[z], counts[z])
@@ -437,44 +445,80 @@ def grid_leave_one_out(scores: DataFrame, bands: list[str], assignment: DataFram
     return picked.join(tested, ["test_id", "mi_weight"]).select("band", "test_id", "mi_weight", "pa_ratio", "occipital_pct")
 
 
-def windowed_means(volume: DataFrame, windows: list[int], share: float = 0.3) -> DataFrame:
-    """recording_id, band, voxel_id, x, y, z, temporal_window, epochs and value: time means of a volume after the temporal
-    filter with zero edges, for each window; a series no longer than the window isn't filtered."""
-    series = ["recording_id", "band", "voxel_id"]
-    place = [*series, "x", "y", "z"]
+def windowed_sums(volume: DataFrame, windows: list[int], isolation: DataFrame, cells: int, targets: dict[str, Target], share: float = 0.3) -> DataFrame:
+    """recording_id, band, near, epochs, temporal_window, and the sums (s_) and counts (n_) by zone of voxels' time means after
+    the temporal filter with zero edges, for each window; a series no longer than the window isn't filtered.
 
-    def one(window: int) -> DataFrame:
-        kept = temporal_keep(volume.withColumn("_raw", F.col("value")), series, window, share, "zero")
-        value = F.when(F.count("*") > window, F.avg("value")).otherwise(F.avg("_raw"))
-        return kept.groupBy(*place).agg(value.alias("value"), F.count("*").alias("epochs")).withColumn("temporal_window", F.lit(window))
-
-    return reduce(DataFrame.unionByName, [one(w) for w in windows])
-
-
-def global_scores(means: DataFrame, candidates: DataFrame, targets: dict[str, Target], isolation: DataFrame) -> DataFrame:
-    """cand, band and score of global candidates (cand, temporal_window, least_cells) over windowed_means(), all in one
-    aggregate: the metric averaged over recordings, weighted by the target's confidence.
+    volume is stored: recording_id, band, voxel_id, x, y, z, epoch, value; isolation: voxel_id, n_near, which counts up to
+    `cells`, as epochs do up to one beyond the windows. A series is one array, which all windows are laid over where it
+    is; what moves after that is one row of sums a class and batch.
+    """
+    keys, most = ["recording_id", "band"], max(windows) + 1
+    bands = sorted(targets)
+    rows = volume.where(F.col("band").isin(bands)).select(*keys, "voxel_id", "epoch", F.col("value").cast("double").alias("value"), _zone_bits(bands, targets).alias("_zones"))
+    packed = dealt(rows, volume.count(), "voxel_id").groupBy(*keys, "voxel_id", "_zones").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "value"))), lambda r: r["value"]).alias("_v"))
+    near = F.least(F.coalesce("n_near", F.lit(1)), F.lit(cells)).cast("int")
+    located = packed.join(isolation, "voxel_id", "left").select(*keys, near.alias("near"), "_zones", "_v")
+    parts = [f"n_{z}" for z in ZONES] + [f"s_{w}_{z}" for w in windows for z in ZONES]
+    kinds = ", ".join(f"{k} {kind}" for k, kind in rows.select(*keys).dtypes)
 
-    Voxels with fewer than least_cells near (isolation: voxel_id, n_near) are damped, but only where the series is no
-    longer than the window: the temporal filter's means replace the damped ones.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lengths = batch.column(4).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            v = batch.column(4).flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths)
+            starts, at = ends - lengths, np.arange(len(v))
+            low, high = np.repeat(starts, lengths), np.repeat(ends, lengths)
+            inside = batch.column(3).to_numpy()[:, None] >> np.arange(len(ZONES)) & 1
+            epochs = np.minimum(lengths, most).astype(np.int32)
+            first, code = grouped([batch.column(k) for k in range(3)] + [pa.array(epochs)])
+            active = np.concatenate([[0], np.cumsum(v > 0)])
+            raw = np.add.reduceat(v, starts) / lengths
+            found = [np.bincount(code, inside[:, z], len(first)) for z in range(len(ZONES))]
+            for w in windows:
+                seen = active[np.minimum(at + w - w // 2, high)] - active[np.maximum(at - w // 2, low)]
+                kept = np.add.reduceat(np.where(np.round(seen / w, 9) >= share, v, 0.0), starts) / lengths
+                mean = np.where(lengths > w, kept, raw)
+                found += [np.bincount(code, mean * inside[:, z], len(first)) for z in range(len(ZONES))]
+            own = [batch.column(k).take(pa.array(first)) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(epochs[first]), *map(pa.array, found)], names=[*keys, "near", "epochs", *parts])
+
+    each = located.mapInArrow(run, f"{kinds}, near int, epochs int, {', '.join(f'{c} double' for c in parts)}")
+    sums = each.groupBy(*keys, "near", "epochs").agg(*[F.sum(c).alias(c) for c in parts])
+    of_windows = F.explode(F.array(*[F.struct(F.lit(w).alias("temporal_window"), *[F.col(f"s_{w}_{z}").alias(f"s_{z}") for z in ZONES]) for w in windows])).alias("w")
+    return sums.select(*keys, "near", "epochs", *[f"n_{z}" for z in ZONES], of_windows).select(*keys, "near", "epochs", *[f"n_{z}" for z in ZONES], "w.*")
+
+
+def global_scores(sums: DataFrame, candidates: DataFrame, targets: dict[str, Target]) -> DataFrame:
+    """cand, band and score of global candidates (cand, temporal_window, least_cells) over windowed_sums(): the metric averaged
+    over recordings, weighted by the target's confidence.
+
+    Voxels with fewer than least_cells near are damped, but only where the series is no longer than the window: the
+    temporal filter's means replace the damped ones.
     """
-    rows = means.join(F.broadcast(candidates), "temporal_window").join(isolation, "voxel_id", "left")
-    damp = (F.coalesce("n_near", F.lit(1)) < F.col("least_cells")) & (F.col("epochs") <= F.col("temporal_window"))
-    rows = rows.withColumn("value", F.when(damp, F.col("value") * 0.1).otherwise(F.col("value")))
-    parts = [band_metric(rows.where(F.col("band") == b), ["cand", "recording_id"], b, target=t).groupBy("cand").agg(F.avg("metric").alias("m")).select("cand", F.lit(b).alias("band"), (F.col("m") * CONFIDENCE.get(t.confidence, 0.5)).alias("score")) for b, t in targets.items()]
-    return reduce(DataFrame.unionByName, parts)
+    rows = sums.join(F.broadcast(candidates), "temporal_window")
+    damp = F.when((F.col("near") < F.col("least_cells")) & (F.col("epochs") <= F.col("temporal_window")), 0.1).otherwise(1.0)
+    totals = rows.groupBy("cand", "band", "recording_id").agg(*[F.sum(F.col(f"s_{z}") * damp).alias(f"s_{z}") for z in ZONES], *[F.sum(f"n_{z}").alias(f"n_{z}") for z in ZONES])
+    s, n = ({z: F.col(f"{p}_{z}") for z in ZONES} for p in "sn")
+    bands = sorted(targets)
+    metric = _chosen(bands, lambda b: metric_of(b, s, n, F.lit(0.0), F.lit(1.0), targets[b]))
+    weight = _chosen(bands, lambda b: F.lit(CONFIDENCE.get(targets[b].confidence, 0.5)))
+    return totals.where(F.col("band").isin(bands)).groupBy("cand", "band").agg(F.avg(metric).alias("_m")).select("cand", "band", (F.col("_m") * weight).alias("score"))
 
 
 def optimise_global(volume: DataFrame, targets: dict[str, Target], isolation: DataFrame, n: int = 15, rounds: int = 2, near: int = 8, seed: int = 42, tolerance: float = 0.001) -> DataFrame:
     """round, temporal_window, min_cluster_mm3 and score of the best candidate after each round: the defaults with n
     candidates of a Latin hypercube, then `near` around the best, twice.
 
-    The temporal filter runs once for each whole window that the bounds allow; a round is one aggregate over time means.
+    The temporal filter runs once over all whole windows that the bounds allow; a round is arithmetic on their sums.
     """
     spark = volume.sparkSession
     names = list(GLOBAL_BOUNDS)
     low, high = GLOBAL_BOUNDS["temporal_window"]
-    means = stored(windowed_means(volume, list(range(round(low), round(high) + 1))), "windowed")
+    cells = max(4, math.floor(GLOBAL_BOUNDS["min_cluster_mm3"][1] / SPACING**3)) + 1
+    sums = stored(windowed_sums(volume, list(range(round(low), round(high) + 1)), isolation, cells, targets), "windowed")
     start = {"temporal_window": 3.0, "min_cluster_mm3": 25.0}
     first = spark.range(1).select(F.lit(-1).alias("cand"), *[F.lit(start[p]).alias(p) for p in names])
     made = latin_hypercube(spark, GLOBAL_BOUNDS, n, seed).unionByName(first)
@@ -485,7 +529,7 @@ def optimise_global(volume: DataFrame, targets: dict[str, Target], isolation: Da
             made = refine(best.select(*names), GLOBAL_BOUNDS, near, r, seed).withColumn("temporal_window", F.round("temporal_window"))
         made = stored(made.select("cand", *names), "candidates")
         asked = made.select("cand", F.col("temporal_window").cast("int"), F.greatest(F.lit(4), F.floor(F.col("min_cluster_mm3") / SPACING**3)).alias("least_cells"))
-        scored = global_scores(means, asked, targets, isolation).groupBy("cand").agg(F.avg("score").alias("score")).join(made, "cand")
+        scored = global_scores(sums, asked, targets).groupBy("cand").agg(F.avg("score").alias("score")).join(made, "cand")
         top = scored.agg(F.max_by(F.struct("score", *names), F.struct(F.round("score", 12), -F.col("cand"))).alias("b")).select("b.*")
         if best is not None:
             both = top.select(F.struct("score", *names).alias("new")).crossJoin(best.select(F.struct("score", *names).alias("old")))  # one row each

@@ -206,8 +206,9 @@ def q_global_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores of three pairs of temporal window and cluster size, for each band over all nations."""
     isolation = stored(radius_count(voxels(spark, d)).join(voxels(spark, d).select("voxel_id", "i", "j", "k"), ["i", "j", "k"]).select("voxel_id", "n_near"), "isolation")
     given = spark.createDataFrame(GLOBAL, "cand int, temporal_window int, least_cells int")
-    means_ = stored(S.windowed_means(stored(_volume(spark, d), "volume"), sorted({w for _, w, _ in GLOBAL})), "windowed")
-    return rounded_all(S.global_scores(means_, given, {b: TARGETS[b] for b in FLAGS.values()}, isolation), "score")
+    targets = {b: TARGETS[b] for b in FLAGS.values()}
+    sums = S.windowed_sums(stored(_volume(spark, d), "volume"), sorted({w for _, w, _ in GLOBAL}), isolation, max(n for _, _, n in GLOBAL), targets)
+    return rounded_all(S.global_scores(sums, given, targets), "score")
 
 
 @query()

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridscore.model import DEFAULTS
-from gridscore.operators import resample, signature, validation
+from gridscore.operators import metrics, resample, search, signature, timeops, validation
 from gridscore.plans import pipeline
 
 
@@ -158,3 +158,23 @@ def test_permuted_sums_are_those_of_the_shuffled_rows(spark, monkeypatch):
     want = moved.groupBy("band", "perm").agg(*[F.sum(F.when(z, F.col("value")).otherwise(0.0)).alias(f"s{i}") for i, z in enumerate(zones)])
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert "Generate explode(sequence(0, 2" not in optimised(found)
+
+
+def test_windowed_sums_are_those_of_filtered_rows(spark):
+    """Gaps, series shorter than the window, voxels of any isolation, and a volume of several tasks."""
+    rng = np.random.default_rng(8)
+    rows = [(r, b, v, float(v % 5 * 30 - 60), float(v % 7 * 25 - 90), float(v % 3 * 40), e, float(max(0.0, rng.normal()))) for r in range(2) for b in ("alpha", "delta") for v in range(40) for e in range(rng.integers(1, 8)) if e != 2]
+    volume = spark.createDataFrame(rows, "recording_id int, band string, voxel_id int, x double, y double, z double, epoch int, value double").repartition(6)
+    isolation = spark.createDataFrame([(v, v % 12) for v in range(30)], "voxel_id int, n_near int")
+    asked = [(0, 1, 4), (1, 3, 9), (2, 4, 5)]
+    targets = {b: search.TARGETS[b] for b in ("alpha", "delta")}
+    sums = search.windowed_sums(volume, [1, 3, 4], isolation, 9, targets)
+    found = {(r.cand, r.band): r.score for r in search.global_scores(sums, spark.createDataFrame(asked, "cand int, temporal_window int, least_cells int"), targets).collect()}
+    for cand, window, least in asked:
+        kept = timeops.temporal_keep(volume.withColumn("_raw", F.col("value")), ["recording_id", "band", "voxel_id"], window, 0.3, "zero")
+        value = F.when(F.count("*") > window, F.avg("value")).otherwise(F.avg("_raw"))
+        means = kept.groupBy("recording_id", "band", "voxel_id", "x", "y", "z").agg(value.alias("value"), F.count("*").alias("n")).join(isolation, "voxel_id", "left")
+        damped = means.withColumn("value", F.when((F.coalesce("n_near", F.lit(1)) < least) & (F.col("n") <= window), 0.1).otherwise(1.0) * F.col("value"))
+        for band in targets:
+            want = metrics.band_metric(damped.where(F.col("band") == band), ["recording_id"], band).agg(F.avg("metric")).first()[0]
+            assert found[cand, band] == pytest.approx(want * 0.8)
