@@ -103,18 +103,32 @@ def _vectors(rows: DataFrame, run: Callable, columns: list[str], keys: list[str]
     return each.groupBy(*keys).agg(*[vector_to_array(how[c[0]](array_to_vector(F.col(c)))).alias(c) for c in columns])
 
 
+def gathered(scores: DataFrame, bands: list[str]) -> DataFrame:
+    """band, recording_id, what candidates need of a place, mi, dice, and how many voxels are alike in all of these (_weight).
+
+    Voxels whose places have the same prior and zones (a lattice repeats them, and many priors leave axes out) and whose
+    scores agree come to the same for every candidate, so that they are worked out once, however many rounds follow.
+    scores are stored. A recording's rows lie together in a task, so that a batch holds few recordings.
+    """
+    rows = _fields(scores.where(F.col("band").isin(bands)), bands).withColumns({c: F.col(c).cast("double") for c in ("mi", "dice")})
+    kinds = ["band", "recording_id", "_prior", "_bell", "_zones", "mi", "dice"]
+    alike = dealt(rows.select(*kinds), scores.count(), *kinds).groupBy(*kinds).agg(F.count("*").alias("_weight"))
+    return stored(alike.sortWithinPartitions("band", "recording_id"), "gathered")
+
+
 def band_statistics(scores: DataFrame, candidates: DataFrame) -> DataFrame:
     """band, cand, recording_id, sums and counts of the region, of what it is held against and of all, and the extremes.
 
     scores: band, recording_id, voxel_id, x, y, z, mi, dice, means over time already; candidates: band, cand, mi_weight,
     contrast, boost, penalty, softening. Candidates go with the tasks as arrays; a task holds a block of rows against a
-    block of candidates, and sends one vector of sums a recording and band, which Spark adds up. No row is copied. Scores
-    are scanned twice, the first time for the priors' scales.
+    block of candidates, and sends one vector of sums a recording and band, which Spark adds up. No row is copied. The
+    priors' scales come from the distinct places first. scores may be gathered() already, as they are for several rounds.
     """
     given = _candidate_arrays(candidates)
     bands = sorted(given)
     least = {b: PRIORS[b].least for b in bands}
-    rows = _fields(scores.where(F.col("band").isin(bands)), bands)
+    whole = scores if "_weight" in scores.columns else gathered(scores, bands)
+    rows = whole.where(F.col("band").isin(bands))
     kind = rows.schema["recording_id"]
 
     def scales(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +144,7 @@ def band_statistics(scores: DataFrame, candidates: DataFrame) -> DataFrame:
                         most[b][block] = np.maximum(most[b][block], _penalised(prior[part], bell[part], given[b]["penalty"][block]).max(0))
         yield pa.RecordBatch.from_arrays([pa.array(bands, pa.string()), pa.array([most[b] for b in bands], pa.list_(pa.float64()))], names=["band", "h"])
 
-    scale = {r.band: np.array(r.h) for r in _vectors(rows.select("band", "_prior", "_bell"), scales, ["h"], ["band"]).collect()}
+    scale = {r.band: np.array(r.h) for r in _vectors(rows.select("band", "_prior", "_bell").distinct(), scales, ["h"], ["band"]).collect()}
 
     def weights(b: str, prior: np.ndarray, bell: np.ndarray, block: slice) -> np.ndarray:
         p, most = {c: given[b][c][block] for c in SPATIAL}, scale[b][block]
@@ -141,19 +155,19 @@ def band_statistics(scores: DataFrame, candidates: DataFrame) -> DataFrame:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[np.ndarray]] = {}
         for batch in batches:
-            names, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            prior, bell, mi, dice = (batch.column(k).to_numpy() for k in (2, 3, 5, 6))
-            inside = (batch.column(4).to_numpy()[:, None] >> np.arange(len(ZONES)) & 1).astype(np.float64)
-            groups: dict[tuple, list[int]] = {}
-            for at, key in enumerate(zip(names, ids, strict=True)):
-                groups.setdefault(key, []).append(at)
-            for (b, recording), places in groups.items():
+            if not batch.num_rows:
+                continue
+            prior, bell, mi, dice, times = (batch.column(k).to_numpy() for k in (2, 3, 5, 6, 7))
+            inside = (batch.column(4).to_numpy()[:, None] >> np.arange(len(ZONES)) & 1) * times[:, None].astype(np.float64)
+            first, code = grouped([batch.column(0), batch.column(1)])
+            for at, places in zip(first.tolist(), np.split(np.argsort(code, kind="stable"), np.cumsum(np.bincount(code))[:-1]), strict=True):
+                b, recording = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
                 n = len(given[b]["cand"])
                 if (b, recording) not in held:
                     held[b, recording] = [np.zeros((len(ZONES), n)), np.zeros(len(ZONES)), np.full(n, np.inf), np.full(n, -np.inf)]
                 total, count, low, high = held[b, recording]
                 for k in range(0, len(places), ROWS):
-                    part = np.array(places[k : k + ROWS])
+                    part = places[k : k + ROWS]
                     count += inside[part].sum(0)
                     for c in range(0, n, CANDIDATES):
                         block = slice(c, c + CANDIDATES)
@@ -166,7 +180,7 @@ def band_statistics(scores: DataFrame, candidates: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.string()), pa.array([recording], recordings), *[pa.array([x.ravel()], pa.list_(pa.float64())) for x in (total, count, low, high)]], names=["band", "recording_id", "s", "s_n", "l", "h"])
 
     recordings = to_arrow_type(kind.dataType)
-    found = _vectors(rows.select("band", "recording_id", "_prior", "_bell", "_zones", F.col("mi").cast("double"), F.col("dice").cast("double")), sums, ["s", "s_n", "l", "h"], ["band", "recording_id"])
+    found = _vectors(rows.select("band", "recording_id", "_prior", "_bell", "_zones", "mi", "dice", "_weight"), sums, ["s", "s_n", "l", "h"], ["band", "recording_id"])
     numbers = candidates.groupBy("band").agg(F.array_sort(F.collect_list("cand")).alias("_cands"))  # as many as a task holds anyway
     each = found.join(numbers, "band").select("band", "recording_id", "s", "s_n", "l", "h", F.size("_cands").alias("_size"), F.posexplode("_cands").alias("_at", "cand"))
     at = F.col("_at")
@@ -269,6 +283,7 @@ def optimise_bands(scores: DataFrame, bands: list[str], n: int = 20, rounds: int
     intensity = {p: BOUNDS[p] for p in (*BLEND, "keep_top_pct", "smoothing_fwhm")}
     names = [*intensity, *SPATIAL]
     assignment = stored(folds(scores, "recording_id", k, seed), "folds")
+    scores = gathered(scores, bands)
 
     def drawn(b: str) -> DataFrame:
         spatial = {p: BAND_BOUNDS.get(b, {}).get(p, BOUNDS[p]) for p in SPATIAL}

@@ -178,3 +178,18 @@ def test_windowed_sums_are_those_of_filtered_rows(spark):
         for band in targets:
             want = metrics.band_metric(damped.where(F.col("band") == band), ["recording_id"], band).agg(F.avg("metric")).first()[0]
             assert found[cand, band] == pytest.approx(want * 0.8)
+
+
+def test_equal_voxels_are_searched_once(spark):
+    """Copies of voxels weigh in the statistics as often as they occur, and are one row of what the rounds scan."""
+    rng = np.random.default_rng(9)
+    rows = [(b, r, v, float(v % 3 * 30 - 30), float(v % 4 * 40 - 90), 50.0, float(rng.integers(1, 4)) / 4, float(rng.integers(1, 3)) / 2) for b in ("alpha", "beta") for r in range(3) for v in range(30)]
+    scores = spark.createDataFrame(rows, "band string, recording_id int, voxel_id int, x double, y double, z double, mi double, dice double")
+    candidates = spark.createDataFrame([(b, 0, 0.3, 0.5, 1.3, 0.4, 0.7) for b in ("alpha", "beta")], "band string, cand int, mi_weight double, contrast double, boost double, penalty double, softening double")
+    twice = scores.unionByName(scores.withColumn("voxel_id", F.col("voxel_id") + 100))
+    gathered = search.gathered(twice, ["alpha", "beta"])
+    assert gathered.count() == search.gathered(scores, ["alpha", "beta"]).count() < scores.count()
+    one, two = ({(r.band, r.recording_id): r.asDict() for r in search.band_statistics(df, candidates).collect()} for df in (scores, gathered))
+    for key, r in one.items():
+        assert two[key]["n_all"] == 60 and (two[key]["lo"], two[key]["hi"]) == pytest.approx((r["lo"], r["hi"]))
+        assert [two[key][f"s_{z}"] for z in search.ZONES] == pytest.approx([2 * r[f"s_{z}"] for z in search.ZONES])
