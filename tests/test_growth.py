@@ -193,3 +193,18 @@ def test_equal_voxels_are_searched_once(spark):
     for key, r in one.items():
         assert two[key]["n_all"] == 60 and (two[key]["lo"], two[key]["hi"]) == pytest.approx((r["lo"], r["hi"]))
         assert [two[key][f"s_{z}"] for z in search.ZONES] == pytest.approx([2 * r[f"s_{z}"] for z in search.ZONES])
+
+
+def test_moves_are_columns(spark):
+    """Maps under moved parameters are columns of one aggregate by voxel; no score meets a row of moves."""
+    rows = [(r, v, float(v * 9 - 60), float(v * 20 - 100), 30.0, (v * r % 5 + 1) / 6, (v + r) % 4 / 4) for r in range(3) for v in range(12)]
+    scores = spark.createDataFrame(rows, "recording_id int, voxel_id int, x double, y double, z double, mi double, dice double")
+    names = ["mi_weight", "penalty"]
+    given = [("beta", 0.55, 0.5, 0.65, 1.4, 0.45)]
+    params = spark.createDataFrame(given, "band string, mi_weight double, penalty double, contrast double, boost double, softening double")
+    spreads = spark.createDataFrame([("beta", 0.05, 0.9)], "band string, mi_weight double, penalty double")
+    found = resample.perturbed_maps(scores, "beta", params, spreads, names)
+    assert optimised(found).count("Join") == 1
+    moved = {(r.param, r.sign): r for r in found.collect()}
+    assert sorted(moved) == [(n, s) for n in sorted(names) for s in (-1, 1)] and moved["penalty", 1].moved_to == 1.0
+    assert all(0 < r.r <= 1 and r.rmse > 0 for r in moved.values())
