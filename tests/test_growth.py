@@ -208,3 +208,18 @@ def test_moves_are_columns(spark):
     moved = {(r.param, r.sign): r for r in found.collect()}
     assert sorted(moved) == [(n, s) for n in sorted(names) for s in (-1, 1)] and moved["penalty", 1].moved_to == 1.0
     assert all(0 < r.r <= 1 and r.rmse > 0 for r in moved.values())
+
+
+def test_summed_phases_are_those_of_the_twins(spark):
+    """What becomes of all twins of a series where it is made, against rows of twins; series of two lengths."""
+    rng = np.random.default_rng(10)
+    rows = [(s, c, [float(x) for x in rng.normal(size=6 + s % 2)]) for s in range(5) for c in "ab"]
+    series, keys = spark.createDataFrame(rows, "id int, c string, values array<double>").repartition(3), ["id", "c"]
+    found = {(r.id, r.c): r for r in resample.phase_randomised(series, keys, 7, 3, summed=True).collect()}
+    twins = resample.phase_randomised(series, keys, 7, 3).toPandas()
+    assert len(found) == len(rows)
+    for i, c, own in rows:
+        made = np.stack(twins[(twins.id == i) & (twins.c == c)]["values"].tolist())
+        size, real, r = np.abs(made).mean(1), np.abs(own).mean(), found[i, c]
+        p = (np.abs(size - size.mean()) >= abs(real - size.mean()) - 1e-12).mean()
+        assert np.allclose([r.power, r["size"], r.null_power, r.null_mean, r.null_std, r.p], [np.square(own).mean(), real, np.square(made).mean(), size.mean(), size.std(), p])
