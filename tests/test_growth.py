@@ -160,6 +160,29 @@ def test_permuted_sums_are_those_of_the_shuffled_rows(spark, monkeypatch):
     assert "Generate explode(sequence(0, 2" not in optimised(found)
 
 
+def test_permutation_metrics_are_those_of_the_shuffled_rows(spark, monkeypatch):
+    """All six of the reference, for weights and for places, over several arrays of both; no row a permutation is made."""
+    monkeypatch.setattr(resample, "VALUES", 4)
+    monkeypatch.setattr(resample, "PLACES", 8)
+    rows = [(b, v, float((v * 7) % 5) / 4, float(v % 4 * 30 - 45), float(v % 9 * 20 - 90), float(v % 3)) for b, n in (("a", 21), ("b", 3)) for v in range(n)]
+    df = spark.createDataFrame([*rows, ("c", 0, 0.0, 1.0, 2.0, 3.0), ("b", 9, None, 1.0, 2.0, 3.0)], "band string, voxel_id int, value double, x double, y double, z double").repartition(5)
+    found = resample.permutation_metrics(df, ["band"], 3, 7)
+    assert "Generate explode(sequence(0, 2" not in optimised(found)
+    moved = resample.shuffled(df, ["band"], ["x", "y", "z"], "voxel_id", 3, 7)
+    own = ["band", "perm"]
+    want = resample.weight_metrics(moved.where("value is not null"), own).toPandas().set_index(own).sort_index()
+    got = found.toPandas().set_index(own).sort_index()
+    assert len(got) == 9 and list(got.columns) == ["entropy", "gini", "variation", "concentration", "dispersion", "pa_ratio"]
+    assert np.allclose(got, want[got.columns], atol=1e-9) and got.loc["a"].entropy.nunique() == 1 and got.loc["a"].dispersion.nunique() > 1
+
+
+def test_keyed_places_are_the_permuted_ones():
+    for size in (1, 2, 3, 7, 64, 1000):
+        for key in (5, -(1 << 62)):
+            places = np.arange(size)
+            assert (resample.keyed_places(places, size, key) == resample.permuted_places(places, np.full(size, size), np.full(size, key))).all()
+
+
 def test_windowed_sums_are_those_of_filtered_rows(spark):
     """Gaps, series shorter than the window, voxels of any isolation, and a volume of several tasks."""
     rng = np.random.default_rng(8)
