@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,13 @@ from gridscore.session import stored
 COSINE = 0.95
 #: Blocks that the rotated coordinates are split into, and vectors that the rotation is fitted on at most.
 BLOCKS, SAMPLE, SEED = 4, 2048, 42
-#: What a row that is sent to a cell costs, in comparisons of two rows; a grid is laid over up to MOST coordinates.
-ROW_COST, MOST = 3000, 8
+#: What a row that is sent to a cell costs, in comparisons of two rows: it lies on disk until they are done. A grid is laid
+#: over up to MOST coordinates.
+ROW_COST, MOST = 40000, 8
 #: Room for rounding in squared distances of unit vectors.
 SLACK = 1e-6
 #: Rows of a cell that one block of work holds at most, twice; and pairs that are looked at in one go.
-CHUNK, AT_ONCE = 16384, 1 << 15
+CHUNK, AT_ONCE = 1 << 17, 1 << 15
 
 
 @lru_cache(8)
@@ -61,11 +63,13 @@ class _Space:
         return radius, 2 * math.ceil(0.5 / radius) + 5
 
     def _gridded(self, spread: np.ndarray, budget: float, n: int) -> int:
-        """Coordinates to grid: each sends a row to two thirds more cells and leaves this share of the comparisons."""
+        """Coordinates to grid: each sends a row to two thirds more cells and leaves this share of the comparisons; a cell that
+        is cut into chunks sends it to as many blocks."""
         radius, cells = self._radius(budget)
         most = max(1, min(len(spread), MOST, int(62 / math.log2(cells))))
         left = np.cumprod([math.erf(0.86 * radius / max(float(s), 1e-9)) for s in spread[:most]])
-        return int(np.argmin([ROW_COST * 1.68**g + n * left[g - 1] for g in range(1, most + 1)])) + 1
+        sent = [1.68**g * max(1.0, n * left[g - 1] / (2 * CHUNK)) for g in range(1, most + 1)]
+        return int(np.argmin([ROW_COST * sent[g - 1] + n * left[g - 1] for g in range(1, most + 1)])) + 1
 
     def rotated(self, unit: np.ndarray) -> np.ndarray:
         # a plain sum in fixed order: a row's coordinates are alike in whatever batch it comes
@@ -150,34 +154,40 @@ def _link_block(table: pa.Table, spaces: Spaces, cosine: float) -> Iterator[pa.R
     homes = table["home"].to_numpy()
     table = table.take(pa.array(np.argsort(~homes, kind="stable")))  # rows at home first: each meets the rows after it
     uid, weight, chunk = (table[c].to_numpy() for c in ("uid", "copies", "_chunk"))
-    unit = _matrix(table["vector"], dims)
-    space = spaces(dims)
-    rotated = space.rotated(unit)
-    block = rotated[:, space.parts[k]]
+    space, vectors = spaces(dims), table["vector"].combine_chunks()
+    # vectors stay as they came, in single precision mostly; what the sieve looks at is worked out for all rows, the rest
+    # for those of pairs that pass
+    block = np.concatenate([_matrix(vectors.slice(at, AT_ONCE), dims) @ space.rotation[:, space.parts[k]] for at in range(0, len(vectors), AT_ONCE)])
     norms, ones = (block * block).sum(1), np.ones(len(block))
     # one product gives |x|^2 - 2 <x, y> + |y|^2; single precision sieves, and pairs that pass are looked at again
     left_side = np.column_stack([-2 * block, norms, ones]).astype(np.float32)
     right_side = np.column_stack([block, ones, norms]).astype(np.float32)
     links = np.zeros(len(uid), dtype=np.int64)
     left, right = [], []
-    step = max(1, (1 << 22) // len(uid))
-    for start in range(0, int(homes.sum()), step):
-        stop = min(start + step, int(homes.sum()))
-        a, b = np.nonzero(left_side[start:stop] @ right_side[start:].T <= np.float32(space.budgets[k] + 1e-5))
-        a, b = a + start, b + start
+    # tiles of about a million comparisons, which stay in a core's cache
+    wide = min(len(uid), AT_ONCE)
+    for start, other in product(range(0, int(homes.sum()), max(1, (1 << 20) // wide)), range(0, len(uid), wide)):
+        stop = min(start + max(1, (1 << 20) // wide), int(homes.sum()))
+        if other + wide <= start:
+            continue
+        near = left_side[start:stop] @ right_side[other : other + wide].T <= np.float32(space.budgets[k] + 1e-5)
+        a, b = np.divmod(np.flatnonzero(near), near.shape[1])
+        a, b = a + start, b + other
         once = a < b
         if pairwise:
             once &= chunk[a] != chunk[b]
         a, b = a[once], b[once]
         for begin in range(0, len(a), AT_ONCE):
             i, j = a[begin : begin + AT_ONCE], b[begin : begin + AT_ONCE]
+            rows, places = np.unique(np.concatenate([i, j]), return_inverse=True)
+            unit = _matrix(vectors.take(pa.array(rows)), dims)
+            rotated, p, q = space.rotated(unit), places[: len(i)], places[len(i) :]
             # a pair belongs to the first block that it is near in, so it is counted once over all blocks
-            own = space.within(rotated[i], rotated[j], k)
+            own = space.within(rotated[p], rotated[q], k)
             for earlier in range(k):
-                own[own] = ~space.within(rotated[i[own]], rotated[j[own]], earlier)
+                own[own] = ~space.within(rotated[p[own]], rotated[q[own]], earlier)
+            own[own] = np.einsum("nd,nd->n", unit[p[own]], unit[q[own]]) >= cosine
             i, j = i[own], j[own]
-            linked = np.einsum("nd,nd->n", unit[i], unit[j]) >= cosine
-            i, j = i[linked], j[linked]
             np.add.at(links, i, weight[j])
             np.add.at(links, j, weight[i])
             # of a dense group's links a forest is kept

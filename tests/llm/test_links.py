@@ -118,3 +118,17 @@ def test_embedding_edge_cases(spark):
     assert found[1] == (3, 1) and found[3] == (3, 1) and found[12] == (3, 1) and found[10] == (1, 10) and found[None] == (1, 10)
     assert all(found[k] == (0, k) for k in (4, 5, 6, 7, 8, 9, 11, 13))
     assert embeddings.near_duplicates(rows.limit(0)).count() == 0
+
+
+def test_large_cells_send_a_row_to_few_blocks():
+    """A grid over more coordinates and smaller chunks sent a vector of 600,000 to more than a hundred blocks."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20000, 64)) / 8
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    n, sent = 600_000, 0.0
+    space = embeddings._Space(64, 0.95, x[:2048], n)
+    rotated = space.rotated(x)
+    for k in range(len(space.parts)):
+        rows = np.unique(space.cells(rotated, k)[1], return_counts=True)[1] * (n / len(x))
+        sent += (rows * np.ceil(rows / embeddings.CHUNK)).sum() / n
+    assert sent < 40
