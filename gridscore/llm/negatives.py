@@ -211,7 +211,8 @@ def _best(visits: DataFrame, index: Index, k: int, same: bool) -> DataFrame:
                     uid, window, other, there, score = (np.concatenate(c) for c in zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(window), pa.array(other), rows.field("key").take(pa.array(there)), pa.array(score)], names=["uid", "window", "other", "key", "score"])
 
-    joined = visits.join(index.table, ["cell", "part"]).select("members", "rows")
+    # merged, never broadcast: the index holds every row, which pack several times smaller on disk than Spark has them
+    joined = visits.join(index.table.hint("merge"), ["cell", "part"]).select("members", "rows")
     return joined.mapInArrow(run, "uid long, window int, other long, key long, score long")
 
 

@@ -253,3 +253,9 @@ def test_negatives_equal_their_sql(spark):
     plain = db.sql(queries.oracle_sql()["op13_hard_negatives"])
     assert sorted(found.columns) == sorted(plain.columns)
     assert sorted(map(tuple, found.select(*plain.columns).collect())) == sorted(plain.fetchall())
+
+
+def test_the_index_is_merged(spark):
+    """It holds every row, so it never passes through the driver, however small it is on disk."""
+    plan = queries.op13_hard_negatives(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
